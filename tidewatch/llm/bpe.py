@@ -5,10 +5,10 @@ state that u's arcs enter, takes arc v out of the copy, points u's arcs there, a
 state that v's arcs enter (for u = v the state before the copy). So every token's arcs enter one state, a state is the
 one it was copied from less one arc, and arc w leaves a state just if arc u still left it when w was made. The automaton is
 therefore held as, for each token, its entry state's lineage (the right spine of the token with the ranks at which it
-branched off) and its own making (the left spine); the row of a state is read off these and kept once used.
+branched off) and its own making (the left spine); whether a state has an arc is read off these and kept once used.
 
-A path is a correct tokenization just if the automaton has it, and each byte string has one. Encoding follows, byte by byte,
-the arcs that end there; decoding emits the labels of the arcs.
+A path is a correct tokenization just if the automaton has it, and each byte string has one. Encoding follows it
+from table entry to table entry; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from .common import ODD, byte_alphabet, default_tokenizer, filled, library, table, vocabulary
 
 #: A worker forgets its words when it knows so many; bounds its memory, not what is encoded.
-WORDS = 300_000
+WORDS = 800_000
 
 
 class Automaton:
     def __init__(self, path: str):
         self.ids, self.special = vocabulary(path)
         self.labels = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # the longest token that starts with these three bytes
+        for t in self.ids:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         with open(path, encoding="utf-8") as f:
             merges = json.load(f)["model"]["merges"]
         of = byte_alphabet()
@@ -41,7 +43,7 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.useless: set[int] = set()
-        self.rows: dict[int, dict[int, bool]] = {}
+        self.known: dict[int, bool] = {}  # state and arc, as far as used
         for rank, pair in enumerate(merges):
             u, v = map(as_id, pair if isinstance(pair, list) else pair.split(" "))
             w = self.ids[self.labels[u] + self.labels[v]]
@@ -67,35 +69,39 @@ class Automaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
-        ids, rows, longest = self.ids, self.rows, self.longest
-        whole = ids.get(word)
-        if whole is not None and whole not in self.useless:
-            return [whole]
-        last: list[int] = [-1]
-        for end in range(1, len(word) + 1):
-            found = -1
-            for start in range(end - longest if end > longest else 0, end):
-                t = ids.get(word[start:end])
-                if t is None or t in self.useless:
-                    continue
-                if not start:
-                    found = t
-                    break
-                row = rows.get(last[start])
-                if row is None:
-                    row = rows[last[start]] = {}
-                ok = row.get(t)
-                if ok is None:
-                    ok = row[t] = self._open(last[start], t)
-                if ok:
-                    found = t
-                    break
-            last.append(found)
-        out, at = [], len(word)
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
-        return out[::-1]
+        """Ids of the one path that spells the word: the longest arc first, back where no arc goes on.
+
+        A prefix has one correct path too, so a position that was left once is never entered again.
+        """
+        ids, known, useless, reach, n = self.ids, self.known, self.useless, self.reach.get, len(word)
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, last, k = 0, -1, reach(word[:3], 2)
+        while at < n:
+            while k:
+                t = ids.get(word[at : at + k]) if at + k <= n else None
+                if t is not None and at + k not in dead and t not in useless:
+                    if last < 0:
+                        break
+                    arc = last << 20 | t
+                    ok = known.get(arc)
+                    if ok is None:
+                        ok = known[arc] = self._open(last, t)
+                    if ok:
+                        break
+                k -= 1
+            if k:
+                out.append(t)
+                starts.append(at)
+                at, last = at + k, t
+                k = reach(word[at : at + 3], 2)
+            else:
+                dead.add(at)
+                at, k = starts[-1], at - starts.pop() - 1
+                out.pop()
+                last = out[-1] if out else -1
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -135,9 +141,10 @@ class Codec:
         words, pieces = self.words, self._pieces(text)
         if len(words) > WORDS:
             words.clear()
-            self.auto.rows.clear()
-        for w in set(pieces) - words.keys():
-            words[w] = self._part(self.auto.encode(w.encode()))
+            self.auto.known.clear()
+        for w in pieces:
+            if w not in words:
+                words[w] = self._part(self.auto.encode(w.encode()))
         return list(map(words.__getitem__, pieces))
 
 
