@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, sstable
+from . import bpe, exact_dedup, langid, licenses, media, packing, sstable
 
 
 def queries() -> dict:
-    found = (packing.op1_best_fit_packing, sstable.op3_token_shards, exact_dedup.op6_exact_dedup, bpe.op10_bpe)
+    found = (packing.op1_best_fit_packing, media.op2_media_columns, sstable.op3_token_shards, langid.op4_language_id, licenses.op5_license_scan, exact_dedup.op6_exact_dedup, bpe.op10_bpe)
     return {f.__name__: f for f in found}
 
 
