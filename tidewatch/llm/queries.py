@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, media, packing, sstable
+import corpus_pipeline
+
+from . import bpe, exact_dedup, html_text, langid, licenses, media, near_dedup, packing, repeats, sstable
+
+OPERATORS = (
+    packing.op1_best_fit_packing,
+    media.op2_media_columns,
+    sstable.op3_token_shards,
+    langid.op4_language_id,
+    licenses.op5_license_scan,
+    exact_dedup.op6_exact_dedup,
+    near_dedup.op7_minhash,
+    html_text.op8_main_text,
+    repeats.op9_repeats,
+    bpe.op10_bpe,
+)
 
 
 def queries() -> dict:
-    found = (packing.op1_best_fit_packing, media.op2_media_columns, sstable.op3_token_shards, langid.op4_language_id, licenses.op5_license_scan, exact_dedup.op6_exact_dedup, bpe.op10_bpe)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
