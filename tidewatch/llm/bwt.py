@@ -43,46 +43,52 @@ def build(text: np.ndarray, start: np.ndarray, length: np.ndarray, string: np.nd
         key = key << np.uint64(9) | np.where(at < stop, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")  # equal keys stay in the order of the strings
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        order = np.argsort(key)
+        key = key[order]
         rank = np.empty(len(order), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.uint64)
         if depth > size.max():
             break
         at = here + depth
         key = rank << np.uint64(32) | np.where(at < stop, rank[np.minimum(at, len(rank) - 1)], np.uint64(0))
         depth *= 2
-    before = np.where(offset > 0, flat[here - 1], np.uint64(0)).astype(np.uint16)
+    order = np.argsort(rank << np.uint64(32) | owner.astype(np.uint64))  # equal suffixes in the order of their strings
+    before = np.where(offset > 0, flat[here - 1], np.uint64(0)).astype(np.uint8 if flat.max(initial=0) < 256 else np.uint16)
     return Transform(before[order], string[owner[order]], offset[order], len(start))
 
 
-def merge(a: Transform, b: Transform) -> Transform:
+def merge(a: Transform, b: Transform, depth: int | None = None) -> Transform:
+    """In the order of whole suffixes, or only of their first `depth` characters."""
     n = len(a.before) + len(b.before)
     ends = np.concatenate([np.zeros(a.strings, bool), np.ones(b.strings, bool)])
     right = np.concatenate([np.zeros(len(a.before), bool), np.ones(len(b.before), bool)])
-    merged = np.empty(n, np.uint16)
-    while True:
+    merged = np.empty(n, np.promote_types(a.before.dtype, b.before.dtype))
+    while depth is None or depth > 0:
         merged[~right], merged[right] = a.before, b.before
         dealt = right[np.argsort(merged, kind="stable")]
         dealt[: len(ends)] = ends  # the end marks come first, in the order of the strings
         if np.array_equal(dealt, right):
             break
-        right = dealt
+        right, depth = dealt, depth and depth - 1
     string, offset = np.empty(n, a.string.dtype), np.empty(n, a.offset.dtype)
+    merged[~right], merged[right] = a.before, b.before
     string[~right], string[right], offset[~right], offset[right] = a.string, b.string, a.offset, b.offset
     return Transform(merged, string, offset, a.strings + b.strings)
 
 
-def repeated(text: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, shard: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(text: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, shard: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, interval) of each place of `window` characters; places of one interval hold the same ones.
 
-    Strings are numbered in their order. Shards have about `shard` characters; they are merged pairwise.
+    Strings are numbered in their order. Two shards, or more of at most about `shard` characters, are merged pairwise;
+    the last merging goes no deeper than the window.
     """
-    number = np.arange(len(start))
-    cut = np.searchsorted(np.cumsum(length + 1), np.arange(shard, int((length + 1).sum()), shard), side="left") + 1
+    number, reach = np.arange(len(start)), np.cumsum(length + 1)
+    shard = min(shard, int(reach[-1]) // 2 + 1)
+    cut = np.searchsorted(reach, np.arange(shard, int(reach[-1]), shard), side="left") + 1
     parts = [build(text, start[x], length[x], x) for x in np.split(number, np.unique(cut)) if len(x)]
     while len(parts) > 1:
-        parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        last = window if len(parts) == 2 else None
+        parts = [merge(*parts[i : i + 2], last) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     rows = parts[0]
     whole = rows.offset + window <= length[rows.string]
     string, offset = rows.string[whole], rows.offset[whole]

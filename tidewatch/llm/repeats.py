@@ -18,6 +18,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +167,7 @@ def _surroundings(buckets: int):
     names = ["batch", "kind", "bucket", "data", "text"]
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for row in _rows(batches):
             text, ends, ids = _unpack(row)
             hashes = Hashes(text)
@@ -198,12 +200,12 @@ def _surroundings(buckets: int):
                 order = np.argsort(to, kind="stable")
                 found, first = np.unique(to[order], return_index=True)
                 for b, p in zip(found, np.split(order, first[1:]) if len(found) else [], strict=True):
-                    put(kind, int(b), np.stack([c[p].astype(np.int64) if c.dtype != np.uint64 else c[p].view(np.int64) for c in columns]).tobytes(), texts[p].tobytes() if texts is not None else None)
+                    put(kind, int(b), b"".join(c[p].tobytes() for c in columns), pack(texts[p].tobytes()) if texts is not None else None)
 
             rest = np.flatnonzero(~sure & ~is_hot)
             wide = GRAM + 2 * REACH
             padded = np.concatenate([text, np.zeros(wide, np.uint8)])
-            deal(1, gram[rest], (gram[rest], around[rest], docs[rest], start[rest], at[rest] - start[rest], stop[rest] - start[rest]), padded[start[rest][:, None] + np.arange(wide)])
+            deal(1, gram[rest], (gram[rest], around[rest], docs[rest], start[rest], (stop - start)[rest].astype(np.uint8)), padded[start[rest][:, None] + np.arange(wide)])
             hot_at = np.flatnonzero(~sure & is_hot)
             n = np.maximum(0, stop[hot_at] - start[hot_at] - WINDOW + 1)
             first = np.repeat(start[hot_at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -238,11 +240,13 @@ def _emit(batch: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFram
 
 
 def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
-    data = [np.frombuffer(x, np.int64).reshape(6, -1) for x in rows["data"]]
-    batch = np.repeat(rows["batch"].to_numpy(np.int64), [x.shape[1] for x in data])
-    gram, around, doc, start, _, length = np.concatenate(data, axis=1)
+    size = [len(x) // 33 for x in rows["data"]]  # four numbers of eight bytes, one of one
+    batch = np.repeat(rows["batch"].to_numpy(np.int64), size)
+    gram, around, doc, start = np.concatenate([np.frombuffer(x, np.int64, 4 * n).reshape(4, -1) for x, n in zip(rows["data"], size, strict=True)], axis=1)
+    length = np.concatenate([np.frombuffer(x, np.uint8, n, 32 * n) for x, n in zip(rows["data"], size, strict=True)]).astype(np.int64)
     wide = GRAM + 2 * REACH
-    texts = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["text"]])
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in rows["text"]])
     least = _first_of(around, doc)
     full = doc > least
     out = [(batch[full], start[full], start[full] + length[full])]
@@ -314,15 +318,16 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = 2 * buckets  # buckets of anchors
     name = f"text_batches_{uuid.uuid4().hex}"
     held = docs.where("doc_id IS NOT NULL").mapInArrow(_batched(batch_bytes), "batch long, ids binary, ends binary, text binary")
     held.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "batch").format("parquet").saveAsTable(name)
     kept = spark.table(name)
 
-    posted = kept.mapInArrow(_post_hashes(buckets), "bucket long, batch long, grams binary, many binary")
+    posted = kept.mapInArrow(_post_hashes(homes), "bucket long, batch long, grams binary, many binary")
     shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
     answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
-    around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(buckets), "batch long, kind int, bucket long, data binary, text binary")
+    around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
     around = materialise(around, "surroundings")
     spans = "batch long, spans binary"
     decided = around.where("kind = 0").select("batch", F.col("data").alias("spans"))
