@@ -205,7 +205,7 @@ def _surroundings(buckets: int):
             rest = np.flatnonzero(~sure & ~is_hot)
             wide = GRAM + 2 * REACH
             padded = np.concatenate([text, np.zeros(wide, np.uint8)])
-            deal(1, gram[rest], (gram[rest], around[rest], docs[rest], start[rest], (stop - start)[rest].astype(np.uint8)), padded[start[rest][:, None] + np.arange(wide)])
+            deal(1, gram[rest], (gram[rest], around[rest], docs[rest], start[rest], (stop - start)[rest].astype(np.uint8), (at - start)[rest].astype(np.uint8)), padded[start[rest][:, None] + np.arange(wide)])
             hot_at = np.flatnonzero(~sure & is_hot)
             n = np.maximum(0, stop[hot_at] - start[hot_at] - WINDOW + 1)
             first = np.repeat(start[hot_at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -239,11 +239,24 @@ def _emit(batch: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFram
     return pd.DataFrame({"batch": found.astype(np.int64), "spans": [_joined(np.stack([start[p], stop[p]], axis=1)).tobytes() for p in parts]})
 
 
+def _common(texts: np.ndarray, gram: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
+    """How many bytes from `at` in the direction of step each string has in common with any other of its gram."""
+    out, key, alive = np.zeros(len(at), np.int64), gram.view(np.uint64).copy(), np.arange(len(at))
+    for k in range(REACH):
+        place = at[alive] + step * k
+        alive, place = alive[place != stop[alive]], place[place != stop[alive]]
+        key[alive] = _mixed(key[alive] ^ _BYTE[texts[place]])
+        _, back, n = np.unique(key[alive], return_inverse=True, return_counts=True)
+        alive = alive[n[back] > 1]
+        out[alive] = k + 1
+    return out
+
+
 def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
-    size = [len(x) // 33 for x in rows["data"]]  # four numbers of eight bytes, one of one
+    size = [len(x) // 34 for x in rows["data"]]  # four numbers of eight bytes, two of one
     batch = np.repeat(rows["batch"].to_numpy(np.int64), size)
     gram, around, doc, start = np.concatenate([np.frombuffer(x, np.int64, 4 * n).reshape(4, -1) for x, n in zip(rows["data"], size, strict=True)], axis=1)
-    length = np.concatenate([np.frombuffer(x, np.uint8, n, 32 * n) for x, n in zip(rows["data"], size, strict=True)]).astype(np.int64)
+    length, left = np.concatenate([np.frombuffer(x, np.uint8, 2 * n, 32 * n).reshape(2, -1) for x, n in zip(rows["data"], size, strict=True)], axis=1).astype(np.int64)
     wide = GRAM + 2 * REACH
     unpack = zstandard.ZstdDecompressor().decompress
     texts = np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in rows["text"]])
@@ -254,10 +267,17 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
     _, one, back = np.unique(around, return_index=True, return_inverse=True)
     g, first_doc = gram[one], least[one]
     _, kind, n = np.unique(g, return_inverse=True, return_counts=True)
-    mixed = (n[kind] > 1) & (_first_of(g, first_doc) != -_first_of(g, -first_doc)) & (length[one] >= WINDOW)
-    pick = np.flatnonzero(mixed)
+    pick = np.flatnonzero((n[kind] > 1) & (_first_of(g, first_doc) != -_first_of(g, -first_doc)) & (length[one] >= WINDOW))
+    # what no other string of the anchor shares is cut off its ends
+    begin = one[pick] * wide
+    middle = begin + left[one[pick]]
+    before = _common(texts, g[pick], middle - 1, begin - 1, -1)
+    after = _common(texts, g[pick], middle + GRAM, begin + length[one[pick]], 1)
+    enough = before + after >= REACH
+    pick, begin, middle, before, after = (x[enough] for x in (pick, begin, middle, before, after))
     if len(pick):
-        string, offset, interval = repeated(texts, one[pick] * wide, length[one[pick]], WINDOW)
+        string, offset, interval = repeated(texts, middle - before, before + GRAM + after, WINDOW)
+        offset = offset + (middle - before - begin)[string]
         covered = first_doc[pick][string] > _first_of(interval, first_doc[pick][string])
         string, offset = pick[string[covered]], offset[covered]
         order = np.lexsort((offset, string))
