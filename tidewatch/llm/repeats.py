@@ -218,7 +218,7 @@ def _surroundings(buckets: int):
             deal(2, string[open_], (string[open_], d[open_], first[open_]))
             spans = np.concatenate(spans)
             if len(spans):
-                put(0, -1, _joined(spans).tobytes(), None)
+                put(0, row["batch"], _joined(spans).tobytes(), None)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     return run
@@ -302,6 +302,12 @@ def _by_string(rows: pd.DataFrame) -> pd.DataFrame:
     return _emit(batch[covered], first[covered], first[covered] + WINDOW)
 
 
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """Spans of each batch, from a bucket of one kind: decided by the batch itself, by anchor, or by string."""
+    kind = int(rows["kind"].iloc[0])
+    return rows[["batch", "data"]].rename(columns={"data": "spans"}) if kind == 0 else (_by_anchor, _by_string)[kind - 1](rows)
+
+
 def _results(text_too: bool):
     def run(batches):
         for row in _rows(batches):
@@ -348,11 +354,7 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
     shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
     answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
     around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
-    around = materialise(around, "surroundings")
-    spans = "batch long, spans binary"
-    decided = around.where("kind = 0").select("batch", F.col("data").alias("spans"))
-    decided = decided.union(around.where("kind = 1").select("batch", "bucket", "data", "text").groupBy("bucket").applyInPandas(_by_anchor, spans))
-    decided = decided.union(around.where("kind = 2").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_by_string, spans))
+    decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
     by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_too
     out = kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema)
