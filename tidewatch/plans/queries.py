@@ -57,14 +57,14 @@ def f_feature_table(spark, d):
     return _features(spark, d)
 
 
-@query(f"WITH {BARS} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 6) AS mean_dt, round(std_dt, 1) AS std_dt FROM bars")
+@query(f"WITH {BARS} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt FROM bars")
 def b_bars(spark, d):
-    return _bars(spark, d).withColumn("std_dt", F.round("std_dt", 1))
+    return _bars(spark, d).withColumns({c: F.round(c, 1) for c in ("mean_dt", "std_dt")})
 
 
-@query(f"WITH {DENSE} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 6) AS mean_dt, round(std_dt, 1) AS std_dt, round(dp, 6) AS dp, sv FROM deltas")
+@query(f"WITH {DENSE} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt, round(dp, 6) AS dp, sv FROM deltas")
 def b_densify_deltas(spark, d):
-    return bars.bar_deltas(_dense(spark, d)).withColumn("std_dt", F.round("std_dt", 1))
+    return bars.bar_deltas(_dense(spark, d)).withColumns({c: F.round(c, 1) for c in ("mean_dt", "std_dt")})
 
 
 @query(f"WITH {TRADES} SELECT asset, id, time, round(greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER w, 0.0))), 6) AS r, epoch_us(time) - lag(epoch_us(time)) OVER w AS dt, CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END AS v_buy FROM trades WINDOW w AS (PARTITION BY asset ORDER BY time, id)")
