@@ -20,7 +20,7 @@ def test_stages(spark):
         assert docs.columns == columns
         seen[name] = (before, docs.collect())
     before, after = seen["language_id"]
-    assert {r.doc_id for r in after} == {r.doc_id for r in before if r.text and re.search(r"[^\W\d_]", r.text)}
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if r.text and any(c.isalpha() for c in r.text)}
     before, after = seen["exact_dedup"]
     first = {}
     for r in sorted(before):

@@ -73,32 +73,54 @@ def library(path: str):
     return t
 
 
-@functools.lru_cache(maxsize=2)
-def _ranked(path: str):
-    import public_tokenizers
-    import tiktoken
+# The file's split into words, for texts without odd characters, with their letters, numbers and white space named.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t\\n\\r \\xa0"
+_WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+#: A worker forgets its words when it knows so many; bounds its memory, not what is encoded.
+WORDS, AT_ONCE = 800_000, 2000
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The words into which the tokenizer file splits a text; None if the text has odd characters."""
+    return None if (not text.isascii() or not text.isprintable()) and ODD.search(text) else _WORD.findall(text)
+
+
+class Encoder:
+    """The tokenizers library's ids of whole texts; a word that was encoded before is looked up."""
 
-    ordinary, special = vocabulary(path)
-    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ordinary, special_tokens={}), tuple(special)
+    def __init__(self, path: str):
+        self.library, self.special, self.known = library(path), tuple(vocabulary(path)[1]), {}
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            found = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, cuts = np.array(found.ids, "<u4"), np.searchsorted(found.word_ids, np.arange(len(part) + 1)).tolist()
+            for w, a, z in zip(part, cuts, cuts[1:], strict=False):
+                self.known[w] = ids[a:z].tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of each text, equal to the library's encode(text, add_special_tokens=False).
+
+        Texts with odd characters or with strings of special tokens go to the library as they are.
+        """
+        split = [None if any(s in t for s in self.special) else plain_words(t) for t in texts]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        new = set().union(*(x for x in split if x is not None))
+        self._learn([w for w in new if w not in self.known])
+        whole = [t for t, x in zip(texts, split, strict=True) if x is None]
+        others = iter(self.library.encode_batch(whole, add_special_tokens=False))
+        return [np.array(next(others).ids, "<u4") if x is None else np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """uint32 ids of each text, equal to the tokenizers library's encode(text, add_special_tokens=False).
-
-    Ids of a byte-level file are its merge ranks, so plain texts take the three times faster rank encoder; texts
-    with unusual characters, special-token strings or very long unbroken runs go to the library.
-    """
-    ranked, special = _ranked(path)
-    out: list = [None] * len(texts)
-    hard = []
-    for i, t in enumerate(texts):
-        if (not t.isascii() or not t.isprintable()) and ODD.search(t) or any(s in t for s in special):
-            hard.append(i)
-        else:
-            out[i] = ranked.encode_to_numpy(t, disallowed_special=())
-    for i, e in zip(hard, library(path).encode_batch([texts[i] for i in hard], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, dtype=np.uint32)
-    return out
+    return _encoder(path).encode(texts)
 
 
 def filled(column) -> list[str]:

@@ -7,11 +7,11 @@ language's rate of false positives, and the greatest decides.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ SLOT_BITS = 20
 #: and the most n-grams of a language. Only learning is bounded so: every document is predicted from its whole text.
 LEARN_DOCS, LEARN_SHARE, LEARN_GRAMS = 3000, 0.02, 40_000
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _KEPT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
