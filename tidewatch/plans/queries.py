@@ -519,3 +519,100 @@ def v_parity_summary(spark, d):
     ends = offline.select("asset", F.col("time").alias("bar"), (F.col("time") + F.expr(f"interval {SECONDS} seconds") - F.expr("interval 1 microsecond")).alias("time"))
     lively = features.features_at(t, ends.select("asset", "time"), 6 * SECONDS).join(ends, ["asset", "time"]).select("asset", F.col("bar").alias("time"), *names)
     return parity.parity_summary(parity.parity_ledger(offline, lively, names))
+
+
+@query(f"""WITH {DENSE}, {_EV}, p AS (SELECT name, asset, label, CASE WHEN time >= onset AND time < crisis_end THEN 'crisis' WHEN time >= onset - INTERVAL 3 DAY AND time < onset THEN 'pre' WHEN time >= crisis_end + INTERVAL 1 DAY AND time < crisis_end + INTERVAL 4 DAY THEN 'post' END AS period FROM lab, ev),
+r AS (SELECT name, asset, period, avg((label = 2)::INT) AS rate FROM p WHERE period IS NOT NULL GROUP BY ALL) SELECT asset, {", ".join(f"round(avg(rate) FILTER (period = '{k}'), 6) AS {k}" for k in ("pre", "crisis", "post"))} FROM r GROUP BY asset""")
+def e_period_pivot(spark, d):
+    return events.period_pivot(events.period_rates(_labels(spark, d), _events(spark), "3 days", "1 days", "4 days"))
+
+
+_VAL = f"""{DENSE}, {_EV}, x AS (SELECT asset, label, (label = 2)::INT AS a, EXISTS (SELECT 1 FROM ev WHERE time BETWEEN onset AND crisis_end)::INT AS ts, (sum((label = 2)::INT) OVER (PARTITION BY time) - (label = 2)::INT > 0)::INT AS cross_asset FROM lab),
+st AS (SELECT asset, 'timestamp' AS validator, a, ts AS b FROM x UNION ALL SELECT asset, 'cross_asset', a, cross_asset FROM x),
+kp AS (SELECT asset, validator, avg((a = b)::INT) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM st GROUP BY ALL), kk AS (SELECT *, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 0.0 END AS kappa FROM kp)"""
+
+
+@query(f"WITH {_VAL} SELECT 0::BIGINT AS fold, 'global' AS hmm_type, round(avg(kappa) FILTER (validator = 'timestamp'), 6) AS ts, round(avg(kappa) FILTER (validator = 'cross_asset'), 6) AS cross_asset FROM kk")
+def e_kappa_matrix(spark, d):
+    x = events.any_other_stress(events.event_window_flag(_labels(spark, d), _events(spark)))
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("validator"), F.col(c).cast("int").alias("b")) for n, c in (("timestamp", "in_event"), ("cross_asset", "others")))))
+    stacked = x.select(F.lit(0).alias("fold"), "asset", F.lit("global").alias("hmm_type"), (F.col("label") == 2).cast("int").alias("a"), both.alias("v")).select("fold", "asset", "hmm_type", "a", "v.*")
+    return events.kappa_matrix(events.validator_kappa(stacked), ["timestamp", "cross_asset"]).withColumnRenamed("timestamp", "ts")
+
+
+_ONSET = f"""{DENSE}, {_PROB}, {_EV}, refs AS (SELECT name, asset, crisis_end AS reference FROM ev, (SELECT DISTINCT asset FROM pr)),
+pk AS (SELECT *, max(price) OVER (PARTITION BY asset ORDER BY time RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS peak FROM pr),
+onset AS (SELECT r.name, r.asset, min(time) AS drawdown_onset FROM refs r JOIN pk ON pk.asset = r.asset AND time BETWEEN reference - INTERVAL 72 HOUR AND reference WHERE price <= peak * (1 - 0.05) GROUP BY 1, 2)"""
+
+
+def _references(spark, d):
+    return _probs(spark, d).select("asset").distinct().crossJoin(F.broadcast(_events(spark)))  # two events
+
+
+@query(f"WITH {_ONSET} SELECT * FROM onset")
+def e_drawdown_onset(spark, d):
+    e = _references(spark, d).select("name", "asset", F.col("crisis_end").alias("reference"), F.lit(72).alias("lookback_hours"))
+    return events.drawdown_onset(_probs(spark, d), e)
+
+
+_LEADS = f"""{_ONSET}, e AS (SELECT name, asset, 'hmm_onset' AS kind, onset AS reference FROM ev, (SELECT DISTINCT asset FROM pr) UNION ALL SELECT name, asset, 'external', reference FROM refs UNION ALL SELECT name, asset, 'drawdown_onset', drawdown_onset FROM onset),
+j AS (SELECT e.*, time, prob FROM e JOIN pr ON pr.asset = e.asset AND time BETWEEN reference - INTERVAL 72 HOUR AND reference), x AS (SELECT *, min(prob) OVER w AS lo, count(prob) OVER w AS n FROM j WINDOW w AS (PARTITION BY name, asset, kind ORDER BY time ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+f AS (SELECT name, asset, kind, min(time) AS signal FROM x WHERE lo > 0.85 AND n = 2 GROUP BY ALL), s AS (SELECT name, asset, kind, count(*) AS rows FROM j GROUP BY ALL),
+leads AS (SELECT name, asset, kind, (epoch_us(reference) - epoch_us(signal)) / 60000000 AS lead_minutes, CASE WHEN rows IS NULL THEN 'NO_DATA' WHEN signal IS NULL THEN 'NO_SIGNAL' ELSE 'OK' END AS status FROM e LEFT JOIN s USING (name, asset, kind) LEFT JOIN f USING (name, asset, kind)
+  UNION ALL SELECT name, r.asset, 'drawdown_onset', NULL, 'NO_DRAWDOWN_IN_WINDOW' FROM refs r WHERE NOT EXISTS (SELECT 1 FROM onset o WHERE o.name = r.name AND o.asset = r.asset))"""
+
+
+def _leads(spark, d):
+    p = _probs(spark, d)
+    e = _references(spark, d).select("name", "asset", F.col("onset").alias("hmm_onset"), F.col("crisis_end").alias("external"), F.lit(72).alias("lookback_hours"))
+    return events.lead_time_multi_ref(p, p, e)
+
+
+@query(f"WITH {_LEADS} SELECT name, asset, kind, round(lead_minutes, 6) AS lead_minutes, status FROM leads")
+def e_lead_time_multi_ref(spark, d):
+    return _leads(spark, d).select("name", "asset", "kind", "lead_minutes", "status")
+
+
+@query(f"""WITH {_LEADS}, g AS (SELECT kind, count(*) AS n, avg(lead_minutes) AS mean, median(lead_minutes) AS median, min(lead_minutes) AS min, max(lead_minutes) AS max FROM leads WHERE status = 'OK' GROUP BY kind)
+SELECT kind, n, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, CASE WHEN median >= 30 THEN 'STRONG' WHEN median >= 15 THEN 'USEFUL' WHEN median >= 5 THEN 'MARGINAL' ELSE 'NONE' END AS band FROM g""")
+def e_lead_summary(spark, d):
+    return events.lead_summary(_leads(spark, d), "kind")
+
+
+@query(f"WITH {DENSE}, m AS (SELECT asset, label AS state, avg(rv) AS mean FROM dense JOIN lab USING (asset, time) GROUP BY 1, 2) SELECT asset, state, round(mean, 6) AS mean, row_number() OVER (PARTITION BY asset ORDER BY mean, state) - 1 AS label FROM m")
+def l_rank_states(spark, d):
+    means = labels(x := _dense(spark, d)).join(x.select("asset", "time", "rv"), ["asset", "time"]).groupBy("asset", F.col("label").alias("state")).agg(F.avg("rv").alias("mean"))
+    return regimes.rank_states(means)
+
+
+@query(f"""WITH {DENSE}, h AS (SELECT asset, label AS state, dayofmonth(time) <= 15 AS early, avg(rv) AS m, var_pop(rv) AS v FROM dense JOIN lab USING (asset, time) GROUP BY ALL)
+SELECT a.asset, round(max(abs(a.m - b.m)), 6) AS max_mean_diff, round(max(abs(a.v - b.v)), 6) AS max_var_diff FROM h a JOIN h b ON a.asset = b.asset AND a.state = b.state AND a.early AND NOT b.early GROUP BY a.asset""")
+def l_param_stability(spark, d):
+    x = _dense(spark, d)
+    x = labels(x).join(x.select("asset", "time", "rv"), ["asset", "time"]).withColumn("early", F.dayofmonth("time") <= 15)
+    p = x.groupBy("asset", "early", F.col("label").alias("state"), F.lit("rv").alias("feature")).agg(F.avg("rv").alias("mean"), F.var_pop("rv").alias("var"))
+    return regimes.param_stability(p.where("early").drop("early"), p.where("not early").drop("early"))
+
+
+@query(f"""WITH {DENSE}, m AS (SELECT asset, time, (CASE WHEN time >= TIMESTAMP '2024-01-16' THEN 'test' ELSE 'train' END) AS role, (label = 2)::BIGINT AS y, row_number() OVER (PARTITION BY asset, time >= TIMESTAMP '2024-01-16' ORDER BY time DESC) AS nth FROM lab)
+SELECT asset, time, role, y FROM m WHERE role = 'test' OR nth > 30""")
+def m_purge_binarize(spark, d):
+    x = _labels(spark, d).withColumns({"role": F.when(F.col("time") >= F.expr("timestamp_ntz'2024-01-16'"), "test").otherwise("train"), "fold": F.lit(1)})
+    return model.binarize(model.purge(x, rows=30)).select("asset", "time", "role", "y")
+
+
+@query("""WITH s AS (SELECT user_id AS k, count(*) AS n, avg((event_type = 'view')::INT) AS a FROM events GROUP BY 1) SELECT k, CASE WHEN a >= 0.9 THEN 'STRONG' WHEN a >= 0.8 THEN 'MODERATE' ELSE 'WEAK' END AS agreement_band, CASE WHEN a - 0.2 > 0.02 THEN 'BETTER' WHEN a - 0.2 < -0.02 THEN 'WORSE' ELSE 'SAME' END AS delta_band, CASE WHEN n < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM s""")
+def a_verdict_bands(spark, d):
+    s = read(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "view").cast("double")).alias("a"))
+    return s.select("k", evaluate.verdict_bands(F.col("a")).alias("agreement_band"), evaluate.verdict_bands(None, F.col("a") - 0.2).alias("delta_band"), live.thin_guard(F.col("n")).alias("status"))
+
+
+@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr),
+c AS (SELECT asset, time, prob, sum(hit) OVER (PARTITION BY asset, g ORDER BY time)::BIGINT AS n FROM h), fl AS (SELECT asset, time, CASE WHEN v_buy + v_sell > 0 THEN (v_buy - v_sell) / (v_buy + v_sell) END AS flow FROM dense)
+SELECT asset, time, concat_ws(' | ', (CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END) || ' bar', CASE WHEN n >= 2 THEN 'warning for ' || n || ' bars' END, CASE WHEN abs(flow) > 0.3 THEN 'extreme flow' END) AS text FROM c JOIN fl USING (asset, time)""")
+def s_interpretation(spark, d):
+    x = live.warning_state(_probs(spark, d)).withColumn("regime", live.regime(F.col("prob")))
+    sides = F.col("v_buy") + F.col("v_sell")
+    flow = _dense(spark, d).select("asset", "time", F.when(sides > 0, (F.col("v_buy") - F.col("v_sell")) / sides).alias("OFI"))
+    said = live.interpretation(x.join(flow, ["asset", "time"])).select("asset", "time", "interpretation")
+    return said.select("asset", "time", F.regexp_replace(F.regexp_replace("interpretation", r" \(p=[^)]*\)", " bar"), r"extreme flow -?[0-9.]+", "extreme flow").alias("text"))  # decimals round differently in SQL engines
