@@ -42,10 +42,10 @@ def stream_fracdiff_price(bars: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def stream_score(features: DataFrame, model, stress_class: int = 1) -> DataFrame:
-    """Probability of stress and regime of a fitted pipeline model, on a stream or a table."""
+    """Probability of stress and regime of a fitted pipeline model, on a stream or a table; 0 if the model never saw the class."""
     from pyspark.ml.functions import vector_to_array
 
-    x = model.transform(features).withColumn("prob", vector_to_array("probability")[stress_class])
+    x = model.transform(features).withColumn("prob", F.coalesce(F.get(vector_to_array("probability"), F.lit(stress_class)), F.lit(0.0)))
     return x.withColumn("regime", regime(F.col("prob")))
 
 
