@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,11 @@ def read_trades_csv(spark: SparkSession, path) -> DataFrame:
 
 
 def write_trades(trades: DataFrame, path: str) -> None:
-    """Snappy Parquet by asset and month, sorted by time so that row groups can be skipped."""
-    dealt = trades.repartition("asset", "month").sortWithinPartitions("asset", "month", "time", "id")
+    """Snappy Parquet by asset and month, sorted by time so that row groups can be skipped.
+
+    Dealt by ranges of time within the asset-months, so a busy month is written by several tasks, each a file of its own.
+    """
+    dealt = trades.repartitionByRange("asset", "month", "time", "id").sortWithinPartitions("asset", "month", "time", "id")
     dealt.write.mode("overwrite").option("compression", "snappy").partitionBy("asset", "month").parquet(path)
 
 
@@ -46,11 +51,18 @@ def stitch_sources(trades: DataFrame, source: str = "source", by_id: bool = Fals
 
 
 def scan_features(table: DataFrame, windows: list[tuple[str, str]], columns: list[str]) -> DataFrame:
-    """I4: rows of any of the (first month, last month) windows, only these columns."""
-    month = F.date_format("time", "yyyy-MM")
-    chosen = F.lit(False)
+    """I4: rows of any of the (first month, last month) windows, only these columns; the bounds reach the Parquet scan.
+
+    A table that is partitioned by `month` (the first day, as a date) is also pruned by it.
+    """
+    kind, chosen, kept = dict(table.dtypes)["time"], F.lit(False), F.lit(False)
     for a, z in windows:
-        chosen = chosen | month.between(a, z)
+        start, stop = datetime.date.fromisoformat(f"{a}-01"), datetime.date.fromisoformat(f"{z}-01")
+        stop = (stop + datetime.timedelta(days=32)).replace(day=1)
+        chosen = chosen | ((F.col("time") >= F.lit(str(start)).cast(kind)) & (F.col("time") < F.lit(str(stop)).cast(kind)))
+        kept = kept | ((F.col("month") >= F.lit(start)) & (F.col("month") < F.lit(stop)))
+    if dict(table.dtypes).get("month") == "date":
+        chosen = chosen & kept
     return table.where(chosen).select(*columns)
 
 
