@@ -1,4 +1,4 @@
-"""Registered queries of audits by file, modelling and the live path. MLlib's fits and hashes have no SQL; tests/test_training.py holds those."""
+"""Registered queries of audits by file, modelling and the live path. MLlib's fits and hashes have no SQL; tests/test_training.py tests most of those."""
 
 from __future__ import annotations
 
