@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents.
+
+Rows are told apart by a key, not by doc_id: rows without doc_id and rows that share one are documents like any other. Among
+equal or similar rows the smallest doc_id stays; rows without doc_id come after all others, and rows of one doc_id in the
+order of a hash of their columns. Of fully repeated rows one stays.
 """
 
 from __future__ import annotations
@@ -12,35 +16,61 @@ from pyspark.sql import functions as F
 from tidewatch.llm import exact_dedup, langid, near_dedup, packing, repeats
 from tidewatch.llm.common import materialise, table
 
+ROW = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number that names one row each and follows the order of doc_id (null last); kept if it is there.
+
+    Where every row has a doc_id of its own, that is the key. Otherwise rows are sorted, numbered and written once.
+    """
+    if ROW in docs.columns:
+        return docs
+    i = F.col("doc_id").cast("long")
+    n = docs.groupBy(i.alias("i")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col("i").isNull()).alias("nulls")).first()
+    if n["most"] in (None, 1) and not n["nulls"]:
+        return docs.withColumn(ROW, i)
+    ordered = docs.orderBy(i.asc_nulls_last(), F.xxhash64(*docs.columns))
+    return materialise(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """docs for the operators, which take the key as doc_id."""
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
+
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _only(docs: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of docs whose key is in kept's doc_id."""
+    return docs.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(*columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or without a letter) go; lang is filled in where it is null."""
+    columns, docs = docs.columns, keyed(docs)
     model = langid.fit(docs.where(~langid.held_out()))
-    found = materialise(langid.identify(docs, model), "languages").where("lang_pred <> 'und'")
-    named = docs.join(found.select("doc_id", "lang_pred").dropDuplicates(["doc_id"]), "doc_id")
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = materialise(langid.identify(_by_row(docs), model), "languages").where("lang_pred <> 'und'")
+    named = docs.join(found.select(F.col("doc_id").alias(ROW), "lang_pred"), ROW)
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of equal texts stays."""
-    return _only(docs, exact_dedup.DigestIndex(spark).ingest(docs).where("kept"))
+    """One row of equal texts stays, that with the smallest doc_id."""
+    columns, docs = docs.columns, keyed(docs)
+    return _only(docs, exact_dedup.DigestIndex(spark).ingest(_by_row(docs)).where("kept"), columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """One row of each group of near duplicates stays, that with the smallest doc_id."""
+    columns, docs = docs.columns, keyed(docs)
+    return _only(docs, near_dedup.near_duplicates(_by_row(docs)).where("kept"), columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller doc_id holds are cut out; n_chars follows the text that is left."""
-    left = repeats.remove_repeats(docs, text_too=True).select("doc_id", "kept_text")
-    cut = docs.drop("text", "n_chars").join(left.dropDuplicates(["doc_id"]), "doc_id")
-    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
+    """Passages that a row before (with a smaller doc_id) holds are cut out; n_chars follows the text that is left."""
+    columns, docs = docs.columns, keyed(docs)
+    left = repeats.remove_repeats(_by_row(docs), text_too=True).select(F.col("doc_id").alias(ROW), "kept_text")
+    cut = docs.drop("text", "n_chars").join(left, ROW)
+    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = keyed(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -35,3 +35,38 @@ def test_stages(spark):
     assert sum(len(r.text.encode()) for r in after) == sum(n - gone for n, gone, _, _ in want.values())
     pieces = pipeline.packed(spark, docs, SMALL).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+
+
+def test_rows_without_or_with_a_shared_doc_id(spark):
+    import test_operators
+
+    other = "a quiet river runs past the old mill where children fly paper kites until the evening bell calls them home again"
+    third = "our new engine burns less fuel than any before it and still pulls nine loaded wagons up the long northern slope"
+    fourth = "painters mixed ochre with linseed oil then left each board against a southern wall so that it dried before winter"
+    own = "she packed two coats three maps and one lamp because nobody could say how long this crossing might take in spring"
+    text = test_operators.BASE
+    odd = [
+        (9001, text), (9005, text), (9005, other), (None, third), (None, third), (None, fourth), (9007, own), (9007, own),
+        (9008, "1234 5678"), (9008, other.replace("quiet", "wide")), (9009, " ".join(["zeta", *third.split()[:14], "omega"])),
+    ]
+    docs = table(spark, SMALL, "documents")
+    made = spark.createDataFrame([(i, t, None, "odd", len(t)) for i, t in odd], docs.schema)
+    docs = materialise(docs.unionByName(made), "odd").repartition(3)
+    for start in (docs, pipeline.keyed(docs)):  # a stage makes its key, or is given one
+        seen, at = {}, start
+        for name, stage in pipeline.STAGES[:-1]:
+            at = materialise(stage(spark, at, SMALL), name)
+            assert at.columns == start.columns
+            seen[name] = sorted(((r.doc_id, r.text) for r in at.where("source = 'odd'").collect()), key=repr)
+        want = [x for x in odd if x[0] != 9008 or x[1] != "1234 5678"]
+        assert seen["language_id"] == sorted(want, key=repr)
+        want = [x for x in dict.fromkeys(want) if x != (9005, text)]
+        assert seen["exact_dedup"] == sorted(want, key=repr)
+        want = [x for x in want if x[0] != 9008]  # near 9005's other
+        assert seen["near_dedup"] == sorted(want, key=repr)
+        shared = " " + " ".join(third.split()[:14]) + " "
+        left = {i: t for i, t in seen["repeated_passages"] if i}
+        assert left[9009] == odd[-1][1] and (9005, other) in seen["repeated_passages"]
+        assert [t for i, t in seen["repeated_passages"] if i is None and t != fourth] == [third.removeprefix(shared[1:-1] + " ") if third.startswith(shared[1:]) else third]
+    pieces = pipeline.packed(spark, at, SMALL).where("doc_id is null or doc_id > 9000").collect()
+    assert sorted(str(r.doc_id) for r in pieces) == ["9001", "9005", "9007", "9009", "None", "None"]
