@@ -282,6 +282,22 @@ def test_main_text(spark):
         assert field.decode([b.features for b in found]) == [y for _, y in page]
 
 
+def test_unclosed_elements_hide_no_more_than_their_own():
+    cut = lambda page: [b.text for b in html_text.blocks(page)]
+    assert cut("<html><head><title>T</title><style>p {}</style><meta charset=utf-8><body><article><p>Story</p></article></body></html>") == ["Story"]
+    assert cut("<head><title>T</title><p>Story") == ["Story"]
+    assert cut("<html><head><title>T</title><script>'<p>no</p>'</script></head><body><p>Story</p></body></html>") == ["Story"]
+    for e in ("button", "svg", "select", "video", "audio", "object", "canvas", "template"):
+        assert cut(f"<body><div><{e}>gone</div><p>Story</p></body>") == ["Story"]
+        assert cut(f"<body><{e}>gone<article><p>Story</p></article></body>") == ["Story"]
+        assert cut(f"<div><{e}>gone<p>Story</p></div>and <{e}>gone</{e}>more") == ["Story", "and more"]
+        assert cut(f"<p>One <span><{e}>gone</span> more</p>") == ["One more"]
+        assert cut(f"<p>One<{e}><div>gone</div></{e}> more</p>") == ["One more"]
+    assert cut("<p>a <svg><svg>no</svg><text>no</text></svg><template><script>'</template>'</script>no</template>b</p>") == ["a b"]
+    assert cut("<p>a<button>no<button>no</button>b") == ["ab"]
+    assert cut("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+
+
 def test_exact_dedup_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")

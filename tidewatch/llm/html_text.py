@@ -8,6 +8,7 @@ Viterbi decoding marks the blocks of the article.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ LEARN_PAGES, ROUNDS = 300, 150
 # HTML element kinds.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select button video audio".split())
+HIDDEN = frozenset("script style noscript template svg iframe object canvas title textarea select button video audio".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 # Parts of class, id and role names, by what they tell.
 NAMES = {
@@ -61,12 +62,68 @@ def _kinds(tag: str) -> frozenset:
     return frozenset(_NAMED[p] for p in parts if p in _NAMED)
 
 
+def _close(opened: list[str], t: str) -> bool:
+    """Takes the innermost t, and what is open in it, off the open elements."""
+    k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k] == t), None)
+    if k is not None:
+        del opened[k:]
+    return k is not None
+
+
+@functools.cache
+def _end_tag(t: str) -> re.Pattern:
+    return re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I)
+
+
+def _raw_end(page: str, at: int, t: str, opened: list[str]) -> int:
+    """Where a raw element's content, in which nothing is markup, and its end tag end."""
+    end = _end_tag(t).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _hidden_end(page: str, at: int, t: str, opened: list[str]) -> int:
+    """Where a hidden element ends whose start tag ends at `at`."""
+    inside, around, block = [t], set(opened), None
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = m[0]
+        name = _NAME.match(tag)
+        if not name or tag.startswith("<!"):
+            continue
+        n = name[1].lower()
+        if tag[1] == "/":
+            if _close(inside, n):
+                if not inside:
+                    return at
+            elif n in around:  # the parent's, or further out
+                return m.start() if block is None else block
+        elif n == t and t in ("button", "select"):  # these don't nest
+            return m.start()
+        elif n in BLOCK and block is None:
+            block = m.start()
+            if not _end_tag(t).search(page, at):
+                return block
+        if tag[1] != "/" and n not in VOID and not tag.endswith("/>"):
+            end = _end_tag(n).search(page, at) if n in RAW else None
+            if end:
+                at = end.end()
+            else:
+                inside.append(n)
+    return len(page) if block is None else block
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order. Open tags that are never closed, and a cut-off end, are borne."""
+    """Leaf blocks with text, in page order. Open tags that are never closed, and a cut-off end, are borne.
+
+    A head shows nothing by itself (its elements are hidden or empty), so it needn't be closed. What a hidden element holds
+    goes up to its end tag; one that isn't closed before its parent's end tag, or the page's end, goes up to the first
+    block-level tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
+    opened: list[str] = []  # all open elements, the inline ones too
     piece: list[str] = []
-    linked, in_link, hidden, at = 0, False, "", 0
+    linked, in_link, at = 0, False, 0
 
     def flush():
         nonlocal linked
@@ -84,13 +141,11 @@ def blocks(page: str) -> list[Block]:
 
     def words(s: str):
         nonlocal linked
-        if s and not hidden:
+        if s:
             piece.append(s)
             linked += len(s) if in_link else 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(page, at):
         words(page[at : m.start()])
         at = m.end()
         tag = m[0]
@@ -98,10 +153,8 @@ def blocks(page: str) -> list[Block]:
         if not name or tag.startswith("<!"):
             continue
         t = name[1].lower()
-        if hidden:
-            hidden = "" if tag[1] == "/" and t == hidden else hidden
-            continue
         if tag[1] == "/":
+            _close(opened, t)
             if t == "a":
                 in_link = False
             elif t in BLOCK:
@@ -111,15 +164,11 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
             continue
         if t in HIDDEN:
-            if t in BLOCK:
-                flush()
             if not tag.endswith("/>"):
-                if t in RAW:  # nothing inside is markup
-                    end = re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    hidden = t
+                at = (_raw_end if t in RAW else _hidden_end)(page, at, t, opened)
             continue
+        if t not in VOID and not tag.endswith("/>"):
+            opened.append(t)
         if t == "br":
             words(" ")
         elif t == "a":
