@@ -41,6 +41,14 @@ def test_permutation_importance(split):
     assert abs(loss["z"]) < loss["x"]
 
 
+@pytest.mark.parametrize("n, rows", [(1200, 4096), (2, 4096), (1, 4096), (500, 10), (500, 3)])
+def test_permuted_values_all_move(spark, n, rows):
+    x = spark.range(n).select(F.col("id").alias("key"), F.when(F.col("id") != 0, F.col("id")).alias("v"), F.lit("k").alias("kept"))
+    got = [(r.key, r.v or 0) for r in evaluate.permuted(x, "v", "key", rows=rows).collect()]
+    assert sorted(v for _, v in got) == sorted(k for k, _ in got) == list(range(n))
+    assert n == 1 or all(k != v for k, v in got)
+
+
 def test_sweep_can_be_repeated(spark, split, tmp_path):
     how = {"train": lambda t, f, y, seed: model.train_rf(t, f, y, trees=3, depth=3, seed=seed), "seeds": (1, 2), "folds": (1,), "modes": ("binary",)}
     for _ in range(2):

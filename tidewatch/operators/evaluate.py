@@ -134,20 +134,29 @@ def top_features(attributions: DataFrame, n: int) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(n)
 
 
+def permuted(test: DataFrame, column: str, key: str, seed: int = 0, rows: int = 4096) -> DataFrame:
+    """test with the column's values dealt anew, each to another row (a lone row keeps its own).
+
+    Rows are dealt by the key's hash to buckets of about `rows` rows; in a bucket, in the order of the hash, each row gets the
+    value of the next one and the last that of the first. A bucket of one row is put to the largest bucket.
+    """
+    h = F.xxhash64(key, F.lit(seed))
+    dealt = test.withColumn("_b", F.pmod(h, F.lit(max(1, test.count() // rows))))
+    sizes = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}  # one row a bucket
+    lone = [b for b, n in sizes.items() if n == 1]
+    if lone:
+        dealt = dealt.withColumn("_b", F.when(F.col("_b").isin(lone), F.lit(max(sizes, key=sizes.get))).otherwise(F.col("_b")))
+    w = Window.partitionBy("_b").orderBy(h, key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.row_number().over(w) == F.count(F.lit(1)).over(whole)
+    moved = dealt.withColumn("_v", F.when(last, F.first(column).over(whole)).otherwise(F.lead(column).over(w)))
+    return moved.withColumn(column, F.col("_v")).select(*test.columns)
+
+
 def permutation_importance(model, test: DataFrame, features: list[str], key: str, score, seed: int = 0) -> list[tuple[str, float]]:
     """Loss of score(model.transform(.)) when a feature's values are dealt anew.
 
-    Values are exchanged among rows whose hashes fall in the same small bucket, so no global order is needed.
+    Values are exchanged among rows whose hashes fall in the same bucket of some thousand rows, so no global order is needed.
     """
-    base, out = score(model.transform(test)), []
-    h = F.xxhash64(key, F.lit(seed))
-    bucket = test.withColumn("_b", F.pmod(h, F.lit(4096)))
-    for f in features:
-        w = Window.partitionBy("_b").orderBy(h, key)
-        moved = bucket.withColumn("_at", F.row_number().over(w))
-        other = moved.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        given = moved.select("_b", (F.col("_at") + 1).alias("_at"), F.col(f).alias("_v"))
-        j = moved.join(other, "_b").withColumn("_want", F.when(F.col("_at") == 1, F.col("_n") + 1).otherwise(F.col("_at")))
-        dealt = j.join(given.withColumnRenamed("_at", "_want"), ["_b", "_want"]).withColumn(f, F.col("_v"))
-        out.append((f, base - score(model.transform(dealt.select(*test.columns)))))
-    return out
+    base = score(model.transform(test))
+    return [(f, base - score(model.transform(permuted(test, f, key, seed)))) for f in features]
