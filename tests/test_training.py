@@ -65,6 +65,14 @@ def test_weighted_resample_follows_the_weights(spark):
     assert all(abs(n[c] - 2000 * c) < 300 for c in n)
 
 
+def test_weighted_resample_has_no_cap(spark):
+    x = spark.range(1000).select(F.col("id").alias("key"), F.when(F.col("id") == 7, 499.5).otherwise(1.0).alias("w"))
+    n = {r.key: r["count"] for r in transform.weighted_resample(x, "w", 30000, "key").groupBy("key").count().collect()}
+    assert abs(n[7] - 10000) < 400
+    assert abs(sum(n.values()) - 30000) < 700
+    assert max(c for k, c in n.items() if k != 7) > 30  # 20 on average
+
+
 def test_sample_n_is_the_same_again(spark):
     x = spark.range(1000).withColumnRenamed("id", "key")
     a, b = (transform.sample_n(x.repartition(k), 50, "key").collect() for k in (2, 7))

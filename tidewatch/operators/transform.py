@@ -137,15 +137,21 @@ def class_weights(df: DataFrame, label: str = "label", classes: tuple[int, ...]
     return joined.select(label, F.coalesce(F.col("total") / (len(classes) * F.col("n")), F.lit(1.0)).alias("weight"))
 
 
-def weighted_resample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0, most: int = 20) -> DataFrame:
-    """About n rows with replacement, in proportion to weight: a Poisson number of copies by the hash of the key."""
+def weighted_resample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0) -> DataFrame:
+    """About n rows with replacement, in proportion to weight: a Poisson number of copies by the hash of the key.
+
+    A row that is due more than one copy gets the sum of so many draws at a rate of at most 1 each. A draw is over 19 with a
+    chance of 1e-19, and its hash has 40 bits, so the terms below leave nothing out.
+    """
     total = df.agg(F.sum(weight).alias("_total"))
     x = df.crossJoin(F.broadcast(total)).withColumn("_l", F.col(weight) * n / F.col("_total"))
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    term, below, copies = F.exp(-F.col("_l")), F.exp(-F.col("_l")), F.lit(0)
-    for k in range(1, most):
+    x = x.withColumn("_m", F.greatest(F.lit(1), F.ceil("_l"))).where("_l > 0").withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m").cast("long"))))
+    rate = F.col("_l") / F.col("_m")
+    u = F.pmod(F.xxhash64(key, F.lit(seed), "_d"), F.lit(1 << 40)) / float(1 << 40)
+    term, below, copies = F.exp(-rate), F.exp(-rate), F.lit(0)
+    for k in range(1, 20):
         copies = copies + F.when(u >= below, 1).otherwise(0)
-        term = term * F.col("_l") / k
+        term = term * rate / k
         below = below + term
     return x.withColumn("_n", copies).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
 
