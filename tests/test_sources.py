@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import audit
 from tidewatch.sources import trades as io
 from tidewatch.streaming import live
 
@@ -73,3 +74,10 @@ def test_late_trades_are_dropped_from_the_stream(spark, tmp_path):
         live.sink(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out").select("time", "volume", "price").collect()))
     assert [(v, p) for _, v, p in got] == [(2.0, 2.0), (2.0, 5.0)]
+
+
+def test_summary_counts_null_prices_as_bad(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, at, 2.0, 1.0), (2, at, 0.0, 1.0), (3, at, -1.0, 0.0), (4, at, None, 1.0), (5, at, 3.0, None)]
+    r = audit.trade_summary(spark.createDataFrame(rows, "id long, time timestamp_ntz, price double, qty double").withColumn("asset", F.lit("A"))).first()
+    assert (r.trades, r.bad_price, r.bad_qty) == (5, 3, 2)

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def trade_summary(trades: DataFrame) -> DataFrame:
-    """Q1."""
+    """Q1. A null price or quantity is a bad one."""
     n = F.count(F.lit(1))
     return trades.groupBy("asset").agg(
         F.countDistinct(F.to_date("time")).alias("days"),
         n.alias("trades"),
         (n - F.countDistinct("id")).alias("duplicates"),
-        F.count_if(F.col("price") <= 0).alias("bad_price"),
+        F.count_if(F.col("price").isNull() | (F.col("price") <= 0)).alias("bad_price"),
         F.count_if(F.col("price") > 1e7).alias("huge_price"),
-        F.count_if(F.col("qty") <= 0).alias("bad_qty"),
+        F.count_if(F.col("qty").isNull() | (F.col("qty") <= 0)).alias("bad_qty"),
         F.count_if(F.col("id").isNull() | F.col("time").isNull()).alias("null_keys"),
         F.min("time").alias("first_time"),
         F.max("time").alias("last_time"),
