@@ -145,8 +145,8 @@ def weighted_resample(df: DataFrame, weight: str, n: int, key: str, seed: int =
     """
     total = df.agg(F.sum(weight).alias("_total"))
     x = df.crossJoin(F.broadcast(total)).withColumn("_l", F.col(weight) * n / F.col("_total"))
-    x = x.withColumn("_m", F.greatest(F.lit(1), F.ceil("_l"))).where("_l > 0").withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m").cast("long"))))
-    rate = F.col("_l") / F.col("_m")
+    x = x.withColumn("_m", F.greatest(F.lit(1), F.ceil("_l"))).where("_l > 0").withColumn("_r", F.col("_l") / F.col("_m")).withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m").cast("long"))))
+    rate = F.col("_r")  # below the explode, so the terms don't repeat its expression
     u = F.pmod(F.xxhash64(key, F.lit(seed), "_d"), F.lit(1 << 40)) / float(1 << 40)
     term, below, copies = F.exp(-rate), F.exp(-rate), F.lit(0)
     for k in range(1, 20):
