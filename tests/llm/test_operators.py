@@ -116,6 +116,18 @@ def test_language(spark):
     assert len(odd) == len(ROWS)
     assert {r.lang_pred for r in odd if r.doc_id in (4, 5, 6, 12, 15)} == {"und"}
     assert langid.fit(frame(spark, [])).languages == ["und"]
+    assert langid.identify(frame(spark, []), model).count() == 0
+    long = "la casa de mi madre es muy grande y bonita " * 60_000  # several blocks
+    texts = [t or "" for _, t, _ in ROWS] + ["ab", "zzz zzz", "the the", long] + [r.text or "" for r in docs.limit(60).collect()]
+    lang, score = model.predict(texts)
+    alone = [model.predict([t]) for t in texts]
+    assert lang == [a[0][0] for a in alone] and score == [a[1][0] for a in alone]
+    total, held = model.hits([long])
+    want = 0
+    for n, g in zip(langid.SIZES, langid.grams(np.frombuffer(langid._bytes(long), np.uint8)), strict=True):
+        want += len(g)
+        assert len(g) == len(langid._bytes(long)) - n + 1
+    assert total[0] == want and (held[0] <= want).all()
 
 
 def test_licenses(spark):

@@ -58,30 +58,31 @@ class Model:
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of each text, and how many of them each language's filter holds."""
         total, held = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        owner, parts, size = [], [], 0
+        owner, parts, starts_of, size = [], [], [], 0
 
         def flush():
-            nonlocal owner, parts, size
+            nonlocal owner, parts, starts_of, size
             if owner:
                 data = np.frombuffer(b"".join(parts), np.uint8)
-                starts = np.cumsum([0, *map(len, parts[:-1])])
+                begin = np.cumsum([0, *map(len, parts[:-1])])
                 for n, g in zip(SIZES, grams(data), strict=True):
-                    if not len(g):
-                        continue
+                    own = np.array([max(0, min(BLOCK, left - n + 1)) for left in starts_of])  # none reaches into the next part
+                    np.add.at(total, owner, own)
                     mask = None
                     for s in _slots(g):
                         mask = self.filter[s] if mask is None else mask & self.filter[s]
-                    at = np.minimum(starts, len(g) - 1)
-                    np.add.at(total, owner, np.array([max(0, len(p) - n + 1) for p in parts]))
+                    first, last = np.minimum(begin, len(g)), np.minimum(begin + own, len(g))
                     for k in range(len(self.languages)):
-                        np.add.at(held[:, k], owner, np.add.reduceat((mask >> self.filter.dtype.type(k) & self.filter.dtype.type(1)).astype(np.int64), at))
-            owner, parts, size = [], [], 0
+                        sums = np.concatenate([[0], np.cumsum(mask >> self.filter.dtype.type(k) & self.filter.dtype.type(1), dtype=np.int64)])
+                        np.add.at(held[:, k], owner, sums[last] - sums[first])
+            owner, parts, starts_of, size = [], [], [], 0
 
         for i, t in enumerate(texts):
             data = _bytes(t)
             for a in range(0, len(data), BLOCK):
                 owner.append(i)
-                parts.append(data[a : a + BLOCK + max(SIZES) - 1] + b"    ")
+                parts.append(data[a : a + BLOCK + max(SIZES) - 1])
+                starts_of.append(len(data) - a)
                 size += len(parts[-1])
                 if size >= BLOCK:
                     flush()
@@ -89,6 +90,11 @@ class Model:
         return total, held
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Language and score of each text, whatever other texts are in the batch; `und` and 0 without a letter.
+
+        The score is the winner's share of all corrected counts. Where several languages count alike (as where no n-gram is
+        known), the first by name wins.
+        """
         total, held = self.hits(texts)
         right = np.maximum(0, (held - total[:, None] * self.false_rate) / (1 - self.false_rate))
         best = right.argmax(axis=1)
@@ -136,7 +142,10 @@ def fit(train: DataFrame, learn_docs: int = LEARN_DOCS, share: float = LEARN_SHA
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each row; null texts and texts without a letter are `und` with score 0."""
+    """doc_id, lang_pred, score of each row, repeated ones too; null texts and texts without a letter are `und` with score 0.
+
+    Texts of any length are read whole, in blocks. An empty table gives no rows; other columns of docs are left aside.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS masks, whatever the corpus
 
     def run(batches):
