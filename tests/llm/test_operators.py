@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import re
 import zlib
 
@@ -299,7 +300,7 @@ def test_unclosed_elements_hide_no_more_than_their_own():
     assert cut("<html><head><title>T</title><style>p {}</style><meta charset=utf-8><body><article><p>Story</p></article></body></html>") == ["Story"]
     assert cut("<head><title>T</title><p>Story") == ["Story"]
     assert cut("<html><head><title>T</title><script>'<p>no</p>'</script></head><body><p>Story</p></body></html>") == ["Story"]
-    for e in ("button", "svg", "select", "video", "audio", "object", "canvas", "template"):
+    for e in ("button", "svg", "select", "video", "audio", "canvas", "template"):
         assert cut(f"<body><div><{e}>gone</div><p>Story</p></body>") == ["Story"]
         assert cut(f"<body><{e}>gone<article><p>Story</p></article></body>") == ["Story"]
         assert cut(f"<div><{e}>gone<p>Story</p></div>and <{e}>gone</{e}>more") == ["Story", "and more"]
@@ -310,6 +311,29 @@ def test_unclosed_elements_hide_no_more_than_their_own():
     assert cut("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
 
 
+def test_main_text_of_pages_that_were_not_learned(spark):
+    pages = table(spark, SMALL, "pages")
+    field = html_text.learn(pages.where("page_id % 2 = 0"))
+    rows = {r.page_id: r.html for r in pages.where("page_id % 2 = 1").collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages.where("page_id % 2 = 1"), field).collect()}
+    right = 0
+    for k, page in rows.items():  # these pages keep all of an article in one element
+        body = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+        parts = re.split(r"</?(?:p|h[1-6]|li|ul|div)\b[^>]*>", body[1] if body else "")
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in parts]
+        right += got[k] == "\n\n".join(x for x in parts if x)
+    assert right >= 0.98 * len(rows)
+    assert html_text.extract(pages.limit(0), field).count() == 0
+    assert html_text.learn(pages.limit(0)).unary.shape == field.unary.shape
+
+
+def test_names_are_of_class_id_and_role_alone():
+    of = lambda page: [(b.text, b.names) for b in html_text.blocks(page)]
+    assert of("<article data-id='comment-3' aria-role=menu><p>Story</p></article>") == [("Story", frozenset())]
+    assert of("<div ID=comment-3><p>Reply</p></div>") == [("Reply", frozenset({"comment"}))]
+    assert [b.text for b in html_text.blocks("<article><object data=x><p>Instead</p></object><p>Story</p></article>")] == ["Instead", "Story"]
+
+
 def test_exact_dedup_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")

@@ -26,7 +26,7 @@ LEARN_PAGES, ROUNDS = 300, 150
 # HTML element kinds.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object canvas title textarea select button video audio".split())
+HIDDEN = frozenset("script style noscript template svg iframe canvas title textarea select button video audio".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 # Parts of class, id and role names, by what they tell.
 NAMES = {
@@ -45,7 +45,7 @@ _TAGS = ("p", "li", "div", "td", "pre", "blockquote", "figcaption", "h1", "h2",
 FEATURES = {f: k for k, f in enumerate(["bias", *(f"in:{t}" for t in _INSIDE), *(f"tag:{t}" for t in _TAGS), "tag:other", *(f"name:{n}" for n in NAMES), *(f"len:{k}" for k in range(12)), "links:some", "links:most", "ends", "mark", "digits"])}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:\"[^\"]*\"|'[^']*'|[^'\"<>]+)*+>|<[a-zA-Z/!?][^<>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 
 
@@ -285,7 +285,11 @@ def learn(pages: DataFrame, most: int = LEARN_PAGES) -> Field:
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of each row. Null and empty html give an empty text; repeated rows are all returned."""
+    """page_id, url, text, n_chars of each row. Null and empty html give an empty text; repeated rows are all returned.
+
+    Pages of any length are read whole; an empty table gives no rows (the field then learns from PAGES alone); other columns
+    of pages are left aside.
+    """
     pages = pages.select("page_id", "url", "html")
     field = field or learn(pages)
 
