@@ -231,6 +231,18 @@ def test_near_dedup(spark):
     want = brute_components(docs)
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    # one template, whose rows are alike but not linked, save for some that are
+    made = []
+    for k in range(400):
+        t = [f"t{i}" for i in range(120)]
+        for i in rng.choice(120, 4, replace=False):
+            t[i] = f"v{rng.integers(9)}" if k % 3 else f"u{k}x{i}"
+        made.append((20_000 + k, " ".join(t if k % 5 else [*made[int(rng.integers(k))][1].split()[:118], "end", f"e{k}"] if k else t)))
+    for how in ({"short_list": 3, "block_bytes": 20_000}, {"short_list": 20, "block_bytes": 300_000}):
+        want = brute_components(docs + made)
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs + made, "doc_id long, text string").repartition(5), **how).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({want[i][1] for i, _ in made}) > 20
     odd = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark)).collect()}
     assert odd[2].component_id == 1 and not odd[2].kept and odd[4].component_id == 4 and odd[4].n_shingles == 0 and odd[14].component_id == 13
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
+    """A new path in the shared folder that spark.checkpoint.dir names; only where it is unset, in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Jobs that start within hand at most n rows at once to Python; for rows that hold MBs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: cuts the lineage and survives the loss of an executor."""
     spark = df.sparkSession

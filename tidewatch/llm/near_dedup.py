@@ -9,7 +9,10 @@ threshold is confirmed on full sets.
 
 First each posting list is tested against its smallest member only, which ties a large group together in as many tests as
 it has members. Then only members that still belong to different components are tested against each other, so no link
-between components is lost and no group is expanded into all its pairs.
+between components is lost and no group is expanded into all its pairs. Short lists are merged by a join. The members of
+long ones (as of pages of one template, alike but not linked) are dealt to blocks of a bounded size, those of a large
+component apart from all others, and each pair of blocks that meet in a list is tested once, by counting the collisions of
+longer signatures in arrays; what reaches their threshold is confirmed on full sets at once, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, materialise, table
+from .common import arrow_rows, filled, materialise, table
 from .components import components
 
 WORDS, COORDINATES, MATCH = 5, 64, 31
-#: A longer signature of those that are posted, four bits a coordinate; at a similarity of 0.75 more agree than this but for
-#: a chance of about 3e-6 (392 are expected, with a deviation of 10).
-LONG, LONG_MATCH = 512, 348
+#: A longer signature of those that are posted, one bit a coordinate; at a similarity of 0.75 no fewer agree than this but
+#: for a chance of about 3e-6 (1792 are expected, with a deviation of 15).
+LONG, LONG_MATCH = 2048, 1724
+#: A posting list with more members is long; about so many bytes of sets and signatures are a block.
+SHORT_LIST, BLOCK_BYTES = 64, 1 << 20
 PERCENT = 75
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,9 +69,9 @@ def shingles(text: str, words: _Words) -> np.ndarray:
 
 
 def signature(found: np.ndarray, n: int = COORDINATES) -> np.ndarray:
-    least = np.full(n, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 2048):
-        np.minimum(least, (found[at : at + 2048, None] * _A[:n] + _B[:n]).min(axis=0), out=least)
+    least, step = np.full(n, np.iinfo(np.uint64).max), (1 << 17) // n
+    for at in range(0, len(found), step):
+        np.minimum(least, (found[at : at + step, None] * _A[:n] + _B[:n]).min(axis=0), out=least)
     return least
 
 
@@ -76,6 +81,12 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(four, axis=1).view(np.int64)
 
 
+def long_signature(found: np.ndarray) -> np.ndarray:
+    """One bit of each of LONG coordinates, 64 to a number."""
+    one = _mixed(signature(found, LONG)) >> np.uint64(63)
+    return np.bitwise_or.reduce(one.reshape(-1, 64) << np.arange(64, dtype=np.uint64), axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, s1 and s2 (digest of the set), keys (coordinate in the last six bits), sketch (four bits a coordinate)."""
 
@@ -108,7 +119,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 part = b.slice(start, 256)
                 found = [shingles(t, words) for t in filled(part.column(1))]
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in found], longs), pa.array([packed(signature(x, LONG)) for x in found], longs)], names=["rep", "found", "long"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in found], longs), pa.array([long_signature(x) for x in found], longs)], names=["rep", "found", "long"])
 
     return docs.mapInArrow(run, "rep long, found array<long>, long array<long>")
 
@@ -124,7 +135,7 @@ def _alike(a: str, b: str) -> str:
 
 def _nearly(a: str, b: str) -> str:
     """SQL: enough coordinates of the longer signatures agree, and this key is the first that the two prefixes share."""
-    differ = f"zip_with({a}.long, {b}.long, (x, y) -> bit_count(((x ^ y) | shiftright(x ^ y, 1) | shiftright((x ^ y) | shiftright(x ^ y, 1), 2)) & {_NIBBLES}L))"
+    differ = f"zip_with({a}.long, {b}.long, (x, y) -> bit_count(x ^ y))"
     return f"{LONG} - aggregate({differ}, 0, (s, c) -> s + c) >= {LONG_MATCH} AND element_at(array_intersect({a}.prefix, {b}.prefix), 1) = {a}.key"
 
 
@@ -136,12 +147,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _blocks(hot: DataFrame, block_bytes: int) -> DataFrame:
+    """A block for each member of long lists (key, rep, component, n, m): rep, component, block, single.
+
+    A member goes by its longest list. What a component has there, if it is over half a block, is dealt to blocks of its own
+    (single is that component), by the hash of the member; smaller components are dealt by their hash, so each stays whole.
+    """
+    size = 8 * F.col("n") + LONG // 8 + 64
+    home = materialise(hot.groupBy("rep", "component", "n").agg(F.max(F.struct("m", "key"))["key"].alias("home")), "homes")
+    sizes = home.groupBy("home", "component").agg(F.sum(size).alias("own")).withColumn("big", F.col("own") > block_bytes // 2)
+    small = sizes.where("not big").groupBy("home").agg(F.sum("own").alias("all"))
+    parts = lambda c: F.ceil(F.col(c) / block_bytes)
+    alone = F.xxhash64("home", "component", F.pmod(F.xxhash64("rep"), parts("own")))
+    mixed = F.xxhash64("home", F.lit("mixed"), F.pmod(F.xxhash64("component"), parts("all")))
+    seats = home.join(sizes, ["home", "component"]).join(small, "home", "left")
+    return seats.select("rep", "component", F.when(F.col("big"), alone).otherwise(mixed).alias("block"), F.when(F.col("big"), F.col("component")).alias("single"))
+
+
+def _unpack(members) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """rep, component, long signature and sorted set of each member of a block (an Arrow array of structs)."""
+    longs = members.field("long").flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
+    found = members.field("found")
+    ends = np.cumsum(found.value_lengths().to_numpy())[:-1]
+    return members.field("rep").to_numpy(), members.field("component").to_numpy(), longs, np.split(found.flatten().to_numpy(), ends)
+
+
+def links_between(a, b) -> list[tuple[int, int]]:
+    """Links between two blocks' members of different components; one that others of these links imply is left out."""
+    (rep_a, own_a, long_a, set_a), (rep_b, own_b, long_b, set_b) = a, b
+    n_a, n_b = np.array([len(x) for x in set_a]), np.array([len(x) for x in set_b])
+    tied: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in tied:
+            c = tied[c]
+        return c
+
+    out = []
+    for at in range(0, len(rep_a), 128):
+        part = slice(at, at + 128)
+        differ = np.zeros((len(rep_a[part]), len(rep_b)), np.uint16)
+        for k in range(long_a.shape[1]):
+            differ += np.bitwise_count(long_a[part, k, None] ^ long_b[None, :, k])
+        x, y = n_a[part, None], n_b[None, :]
+        near = (differ <= LONG - LONG_MATCH) & (own_a[part, None] != own_b[None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+        for i, j in np.argwhere(near) + (at, 0):
+            p, q = root(own_a[i]), root(own_b[j])
+            if p != q:
+                common = len(np.intersect1d(set_a[i], set_b[j], assume_unique=True))
+                if 100 * common >= PERCENT * (n_a[i] + n_b[j] - common):
+                    tied[max(p, q)] = min(p, q)
+                    out.append((int(rep_a[i]), int(rep_b[j])))
+    return out
+
+
+def _long_lists(hot: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+    """Links (a, b) between members of different components that meet in a long list (key, rep, component, n, m)."""
+    seats = materialise(_blocks(hot, block_bytes), "seats")
+    touch = hot.select("key", "rep").join(seats, "rep").select("key", "block", "single").distinct()
+    apart = "a.key = b.key AND a.block <= b.block AND (a.single IS NULL OR b.single IS NULL OR a.single <> b.single)"
+    meet = touch.alias("a").join(touch.alias("b"), F.expr(apart)).select(F.col("a.block").alias("block"), F.col("b.block").alias("other")).distinct()
+    # a block holds about block_bytes
+    held = seats.join(sets, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "found", "long")).alias("mine"))
+    held = materialise(held, "blocks")
+    both = materialise(meet, "meetings").join(held, "block").join(held.select(F.col("block").alias("other"), F.col("mine").alias("theirs")), "other").select("mine", "theirs")
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                found = links_between(_unpack(b.column(0)[k].values), _unpack(b.column(1)[k].values))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    with arrow_rows(hot.sparkSession, 8):
+        return materialise(both.mapInArrow(run, "a long, b long"), "between")
+
+
+def near_duplicates(docs: DataFrame, short_list: int = SHORT_LIST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
     Texts without words (null, empty, white space) have no shingles and stand alone. Repeated rows with one doc_id are all
     kept if their doc_id is the component's. A doc_id should name one text; rows without one are components of their
-    own set's smallest doc_id (null if no row of the set has one).
+    own set's smallest doc_id (null if no row of the set has one). An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = materialise(signatures(docs), "signatures")
@@ -166,12 +252,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labelled = posted.join(tied.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = materialise(labelled, "labelled")
+    size = F.count(F.lit(1)).alias("m")
+    open_keys = materialise(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), size).where("lo < hi").select("key", "m"), "open")
+    short = open_keys.where(F.col("m") <= short_list).select("key")
     lists = prefix.select("rep", F.col("prefix.key").alias("prefix")).join(sets.select("rep", "long"), "rep")
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(open_keys, "key").join(lists, "rep")
+    rest = labelled.join(short, "key").join(lists, "rep")
     across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.component <> b.component AND {_alike('a', 'b')} AND {_nearly('a', 'b')}"))
     across = across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).join(star, ["a", "b"], "left_anti")
     more = materialise(_confirmed(materialise(across, "across"), sets), "more")
+    long = open_keys.where(F.col("m") > short_list)
+    if long.limit(1).count():
+        more = more.union(_long_lists(labelled.join(long, "key").select("key", "rep", "component", "n", "m"), sets, block_bytes))
     if more.limit(1).count():
         tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
