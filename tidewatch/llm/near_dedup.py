@@ -31,7 +31,7 @@ WORDS, COORDINATES, MATCH = 5, 64, 31
 #: for a chance of about 3e-6 (1792 are expected, with a deviation of 15).
 LONG, LONG_MATCH = 2048, 1724
 #: A posting list with more members is long; about so many bytes of sets and signatures are a block.
-SHORT_LIST, BLOCK_BYTES = 64, 1 << 20
+SHORT_LIST, BLOCK_BYTES = 64, 4 << 20
 PERCENT = 75
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
