@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-8
 
 
+#: What a sequence of bars belongs to: returns, carried prices and rolling frames start anew with each.
+SEGMENT = ("asset", "month")
+
+
+def with_month(df: DataFrame) -> DataFrame:
+    """df with `month`, the first day of the month of `time`, if it has none."""
+    return df if "month" in df.columns else df.withColumn("month", F.trunc("time", "month"))
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -27,11 +27,11 @@ def low_count_days(trades: DataFrame, least: int = 1000) -> DataFrame:
     return trades.groupBy("asset", F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("trades")).where(F.col("trades") < least)
 
 
-def expected_months(spark: SparkSession, windows: list[tuple[str, str]], listed: dict[str, str]) -> DataFrame:
-    """Q3: asset and month of every window, from the month in which the asset was listed."""
-    dim = spark.createDataFrame([(a, x, y, z) for a, x in listed.items() for y, z in windows], "asset string, listed string, a string, z string")
-    months = dim.select("asset", "listed", F.explode(F.sequence(F.to_date(F.concat("a", F.lit("-01"))), F.to_date(F.concat("z", F.lit("-01"))), F.expr("interval 1 month"))).alias("month"))
-    return months.where(F.date_format("month", "yyyy-MM") >= F.col("listed")).select("asset", "month").distinct()
+def expected_months(listed: DataFrame, windows: list[tuple[str, str]]) -> DataFrame:
+    """Q3: asset and month of every window, from the month in which the asset was listed. listed: asset, listed (yyyy-MM), a row an asset."""
+    months = [F.sequence(F.lit(f"{a}-01").cast("date"), F.lit(f"{z}-01").cast("date"), F.expr("interval 1 month")) for a, z in windows]
+    every = listed.select("asset", "listed", F.explode(F.array_distinct(F.concat(*months))).alias("month"))
+    return every.where(F.date_format("month", "yyyy-MM") >= F.col("listed")).select("asset", "month")
 
 
 def missing_partitions(expected: DataFrame, present: DataFrame, least_bytes: int | None = None) -> DataFrame:
@@ -62,6 +62,35 @@ def feature_inventory(features: DataFrame, expected: list[str]) -> DataFrame:
     return counts.withColumns({"n_columns": F.lit(len(features.columns)), "lacking": F.lit(lacking)})
 
 
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """Q7: file, rows and columns of each Parquet file below path, from its footer; footers are read in tasks, contents not at all."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    def run(batches):
+        for b in batches:
+            rows, columns = [], []
+            for uri in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(at) as f:
+                    footer = pq.read_metadata(f)
+                rows.append(footer.num_rows)
+                columns.append(footer.schema.to_arrow_schema().names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int64()), pa.array(columns, pa.list_(pa.string()))], names=["file", "rows", "columns"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file")).mapInArrow(run, "file string, rows long, columns array<string>")
+
+
+def column_mismatches(schemas: DataFrame, asset=None) -> DataFrame:
+    """Q7: files whose columns (or their order) differ from those of the asset's first file by name."""
+    asset = F.regexp_extract("file", r"([A-Z0-9]+)[-_][^/]*$", 1) if asset is None else asset
+    x = schemas.withColumn("asset", asset)
+    first = x.groupBy("asset").agg(F.min_by("columns", "file").alias("expected"))  # a row an asset
+    return x.join(F.broadcast(first), "asset").where(F.col("columns") != F.col("expected")).select("asset", "file", "expected", F.col("columns").alias("found"))
+
+
 def quality_score(issues: DataFrame) -> DataFrame:
     """Q8."""
     n = F.count(F.lit(1))

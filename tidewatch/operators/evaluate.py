@@ -38,21 +38,31 @@ def confusion_matrix(pred: DataFrame, classes: list[int], y: str = "y_true", p:
     return pred.groupBy(y).pivot(p, classes).count().na.fill(0)
 
 
-def roc_curve(scores: DataFrame, *keys: str, y: str = "y", score: str = "score") -> DataFrame:
-    """A3: true and false positive rates at each distinct score, from high to low. Equal scores are one point, so the window is over points."""
+def roc_curve(scores: DataFrame, *keys: str, y: str = "y", score: str = "score", parts: int = 64) -> DataFrame:
+    """A3: true and false positive rates at each distinct score, from high to low, and the rates before it (tpr0, fpr0).
+
+    Points are dealt to ranges of scores by approximate percentiles; sums run within a range and over the small table of
+    ranges, so no task sorts all points of a key.
+    """
     points = scores.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    bounds = points.groupBy(*keys).agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 1000).alias("_bounds"))  # a row a key
+    on = lambda a, b, *more: a.join(F.broadcast(b), [*keys, *more]) if keys or more else a.crossJoin(F.broadcast(b))
+    points = on(points, bounds).withColumn("_part", F.size(F.filter("_bounds", lambda b: b > F.col(score)))).drop("_bounds")
+    sums = points.groupBy(*keys, "_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     whole = Window.partitionBy(*keys)
-    rates = {"tpr": _ratio(F.sum("p").over(w), F.sum("p").over(whole)), "fpr": _ratio(F.sum("n").over(w), F.sum("n").over(whole))}
-    return points.withColumns(rates)
+    over = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    sums = sums.select(*keys, "_part", *(F.coalesce(F.sum(f"_{c}").over(over), zero).alias(f"{c}_before") for c in "pn"), *(F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in "pn"))
+    w = Window.partitionBy(*keys, "_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    points = on(points, sums, "_part").withColumns({f"{c}_sum": F.col(f"{c}_before") + F.sum(c).over(w) for c in "pn"})
+    rates = {"tpr": _ratio(F.col("p_sum"), F.col("p_all")), "fpr": _ratio(F.col("n_sum"), F.col("n_all")), "tpr0": _ratio(F.col("p_sum") - F.col("p"), F.col("p_all")), "fpr0": _ratio(F.col("n_sum") - F.col("n"), F.col("n_all"))}
+    return points.withColumns(rates).select(*keys, score, "p", "n", *rates)
 
 
 def auc(scores: DataFrame, *keys: str, y: str = "y", score: str = "score") -> DataFrame:
     """A3: area by trapezoids."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
     c = roc_curve(scores, *keys, y=y, score=score)
-    c = c.withColumns({"t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0))})
-    return c.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
+    return c.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auc"))
 
 
 def persistence_baseline(labels: DataFrame) -> DataFrame:

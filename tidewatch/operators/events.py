@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import band, normal_cdf
+from ..functions.expr import band, normal_cdf, with_month
 
 
 def period_rates(labels: DataFrame, events: DataFrame, before: str = "30 days", gap: str = "7 days", after: str = "21 days") -> DataFrame:
@@ -91,18 +91,18 @@ def exclude_windows(df: DataFrame, events: DataFrame, margin: str = "14 days") -
 
 
 def label_runs(labels: DataFrame, width_s: float) -> DataFrame:
-    """Runs of equal labels, broken by gaps longer than a bar: asset, run, label, start, end, length."""
+    """Runs of equal labels, broken by gaps longer than a bar: asset, run, label, start, end, length, mean_price (if there are prices)."""
     w = Window.partitionBy("asset").orderBy("time")
     s = F.unix_micros(F.col("time").cast("timestamp"))
     new = F.when(F.lag("label").over(w).isNull() | (F.lag("label").over(w) != F.col("label")) | (s - F.lag(s).over(w) > width_s * 1_000_000), 1).otherwise(0)
     x = labels.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return x.groupBy("asset", "run", "label").agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count(F.lit(1)).alias("length"))
+    return x.groupBy("asset", "run", "label").agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count(F.lit(1)).alias("length"), *([F.avg("price").alias("mean_price")] if "price" in labels.columns else []))
 
 
 def stress_runs(labels: DataFrame, width_s: float, least: int = 12, top: int = 5) -> DataFrame:
     """The longest runs of stress of each asset."""
     r = label_runs(labels, width_s).where((F.col("label") == 2) & (F.col("length") >= least))
-    return r.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("length"), "start"))).where(F.col("rank") <= top).select("asset", "start", "end", "length", "rank")
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("length"), "start"))).where(F.col("rank") <= top).drop("run", "label")
 
 
 def period_pivot(rates: DataFrame, value: str = "rate") -> DataFrame:
@@ -161,24 +161,43 @@ def lead_summary(leads: DataFrame, *keys: str) -> DataFrame:
     return s.withColumn("band", band(F.col("median"), [(30, "STRONG"), (15, "USEFUL"), (5, "MARGINAL")], "NONE"))
 
 
-def block_bootstrap(spark: SparkSession, flags: DataFrame, block: int, reps: int = 10_000, seed: int = 1, observed: float | None = None) -> DataFrame:
-    """Circular blocks of the 0/1 column `flag` ordered by `time`: null mean, 2.5 and 97.5 percentiles, and p of the observed rate.
+def block_bootstrap(series: DataFrame, targets: DataFrame, block: int, reps: int = 10_000, seed: int = 1, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """Circular block bootstrap of the 0/1 column `flag` of each key's series (keys, time, flag).
 
-    Block sums come from prefix sums by two equi-joins, so a replicate costs its blocks, not its rows. Starts are a linear
-    congruence of replicate and block. flags is one series of bars.
+    targets has a row a key with n_sample, the length of a replicate (that of the window it is compared with), and observed,
+    the rate there. A replicate is ceil(n_sample / block) blocks, the last one cut. A start is the MD5 of (keys, replicate,
+    block, seed), modulo the length of the series. Gives n_pre, n_sample, pre_rate, observed, null_mean, lo and hi (2.5 and
+    97.5 percentiles) and p_value, the share of replicates not below observed, at least 1 / reps.
+
+    Block sums come from prefix sums by two equi-joins, so a replicate costs its blocks, not its rows. Rows are numbered
+    within months; the months' offsets come from a small table.
     """
-    w = Window.orderBy("time")
-    x = flags.select("time", F.col("flag").cast("long").alias("flag")).withColumns({"i": (F.row_number().over(w) - 1).cast("long"), "before": F.coalesce(F.sum("flag").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    n, total = x.agg(F.count(F.lit(1)), F.sum("flag")).first()
-    prefix = x.select("i", "before")
-    blocks = -(-n // block)
-    draws = spark.range(reps).withColumnRenamed("id", "rep").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    start = F.pmod((F.col("rep") * blocks + F.col("k") + seed) * 48271 % 2147483647 * 16807 % 2147483647, F.lit(n))
-    draws = draws.withColumn("a", start).withColumn("z", F.col("a") + block)
-    j = draws.join(prefix.select(F.col("i").alias("a"), F.col("before").alias("pa")), "a")
-    j = j.withColumn("over", F.col("z") >= n).withColumn("z", F.pmod("z", F.lit(n))).join(prefix.select(F.col("i").alias("z"), F.col("before").alias("pz")), "z")
-    rate = F.sum(F.col("pz") - F.col("pa") + F.when(F.col("over"), total).otherwise(0)) / F.lit(float(blocks * block))
-    rates = j.groupBy("rep").agg(rate.alias("rate"))
-    seen = F.lit(observed if observed is not None else total / n)
-    p = F.greatest(F.avg((F.col("rate") >= seen).cast("double")), F.lit(1.0 / reps))
-    return rates.agg(F.avg("rate").alias("null_mean"), F.percentile("rate", 0.025).alias("lo"), F.percentile("rate", 0.975).alias("hi"), p.alias("p_value"))
+    x = with_month(series.select(*keys, "time", F.col("flag").cast("long").alias("flag")))
+    months = x.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("rows"), F.sum("flag").alias("ones"))
+    before = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    months = months.select(*keys, "month", *(F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_before") for c in ("rows", "ones")))
+    w = Window.partitionBy(*keys, "month").orderBy("time")
+    x = x.withColumns({"i": (F.row_number().over(w) - 1).cast("long"), "s": F.coalesce(F.sum("flag").over(w.rowsBetween(Window.unboundedPreceding, -1)), zero)})
+    x = x.join(months, [*keys, "month"]).select(*keys, (F.col("i") + F.col("rows_before")).alias("i"), (F.col("s") + F.col("ones_before")).alias("s"))
+    whole = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pre"), F.sum(F.col("flag").cast("long")).alias("total"))
+    t = whole.join(targets.select(*keys, F.col("n_sample").cast("long").alias("n_sample"), "observed"), list(keys)).where("n_pre > 0 AND n_sample > 0")
+    draws = t.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_sample") + block - 1) / block) - 1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws("/", *keys, "rep", "k", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long") % F.col("n_pre")
+    draws = draws.withColumns({"a": start, "len": F.least(F.lit(block).cast("long"), F.col("n_sample") - block * F.col("k"))})
+    draws = draws.withColumns({"z": (F.col("a") + F.col("len")) % F.col("n_pre"), "turns": F.floor((F.col("a") + F.col("len")) / F.col("n_pre"))})
+    j = draws.join(x.select(*keys, F.col("i").alias("a"), F.col("s").alias("s_a")), [*keys, "a"]).join(x.select(*keys, F.col("i").alias("z"), F.col("s").alias("s_z")), [*keys, "z"])
+    rates = j.groupBy(*keys, "rep", "n_pre", "n_sample", "total", "observed").agg(F.sum(F.col("s_z") + F.col("turns") * F.col("total") - F.col("s_a")).alias("ones")).withColumn("rate", F.col("ones") / F.col("n_sample").cast("double"))
+    p = F.greatest(F.avg((F.col("rate") >= F.col("observed")).cast("double")), F.lit(1.0 / reps))
+    # a key has `reps` rates
+    out = rates.groupBy(*keys, "n_pre", "n_sample", "total", "observed").agg(F.avg("rate").alias("null_mean"), F.percentile("rate", 0.025).alias("lo"), F.percentile("rate", 0.975).alias("hi"), p.alias("p_value"))
+    return out.select(*keys, "n_pre", "n_sample", (F.col("total") / F.col("n_pre")).alias("pre_rate"), "observed", "null_mean", "lo", "hi", "p_value", (F.col("p_value") < 0.05).alias("significant"))
+
+
+def bootstrap_test(labels: DataFrame, events: DataFrame, block: int, reps: int = 10_000, seed: int = 1, before: str = "30 days") -> DataFrame:
+    """For each event (name, onset, crisis_end; half-open) and asset, its rate of stress against blocks from `before` its onset."""
+    stress = (F.col("label") == 2).cast("int")
+    t, on = F.col("time"), F.col("onset")
+    j = labels.join(F.broadcast(events), (t >= on - F.expr(f"interval {before}")) & (t < F.col("crisis_end")))
+    targets = j.where(t >= on).groupBy("name", "asset").agg(F.count(F.lit(1)).alias("n_sample"), F.avg(stress.cast("double")).alias("observed"))
+    return block_bootstrap(j.where(t < on).select("name", "asset", "time", stress.alias("flag")), targets, block, reps, seed, ("name", "asset"))

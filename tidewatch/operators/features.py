@@ -1,11 +1,14 @@
-"""Rolling microstructure features of bars."""
+"""Rolling microstructure features of bars.
+
+Frames are of rows of one segment (an asset's month), so a frame never holds bars from before a gap between months.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EPS, clip, rolling, safe_corr, when_full
+from ..functions.expr import EPS, SEGMENT, clip, rolling, safe_corr, when_full, with_month
 from .bars import bar_deltas, bars, densify
 
 SCALES = (1, 6, 30)
@@ -14,9 +17,9 @@ CONTAGION = (("BTC", "ETH"), ("BTC", "SOL"), ("ETH", "SOL"))
 
 def rolling_features(dense: DataFrame, seconds: int = 10, scales: tuple[int, ...] = SCALES) -> DataFrame:
     """F1-F9 of dense bars with deltas. A column of scale w is named by its seconds; it is null until w bars are there, Kyle's lambda 0."""
-    out = {}
+    dense, out = with_month(dense), {}
     for w in scales:
-        f, name = rolling(w, "asset"), f"{w * seconds}s"
+        f, name = rolling(w, *SEGMENT), f"{w * seconds}s"
         s = {c: F.sum(c).over(f) for c in ("v_buy", "v_sell", "n_buy", "n_sell", "volume", "quote", "abs_r")}
         full = lambda x, f=f, w=w: when_full(x, f, w)
         vwap = s["quote"] / (s["volume"] + EPS)
@@ -46,9 +49,9 @@ def contagion(features: DataFrame, target: str, lead: str, short: str = "OFI_60s
     x = features.where(F.col("asset") == target)
     y = features.where(F.col("asset") == lead).select("time", F.col(short).alias("lead_short"), F.col(long).alias("lead_long"))
     j = x.join(y, "time", "left")
-    before = F.lag("lead_short").over(Window.partitionBy("asset").orderBy("time"))
-    j = j.withColumn("lead_before", before)
-    f6, f30 = rolling(6, "asset"), rolling(30, "asset")
+    before = F.lag("lead_short").over(Window.partitionBy(*SEGMENT).orderBy("time"))
+    j = with_month(j).withColumn("lead_before", before)
+    f6, f30 = rolling(6, *SEGMENT), rolling(30, *SEGMENT)
     corr = lambda a, b, f, n: F.coalesce(F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(f) == n, safe_corr(F.col(a), F.col(b), f)), F.lit(0.0))
     made = {f"OFI_corr_60s_{lead}": corr(short, "lead_short", f6, 6), f"OFI_corr_300s_{lead}": corr(long, "lead_long", f30, 30), f"Lead_Lag_60s_{lead}": corr(short, "lead_before", f6, 6)}
     return j.withColumns(made).drop("lead_short", "lead_long", "lead_before")
@@ -67,29 +70,77 @@ def _with_lead(done: DataFrame, features: DataFrame, target: str, lead: str, col
     return done.join(more.select("asset", "time", *(c for c in more.columns if c.endswith(f"_{lead}"))), ["asset", "time"])
 
 
-def features_at(trades: DataFrame, anchors: DataFrame, seconds: int = 300, bucket: str | None = None) -> DataFrame:
-    """flow, intensity, VWAP, path illiquidity and volatility of the trades in [t - seconds, t] of each anchor (asset, time).
+def live_names(scales: tuple[int, ...] = (10, 60, 300)) -> list[str]:
+    """The 26 features that the live path and the table of bars both have (with three scales)."""
+    by_scale = [f"{c}_{s}s" for s in scales for c in ("OFI", "TCI", "intensity", "VWAP", "VWAP_dev", "ILLIQ", "RV")]
+    return ["price", "volume", "rv", *by_scale, *(f"Kyle_lambda_{s}s" for s in scales[1:])]
+
 
-    Both sides meet on a coarse time bucket (an anchor's window touches two at most), so it is an equi-join at any size.
+def with_returns(trades: DataFrame, chunk_s: int = 600) -> DataFrame:
+    """Adds us, lp and r, the clipped return that arrives at a trade, 0 at the first of a segment.
+
+    Trades are ordered within chunks of a segment; the return into a chunk comes from the small table of chunks.
     """
-    t = trades.withColumn("us", F.unix_micros(F.col("time").cast("timestamp")))
-    w = Window.partitionBy("asset", F.floor(F.col("us") / (seconds * 4_000_000))).orderBy("us", "id")
-    edge = Window.partitionBy("asset").orderBy("chunk")
-    t = t.withColumns({"chunk": F.floor(F.col("us") / (seconds * 4_000_000)), "lp": F.log("price"), "before": F.lag(F.log("price")).over(w)})
-    ends = t.groupBy("asset", "chunk").agg(F.max_by("lp", F.struct("us", "id")).alias("last"))
-    ends = ends.select("asset", "chunk", F.lag("last").over(edge).alias("carry"))
-    t = t.join(ends, ["asset", "chunk"])
+    t = with_month(trades).withColumns({"us": F.unix_micros(F.col("time").cast("timestamp")), "lp": F.log("price")})
+    t = t.withColumn("chunk", F.floor(F.col("us") / (chunk_s * 1_000_000)))
+    t = t.withColumn("before", F.lag("lp").over(Window.partitionBy(*SEGMENT, "chunk").orderBy("us", "id")))
+    ends = t.groupBy(*SEGMENT, "chunk").agg(F.max_by("lp", F.struct("us", "id")).alias("last"))
+    ends = ends.select(*SEGMENT, "chunk", F.lag("last").over(Window.partitionBy(*SEGMENT).orderBy("chunk")).alias("carry"))
+    t = t.join(ends, [*SEGMENT, "chunk"])
     r = F.coalesce(clip(F.col("lp") - F.coalesce("before", "carry"), -0.5, 0.5), F.lit(0.0))
-    t = t.withColumns({"r": r, "b": F.floor(F.col("us") / (seconds * 1_000_000))})
-    a = anchors.select("asset", "time", F.unix_micros(F.col("time").cast("timestamp")).alias("t_us")).distinct()
-    a = a.withColumn("b", F.explode(F.array(F.floor((F.col("t_us") - seconds * 1_000_000) / (seconds * 1_000_000)), F.floor(F.col("t_us") / (seconds * 1_000_000)))))
-    j = a.join(t.select("asset", "b", "us", "qty", "quote_qty", "is_buyer_maker", "r"), ["asset", "b"]).where((F.col("us") <= F.col("t_us")) & (F.col("us") >= F.col("t_us") - seconds * 1_000_000))
-    v = F.sum("qty")
-    signed = F.sum(F.when(F.col("is_buyer_maker"), -F.col("qty")).otherwise(F.col("qty")))
-    return j.groupBy("asset", "time").agg(
-        F.count(F.lit(1)).alias("n_trades"), (signed / (v + EPS)).alias("OFI"), (F.count(F.lit(1)) / F.lit(float(seconds))).alias("intensity"),
-        (F.sum("quote_qty") / (v + EPS)).alias("VWAP"), (F.sum(F.abs("r")) / (v + EPS)).alias("ILLIQ"), F.sqrt(F.sum(F.col("r") ** 2)).alias("RV"),
-    )
+    return t.withColumn("r", r).drop("chunk", "before", "carry")
+
+
+def features_at(trades: DataFrame, anchors: DataFrame, scales: tuple[int, ...] = (10, 60, 300)) -> DataFrame:
+    """all live features at each anchor (asset, time), from the trades in [t - s, t] of each scale s (seconds).
+
+    What is looked at reaches one shortest scale further back than the longest, as a live fetch does; a scale with fewer than
+    two trades takes all of that. Kyle's lambda comes from bars of the shortest scale that end at the anchor, the gaps'
+    deviation (CV_dt) from the shortest scale. Both sides meet on time buckets as wide as the fetch, of which an anchor
+    touches two at most, so it is an equi-join at any size.
+    """
+    bar, span = scales[0], scales[-1] + scales[0]
+    width = span * 1_000_000
+    t = with_returns(trades, 2 * span).select("asset", "id", "us", "price", "qty", "quote_qty", "is_buyer_maker", "r", F.floor(F.col("us") / width).alias("b"))
+    a = anchors.select("asset", "time", F.unix_micros(F.col("time").cast("timestamp")).alias("z")).distinct()
+    a = a.withColumn("b", F.explode(F.array(F.floor(F.col("z") / width) - 1, F.floor(F.col("z") / width))))
+    j = a.join(t, ["asset", "b"]).where((F.col("us") <= F.col("z")) & (F.col("us") > F.col("z") - width)).drop("b")
+    j = j.withColumn("gap", (F.col("us") - F.lag("us").over(Window.partitionBy("asset", "time").orderBy("us", "id"))).cast("double"))
+    sell, one = F.col("is_buyer_maker"), F.lit(1.0)
+    kinds = {"v_buy": F.when(~sell, F.col("qty")).otherwise(0.0), "v_sell": F.when(sell, F.col("qty")).otherwise(0.0), "n_buy": F.when(~sell, one).otherwise(0.0), "n_sell": F.when(sell, one).otherwise(0.0), "volume": F.col("qty"), "quote": F.col("quote_qty"), "abs_r": F.abs("r"), "rr": F.col("r") * F.col("r")}
+    inside = {s: F.col("us") >= F.col("z") - s * 1_000_000 for s in scales}
+    sums = [F.sum(x).alias(f"all_{c}") for c, x in kinds.items()] + [F.sum(F.when(inside[s], x).otherwise(0.0)).alias(f"{s}_{c}") for s in scales for c, x in kinds.items()]
+    near = F.when(inside[bar], F.col("gap"))
+    w = j.groupBy("asset", "time").agg(F.count(F.lit(1)).alias("n_trades"), F.max_by("price", F.struct("us", "id")).alias("price"), F.avg(near).alias("mean_dt"), F.stddev_samp(near).alias("std_dt"), *sums)
+    out = {}
+    for s in scales:
+        enough = F.col(f"{s}_n_buy") + F.col(f"{s}_n_sell") >= 2
+        x = {c: F.when(enough, F.col(f"{s}_{c}")).otherwise(F.col(f"all_{c}")) for c in kinds}
+        vwap = x["quote"] / (x["volume"] + EPS)
+        out |= {
+            f"OFI_{s}s": (x["v_buy"] - x["v_sell"]) / (x["v_buy"] + x["v_sell"] + EPS), f"TCI_{s}s": (x["n_buy"] - x["n_sell"]) / (x["n_buy"] + x["n_sell"] + EPS),
+            f"intensity_{s}s": (x["n_buy"] + x["n_sell"]) / F.lit(float(s)), f"VWAP_{s}s": vwap, f"VWAP_dev_{s}s": (F.col("price") - vwap) / (vwap + EPS),
+            f"ILLIQ_{s}s": x["abs_r"] / (x["volume"] + EPS), f"RV_{s}s": F.sqrt(x["rr"]),
+        }
+        if s == bar:
+            out |= {"volume": x["volume"], "rv": out[f"RV_{s}s"]}
+    out[f"CV_dt_{bar}s"] = F.coalesce(F.col("std_dt") / (F.col("mean_dt") + EPS), F.lit(0.0))
+
+    n = span // bar
+    k = F.floor((F.col("us") - (F.col("z") - width) - 1) / (bar * 1_000_000)).cast("int")
+    flow = j.groupBy("asset", "time", k.alias("k")).agg(F.sum(kinds["v_buy"] - kinds["v_sell"]).alias("sv"), F.min_by("price", F.struct("us", "id")).alias("first"), F.max_by("price", F.struct("us", "id")).alias("last"))
+    grid = w.select("asset", "time", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).join(flow, ["asset", "time", "k"], "left")
+    over = Window.partitionBy("asset", "time").orderBy("k")
+    carried = F.coalesce(F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)), F.first("first", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)))
+    grid = grid.withColumns({"p": carried, "sv": F.coalesce("sv", F.lit(0.0))}).withColumn("dp", F.col("p") - F.lag("p").over(over))
+    lambdas = []
+    for s in scales[1:]:
+        late = F.col("k") >= n - s // bar
+        dp, sv = F.when(late, F.col("dp")), F.when(late, F.col("sv"))
+        sp, ss = F.stddev_samp(dp), F.stddev_samp(sv)
+        lambdas.append(F.coalesce(F.when((sp > 1e-12) & (ss > 1e-12), F.covar_samp(dp, sv) / (sp * ss) * sp / (ss + EPS)), F.lit(0.0)).alias(f"Kyle_lambda_{s}s"))
+    kyle = grid.groupBy("asset", "time").agg(*lambdas)
+    return w.withColumns(out).join(kyle, ["asset", "time"]).select("asset", "time", "n_trades", *live_names(scales), f"CV_dt_{bar}s")
 
 
 def anchored_bars(trades: DataFrame, anchors: DataFrame, n: int = 31, seconds: int = 10) -> DataFrame:

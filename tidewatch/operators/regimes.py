@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import with_month
+from .transform import nan_to_num
+
 FEATURES = ("RV_300s", "OFI_300s", "Kyle_lambda_300s", "intensity_300s")
 
 
@@ -21,73 +24,116 @@ class Hmm:
         return -0.5 * (d * d / self.variances + np.log(2 * np.pi * self.variances)).sum(axis=2)
 
 
-def _expect(m: Hmm, x: np.ndarray) -> np.ndarray:
-    """Sufficient statistics of one segment, flat: log-likelihood, start, transitions, weights, sums, sums of squares."""
-    e = m.emission(x)
-    top = e.max(axis=1, keepdims=True)
+def _expect(models: list[Hmm], x: np.ndarray) -> np.ndarray:
+    """Sufficient statistics of one segment for each model: log-likelihood, start, transitions, weights, sums, sums of squares."""
+    e = np.stack([m.emission(x) for m in models], axis=1)
+    top = e.max(axis=2, keepdims=True)
     p = np.exp(e - top)
-    n, k = p.shape
-    a, scale = np.empty((n, k)), np.empty(n)
-    now = m.start * p[0]
+    step = np.stack([m.transition for m in models])
+    n, s, k = p.shape
+    a, b, scale = np.empty((n, s, k)), np.ones((n, s, k)), np.empty((n, s, 1))
+    now = np.stack([m.start for m in models]) * p[0]
     for t in range(n):
         if t:
-            now = (a[t - 1] @ m.transition) * p[t]
-        scale[t] = max(now.sum(), 1e-300)
+            now = (a[t - 1, :, None] @ step)[:, 0] * p[t]
+        scale[t] = np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
         a[t] = now / scale[t]
-    b = np.ones((n, k))
     for t in range(n - 2, -1, -1):
-        b[t] = m.transition @ (p[t + 1] * b[t + 1]) / scale[t + 1]
+        b[t] = (step @ (p[t + 1] * b[t + 1])[:, :, None])[:, :, 0] / scale[t + 1]
     g = a * b
-    g /= g.sum(axis=1, keepdims=True)
-    pairs = m.transition * (a[:-1].T @ (p[1:] * b[1:] / scale[1:, None])) if n > 1 else np.zeros((k, k))
-    return np.concatenate([[np.log(scale).sum() + top.sum()], g[0], pairs.ravel(), g.sum(axis=0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel()])
+    g /= g.sum(axis=2, keepdims=True)
+    pairs = step * np.einsum("tsi,tsj->sij", a[:-1], p[1:] * b[1:] / scale[1:])
+    score = np.log(scale).sum(axis=0) + top.sum(axis=0)
+    sums, squares = np.einsum("tsk,tf->skf", g, x), np.einsum("tsk,tf->skf", g, x * x)
+    return np.concatenate([score, g[0], pairs.reshape(s, -1), g.sum(axis=0), sums.reshape(s, -1), squares.reshape(s, -1)], axis=1)
+
 
+def _expecting(now: dict, names: list, at: list[int], columns: tuple[str, ...]):
+    """Statistics of a segment for the models of its key, as rows of (model, seed, i, v)."""
 
-def _expecting(models: list[Hmm], columns: list[str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seq = rows.sort_values("time")[columns].to_numpy(float)
-        return pd.DataFrame([(s, i, v) for s, m in enumerate(models) for i, v in enumerate(_expect(m, seq))], columns=["seed", "i", "v"])
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        mine = tuple(key[i] for i in at)
+        if not now.get(mine):
+            return pd.DataFrame([], columns=["model", "seed", "i", "v"])
+        found = _expect([m for _, m in now[mine]], rows.sort_values("time")[list(columns)].to_numpy(float))
+        return pd.DataFrame([(names.index(mine), s, i, v) for (s, _), row in zip(now[mine], found, strict=True) for i, v in enumerate(row)], columns=["model", "seed", "i", "v"])
 
     return run
 
 
-def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, keys: tuple[str, ...] = ("asset", "month")) -> Hmm:
-    """L1: EM over segments (asset, month), each a sequence of its own. A round is one job for all seeds; only statistics of
-    size k * k come to the driver. features are standardized and ordered by `time` within a segment; the best seed wins.
+def _started(mean: np.ndarray, var: np.ndarray, levels: np.ndarray, seed: int) -> Hmm:
+    draw, k = np.random.default_rng(seed), len(levels)
+    means = mean + draw.normal(0, 0.3, (k, len(mean))) * np.sqrt(var)
+    means[:, 0] = levels + draw.normal(0, 0.05, k) * np.sqrt(var[0])
+    return Hmm(means, np.tile(var, (k, 1)), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), np.full(k, 1 / k))
+
+
+def _improved(v: np.ndarray, k: int, f: int, least: np.ndarray) -> Hmm:
+    start, pairs = v[1 : 1 + k] + 1e-9, v[1 + k : 1 + k + k * k].reshape(k, k) + 1e-9
+    weight, rest = np.maximum(v[1 + k + k * k : 1 + 2 * k + k * k], 1e-9)[:, None], v[1 + 2 * k + k * k :].reshape(2, k, f)
+    means = rest[0] / weight
+    return Hmm(means, np.maximum(rest[1] / weight - means**2, least), pairs / pairs.sum(axis=1, keepdims=True), start / start.sum(), v[0])
+
+
+def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month")) -> dict[tuple, Hmm]:
+    """L1: a model for each of model_keys (an asset; an asset and fold), the best of the seeds by likelihood.
+
+    EM over segments, each a sequence of its own in the order of `time`; nulls, NaN and infinite values count as 0. A round is
+    one job for all models and seeds that still improve; what comes to the driver are statistics of size k * k a model and
+    seed. It stops when no log-likelihood rises by more than `tolerance` of itself.
     """
-    f = len(columns)
-    x = features.select(*keys, "time", *columns).dropna().persist()
-    stats = x.agg(*(F.avg(c) for c in columns), *(F.var_pop(c) for c in columns), F.percentile(columns[0], [0.1, 0.5, 0.9][:k] if k == 3 else [(i + 0.5) / k for i in range(k)])).first()
-    mean, var, levels = np.array(stats[:f], float), np.maximum(np.array(stats[f : 2 * f], float), 1e-9), np.array(stats[2 * f], float)
-    models = []
-    for s in range(seeds):
-        draw = np.random.default_rng(s)
-        means = mean + draw.normal(0, 0.3, (k, f)) * np.sqrt(var)
-        means[:, 0] = levels + draw.normal(0, 0.05, k) * np.sqrt(var[0])
-        models.append(Hmm(means, np.tile(var, (k, 1)), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), np.full(k, 1 / k)))
-    last = np.full(seeds, -np.inf)
-    for _ in range(rounds):
-        got = x.groupBy(*keys).applyInPandas(_expecting(list(models), list(columns)), "seed int, i int, v double").groupBy("seed", "i").agg(F.sum("v").alias("v")).toPandas()  # k * k numbers a seed
-        scores = np.empty(seeds)
+    f, keys = len(columns), list(dict.fromkeys([*model_keys, *segment]))
+    x = nan_to_num(with_month(features).select(*keys, "time", *columns), list(columns)).persist()
+    levels = [0.1, 0.5, 0.9] if k == 3 else [(i + 0.5) / k for i in range(k)]
+    stats = x.groupBy(*model_keys).agg(*(F.avg(c) for c in columns), *(F.var_pop(c) for c in columns), F.percentile_approx(columns[0], levels, 10_000)).collect()  # a row a model
+    names, models, least = [], {}, {}
+    for r in stats:
+        key, values = tuple(r[: len(model_keys)]), list(r[len(model_keys) :])
+        mean, var = np.array(values[:f], float), np.maximum(np.array(values[f : 2 * f], float), 1e-12)
+        names.append(key)
+        least[key] = var * 1e-6
         for s in range(seeds):
-            v = got[got.seed == s].sort_values("i").v.to_numpy()
-            scores[s], start, pairs = v[0], v[1 : 1 + k], v[1 + k : 1 + k + k * k].reshape(k, k)
-            weight, sums, squares = v[1 + k + k * k : 1 + 2 * k + k * k], *v[1 + 2 * k + k * k :].reshape(2, k, f)
-            means = sums / np.maximum(weight, 1e-9)[:, None]
-            models[s] = Hmm(means, np.maximum(squares / np.maximum(weight, 1e-9)[:, None] - means**2, 1e-6), (pairs + 1e-9) / (pairs + 1e-9).sum(axis=1, keepdims=True), (start + 1e-9) / (start + 1e-9).sum(), scores[s])
-        if np.all(np.abs(scores - last) < tolerance * np.maximum(1, np.abs(scores))):
+            models[key, s] = _started(mean, var, np.array(values[2 * f], float), s)
+    going = {k: -np.inf for k in models}
+    at = [keys.index(c) for c in model_keys]
+    for _ in range(rounds):
+        if not going:
             break
-        last = scores
+        now = {key: [(s, models[key, s]) for s in range(seeds) if (key, s) in going] for key in names}
+        sums = x.groupBy(*keys).applyInPandas(_expecting(now, names, at, columns), "model int, seed int, i int, v double").groupBy("model", "seed", "i").agg(F.sum("v").alias("v"))
+        for (number, s), rows in sums.toPandas().groupby(["model", "seed"]):  # k * k numbers a model and seed
+            key = names[number]
+            new = _improved(rows.sort_values("i").v.to_numpy(), k, f, least[key])
+            if new.score - going[key, s] < tolerance * max(1.0, abs(new.score)):
+                del going[key, s]
+            else:
+                going[key, s] = new.score
+            models[key, s] = new
     x.unpersist()
-    return max(models, key=lambda m: m.score)
+    return {key: max((models[key, s] for s in range(seeds)), key=lambda m: m.score) for key in names}
+
 
+def hmm_parameters(models: dict[tuple, Hmm], columns: tuple[str, ...] = FEATURES) -> list[tuple]:
+    """Rows (*key, state, feature, mean, var), states ranked by their mean of the first column; for L9."""
+    out = []
+    for key, m in models.items():
+        for rank, state in enumerate(np.argsort(m.means[:, 0])):
+            out += [(*key, rank, c, float(m.means[state, j]), float(m.variances[state, j])) for j, c in enumerate(columns)]
+    return out
 
-def hmm_decode(model: Hmm, features: DataFrame, columns: tuple[str, ...] = FEATURES, keys: tuple[str, ...] = ("asset", "month")) -> DataFrame:
-    """L2 and L3: Viterbi path by segment; label is the rank of the state by its mean of the first column."""
-    rank = np.argsort(np.argsort(model.means[:, 0]))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def hmm_decode(models: dict[tuple, Hmm], features: DataFrame, columns: tuple[str, ...] = FEATURES, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month")) -> DataFrame:
+    """L2 and L3: Viterbi path by segment; label is the rank of the state by its mean of the first column. A key without a model has no labels."""
+    keys = list(dict.fromkeys([*model_keys, *segment]))
+    kept = list(dict.fromkeys([*model_keys, "asset", "time"]))
+    at = [keys.index(c) for c in model_keys]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        model = models.get(tuple(key[i] for i in at))
+        if model is None:
+            return rows.head(0)[kept].assign(label=pd.Series([], dtype=int))
         rows = rows.sort_values("time")
+        rank = np.argsort(np.argsort(model.means[:, 0]))
         e, t = model.emission(rows[list(columns)].to_numpy(float)), np.log(model.transition + 1e-300)
         best, back = np.log(model.start + 1e-300) + e[0], np.zeros(e.shape, int)
         for i in range(1, len(e)):
@@ -98,10 +144,11 @@ def hmm_decode(model: Hmm, features: DataFrame, columns: tuple[str, ...] = FEATU
         path[-1] = best.argmax()
         for i in range(len(e) - 1, 0, -1):
             path[i - 1] = back[i, path[i]]
-        return pd.DataFrame({"asset": rows["asset"], "time": rows["time"], "label": rank[path]})
+        return rows[kept].assign(label=rank[path])
 
-    kind = dict(features.dtypes)["time"]
-    return features.select(*dict.fromkeys([*keys, "asset", "time", *columns])).dropna().groupBy(*keys).applyInPandas(run, f"asset string, time {kind}, label int")
+    x = nan_to_num(with_month(features).select(*dict.fromkeys([*keys, *kept, *columns])), list(columns))
+    kinds = dict(x.dtypes)
+    return x.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", label int")
 
 
 def rank_states(means: DataFrame) -> DataFrame:
@@ -128,11 +175,17 @@ def transition_matrix(labels: DataFrame) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("asset", "from_label")))
 
 
-def local_labels(features: DataFrame, windows: DataFrame, fold: int, columns: tuple[str, ...] = FEATURES, **fit) -> DataFrame:
-    """Labels of the fold's test window (window, start, stop) from a model of the windows before it."""
-    j = features.join(F.broadcast(windows), (F.col("time") >= F.col("start")) & (F.col("time") < F.col("stop")))
-    model = hmm_fit(j.where(F.col("window") < fold), columns, **fit)
-    return hmm_decode(model, j.where(F.col("window") == fold), columns).withColumn("fold", F.lit(fold))
+def local_labels(features: DataFrame, windows: DataFrame, folds: list[int], columns: tuple[str, ...] = FEATURES, **fit) -> DataFrame:
+    """For each fold, labels of its test window (window, start, stop) from each asset's model of the windows before it.
+
+    The models of all folds and assets are fitted by the same jobs. windows: few rows.
+    """
+    j = with_month(features).join(F.broadcast(windows), (F.col("time") >= F.col("start")) & (F.col("time") < F.col("stop")))
+    train = j.withColumn("fold", F.explode(F.array(*map(F.lit, folds)))).where(F.col("window") < F.col("fold"))
+    test = j.where(F.col("window").isin(list(folds))).withColumn("fold", F.col("window"))
+    keys = ("asset", "fold")
+    models = hmm_fit(train, columns, model_keys=keys, segment=("asset", "window", "month"), **fit)
+    return hmm_decode(models, test, columns, keys, ("asset", "window", "month"))
 
 
 def label_agreement(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,52 +51,70 @@ def fracdiff(df: DataFrame, d_map: dict[str, float], keys: tuple[str, ...] = ("a
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-#: MacKinnon's response surface for the 1, 5 and 10 % points with a constant, one variable.
-ADF_POINTS = ((0.01, (-3.43035, -6.5393, -16.786, -79.433)), (0.05, (-2.86154, -2.8903, -4.234, -40.040)), (0.10, (-2.56677, -1.5384, -2.809, 0.0)))
+# MacKinnon's approximation of the unit-root distribution with a constant, one variable: bounds, and coefficients below and above the middle one.
+ADF_LOW, ADF_MIDDLE, ADF_HIGH = -18.83, -1.61, 2.74
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
 
+def adf_p(t: float) -> float:
+    """The p-value of a unit-root t-statistic."""
+    if t > ADF_HIGH or t < ADF_LOW:
+        return float(t > ADF_HIGH)
+    z = sum(c * t**k for k, c in enumerate(ADF_SMALL if t <= ADF_MIDDLE else ADF_LARGE))
+    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
 
-def adf_test(df: DataFrame, columns: list[str], lags: int = 1, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """T-statistic of the unit-root regression with a constant and `lags` differences, by key and column.
 
-    The design's products are summed in one aggregation, so only (lags + 3)^2 numbers of a key and column remain;
-    stationary: below the 5 % point for that many rows.
+def adf_test(df: DataFrame, columns: list[str], lags: int | None = None, max_lags: int = 12, keys: tuple[str, ...] = ("asset",), level: float = 0.05) -> DataFrame:
+    """T-statistic and p-value of the unit-root regression with a constant and lagged differences, by key and column.
+
+    lags fixes their number; else the one of 0 to max_lags with the least AIC is taken, all on the rows that have max_lags
+    of them. The design's products are summed in one aggregation, so only (max_lags + 3)^2 numbers of a key and column remain.
+    Constant columns and those with fewer than 20 finite values have null statistics. stationary: p below `level`.
     """
+    most = max_lags if lags is None else lags
     over = Window.partitionBy(*keys, "column").orderBy("time")
     long = df.select(*keys, "time", *(finite(c).alias(c) for c in columns)).unpivot([*keys, "time"], columns, "column", "x").where("x is not null")
     long = long.withColumns({"dx": F.col("x") - F.lag("x").over(over), "level": F.lag("x").over(over)})
-    long = long.withColumns({f"d{k}": F.lag("dx", k).over(over) for k in range(1, lags + 1)}).dropna()
-    names = ["one", "level", *(f"d{k}" for k in range(1, lags + 1)), "dx"]
+    long = long.withColumns({f"d{k}": F.lag("dx", k).over(over) for k in range(1, most + 1)}).dropna()
+    names = ["one", "level", *(f"d{k}" for k in range(1, most + 1)), "dx"]
     long = long.withColumn("one", F.lit(1.0))
     sums = long.groupBy(*keys, "column").agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j))
-    p = len(names) - 1
+
+    def fitted(g: np.ndarray, p: int):
+        """AIC and t of the regression on the first p columns."""
+        x, n = g[:p, :p], g[0, 0]
+        if n <= p or np.linalg.matrix_rank(x) < p:
+            return None
+        beta = np.linalg.solve(x, g[:p, -1])
+        rest = max(g[-1, -1] - beta @ g[:p, -1], 1e-300)
+        t = beta[1] / np.sqrt(max(rest / (n - p) * np.linalg.inv(x)[1, 1], 1e-300))
+        return n * np.log(rest / n) + 2 * p, t
 
     def solve(batches):
         for rows in batches:
             out = []
             for _, r in rows.iterrows():
-                g = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)], float)
-                n = g[0, 0]
-                t = point = np.nan
-                if n > p and np.linalg.matrix_rank(g[:p, :p]) == p:
-                    inverse = np.linalg.inv(g[:p, :p])
-                    beta = inverse @ g[:p, p]
-                    s2 = (g[p, p] - beta @ g[:p, p]) / (n - p)
-                    t = beta[1] / np.sqrt(max(s2 * inverse[1, 1], 1e-300))
-                    point = sum(c / n**k for k, c in enumerate(ADF_POINTS[1][1]))
-                out.append((*(r[k] for k in keys), r["column"], int(n), None if np.isnan(t) else t, None if np.isnan(t) else bool(t < point)))
-            yield pd.DataFrame(out, columns=[*keys, "column", "n", "t_stat", "stationary"])
+                g = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(most + 3)] for i in range(most + 3)], float)
+                n = int(g[0, 0])
+                found = [(f[0], k, f[1]) for k in range(most + 1) if lags in (None, k) and (f := fitted(g, k + 2))] if n + most + 1 >= 20 else []
+                _, k, t = min(found, default=(0, None, None))
+                p = None if t is None else adf_p(t)
+                out.append((*(r[c] for c in keys), r["column"], n, k, t, p, None if p is None else p < level))
+            yield pd.DataFrame(out, columns=[*keys, "column", "n", "lags", "t_stat", "p_value", "stationary"]).astype({"lags": "Int64", "stationary": "boolean"})
 
     kinds = dict(df.dtypes)
-    return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", column string, n long, t_stat double, stationary boolean")
-
-
-def find_min_d(df: DataFrame, column: str, grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), least: float = 1e-3) -> DataFrame:
-    """The smallest d of the grid whose difference is stationary, else 1.0; all d in one job."""
-    trial = None
-    for d in grid:
-        one = fracdiff_short(df.select("asset", "time", column), column, d, least, strict=True).withColumn("d", F.lit(d))
-        trial = one if trial is None else trial.unionByName(one)
-    found = adf_test(trial, [column], keys=("asset", "d"))
+    return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", column string, n long, lags long, t_stat double, p_value double, stationary boolean")
+
+
+def find_min_d(df: DataFrame, column: str, grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), least: float = 1e-3, lags: int | None = None) -> DataFrame:
+    """The smallest d of the grid whose difference is stationary, else 1.0; all d in one job, from one window of lagged values."""
+    kernels = [fracdiff_weights(d, least) for d in grid]
+    over = Window.partitionBy("asset").orderBy("time").rowsBetween(-(max(map(len, kernels)) - 1), 0)
+    x = df.select("asset", "time", F.reverse(F.collect_list(F.coalesce(finite(column), F.lit(0.0))).over(over)).alias("_v"))
+    dim = F.array(*(F.struct(F.lit(d).alias("d"), F.array(*map(F.lit, w)).alias("w")) for d, w in zip(grid, kernels, strict=True)))
+    x = x.select("asset", "time", "_v", F.explode(dim).alias("_k")).where(F.size("_v") >= F.size("_k.w"))
+    total = F.aggregate(F.zip_with(F.slice("_v", F.lit(1), F.size("_k.w")), "_k.w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    found = adf_test(x.select("asset", "time", F.col("_k.d").alias("d"), total.alias(column)), [column], lags, keys=("asset", "d"))
     return found.groupBy("asset").agg(F.coalesce(F.min(F.when(F.col("stationary"), F.col("d"))), F.lit(1.0)).alias("d"))
 
 
@@ -138,27 +158,29 @@ def class_weights(df: DataFrame, label: str = "label", classes: tuple[int, ...]
 
 
 def weighted_resample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0) -> DataFrame:
-    """About n rows with replacement, in proportion to weight: a Poisson number of copies by the hash of the key.
+    """About n rows with replacement, in proportion to weight: a Poisson number of copies by the MD5 of the key.
 
     A row that is due more than one copy gets the sum of so many draws at a rate of at most 1 each. A draw is over 19 with a
     chance of 1e-19, and its hash has 40 bits, so the terms below leave nothing out.
     """
     total = df.agg(F.sum(weight).alias("_total"))
-    x = df.crossJoin(F.broadcast(total)).withColumn("_l", F.col(weight) * n / F.col("_total"))
+    x = df.crossJoin(F.broadcast(total)).withColumn("_l", F.col(weight) * n / F.col("_total"))  # one row
     x = x.withColumn("_m", F.greatest(F.lit(1), F.ceil("_l"))).where("_l > 0").withColumn("_r", F.col("_l") / F.col("_m")).withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m").cast("long"))))
-    rate = F.col("_r")  # below the explode, so the terms don't repeat its expression
-    u = F.pmod(F.xxhash64(key, F.lit(seed), "_d"), F.lit(1 << 40)) / float(1 << 40)
-    term, below, copies = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for k in range(1, 20):
-        copies = copies + F.when(u >= below, 1).otherwise(0)
-        term = term * rate / k
-        below = below + term
-    return x.withColumn("_n", copies).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", key, "_d", F.lit(seed)).cast("binary")), 1, 10), 16, 10).cast("long") / float(1 << 40)
+    x = x.withColumn("_u", u)
+    start = F.struct(F.exp(-F.col("_r")).alias("term"), F.exp(-F.col("_r")).alias("below"), F.lit(0).alias("n"))
+
+    def step(s, k):
+        term = s["term"] * F.col("_r") / k
+        return F.struct(term.alias("term"), (s["below"] + term).alias("below"), (s["n"] + F.when(F.col("_u") >= s["below"], 1).otherwise(0)).alias("n"))
+
+    x = x.withColumn("_n", F.aggregate(F.sequence(F.lit(1), F.lit(19)), start, step, lambda s: s["n"])).where("_n > 0")
+    return x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """The n rows with the smallest hash."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """The n rows with the smallest MD5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws("/", key, F.lit(seed)).cast("binary")), key).limit(n)
 
 
 def encode_alphabetical(df: DataFrame, column: str = "asset") -> DataFrame:

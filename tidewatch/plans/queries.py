@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import audit, bars, evaluate, events, features, model, parity, regimes, transform
 from ..sources import trades as io
 from ..streaming import live
-from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, read, rounded, trades
+from .views import BARS, DENSE, EVERY, FEATURES, SECONDS, TRADES, all_trades, cuts, labels, read, rounded, trades
 
 WIDTH = f"{SECONDS} seconds"
-#: Fixed dimension: two periods inside the events' month, as half-open ranges.
-EVENTS = [("first", "2024-01-05 00:00:00", "2024-01-07 00:00:00"), ("second", "2024-01-15 00:00:00", "2024-01-18 00:00:00")]
+#: Fixed dimension: periods as half-open ranges, two inside the events' month and one before any event.
+EVENTS = [("early", "2023-12-10 00:00:00", "2023-12-12 00:00:00"), ("first", "2024-01-05 00:00:00", "2024-01-07 00:00:00"), ("second", "2024-01-15 00:00:00", "2024-01-18 00:00:00")]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -57,17 +57,17 @@ def f_feature_table(spark, d):
     return _features(spark, d)
 
 
-@query(f"WITH {BARS} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt FROM bars")
+@query(f"WITH {BARS} SELECT asset, month, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt FROM bars")
 def b_bars(spark, d):
     return _bars(spark, d).withColumns({c: F.round(c, 1) for c in ("mean_dt", "std_dt")})
 
 
-@query(f"WITH {DENSE} SELECT asset, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt, round(dp, 6) AS dp, sv FROM deltas")
+@query(f"WITH {DENSE} SELECT asset, month, time, v_buy, v_sell, n_buy, n_sell, volume, round(quote, 6) AS quote, price, round(rv, 6) AS rv, round(abs_r, 6) AS abs_r, round(mean_dt, 1) AS mean_dt, round(std_dt, 1) AS std_dt, round(dp, 6) AS dp, sv FROM deltas")
 def b_densify_deltas(spark, d):
     return bars.bar_deltas(_dense(spark, d)).withColumns({c: F.round(c, 1) for c in ("mean_dt", "std_dt")})
 
 
-@query(f"WITH {TRADES} SELECT asset, id, time, round(greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER w, 0.0))), 6) AS r, epoch_us(time) - lag(epoch_us(time)) OVER w AS dt, CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END AS v_buy FROM trades WINDOW w AS (PARTITION BY asset ORDER BY time, id)")
+@query(f"WITH {TRADES} SELECT asset, id, time, round(greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER w, 0.0))), 6) AS r, epoch_us(time) - lag(epoch_us(time)) OVER w AS dt, CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END AS v_buy FROM trades WINDOW w AS (PARTITION BY asset, month ORDER BY time, id)")
 def b_tick_columns(spark, d):
     t = bars.inter_trade_time(bars.log_return(bars.signed_flow(trades(spark, d))))
     return t.select("asset", "id", "time", "r", "dt", "v_buy")
@@ -87,27 +87,61 @@ def b_resample_mode(spark, d):
 _F = f"f AS ({FEATURES})"
 
 
-@query(f"""WITH {DENSE}, {_F}, j AS (SELECT x.asset, x.time, x.OFI_21600s AS a, y.OFI_21600s AS b, x.OFI_108000s AS c, y.OFI_108000s AS e FROM f x LEFT JOIN f y ON y.asset = 'click' AND x.time = y.time WHERE x.asset = 'view'),
-k AS (SELECT *, lag(b) OVER (ORDER BY time) AS b1 FROM j)
+@query(f"""WITH {DENSE}, {_F}, j AS (SELECT x.asset, x.month, x.time, x.OFI_21600s AS a, y.OFI_21600s AS b, x.OFI_108000s AS c, y.OFI_108000s AS e FROM f x LEFT JOIN f y ON y.asset = 'click' AND x.time = y.time WHERE x.asset = 'view'),
+k AS (SELECT *, lag(b) OVER (PARTITION BY month ORDER BY time) AS b1 FROM j)
 SELECT asset, time, round(coalesce(CASE WHEN count(a + b) OVER w6 = 6 AND stddev_samp(a) OVER w6 > 1e-12 AND stddev_samp(b) OVER w6 > 1e-12 THEN covar_samp(a, b) OVER w6 / (stddev_samp(a) OVER w6 * stddev_samp(b) OVER w6) END, 0.0), 4) AS same_bar,
 round(coalesce(CASE WHEN count(c + e) OVER w30 = 30 AND stddev_samp(c) OVER w30 > 1e-12 AND stddev_samp(e) OVER w30 > 1e-12 THEN covar_samp(c, e) OVER w30 / (stddev_samp(c) OVER w30 * stddev_samp(e) OVER w30) END, 0.0), 4) AS long_bar,
 round(coalesce(CASE WHEN count(a + b1) OVER w6 = 6 AND stddev_samp(a) OVER w6 > 1e-12 AND stddev_samp(b1) OVER w6 > 1e-12 THEN covar_samp(a, b1) OVER w6 / (stddev_samp(a) OVER w6 * stddev_samp(b1) OVER w6) END, 0.0), 4) AS lead_lag
-FROM k WINDOW w6 AS (ORDER BY time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w30 AS (ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+FROM k WINDOW w6 AS (PARTITION BY month ORDER BY time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def f_contagion(spark, d):
     f = rounded(_features(spark, d))
     x = features.contagion_plan(f, (("click", "view"),), short=f"OFI_{6 * SECONDS}s", long=f"OFI_{30 * SECONDS}s")["view"]
     return x.select("asset", "time", *(F.round(f"{a}_click", 4).alias(b) for a, b in (("OFI_corr_60s", "same_bar"), ("OFI_corr_300s", "long_bar"), ("Lead_Lag_60s", "lead_lag"))))
 
 
-@query(f"""WITH {TRADES}, r AS (SELECT *, greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER (PARTITION BY asset ORDER BY time, id), 0.0))) AS r FROM trades),
-a AS (SELECT asset, max(time) AS time FROM trades GROUP BY asset, date_trunc('day', time))
-SELECT a.asset, a.time, count(*) AS n_trades, round(sum(CASE WHEN is_buyer_maker THEN -qty ELSE qty END) / (sum(qty) + 1e-8), 6) AS OFI, round(count(*) / 86400.0, 6) AS intensity,
-round(sum(quote_qty) / (sum(qty) + 1e-8), 6) AS VWAP, round(sum(abs(r)) / (sum(qty) + 1e-8), 6) AS ILLIQ, round(sqrt(sum(r * r)), 6) AS RV
-FROM a JOIN r ON a.asset = r.asset AND r.time BETWEEN a.time - INTERVAL 86400 SECOND AND a.time GROUP BY a.asset, a.time""")
+SCALES = tuple(k * SECONDS for k in features.SCALES)
+
+
+def _live_sql() -> str:
+    """From anchors a (asset, time): live (asset, time, n_trades and all live features, not rounded)."""
+    bar, span = SCALES[0], SCALES[-1] + SCALES[0]
+    kinds = {"v_buy": "CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END", "v_sell": "CASE WHEN is_buyer_maker THEN qty ELSE 0.0 END", "n_buy": "(NOT is_buyer_maker)::INT", "n_sell": "is_buyer_maker::INT", "volume": "qty", "quote": "quote_qty", "abs_r": "abs(r)", "rr": "r * r"}
+    inside = {x: f"us >= z - {x * 1_000_000}" for x in SCALES}
+    sums = [f"(CASE WHEN count(*) FILTER ({inside[x]}) >= 2 THEN sum({e}) FILTER ({inside[x]}) ELSE sum({e}) END)::DOUBLE AS {c}_{x}" for x in SCALES for c, e in kinds.items()]
+    out = []
+    for x in SCALES:
+        vwap = f"(quote_{x} / (volume_{x} + 1e-8))"
+        out += [
+            f"(v_buy_{x} - v_sell_{x}) / (v_buy_{x} + v_sell_{x} + 1e-8) AS OFI_{x}s", f"(n_buy_{x} - n_sell_{x}) / (n_buy_{x} + n_sell_{x} + 1e-8) AS TCI_{x}s", f"(n_buy_{x} + n_sell_{x}) / {x} AS intensity_{x}s",
+            f"{vwap} AS VWAP_{x}s", f"(price - {vwap}) / ({vwap} + 1e-8) AS VWAP_dev_{x}s", f"abs_r_{x} / (volume_{x} + 1e-8) AS ILLIQ_{x}s", f"sqrt(rr_{x}) AS RV_{x}s",
+        ]
+    lambdas = []
+    for x in SCALES[1:]:
+        late = f"FILTER (k >= {(span - x) // bar})"
+        sp, ss = f"stddev_samp(dp) {late}", f"stddev_samp(sv) {late}"
+        lambdas.append(f"coalesce(CASE WHEN {sp} > 1e-12 AND {ss} > 1e-12 THEN covar_samp(dp, sv) {late} / ({sp} * {ss}) * {sp} / ({ss} + 1e-8) END, 0.0) AS Kyle_lambda_{x}s")
+    near = f"FILTER ({inside[bar]})"
+    return f"""ret AS (SELECT *, epoch_us(time) AS us, greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER (PARTITION BY asset, month ORDER BY time, id), 0.0))) AS r FROM trades),
+    j AS (SELECT a.asset, a.time, epoch_us(a.time) AS z, us, id, price, qty, quote_qty, is_buyer_maker, r, (us - lag(us) OVER (PARTITION BY a.asset, a.time ORDER BY us, id))::DOUBLE AS gap FROM a JOIN ret ON ret.asset = a.asset AND us <= epoch_us(a.time) AND us > epoch_us(a.time) - {span * 1_000_000}),
+    sums AS (SELECT asset, time, count(*) AS n_trades, last(price ORDER BY us, id) AS price, avg(gap) {near} AS mean_dt, stddev_samp(gap) {near} AS std_dt, {", ".join(sums)} FROM j GROUP BY asset, time),
+    flow AS (SELECT asset, time, (us - (z - {span * 1_000_000}) - 1) // {bar * 1_000_000} AS k, sum({kinds["v_buy"]} - {kinds["v_sell"]})::DOUBLE AS sv, first(price ORDER BY us, id) AS first, last(price ORDER BY us, id) AS last FROM j GROUP BY ALL),
+    g AS (SELECT asset, time, unnest(generate_series(0, {span // bar - 1})) AS k FROM sums),
+    carried AS (SELECT g.asset, g.time, g.k, coalesce(sv, 0.0) AS sv, coalesce(last_value(last IGNORE NULLS) OVER (PARTITION BY g.asset, g.time ORDER BY g.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(first IGNORE NULLS) OVER (PARTITION BY g.asset, g.time ORDER BY g.k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p
+      FROM g LEFT JOIN flow ON g.asset = flow.asset AND g.time = flow.time AND g.k = flow.k),
+    steps_k AS (SELECT *, p - lag(p) OVER (PARTITION BY asset, time ORDER BY k) AS dp FROM carried),
+    kyle AS (SELECT asset, time, {", ".join(lambdas)} FROM steps_k GROUP BY asset, time),
+    live AS (SELECT s.asset, s.time, n_trades, price, volume_{bar} AS volume, sqrt(rr_{bar}) AS rv, {", ".join(out)}, {", ".join(f"Kyle_lambda_{x}s" for x in SCALES[1:])}, coalesce(std_dt / (mean_dt + 1e-8), 0.0) AS CV_dt_{bar}s FROM sums s JOIN kyle USING (asset, time))"""
+
+
+LIVE = _live_sql()
+LIVE_NAMES = features.live_names(SCALES)
+
+
+@query(f"""WITH {TRADES}, a AS (SELECT asset, max(time) AS time FROM trades GROUP BY asset, date_trunc('day', time)), {LIVE}
+SELECT asset, time, n_trades, {", ".join(f"round({c}, 6) AS {c}" for c in [*LIVE_NAMES, f"CV_dt_{SECONDS}s"])} FROM live""")
 def f_features_at(spark, d):
     t = trades(spark, d)
-    anchors = parity.snap_anchor(t, "1 day").select("asset", F.col("anchor").alias("time"))
-    return features.features_at(t, anchors, 86400)
+    return features.features_at(t, parity.snap_anchor(t, "1 day").select("asset", F.col("anchor").alias("time")), SCALES)
 
 
 @query(f"""WITH {TRADES}, a AS (SELECT asset, max(time) AS anchor FROM trades GROUP BY asset), g AS (SELECT asset, anchor, unnest(generate_series(0, 30)) AS k FROM a),
@@ -119,43 +153,73 @@ def f_anchored_bars(spark, d):
     return features.anchored_bars(t, t.groupBy("asset").agg(F.max("time").alias("time")), 31, SECONDS)
 
 
-@query(f"""WITH {TRADES} SELECT asset, count(DISTINCT time::DATE) AS days, count(*) AS trades, count(*) - count(DISTINCT id) AS duplicates, count(*) FILTER (price <= 0) AS bad_price, count(*) FILTER (price > 1e7) AS huge_price,
-count(*) FILTER (qty <= 0) AS bad_qty, count(*) FILTER (id IS NULL OR time IS NULL) AS null_keys, min(time) AS first_time, max(time) AS last_time FROM trades GROUP BY asset""")
+@query(f"""WITH {EVERY} SELECT asset, count(DISTINCT time::DATE) AS days, count(*) AS trades, count(*) - count(DISTINCT id) AS duplicates, count(*) FILTER (price IS NULL OR price <= 0) AS bad_price, count(*) FILTER (price > 1e7) AS huge_price,
+count(*) FILTER (qty IS NULL OR qty <= 0) AS bad_qty, count(*) FILTER (id IS NULL OR time IS NULL) AS null_keys, min(time) AS first_time, max(time) AS last_time FROM trades GROUP BY asset""")
 def q_trade_summary(spark, d):
-    return audit.trade_summary(trades(spark, d))
+    return audit.trade_summary(all_trades(spark, d))
 
 
-@query(f"WITH {TRADES} SELECT asset, time::DATE AS day, count(*) AS trades FROM trades GROUP BY 1, 2 HAVING count(*) < 60")
+@query(f"WITH {EVERY} SELECT asset, time::DATE AS day, count(*) AS trades FROM trades GROUP BY 1, 2 HAVING count(*) < 60")
 def q_low_count_days(spark, d):
-    return audit.low_count_days(trades(spark, d), 60)
+    return audit.low_count_days(all_trades(spark, d), 60)
 
 
-@query(f"""WITH {TRADES}, d AS (SELECT DISTINCT asset, time::DATE AS day FROM trades), m AS (SELECT DISTINCT asset, date_trunc('month', day)::DATE AS m FROM d),
+@query(f"""WITH {EVERY}, d AS (SELECT DISTINCT asset, time::DATE AS day FROM trades), m AS (SELECT DISTINCT asset, date_trunc('month', day)::DATE AS m FROM d),
 c AS (SELECT asset, unnest(generate_series(m, last_day(m), INTERVAL 1 DAY))::DATE AS day FROM m) SELECT c.asset, c.day FROM c ANTI JOIN d ON c.asset = d.asset AND c.day = d.day""")
 def q_missing_days(spark, d):
-    return audit.missing_days(trades(spark, d))
+    return audit.missing_days(all_trades(spark, d))
 
 
-@query("""WITH e AS (SELECT p AS asset, unnest(generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH))::DATE AS month FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)),
-h AS (SELECT DISTINCT o_orderpriority AS asset, date_trunc('month', o_orderdate)::DATE AS month FROM orders) SELECT asset, month FROM e ANTI JOIN h USING (asset, month)""")
+_MONTHS = """l AS (SELECT o_orderpriority AS asset, strftime(max(o_orderdate) - INTERVAL 60 MONTH, '%Y-%m') AS listed FROM orders GROUP BY 1),
+e AS (SELECT asset, m AS month FROM l, (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1994-06-01', INTERVAL 1 MONTH))::DATE AS m UNION ALL SELECT unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH))::DATE) WHERE strftime(m, '%Y-%m') >= listed)"""
+
+
+def _expected(spark, d):
+    listed = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset")).agg(F.date_format(F.max("o_orderdate") - F.expr("interval 60 months"), "yyyy-MM").alias("listed"))
+    return audit.expected_months(listed, [("1992-01", "1994-06"), ("1998-01", "1998-12")])
+
+
+@query(f"WITH {_MONTHS} SELECT asset, month FROM e")
+def q_expected_months(spark, d):
+    return _expected(spark, d)
+
+
+@query(f"WITH {_MONTHS}, h AS (SELECT o_orderpriority AS asset, date_trunc('month', o_orderdate)::DATE AS month, count(*) * 100 AS bytes FROM orders GROUP BY 1, 2) SELECT asset, month FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.asset = e.asset AND h.month = e.month AND bytes >= 400)")
 def q_missing_partitions(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("asset"), F.trunc("o_orderdate", "month").alias("month")).distinct()
-    names = o.select("asset").distinct()
-    months = spark.sql("SELECT explode(sequence(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS month")
-    return audit.missing_partitions(names.join(F.broadcast(months), how="cross"), o)  # 84 months
+    present = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset"), F.trunc("o_orderdate", "month").alias("month")).agg((F.count(F.lit(1)) * 100).alias("bytes"))
+    return audit.missing_partitions(_expected(spark, d), present, 400)
 
 
-@query(f"WITH {TRADES}, i AS (SELECT asset, time::DATE AS day FROM trades GROUP BY 1, 2 HAVING count(*) < 60) SELECT count(*) AS issues, CASE WHEN count(*) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, greatest(0, 100 - 10 * count(*)) AS score FROM i")
+@query(f"WITH {EVERY}, i AS (SELECT asset, time::DATE AS day FROM trades GROUP BY 1, 2 HAVING count(*) < 60) SELECT count(*) AS issues, CASE WHEN count(*) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, greatest(0, 100 - 10 * count(*)) AS score FROM i")
 def q_quality_score(spark, d):
-    return audit.quality_score(audit.low_count_days(trades(spark, d), 60))
+    return audit.quality_score(audit.low_count_days(all_trades(spark, d), 60))
 
 
-@query(f"""WITH {TRADES}, s AS (SELECT *, id % 3 AS source FROM trades WHERE id % 3 = 0 OR epoch_us(time) % 2 = 0), e AS (SELECT asset, source, max(time) AS last FROM s GROUP BY 1, 2),
-a AS (SELECT *, max(last) OVER (PARTITION BY asset ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM e)
-SELECT s.asset, s.id, s.source FROM s JOIN a ON s.asset = a.asset AND s.source = a.source WHERE after IS NULL OR time > after""")
+#: Sources as a monthly file and two later ones that overlap what was there before.
+_SOURCES = [(0, "2024-01-01", "2024-01-12"), (1, "2024-01-10", "2024-01-21"), (2, "2024-01-19", "2024-02-01")]
+_STITCH = f"""WITH {TRADES}, src AS (SELECT * FROM (VALUES {", ".join(f"({k}, TIMESTAMP '{a}', TIMESTAMP '{z}')" for k, a, z in _SOURCES)}) v(source, a, z)), s AS (SELECT t.*, source FROM trades t JOIN src ON time >= a AND time < z),
+e AS (SELECT asset, source, max(time) AS last FROM s GROUP BY 1, 2), b AS (SELECT *, max(last) OVER (PARTITION BY asset ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM e)"""
+
+
+def _sources(spark, d):
+    rows = spark.createDataFrame(_SOURCES, "source int, a string, z string").select("source", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("a", "z")))
+    return trades(spark, d).join(F.broadcast(rows), (F.col("time") >= F.col("a")) & (F.col("time") < F.col("z"))).drop("a", "z")  # three sources
+
+
+@query(f"{_STITCH} SELECT s.asset, s.id, s.source::BIGINT AS source FROM s JOIN b ON s.asset = b.asset AND s.source = b.source WHERE after IS NULL OR time > after")
 def i_stitch_sources(spark, d):
-    t = trades(spark, d).withColumn("source", F.col("id") % 3).where((F.col("source") == 0) | (F.unix_micros(F.col("time").cast("timestamp")) % 2 == 0))
-    return io.stitch_sources(t).select("asset", "id", "source")
+    return io.stitch_sources(_sources(spark, d)).select("asset", "id", "source")
+
+
+@query(f"{_STITCH} SELECT asset, id, min(source)::BIGINT AS source FROM s GROUP BY 1, 2")
+def i_stitch_by_id(spark, d):
+    return io.stitch_sources(_sources(spark, d), by_id=True).select("asset", "id", "source")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_tax AS tax FROM lineitem WHERE (l_shipdate >= DATE '1993-02-01' AND l_shipdate < DATE '1993-06-01') OR (l_shipdate >= DATE '1996-11-01' AND l_shipdate < DATE '1997-02-01')")
+def i_scan_features(spark, d):
+    x = read(spark, d, "lineitem").withColumnsRenamed({"l_shipdate": "time", "l_orderkey": "k", "l_linenumber": "n", "l_tax": "tax"})
+    return io.scan_features(x, [("1993-02", "1993-05"), ("1996-11", "1997-01")], ["k", "n", "tax"])
 
 
 @query(f"WITH {TRADES} SELECT asset, id, price FROM trades WHERE asset = 'view' AND time > TIMESTAMP '2024-01-03' AND time <= TIMESTAMP '2024-01-09'")
@@ -195,13 +259,10 @@ def n_class_weights(spark, d):
     return transform.class_weights(_labels(spark, d))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, CASE WHEN l_tax = 0 OR l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END AS x FROM lineitem")
+@query("SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, round(CASE WHEN l_tax = 0 OR l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END, 6) AS x FROM lineitem")
 def n_nan_to_num(spark, d):
     x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(F.col("l_discount") == 0, float("inf")).when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_tax") / F.when(F.col("l_discount") != 0, F.col("l_discount"))).alias("x"))
-    return rounded(transform.nan_to_num(x, ["x"]))
-
-
-SQL["n_nan_to_num"] = "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, round(CASE WHEN l_tax = 0 OR l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END, 6) AS x FROM lineitem"
+    return transform.nan_to_num(x, ["x"])
 
 
 @query("WITH a AS (SELECT DISTINCT event_type AS asset FROM events), r AS (SELECT asset, row_number() OVER (ORDER BY asset) - 1 AS asset_id FROM a) SELECT event_id, r.asset, asset_id FROM events JOIN r ON event_type = r.asset")
@@ -265,22 +326,18 @@ def l_label_agreement(spark, d):
     return regimes.label_agreement(labels(x), other)
 
 
-@query()
-def l_hmm_labels(spark, d):
-    x = _dense(spark, d).select("asset", F.lit("2024-01").alias("month"), "time", "rv", "abs_r")
-    m = regimes.hmm_fit(x, ("rv", "abs_r"), seeds=2, rounds=5)
-    return regimes.hmm_decode(m, x, ("rv", "abs_r"))
-
-
 @query(f"""WITH {DENSE}, w AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-11'), (1, TIMESTAMP '2024-01-11', TIMESTAMP '2024-01-21'), (2, TIMESTAMP '2024-01-21', TIMESTAMP '2024-02-01')) v("window", start, stop)),
-j AS (SELECT lab.*, "window" AS win FROM lab JOIN w ON time >= start AND time < stop) SELECT asset, time, win AS "window", f.fold, CASE WHEN win = f.fold THEN 'test' ELSE 'train' END AS role FROM j, (SELECT unnest([1, 2])::BIGINT AS fold) f WHERE win <= f.fold""")
+j AS (SELECT lab.*, "window" AS win FROM lab JOIN w ON time >= start AND time < stop) SELECT asset, time, win::BIGINT AS "window", f.fold, CASE WHEN win = f.fold THEN 'test' ELSE 'train' END AS role FROM j, (SELECT unnest([1, 2])::BIGINT AS fold) f WHERE win <= f.fold""")
 def m_walk_forward(spark, d):
     rows = [(0, "2024-01-01", "2024-01-11"), (1, "2024-01-11", "2024-01-21"), (2, "2024-01-21", "2024-02-01")]
     w = spark.createDataFrame(rows, "window int, a string, z string").select("window", F.col("a").cast("timestamp_ntz").alias("start"), F.col("z").cast("timestamp_ntz").alias("stop"))
     return model.walk_forward(_labels(spark, d), w, [1, 2]).select("asset", "time", "window", "fold", "role")
 
 
-SQL["m_walk_forward"] = SQL["m_walk_forward"].replace('win AS "window"', 'win::BIGINT AS "window"')
+@query(f"WITH {DENSE}, {_F} SELECT f.asset, f.time, OFI_{6 * SECONDS}s AS OFI, RV_{6 * SECONDS}s AS RV, label FROM f JOIN lab ON f.asset = lab.asset AND f.time = lab.time")
+def m_feature_label_join(spark, d):
+    x = _features(spark, d).select("asset", "time", F.col(f"OFI_{6 * SECONDS}s").alias("OFI"), F.col(f"RV_{6 * SECONDS}s").alias("RV"))
+    return model.feature_label_join(x, _labels(spark, d).drop("price"))
 
 
 @query(f"WITH {DENSE} SELECT asset, time, label, round(list_sum(seq), 6) AS total FROM (SELECT asset, time, label, list(price) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS seq FROM lab) WHERE len(seq) = 60")
@@ -289,11 +346,15 @@ def m_sequences(spark, d):
     return s.select("asset", "time", "label", F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
+_AT = [(i, j) for i in range(4) for j in range(4)]
+
+
 @query(f"""WITH {DENSE}, s AS (SELECT asset, time, list(price) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS q FROM lab), m AS (SELECT asset, time, q, list_min(q) AS lo, CASE WHEN list_max(q) = list_min(q) THEN 1.0 ELSE list_max(q) - list_min(q) END AS span FROM s WHERE len(q) = 4),
-e AS (SELECT asset, time, 2 * (q[1] - lo) / span - 1 AS a, 2 * (q[4] - lo) / span - 1 AS b FROM m) SELECT asset, time, round(a * b - sqrt(greatest(0, 1 - a * a)) * sqrt(greatest(0, 1 - b * b)), 5) AS g FROM e""")
+e AS (SELECT asset, time, list_transform(q, lambda v: 2 * (v - lo) / span - 1) AS x FROM m)
+SELECT asset, time, {", ".join(f"round(x[{i + 1}] * x[{j + 1}] - sqrt(greatest(0, 1 - x[{i + 1}] * x[{i + 1}])) * sqrt(greatest(0, 1 - x[{j + 1}] * x[{j + 1}])), 5) AS g{i}{j}" for i, j in _AT)} FROM e""")
 def m_gasf(spark, d):
     s = model.sequences(_labels(spark, d), ["price"], 4).withColumn("g", model.gasf(F.flatten("seq")))
-    return s.select("asset", "time", F.round(F.col("g")[0][3], 5).alias("g"))
+    return s.select("asset", "time", *(F.round(F.col("g")[i][j], 5).alias(f"g{i}{j}") for i, j in _AT))
 
 
 @query(f"WITH {_RATERS} SELECT round(avg((y_true = y_pred)::INT), 6) AS fidelity FROM raters")
@@ -408,12 +469,14 @@ def e_period_rates(spark, d):
     return events.period_rates(_labels(spark, d), _events(spark), "3 days", "1 days", "4 days")
 
 
-@query("""WITH r AS (SELECT l_returnflag AS k, avg((l_tax > 0.04)::INT) FILTER (l_linestatus = 'F') AS p1, count(*) FILTER (l_linestatus = 'F') AS n1, avg((l_tax > 0.04)::INT) FILTER (l_orderkey % 2 = 0) AS p2, count(*) FILTER (l_orderkey % 2 = 0) AS n2 FROM lineitem GROUP BY 1),
-q AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN (p1 * n1 + p2 * n2) / (n1 + n2) END AS pool FROM r) SELECT k, round((p1 - p2) / nullif(sqrt(pool * (1 - pool) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n2, 0))), 0), 6) AS z FROM q""")
+@query("""WITH r AS (SELECT l_returnflag AS k, avg((l_tax > 0.04)::INT) FILTER (l_linestatus = 'F') AS p1, count(*) FILTER (l_linestatus = 'F') AS n1, avg((l_tax > 0.04)::INT) FILTER (l_quantity > 25) AS p2, count(*) FILTER (l_quantity > 25) AS n2 FROM lineitem GROUP BY 1),
+q AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN (p1 * n1 + p2 * n2) / (n1 + n2) END AS pool FROM r), z AS (SELECT k, (p1 - p2) / nullif(sqrt(pool * (1 - pool) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n2, 0))), 0) AS z FROM q),
+t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z), p AS (SELECT k, z, 2 * exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS p FROM t)
+SELECT k, round(z, 6) AS z, round(p, 5) AS p_value, p < 0.01 AS significant FROM p""")
 def e_proportion_z(spark, d):
     hit = (F.col("l_tax") > 0.04).cast("double")
-    r = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.avg(F.when(F.col("l_linestatus") == "F", hit)).alias("p1"), F.count_if(F.col("l_linestatus") == "F").alias("n1"), F.avg(F.when(F.col("l_orderkey") % 2 == 0, hit)).alias("p2"), F.count_if(F.col("l_orderkey") % 2 == 0).alias("n2"))
-    return events.proportion_z_test(r).select("k", "z")
+    r = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.avg(F.when(F.col("l_linestatus") == "F", hit)).alias("p1"), F.count_if(F.col("l_linestatus") == "F").alias("n1"), F.avg(F.when(F.col("l_quantity") > 25, hit)).alias("p2"), F.count_if(F.col("l_quantity") > 25).alias("n2"))
+    return events.proportion_z_test(r).select("k", "z", F.round("p_value", 5).alias("p_value"), "significant")
 
 
 @query(f"WITH {DENSE}, t AS (SELECT time, min((label = 2)::INT) AS lo, max((label = 2)::INT) AS hi FROM lab GROUP BY time HAVING count(*) = 5) SELECT count(*) AS n, round(avg(lo) * 100, 6) AS pct_all, round(avg(hi) * 100, 6) AS pct_any FROM t")
@@ -427,6 +490,15 @@ def e_cohens_kappa(spark, d):
     return events.cohens_kappa(read(spark, d, "labels"), a="quality", b="toxic")
 
 
+@query("""WITH s AS (SELECT l_orderkey AS k, count(*) AS n, avg(((l_tax > 0.04) = (l_discount > 0.05))::INT) AS po, avg((l_tax > 0.04)::INT) AS x, avg((l_discount > 0.05)::INT) AS y FROM lineitem GROUP BY 1), e AS (SELECT *, x * y + (1 - x) * (1 - y) AS pe FROM s),
+v AS (SELECT k, n, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 0.0 END, 6) AS kappa FROM e)
+SELECT k, n, kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM v""")
+def e_kappa_band(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_tax") > 0.04).cast("int").alias("a"), (F.col("l_discount") > 0.05).cast("int").alias("b"))
+    x = events.cohens_kappa(x, "k").select("k", "n", F.round("kappa", 6).alias("kappa"))
+    return x.withColumn("band", events.kappa_band(F.col("kappa")))
+
+
 @query(f"WITH {DENSE} SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)")
 def e_drawdown(spark, d):
     return events.drawdown(_dense(spark, d).select("asset", "time", "price")).select("asset", "time", "drawdown")
@@ -450,8 +522,8 @@ def e_exclude_windows(spark, d):
 
 
 @query(f"""WITH {DENSE}, n AS (SELECT *, CASE WHEN lag(label) OVER w IS NULL OR lag(label) OVER w <> label OR time - lag(time) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM lab WINDOW w AS (PARTITION BY asset ORDER BY time)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY asset ORDER BY time) AS run FROM n), g AS (SELECT asset, run, min(time) AS start, max(time) AS "end", count(*) AS length FROM r WHERE label = 2 GROUP BY asset, run HAVING count(*) >= 2)
-SELECT asset, start, "end", length, row_number() OVER (PARTITION BY asset ORDER BY length DESC, start) AS rank FROM g QUALIFY rank <= 5""")
+r AS (SELECT *, sum(new) OVER (PARTITION BY asset ORDER BY time) AS run FROM n), g AS (SELECT asset, run, min(time) AS start, max(time) AS "end", count(*) AS length, avg(price) AS mean_price FROM r WHERE label = 2 GROUP BY asset, run HAVING count(*) >= 2)
+SELECT asset, start, "end", length, round(mean_price, 6) AS mean_price, row_number() OVER (PARTITION BY asset ORDER BY length DESC, start) AS rank FROM g QUALIFY rank <= 5""")
 def e_stress_runs(spark, d):
     return events.stress_runs(_labels(spark, d), SECONDS, 2)
 
@@ -464,10 +536,13 @@ def e_validator_kappa(spark, d):
 
 
 def _probs(spark, d):
-    return _dense(spark, d).select("asset", "time", "price", (F.col("rv") / (F.col("rv") + 0.2)).alias("prob"))
+    """A stand-in for a model's probability of stress: over 0.85 for the bars that are labelled 2."""
+    x = _dense(spark, d)
+    prob = F.when(F.col("tense") > 0, F.least(F.lit(1.0), F.col("rv") / F.col("tense") * 0.9)).otherwise(0.0)
+    return x.join(F.broadcast(cuts(x)), "asset").select("asset", "time", "price", prob.alias("prob"))  # a row an asset
 
 
-_PROB = "pr AS (SELECT asset, time, price, rv / (rv + 0.2) AS prob FROM dense)"
+_PROB = "pr AS (SELECT dense.asset, time, price, CASE WHEN tense > 0 THEN least(1.0, rv / tense * 0.9) ELSE 0.0 END AS prob FROM dense JOIN cut ON dense.asset = cut.asset)"
 
 
 @query(f"WITH {DENSE}, {_PROB}, x AS (SELECT *, min(prob) OVER w AS lo, count(prob) OVER w AS n FROM pr WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) SELECT asset, min(time) AS signal FROM x WHERE lo > 0.85 AND n = 2 GROUP BY asset")
@@ -485,10 +560,19 @@ def e_lead_time(spark, d):
     return events.lead_time(p, e)
 
 
-@query()
+BLOCK, REPS = 24, 10_000
+
+
+@query(f"""WITH {DENSE}, {_EV}, pre AS (SELECT name, asset, time, (label = 2)::INT AS flag FROM lab JOIN ev ON time >= onset - INTERVAL 30 DAY AND time < onset), crisis AS (SELECT name, asset, count(*) AS m, avg((label = 2)::INT) AS observed FROM lab JOIN ev ON time >= onset AND time < crisis_end GROUP BY 1, 2),
+x AS (SELECT name, asset, flag, row_number() OVER w - 1 AS i, coalesce(sum(flag) OVER (PARTITION BY name, asset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pre WINDOW w AS (PARTITION BY name, asset ORDER BY time)),
+n AS (SELECT name, asset, count(*) AS n, sum(flag) AS total, avg(flag) AS pre_rate FROM x GROUP BY 1, 2), t AS (SELECT * FROM n JOIN crisis USING (name, asset)),
+r AS (SELECT *, unnest(generate_series(0, {REPS} - 1)) AS rep FROM t), k AS (SELECT *, unnest(generate_series(0, (m + {BLOCK} - 1) // {BLOCK} - 1)) AS k FROM r),
+dr AS (SELECT *, ('0x' || substr(md5(concat_ws('/', name, asset, rep, k, 1)), 1, 15))::BIGINT % n AS a, least({BLOCK}, m - {BLOCK} * k) AS len FROM k),
+s AS (SELECT dr.name, dr.asset, rep, sum(y.before + (a + len) // n * total - x.before) / any_value(m)::DOUBLE AS rate FROM dr JOIN x ON x.name = dr.name AND x.asset = dr.asset AND x.i = a JOIN x y ON y.name = dr.name AND y.asset = dr.asset AND y.i = (a + len) % n GROUP BY 1, 2, 3),
+b AS (SELECT name, asset, avg(rate) AS null_mean, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi, greatest(avg((rate >= observed)::INT), {1 / REPS}) AS p FROM s JOIN t USING (name, asset) GROUP BY 1, 2)
+SELECT name, asset, n AS n_pre, m AS n_sample, round(pre_rate, 6) AS pre_rate, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_value, p < 0.05 AS significant FROM b JOIN t USING (name, asset)""")
 def e_block_bootstrap(spark, d):
-    x = _labels(spark, d).where("asset = 'view'").select("time", (F.col("label") == 2).cast("int").alias("flag"))
-    return events.block_bootstrap(spark, x, 24, 500)
+    return events.bootstrap_test(_labels(spark, d), _events(spark), BLOCK, REPS)
 
 
 @query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr)
@@ -498,12 +582,22 @@ def s_warning_state(spark, d):
     return x.select("asset", "time", "prob", live.regime(F.col("prob")).alias("regime"), "consecutive_bars", "warning_active")
 
 
-@query(f"""WITH {TRADES}, o AS (SELECT asset, date_trunc('minute', time) AS bar, min(price) AS low, last(price ORDER BY time, id) AS close FROM trades GROUP BY 1, 2), w AS (SELECT asset, time, price FROM trades WHERE id % 7 = 0),
-s AS (SELECT w.asset, w.time, w.price, min(low) / w.price - 1 AS lo, arg_max(close, bar) / w.price - 1 AS en FROM w JOIN o ON o.asset = w.asset AND bar > w.time AND bar <= w.time + INTERVAL 300 MINUTE GROUP BY 1, 2, 3)
-SELECT asset, time, price, round(lo * 100, 6) AS min_change_pct, round(en * 100, 6) AS end_change_pct, CASE WHEN lo <= -0.003 AND en <= -0.003 THEN 'STRESS_CONFIRMED' WHEN lo <= -0.003 THEN 'STRESS_ABSORBED' WHEN en >= 0.003 THEN 'PRICE_PUMPED' ELSE 'FALSE_POSITIVE' END AS outcome FROM s""")
+_WARNED = "w AS (SELECT asset, time, price FROM (SELECT *, sum(hit) OVER (PARTITION BY asset, g ORDER BY time) AS c FROM (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr)) WHERE c >= 2)"
+
+
+def _outcomes(minutes: int) -> str:
+    return f"""o AS (SELECT asset, date_trunc('minute', time) AS bar, min(price) AS low, last(price ORDER BY time, id) AS close FROM trades GROUP BY 1, 2),
+    s AS (SELECT w.asset, w.time, w.price, min(low) / w.price - 1 AS lo, arg_max(close, bar) / w.price - 1 AS en FROM w LEFT JOIN o ON o.asset = w.asset AND bar > w.time AND bar <= w.time + INTERVAL {minutes} MINUTE GROUP BY 1, 2, 3)
+    SELECT asset, time, round(price, 6) AS price, round(lo * 100, 6) AS min_change_pct, round(en * 100, 6) AS end_change_pct, CASE WHEN lo IS NULL THEN NULL WHEN lo <= -0.003 AND en <= -0.003 THEN 'STRESS_CONFIRMED' WHEN lo <= -0.003 THEN 'STRESS_ABSORBED' WHEN en >= 0.003 THEN 'PRICE_PUMPED' ELSE 'FALSE_POSITIVE' END AS outcome FROM s"""
+
+
+def _warned(spark, d):
+    return live.warning_state(_probs(spark, d)).where("warning_active").select("asset", "time", "price")
+
+
+@query(f"WITH {DENSE}, {_PROB}, {_WARNED}, {_outcomes(30)}")
 def s_resolve_outcomes(spark, d):
-    t = trades(spark, d)
-    return live.resolve_outcomes(t.where("id % 7 = 0"), t, 300)
+    return live.resolve_outcomes(_warned(spark, d), trades(spark, d))
 
 
 @query(f"WITH {TRADES} SELECT asset, date_trunc('hour', time) AS bar, max(time) AS anchor FROM trades GROUP BY 1, 2")
@@ -511,14 +605,38 @@ def v_snap_anchor(spark, d):
     return parity.snap_anchor(trades(spark, d), WIDTH)
 
 
-@query()
-def v_parity_summary(spark, d):
+def _ledger_sql() -> str:
+    sides = lambda name: " UNION ALL ".join(f"SELECT asset, bar, '{c}' AS feature, {c}::DOUBLE AS v FROM {name}" for c in LIVE_NAMES)
+    ten = ", ".join(f"'{c}'" for c in LIVE_NAMES if c.endswith(f"_{SECONDS}s") or c in ("volume", "rv"))
+    signed = ", ".join(f"'{c}_{SECONDS}s'" for c in ("OFI", "TCI", "VWAP_dev"))
+    ratio = ", ".join(f"'{c}'" for c in (f"OFI_{SCALES[1]}s", f"TCI_{SCALES[1]}s", f"Kyle_lambda_{SCALES[1]}s", f"Kyle_lambda_{SCALES[2]}s"))
+    return f"""f AS ({FEATURES}), a AS (SELECT asset, max(time) AS time FROM trades GROUP BY asset, date_trunc('hour', time)), {LIVE},
+    off AS (SELECT *, time AS bar FROM f), liv AS (SELECT *, date_trunc('hour', time) AS bar FROM live), ol AS ({sides("off")}), ll AS ({sides("liv")}),
+    v AS (SELECT asset, bar, feature, round(ol.v, 6) AS x, round(ll.v, 6) AS y FROM ol JOIN ll USING (asset, bar, feature) WHERE ol.v IS NOT NULL AND ll.v IS NOT NULL),
+    dd AS (SELECT *, abs(x - y) AS ab, abs(x - y) / (abs(x) + 1e-10) AS rel, abs(x) > 0.1 AND abs(y) > 0.1 AND sign(x) <> sign(y) AS flip FROM v),
+    ledger AS (SELECT asset, bar, feature, x, y, ab, rel, CASE WHEN rel < 1e-6 OR ab < 1e-4 THEN 'OK' WHEN feature IN ({signed}) OR feature IN ({ratio}) THEN CASE WHEN flip THEN 'FAIL sign' ELSE 'NOTE noise' END
+      WHEN feature IN ({ten}) THEN CASE WHEN rel > 1 THEN 'FAIL apart' ELSE 'NOTE noise' END WHEN rel < 0.05 THEN 'NOTE close' ELSE 'FAIL apart' END AS status FROM dd)"""
+
+
+_LEDGER = _ledger_sql()
+
+
+def _ledger(spark, d):
     t = trades(spark, d)
-    names = ["OFI", "VWAP", "RV"]
-    offline = _features(spark, d).select("asset", "time", F.col(f"OFI_{6 * SECONDS}s").alias("OFI"), F.col(f"VWAP_{6 * SECONDS}s").alias("VWAP"), F.col(f"RV_{6 * SECONDS}s").alias("RV"))
-    ends = offline.select("asset", F.col("time").alias("bar"), (F.col("time") + F.expr(f"interval {SECONDS} seconds") - F.expr("interval 1 microsecond")).alias("time"))
-    lively = features.features_at(t, ends.select("asset", "time"), 6 * SECONDS).join(ends, ["asset", "time"]).select("asset", F.col("bar").alias("time"), *names)
-    return parity.parity_summary(parity.parity_ledger(offline, lively, names))
+    ends = parity.snap_anchor(t, WIDTH)
+    lively = features.features_at(t, ends.select("asset", F.col("anchor").alias("time")), SCALES)
+    lively = lively.join(ends.withColumnRenamed("anchor", "time"), ["asset", "time"]).drop("time").withColumnRenamed("bar", "time")
+    return parity.parity_ledger(rounded(_features(spark, d)), rounded(lively), LIVE_NAMES, SCALES)
+
+
+@query(f"WITH {DENSE}, {_LEDGER} SELECT asset, bar AS time, feature, x AS offline_value, y AS live_value, round(ab, 6) AS abs_diff, status FROM ledger")
+def v_parity_ledger(spark, d):
+    return _ledger(spark, d).drop("rel_diff_pct")
+
+
+@query(f"WITH {DENSE}, {_LEDGER} SELECT feature, count(*) AS n, round(max(ab), 6) AS max_abs_diff, count(*) FILTER (status LIKE 'OK%') AS ok, count(*) FILTER (status LIKE 'NOTE%') AS note, count(*) FILTER (status LIKE 'FAIL%') AS fail FROM ledger GROUP BY feature")
+def v_parity_summary(spark, d):
+    return parity.parity_summary(_ledger(spark, d)).drop("max_rel_diff_pct")
 
 
 @query(f"""WITH {DENSE}, {_EV}, p AS (SELECT name, asset, label, CASE WHEN time >= onset AND time < crisis_end THEN 'crisis' WHEN time >= onset - INTERVAL 3 DAY AND time < onset THEN 'pre' WHEN time >= crisis_end + INTERVAL 1 DAY AND time < crisis_end + INTERVAL 4 DAY THEN 'post' END AS period FROM lab, ev),
@@ -601,10 +719,10 @@ def m_purge_binarize(spark, d):
     return model.binarize(model.purge(x, rows=30)).select("asset", "time", "role", "y")
 
 
-@query("""WITH s AS (SELECT user_id AS k, count(*) AS n, avg((event_type = 'view')::INT) AS a FROM events GROUP BY 1) SELECT k, CASE WHEN a >= 0.9 THEN 'STRONG' WHEN a >= 0.8 THEN 'MODERATE' ELSE 'WEAK' END AS agreement_band, CASE WHEN a - 0.2 > 0.02 THEN 'BETTER' WHEN a - 0.2 < -0.02 THEN 'WORSE' ELSE 'SAME' END AS delta_band, CASE WHEN n < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM s""")
+@query("""WITH s AS (SELECT user_id AS k, count(*) AS n, avg((value < 90)::INT) AS a FROM events GROUP BY 1) SELECT k, CASE WHEN a >= 0.9 THEN 'STRONG' WHEN a >= 0.8 THEN 'MODERATE' ELSE 'WEAK' END AS agreement_band, CASE WHEN a - 0.8 > 0.02 THEN 'BETTER' WHEN a - 0.8 < -0.02 THEN 'WORSE' ELSE 'SAME' END AS delta_band, CASE WHEN n < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM s""")
 def a_verdict_bands(spark, d):
-    s = read(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "view").cast("double")).alias("a"))
-    return s.select("k", evaluate.verdict_bands(F.col("a")).alias("agreement_band"), evaluate.verdict_bands(None, F.col("a") - 0.2).alias("delta_band"), live.thin_guard(F.col("n")).alias("status"))
+    s = read(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") < 90).cast("double")).alias("a"))
+    return s.select("k", evaluate.verdict_bands(F.col("a")).alias("agreement_band"), evaluate.verdict_bands(None, F.col("a") - 0.8).alias("delta_band"), live.thin_guard(F.col("n")).alias("status"))
 
 
 @query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr),

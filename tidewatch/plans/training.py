@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, evaluate, model, regimes, transform
+from ..operators import audit, bars, evaluate, model, regimes, transform
 from ..streaming import live
-from .queries import _PROB, _SUM, _W, _dense, _features, _labels, _probs, query
-from .views import BARS, DENSE, SECONDS, TRADES, labels, read, shared, trades
+from .queries import _PROB, _SUM, _W, _WARNED, SCALES, _dense, _features, _labels, _outcomes, _probs, _warned, query
+from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, read, shared, trades
+
 
-HOURS = 6
 INPUTS = [f"{c}_{6 * SECONDS}s" for c in ("OFI", "TCI", "intensity", "RV")]
 _KINDS = {"event_type": "long", "user_id": "long", "value": "double", "props": "double"}
 _BAD = " UNION ALL ".join(f"SELECT 'events.parquet' AS file, '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS {'BIGINT' if t == 'long' else 'DOUBLE'}) IS NULL) AS bad_values FROM events" for c, t in _KINDS.items())
@@ -32,14 +32,21 @@ def d_find_min_d(spark, d):
     return transform.find_min_d(_dense(spark, d).select("asset", "time", "price"), "price", least=1e-2)
 
 
-@query()
+_RESAMPLED = 20_000
+
+
+@query(f"""WITH {DENSE}, c AS (SELECT label, (SELECT count(*) FROM lab) / (3.0::DOUBLE * count(*)) AS weight FROM lab GROUP BY label), x AS (SELECT lab.*, asset || '/' || strftime(time, '%Y-%m-%d %H:%M:%S') AS key, weight FROM lab JOIN c ON lab.label = c.label),
+l AS (SELECT label, key, weight * {_RESAMPLED} / (SELECT sum(weight) FROM x) AS l FROM x), m AS (SELECT *, greatest(1, ceil(l))::BIGINT AS m FROM l), d AS (SELECT label, key, l / m AS r, unnest(generate_series(1, m)) AS d FROM m),
+u AS (SELECT label, key, r, ('0x' || substr(md5(concat_ws('/', key, d, 0)), 1, 10))::BIGINT / {float(1 << 40)} AS u FROM d),
+n AS (SELECT label, key, sum((SELECT count(*) FROM (SELECT unnest(generate_series(1, 19)) AS k) WHERE u >= list_sum(list_transform(generate_series(0, k - 1), lambda j: exp(-r) * pow(r, j) / factorial(j::INT))))) AS n FROM u GROUP BY ALL)
+SELECT label, key, n::BIGINT AS n FROM n WHERE n > 0""")
 def n_weighted_resample(spark, d):
-    x = _labels(spark, d).withColumn("key", F.concat_ws("/", "asset", "time"))
+    x = _labels(spark, d).withColumn("key", F.concat_ws("/", "asset", F.date_format("time", "yyyy-MM-dd HH:mm:ss")))
     weighted = x.join(F.broadcast(transform.class_weights(x)), "label")  # a row a class
-    return transform.weighted_resample(weighted, "weight", 1000, "key").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return transform.weighted_resample(weighted, "weight", _RESAMPLED, "key").groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {TRADES} SELECT id, asset, price FROM trades ORDER BY md5(concat_ws('/', id, 0)), id LIMIT 100")
 def n_sample_n(spark, d):
     return transform.sample_n(trades(spark, d).select("id", "asset", "price"), 100, "id")
 
@@ -52,14 +59,18 @@ def _windows(spark: SparkSession) -> DataFrame:
     return rows.select("window", F.col("a").cast("timestamp_ntz").alias("start"), F.col("z").cast("timestamp_ntz").alias("stop"))
 
 
-def _local(spark, d):
-    x = _dense(spark, d).select("asset", F.lit("2024-01").alias("month"), "time", "rv", "abs_r")
-    return regimes.local_labels(x, _windows(spark), 2, ("rv", "abs_r"), seeds=1, rounds=5)
+HMM = ("rv", "abs_r")
+
+
+@query()
+def l_hmm_labels(spark, d):
+    x = _dense(spark, d).select("asset", "month", "time", *HMM)
+    return regimes.hmm_decode(regimes.hmm_fit(x, HMM), x, HMM)
 
 
 @query()
 def l_local_labels(spark, d):
-    return _local(spark, d)
+    return regimes.local_labels(_dense(spark, d).select("asset", "month", "time", *HMM), _windows(spark), [1, 2], HMM)
 
 
 @query(f"""WITH {DENSE}, o AS (SELECT asset, time, (CASE WHEN abs_r > 2.0 THEN 2 WHEN abs_r > 1.0 THEN 1 ELSE 0 END) AS y FROM dense),
@@ -166,16 +177,30 @@ def s_stream_bars(spark, d):
     return _played(spark, _ticks(spark, d), lambda t: live.stream_bars(t, f"{SECONDS} seconds"), "stream-bars")
 
 
-@query(f"""WITH {TRADES}, s AS (SELECT *, unnest(generate_series(date_trunc('hour', time) + INTERVAL 1 HOUR, date_trunc('hour', time) + INTERVAL {HOURS} HOUR, INTERVAL 1 HOUR)) AS t FROM trades),
-g AS (SELECT asset, t, count(*) AS n, sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) AS b, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0 END) AS a, sum(quote_qty) AS q, last(price ORDER BY time, id) AS price FROM s GROUP BY 1, 2)
-SELECT asset, t AS time, n AS n_trades, round((b - a) / (b + a + 1e-8), 6) AS "OFI", round(n / {HOURS * SECONDS}.0, 6) AS intensity, round(q / (a + b + 1e-8), 6) AS "VWAP", price, CASE WHEN n < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM g WHERE t {_CLOSED}""")
+@query(f"""WITH {DENSE}, f AS ({FEATURES}), c AS (SELECT asset, max(time) AS last FROM bars WHERE time + INTERVAL 1 HOUR {_CLOSED} GROUP BY asset), n AS (SELECT asset, time, sum(n_buy + n_sell) OVER (PARTITION BY asset, month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS n_trades FROM dense)
+SELECT f.* EXCLUDE (month), n_trades, CASE WHEN n_trades < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM f JOIN c ON f.asset = c.asset AND f.time <= c.last JOIN n ON n.asset = f.asset AND n.time = f.time""")
 def s_stream_features(spark, d):
-    return _played(spark, _ticks(spark, d), lambda t: live.stream_features(t, HOURS * SECONDS, SECONDS), "stream-features")
+    ticks = _played(spark, _ticks(spark, d), lambda t: live.stream_tick_bars(t, f"{SECONDS} seconds"), "stream-tick-bars")
+    return _played(spark, ticks.withColumn("time", F.col("time").cast("timestamp")), lambda b: live.stream_features(b, SECONDS), "stream-features")
+
+
+@query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
+def s_fracdiff_price(spark, d):
+    return live.fracdiff_price(_dense(spark, d).select("asset", "time", "price"), _W)
 
 
 @query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
 def s_stream_fracdiff_price(spark, d):
-    return live.stream_fracdiff_price(_dense(spark, d).select("asset", "time", "price"), _W)
+    rows = _dense(spark, d).select("asset", F.col("time").cast("timestamp").alias("time"), "price")
+    return _played(spark, rows, lambda x: live.stream_fracdiff_price(x, _W), "stream-fracdiff")
+
+
+@query(f"WITH {DENSE}, {_PROB}, {_WARNED}, {_outcomes(30)} WHERE epoch_us(time) + 1800000000 < (SELECT max(epoch_us(t)) - 30000000 FROM (SELECT max(bar) AS t FROM o UNION ALL SELECT max(time) FROM w)) // 1000 * 1000")
+def s_stream_outcomes(spark, d):
+    ticks, at = _ticks(spark, d), F.col("time").cast("timestamp").alias("time")
+    minutes = bars.ohlc(ticks).select("asset", F.col("bar").alias("time"), F.lit(None).cast("double").alias("price"), "low", "close")
+    rows = minutes.unionByName(_warned(spark, d).select("asset", at, "price"), allowMissingColumns=True)
+    return _played(spark, rows, lambda x: live.stream_outcomes(x.withWatermark("time", live.LATE)), "stream-outcomes")
 
 
 @query()

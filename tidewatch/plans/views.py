@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,24 +15,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
+    """A new path in the shared folder that spark.checkpoint.dir names; only where it is unset, in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a trade, bad prices too."""
     qty = 1.0 + F.col("user_id") % 10
-    return read(spark, sf_dir, "events").where("value > 0").select(
+    return read(spark, sf_dir, "events").select(
         F.col("event_type").alias("asset"), F.col("event_id").alias("id"), F.col("ts").alias("time"), F.col("value").alias("price"), qty.alias("qty"), (F.col("value") * qty).alias("quote_qty"), (F.col("event_id") % 2 == 1).alias("is_buyer_maker")
     )
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_trades(spark, sf_dir).where("price > 0")
+
+
+#: Shares of an asset's bars below which a label ends: 0 up to the first, 2 above the second.
+CALM, TENSE = 0.60, 0.85
+
+
+def cuts(dense: DataFrame) -> DataFrame:
+    """asset, calm, tense: percentiles of the bars' volatility, so labels keep their shares at any size of the tables."""
+    return dense.groupBy("asset").agg(F.percentile("rv", CALM).alias("calm"), F.percentile("rv", TENSE).alias("tense"))
+
+
 def labels(dense: DataFrame) -> DataFrame:
-    """A fixture of labels: 2 where a bar's volatility is over 1.0, 1 over 0.5, else 0."""
-    return dense.select("asset", "time", "price", F.when(F.col("rv") > 1.0, 2).when(F.col("rv") > 0.5, 1).otherwise(0).alias("label"))
+    """A fixture of labels: 2 where a bar's volatility is in its asset's top 15 %, 1 in the 25 % below, else 0."""
+    cut = dense.join(F.broadcast(cuts(dense)), "asset")  # a row an asset
+    return cut.select("asset", "time", "price", F.when(F.col("rv") >= F.col("tense"), 2).when(F.col("rv") > F.col("calm"), 1).otherwise(0).alias("label"))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -41,24 +53,26 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 TRADES = """trades AS (SELECT event_type AS asset, event_id AS id, ts AS time, value AS price, 1.0::DOUBLE + user_id % 10 AS qty,
-  value * (1.0::DOUBLE + user_id % 10) AS quote_qty, event_id % 2 = 1 AS is_buyer_maker FROM events WHERE value > 0)"""
+  value * (1.0::DOUBLE + user_id % 10) AS quote_qty, event_id % 2 = 1 AS is_buyer_maker, date_trunc('month', ts)::DATE AS month FROM events WHERE value > 0)"""
+EVERY = TRADES.replace(" WHERE value > 0", "")
 BARS = (
     TRADES
     + """, steps AS (SELECT *, date_trunc('hour', time) AS bar,
   greatest(-0.5, least(0.5, coalesce(ln(price) - lag(ln(price)) OVER w, 0.0))) AS r, (epoch_us(time) - lag(epoch_us(time)) OVER w)::DOUBLE AS dt
-  FROM trades WINDOW w AS (PARTITION BY asset ORDER BY time, id)),
-bars AS (SELECT asset, bar AS time, sum(CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END)::DOUBLE AS v_buy, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0.0 END)::DOUBLE AS v_sell,
+  FROM trades WINDOW w AS (PARTITION BY asset, month ORDER BY time, id)),
+bars AS (SELECT asset, month, bar AS time, sum(CASE WHEN is_buyer_maker THEN 0.0 ELSE qty END)::DOUBLE AS v_buy, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0.0 END)::DOUBLE AS v_sell,
   sum(CASE WHEN is_buyer_maker THEN 0 ELSE 1 END)::BIGINT AS n_buy, sum(CASE WHEN is_buyer_maker THEN 1 ELSE 0 END)::BIGINT AS n_sell, sum(qty)::DOUBLE AS volume, sum(quote_qty) AS quote,
-  last(price ORDER BY time, id) AS price, sqrt(sum(r * r)) AS rv, sum(abs(r)) AS abs_r, avg(dt) AS mean_dt, stddev_samp(dt) AS std_dt FROM steps GROUP BY asset, bar)"""
+  last(price ORDER BY time, id) AS price, sqrt(sum(r * r)) AS rv, sum(abs(r)) AS abs_r, avg(dt) AS mean_dt, stddev_samp(dt) AS std_dt FROM steps GROUP BY asset, month, bar)"""
 )
 DENSE = (
     BARS
-    + """, grid AS (SELECT asset, unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM bars GROUP BY asset),
-dense AS (SELECT g.asset, g.time, coalesce(v_buy, 0) AS v_buy, coalesce(v_sell, 0) AS v_sell, coalesce(n_buy, 0) AS n_buy, coalesce(n_sell, 0) AS n_sell, coalesce(volume, 0) AS volume,
-  coalesce(quote, 0) AS quote, last_value(price IGNORE NULLS) OVER (PARTITION BY g.asset ORDER BY g.time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, coalesce(rv, 0) AS rv,
-  coalesce(abs_r, 0) AS abs_r, mean_dt, std_dt FROM grid g LEFT JOIN bars b ON g.asset = b.asset AND g.time = b.time),
-deltas AS (SELECT *, coalesce(price - lag(price) OVER w, 0.0) AS dp, v_buy - v_sell AS sv FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)),
-lab AS (SELECT asset, time, price, (CASE WHEN rv > 1.0 THEN 2 WHEN rv > 0.5 THEN 1 ELSE 0 END)::BIGINT AS label FROM dense)"""
+    + """, grid AS (SELECT asset, month, unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM bars GROUP BY asset, month),
+dense AS (SELECT g.asset, g.month, g.time, coalesce(v_buy, 0) AS v_buy, coalesce(v_sell, 0) AS v_sell, coalesce(n_buy, 0) AS n_buy, coalesce(n_sell, 0) AS n_sell, coalesce(volume, 0) AS volume,
+  coalesce(quote, 0) AS quote, last_value(price IGNORE NULLS) OVER (PARTITION BY g.asset, g.month ORDER BY g.time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, coalesce(rv, 0) AS rv,
+  coalesce(abs_r, 0) AS abs_r, mean_dt, std_dt FROM grid g LEFT JOIN bars b ON g.asset = b.asset AND g.month = b.month AND g.time = b.time),
+deltas AS (SELECT *, coalesce(price - lag(price) OVER w, 0.0) AS dp, v_buy - v_sell AS sv FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)),
+cut AS (SELECT asset, quantile_cont(rv, 0.60) AS calm, quantile_cont(rv, 0.85) AS tense FROM dense GROUP BY asset),
+lab AS (SELECT dense.asset, time, price, (CASE WHEN rv >= tense THEN 2 WHEN rv > calm THEN 1 ELSE 0 END)::BIGINT AS label FROM dense JOIN cut ON dense.asset = cut.asset)"""
 )
 
 
@@ -82,6 +96,6 @@ def _scale(w: int) -> str:
     return ", ".join(out)
 
 
-WINDOWS = "WINDOW " + ", ".join(f"w{w} AS (PARTITION BY asset ORDER BY time ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (1, 6, 30))
-FEATURES = f"""SELECT asset, time, round(price, 6) AS price, volume, round(rv, 6) AS rv, {_scale(1)}, {_scale(6)}, {_scale(30)},
+WINDOWS = "WINDOW " + ", ".join(f"w{w} AS (PARTITION BY asset, month ORDER BY time ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (1, 6, 30))
+FEATURES = f"""SELECT asset, month, time, round(price, 6) AS price, volume, round(rv, 6) AS rv, {_scale(1)}, {_scale(6)}, {_scale(30)},
   round(coalesce(std_dt / (mean_dt + 1e-8), 0.0), 6) AS CV_dt_{SECONDS}s FROM deltas {WINDOWS}"""
