@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, bwt, exact_dedup, html_text, langid, licenses, media, near_dedup, packing, repeats, sstable
-from tidewatch.llm.common import default_tokenizer, library, scratch, table, token_ids
+from tidewatch.llm.common import default_tokenizer, library, materialise, scratch, table, token_ids
 
 SMALL = "/root/testdata/sf0.001"
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards boil dark green soup for forty hungry guests tonight"
@@ -37,8 +37,9 @@ def test_token_ids_equal_the_library():
     assert [x.tolist() for x in token_ids(texts, default_tokenizer())] == [ids_of(t) for t in texts]
 
 
-def test_packing(spark):
-    rows = packing.pack(frame(spark)).collect()
+@pytest.mark.parametrize("ranked", [2, 100_000])
+def test_packing(spark, ranked):
+    rows = packing.place(materialise(packing.pieces(frame(spark), default_tokenizer()), "pieces"), ranked=ranked).collect()
     seqs, by_doc = collections.defaultdict(list), collections.defaultdict(int)
     texts = {i: t for i, t, _ in ROWS}
     for r in rows:
@@ -82,13 +83,18 @@ def test_shards(spark):
         ids = np.array(ids_of(t) + [2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    w = sstable.Writer()
-    for i in range(0, 4000, 2):
-        w.add(sstable.key_of(i), np.array([i, 70000, i + 1], np.uint32))
-    reader = sstable.Reader(w.done())
-    assert len(reader.index) > 1 or reader.documents == 2000
-    assert all(reader.lookup(i).tolist() == [i, 70000, i + 1] for i in range(0, 4000, 98))
-    assert all(reader.lookup(i) is None for i in range(1, 4000, 98))
+    for size in (64 << 10, 500):
+        w = sstable.Writer(size)
+        for i in range(0, 4000, 2):
+            w.add(sstable.key_of(i), np.array([i, 70000, i + 1], np.uint32))
+        reader = sstable.Reader(w.done())
+        assert reader.documents == 2000 and (len(reader.index) == 1 if size > 60_000 else len(reader.index) > 50)
+        assert all(reader.lookup(i).tolist() == [i, 70000, i + 1] for i in range(0, 4000, 2))
+        assert all(reader.lookup(i) is None for i in (-1, *range(1, 4001, 2)))
+    path = scratch(spark, "t")
+    small = sstable.token_shards(frame(spark), path, shards=2, shard_bytes=60, block_bytes=40).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in small] == [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows]
+    assert len({r.shard for r in small}) > 3
     assert sstable.token_shards(frame(spark, []), scratch(spark, "t")).count() == 0
 
 
@@ -143,12 +149,43 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
     assert got[8][0].labels == "cc-by,cc-by-nc,reserved"
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_whole_licences_with_departures(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for k, (text, label, phrases) in enumerate(licenses.TEXTS):
+        words, kept = text.split(), {i for p in phrases for i in range(*(lambda a: (a, a + len(p.split())))(next(i for i in range(len(text.split())) if text.split()[i : i + len(p.split())] == p.split())))}
+        changed = [w if i in kept or rng.random() > 0.05 else "changed" for i, w in enumerate(words)]
+        cut = len(words) // 2 + next(i for i in range(len(words)) if len(words) // 2 + i not in kept and len(words) // 2 + i + 1 not in kept)
+        long = changed[:cut] + ["put", "in", "here"] + changed[cut:]
+        rows += [(10 * k, f"Head of it.\n{' '.join(words).upper()}. Tail", None), (10 * k + 1, "a b c " * 50 + " ".join(long), None), (10 * k + 2, " ".join(reversed(words)), None)]
+        want |= {10 * k: label, 10 * k + 1: label}
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in want.items())
+    assert all(got[i].score == 1 for i in want if i % 10 == 0)
+    assert not any(got[10 * k + 2].labels for k in range(len(licenses.TEXTS)))
 
 
 def test_media(spark):
-    rows = media.media_columns(frame(spark), scratch(spark, "m")).collect()
+    path = scratch(spark, "m")
+    rows = media.media_columns(frame(spark), path).collect()
     want = collections.Counter((i, len((t or "").encode()), hashlib.sha256(media.payload_of(t or "")).hexdigest()) for i, t, _ in ROWS)
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == want
+    stored = {(r.doc_id, r.offset): r.media for r in spark.read.format("media_archives").option("path", path).load().collect()}
+    by_sum = {hashlib.sha256(m).hexdigest(): m for m in stored.values()}
+    texts = {i: t or "" for i, t, _ in ROWS}
+    for r in rows:
+        payload, m = media.payload_of(texts[r.doc_id]), by_sum[r.media_sha256]
+        x = np.frombuffer(payload, np.uint8)
+        step, quarters = np.abs(np.diff(x.astype(int))).mean(), [((x >= a) & (x < a + 64)).mean() for a in range(0, 256, 64)]
+        assert r.payload_bytes == len(payload) and r.media_bytes == len(m) and r.tail_crc32 == zlib.crc32(payload[-16:])
+        assert r.feature == f"mean={x.mean():.3f};std={x.std():.3f};step={step:.3f};quarters=" + "/".join(f"{q:.4f}" for q in quarters)
+    import glob
+
+    places = sorted(i.header_offset for f in glob.glob(f"{path.removeprefix('file://')}/media-*.zip") for i in media.zipfile.ZipFile(f).infolist())
+    assert sorted(o for _, o in stored) == places
     assert all(r.payload_bytes % 192 == 0 and r.payload_bytes for r in rows)
     assert len({r.media_sha256 for r in rows if r.doc_id in (4, 5)}) == 1
     assert media.media_columns(frame(spark, []), scratch(spark, "m")).count() == 0

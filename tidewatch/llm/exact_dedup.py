@@ -39,6 +39,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Takes the index away; what ingest returned doesn't need it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Deduplicate docs (doc_id, text) against the index and each other, append what is new.
 
@@ -58,7 +62,10 @@ class DigestIndex:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
+    index = DigestIndex(spark)
+    found = index.ingest(table(spark, sf_dir, "documents"))
+    index.drop()
+    return found
 
 
 SQL = """

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import default_tokenizer, filled, materialise, table, token_ids
 
 CAPACITY, END_ID = 2048, 0
-#: Equal lengths are ranked in so many parts, so a length that a third of the pieces share isn't one task's work.
-PARTS = 64
+#: Equal lengths are ranked in parts of about so many pieces, so a length that a third of the pieces share isn't one task's work.
+RANKED = 100_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -84,11 +84,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(found: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length of 1 to capacity. found must be cheap to read again."""
-    part = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    tally = part.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+def place(found: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
+    """Adds sequence_id and offset to rows with a length of 1 to capacity. found must be cheap to read again.
+
+    Pieces that fill a sequence need no rank; the others get theirs among pieces of equal length, in parts of about `ranked`.
+    """
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    counts.pop(capacity, None)
     keys, base, each, first, seq = [], [], [], [], 0
     used: dict[int, int] = {}
     for times, combo in plan(counts, capacity):
@@ -103,6 +105,8 @@ def place(found: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
         seq += times
     order = np.argsort(np.array(keys, np.int64))
     keys, base, each, first = (np.array(v, np.int64)[order] for v in (keys, base, each, first))
+    columns = found.columns
+    full = found.where(F.col("length") == capacity).select(*columns, (F.monotonically_increasing_id() + seq).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def run(batches):
         for b in batches:
@@ -112,14 +116,14 @@ def place(found: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
             out = b.drop_columns(["rank"])
             yield out.append_column("sequence_id", pa.array(base[k] + over // each[k])).append_column("offset", pa.array(first[k] + over % each[k] * x))
 
+    parts = F.array(*(F.lit(-(-counts.get(x, 1) // ranked)) for x in range(capacity)))
+    part = found.where(F.col("length") < capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.get(parts, F.col("length").cast("int"))))
+    tally = part.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for `ranked` pieces, and one a length
     before = tally.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     w = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = part.withColumn("at", F.row_number().over(w) - 1)
-    # `before` has at most capacity x parts rows, whatever the corpus
-    ranked = ranked.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("at"))
-    columns = found.columns
+    placed = part.withColumn("at", F.row_number().over(w) - 1).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("at"))
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(run, schema)
+    return placed.select(*columns, "rank").mapInArrow(run, schema).union(full)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

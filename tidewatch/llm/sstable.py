@@ -48,7 +48,8 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 class Writer:
     """Collects documents in key order; done() gives the bytes of the shard."""
 
-    def __init__(self):
+    def __init__(self, block_bytes: int = BLOCK_BYTES):
+        self.block_bytes = block_bytes
         self.out, self.block, self.index, self.keys = io.BytesIO(), io.BytesIO(), [], []
         self.last, self.first, self.ids = b"", None, 0
         self.pack = zstandard.ZstdCompressor(level=1)
@@ -65,7 +66,7 @@ class Writer:
         self.last = key
         self.keys.append(key)
         self.ids += len(ids)
-        if self.block.tell() >= BLOCK_BYTES:
+        if self.block.tell() >= self.block_bytes:
             self._flush()
 
     def _flush(self) -> None:
@@ -140,7 +141,7 @@ class Reader:
         return None
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> list[tuple[str, int, int]]:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> list[tuple[str, int, int]]:
     """Encodes docs and writes shards in ascending doc_id order; (file, documents, ids) of each, in that order.
 
     Texts are dealt by range and encoded where they land, so text is shuffled rather than ids. A file is written under
@@ -155,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         task = TaskContext.get()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder)
-        count, w, out = 0, Writer(), []
+        count, w, out = 0, Writer(block_bytes), []
 
         def close():
             name = f"shard-{task.partitionId():06d}-{count:05d}.sst"
@@ -170,9 +171,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 part = b.slice(at, 256)
                 for doc_id, ids in zip(part.column(0).to_pylist(), token_ids(filled(part.column(1)), tokenizer), strict=True):
                     w.add(key_of(doc_id), np.append(ids, np.uint32(end_id)))
-                    if w.size() >= SHARD_BYTES:
+                    if w.size() >= shard_bytes:
                         close()
-                        count, w = count + 1, Writer()
+                        count, w = count + 1, Writer(block_bytes)
         if w.keys:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "documents", "ids"])
@@ -188,12 +189,13 @@ def read_shards(spark: SparkSession, path: str, manifest: list[tuple[str, int, i
     for name, _, ids in manifest:
         before[name] = total
         total += ids
+    starts = spark.sparkContext.broadcast(before)  # a number a shard
 
     def run(batches):
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name = file.rpartition("/")[2]
-                at, doc, start, n, crc = before[name], [], [], [], []
+                at, doc, start, n, crc = starts.value[name], [], [], [], []
                 for key, ids in Reader(content.as_buffer()):
                     doc.append(id_of(key))
                     start.append(at)
@@ -209,9 +211,10 @@ def read_shards(spark: SparkSession, path: str, manifest: list[tuple[str, int, i
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes docs to path and reads them back. Null texts are the end id alone; equal doc_ids follow each other in any order."""
-    return read_shards(docs.sparkSession, path, write_shards(docs, path, tokenizer or default_tokenizer(), end_id))
+def token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, **how) -> DataFrame:
+    """Writes docs to path and reads them back. Null texts are the end id alone; equal doc_ids follow each other in any order,
+    rows without one come first. Texts of any length are one entry; an empty table makes no file and gives no rows."""
+    return read_shards(docs.sparkSession, path, write_shards(docs, path, tokenizer or default_tokenizer(), end_id, **how))
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
