@@ -300,13 +300,13 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("size, hot", [(1 << 20, 512), (3000, 512), (3000, 1)])
-def test_repeats(spark, size, hot):
+@pytest.mark.parametrize("size, how", [(1 << 20, {}), (3000, {"home_bytes": 2000}), (3000, {"hot_batches": 1}), (1 << 20, {"crowded": 2})])
+def test_repeats(spark, size, how):
     rows = [(i, t) for i, t, _ in ROWS if i not in (None, 11)]
     docs = table(spark, SMALL, "documents").where("doc_id between 20 and 120").collect()
     rows += [(r.doc_id, r.text) for r in docs] + [(900 + k, f"{k} start " + BASE[k : 60 + k] * 2 + f" end {k}") for k in range(30)]
     want = brute_repeats([(i, (t or "").encode()) for i, t in rows])
-    made = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch_bytes=size, hot_batches=hot)
+    made = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch_bytes=size, **how)
     assert {r.doc_id: tuple(r)[1:] for r in made.collect()} == want
 
 
@@ -327,6 +327,14 @@ def test_merged_transforms_equal_one_sort():
     word = lambda t, k: text[start[t.string[k]] + t.offset[k] : start[t.string[k]] + 60].tobytes()
     words = [word(merged, k) for k in range(len(merged.string))]
     assert words == sorted(words) == [word(whole, k) for k in range(len(words))]
+    shared = [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:], strict=False)]
+    assert merged.common[1:].tolist() == shared
+    string, offset, interval = bwt.repeated(text, start, length, 8, shard=1000)
+    found = {}
+    for s, o, k in zip(string, offset, interval, strict=True):
+        found.setdefault(int(k), set()).add(text[start[s] + o : start[s] + o + 8].tobytes())
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found)
+    assert len(string) == 300 * 53 and len(bwt.repeated(text, start[:1], length[:1], 8)[0]) == 53
 
 
 def test_main_text(spark):

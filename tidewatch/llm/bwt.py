@@ -14,12 +14,14 @@ import numpy as np
 
 @dataclass
 class Transform:
-    """Rows in suffix order (equal suffixes by string): preceding character (0: none), string and offset."""
+    """Rows in suffix order (equal suffixes by string): preceding character (0: none), string and offset; of a merged one, how
+    many characters a row has in common with the row before it (to the depth of the merging)."""
 
     before: np.ndarray
     string: np.ndarray
     offset: np.ndarray
     strings: int
+    common: np.ndarray | None = None
 
 
 def build(text: np.ndarray, start: np.ndarray, length: np.ndarray, string: np.ndarray) -> Transform:
@@ -27,6 +29,9 @@ def build(text: np.ndarray, start: np.ndarray, length: np.ndarray, string: np.nd
 
     Prefix doubling from keys of seven characters, as long as the longest string asks for it.
     """
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Transform(none.astype(np.uint8), string[:0], none, 0)
     size = length + 1
     owner = np.repeat(np.arange(len(start)), size)
     first = np.cumsum(size) - size
@@ -58,44 +63,57 @@ def build(text: np.ndarray, start: np.ndarray, length: np.ndarray, string: np.nd
 
 
 def merge(a: Transform, b: Transform, depth: int | None = None) -> Transform:
-    """In the order of whole suffixes, or only of their first `depth` characters."""
+    """In the order of whole suffixes, or only of their first `depth` characters.
+
+    Each round makes the interleave right for one more leading character, and tells apart rows that differ first in it: a row
+    starts a block if its preceding row was dealt from another character or another block. A block that starts in round k
+    has k - 1 characters in common with the row before it, so common prefixes come from the merging itself.
+    """
     n = len(a.before) + len(b.before)
     ends = np.concatenate([np.zeros(a.strings, bool), np.ones(b.strings, bool)])
     right = np.concatenate([np.zeros(len(a.before), bool), np.ones(len(b.before), bool)])
     merged = np.empty(n, np.promote_types(a.before.dtype, b.before.dtype))
-    while depth is None or depth > 0:
+    starts = np.zeros(n, bool)
+    starts[:1] = True
+    common = np.full(n, -1, np.int32)
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         merged[~right], merged[right] = a.before, b.before
-        dealt = right[np.argsort(merged, kind="stable")]
+        order = np.argsort(merged, kind="stable")
+        dealt = right[order]
         dealt[: len(ends)] = ends  # the end marks come first, in the order of the strings
-        if np.array_equal(dealt, right):
+        character, block = merged[order], np.cumsum(starts, dtype=np.int32)[order]
+        new = np.ones(n, bool)
+        new[1:] = (character[1:] != character[:-1]) | (block[1:] != block[:-1])
+        new[: len(ends) + 1] = True
+        common[new & (common < 0)] = k - 1
+        done = np.array_equal(dealt, right) and np.array_equal(new, starts)
+        right, starts = dealt, new
+        if done:
             break
-        right, depth = dealt, depth and depth - 1
+    common[common < 0] = k if depth is None else depth
     string, offset = np.empty(n, a.string.dtype), np.empty(n, a.offset.dtype)
     merged[~right], merged[right] = a.before, b.before
     string[~right], string[right], offset[~right], offset[right] = a.string, b.string, a.offset, b.offset
-    return Transform(merged, string, offset, a.strings + b.strings)
+    return Transform(merged, string, offset, a.strings + b.strings, common)
 
 
 def repeated(text: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, shard: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, interval) of each place of `window` characters; places of one interval hold the same ones.
 
     Strings are numbered in their order. Two shards, or more of at most about `shard` characters, are merged pairwise;
-    the last merging goes no deeper than the window.
+    the last merging goes no deeper than the window. Intervals end where the common prefix it found is shorter.
     """
     number, reach = np.arange(len(start)), np.cumsum(length + 1)
     shard = min(shard, int(reach[-1]) // 2 + 1)
     cut = np.searchsorted(reach, np.arange(shard, int(reach[-1]), shard), side="left") + 1
     parts = [build(text, start[x], length[x], x) for x in np.split(number, np.unique(cut)) if len(x)]
+    if len(parts) == 1:
+        parts.append(build(text, start[:0], length[:0], number[:0]))
     while len(parts) > 1:
         last = window if len(parts) == 2 else None
         parts = [merge(*parts[i : i + 2], last) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     rows = parts[0]
     whole = rows.offset + window <= length[rows.string]
-    string, offset = rows.string[whole], rows.offset[whole]
-    # common prefixes of neighbours: rows in between are shorter than a window or differ from both
-    at = start[string] + offset
-    same = np.ones(max(0, len(at) - 1), bool)
-    for k in range(window):
-        same &= text[at[1:] + k] == text[at[:-1] + k]
-    interval = np.cumsum(np.concatenate([[True], ~same])) if len(at) else at
-    return string, offset, interval
+    return rows.string[whole], rows.offset[whole], np.cumsum(rows.common < window)[whole]

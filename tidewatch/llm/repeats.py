@@ -4,8 +4,12 @@ Every 50-byte string contains the smallest of its 24-byte grams (by hash), where
 an anchor at the same offset. One pass finds the anchors that stand in more than one document. The text around each of
 those (all 50-byte strings that may contain the anchor) goes to the anchor's bucket, once for each batch if its
 surroundings are the same. In a bucket, suffix order comes from Burrows-Wheeler transforms of shards, merged by interleave
-refinement; an interval of rows with 50 bytes in common is one string, and its smallest doc_id decides. Anchors that very
-many batches hold are dealt by the hash of the 50-byte string instead, so that no bucket grows with them.
+refinement, which also gives the common prefixes; an interval of rows with 50 bytes in common is one string, and its smallest
+doc_id decides. Anchors that very many batches hold, or that crowd one batch, are dealt by the hash of the 50-byte string
+instead, so that no bucket grows with them. The number of buckets follows from the bytes of text.
+
+What is taken as equal by hash across batches agrees in two 64-bit hashes: of the anchor and of its surroundings, or of a string
+and of its first half.
 
 Documents are kept in batches of a few MB in a table bucketed by batch, so text is never shuffled.
 """
@@ -23,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import materialise, table, text_or_empty
+from .common import arrow_rows, materialise, table, text_or_empty
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM  # bytes on either side of an anchor that its strings may take in
-BATCH_BYTES, HOT_BATCHES = 2 << 20, 512
+BATCH_BYTES, HOT_BATCHES, CROWD = 2 << 20, 512, 64
+#: Text of a bucket of anchors, and of a bucket of the table of batches (Spark allows MOST_BUCKETS of these).
+HOME_BYTES, TABLE_BYTES, MOST_BUCKETS = 8 << 20, 64 << 20, 100_000
 _draw = np.random.Generator(np.random.PCG64(11))
 _BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C17  # odd, and 1 less is no multiple of 4
@@ -89,6 +95,15 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["text"], np.uint8), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["ids"], np.int64)
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of values, from 0."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    out = np.zeros(len(a), np.int64)
+    out[order[1:]] = np.cumsum((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    return out
+
+
 def _first_of(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The smallest doc of each row's group."""
     _, back = np.unique(group, return_inverse=True)
@@ -130,7 +145,7 @@ def _rows(batches):
             yield {name: b.column(j)[k].as_py() for j, name in enumerate(b.schema.names)}
 
 
-def _post_hashes(buckets: int):
+def _post_hashes(buckets: int, crowded: int):
     def run(batches):
         for row in _rows(batches):
             text, ends, _ = _unpack(row)
@@ -140,25 +155,30 @@ def _post_hashes(buckets: int):
             new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
             many = np.zeros(new.sum(), bool)  # in several documents of this batch
             many[(np.cumsum(new) - 1)[1:][~new[1:] & (d[1:] != d[:-1])]] = True
+            crowd = np.diff(np.append(np.flatnonzero(new), len(g))) >= crowded
             g = g[new]
             home = (g % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             found, first = np.unique(home[order], return_index=True)
             parts = np.split(order, first[1:]) if len(found) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([row["batch"]] * len(found), pa.int64()), pa.array([g[p].tobytes() for p in parts], pa.binary()), pa.array([np.packbits(many[p]).tobytes() for p in parts], pa.binary())], names=["bucket", "batch", "grams", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([row["batch"]] * len(found), pa.int64()), pa.array([g[p].tobytes() for p in parts], pa.binary()), *(pa.array([np.packbits(x[p]).tobytes() for p in parts], pa.binary()) for x in (many, crowd))], names=["bucket", "batch", "grams", "many", "crowd"])
 
     return run
 
 
 def _shared(rows: pd.DataFrame, hot_batches: int) -> pd.DataFrame:
-    """For each batch of a bucket, which of its grams stand in several documents, and which of these in very many batches."""
+    """For each batch of a bucket, which of its grams stand in several documents, and which of these in very many batches or crowded in one."""
     grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
+    bits = lambda x, n: np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
     values, count = np.unique(np.concatenate(grams), return_counts=True)
+    crowded = np.zeros(len(values), bool)
+    for g, x in zip(grams, rows["crowd"], strict=True):
+        crowded[np.searchsorted(values, g[bits(x, len(g))])] = True
     out, hot = [], []
     for g, many in zip(grams, rows["many"], strict=True):
-        n = count[np.searchsorted(values, g)]
-        out.append(np.packbits((n > 1) | np.unpackbits(np.frombuffer(many, np.uint8), count=len(g)).astype(bool)).tobytes())
-        hot.append(np.packbits(n > hot_batches).tobytes())
+        at = np.searchsorted(values, g)
+        out.append(np.packbits((count[at] > 1) | bits(many, len(g))).tobytes())
+        hot.append(np.packbits((count[at] > hot_batches) | crowded[at]).tobytes())
     return pd.DataFrame({"bucket": rows["bucket"], "batch": rows["batch"], "shared": out, "hot": hot})
 
 
@@ -215,7 +235,8 @@ def _surroundings(buckets: int):
             least = _first_of(string, d)
             spans.append(np.stack([first[d > least], first[d > least] + WINDOW], axis=1))
             open_ = np.flatnonzero(d == least)
-            deal(2, string[open_], (string[open_], d[open_], first[open_]))
+            half = hashes.of(first[open_], first[open_] + WINDOW // 2)
+            deal(2, string[open_], (string[open_], half, d[open_], first[open_]))
             spans = np.concatenate(spans)
             if len(spans):
                 put(0, row["batch"], _joined(spans).tobytes(), None)
@@ -260,11 +281,12 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
     wide = GRAM + 2 * REACH
     unpack = zstandard.ZstdDecompressor().decompress
     texts = np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in rows["text"]])
-    least = _first_of(around, doc)
+    group = _numbered(gram, around)
+    least = _first_of(group, doc)
     full = doc > least
     out = [(batch[full], start[full], start[full] + length[full])]
     # one string for each different surroundings, of anchors that have several and in several documents
-    _, one, back = np.unique(around, return_index=True, return_inverse=True)
+    _, one, back = np.unique(group, return_index=True, return_inverse=True)
     g, first_doc = gram[one], least[one]
     _, kind, n = np.unique(g, return_inverse=True, return_counts=True)
     pick = np.flatnonzero((n[kind] > 1) & (_first_of(g, first_doc) != -_first_of(g, -first_doc)) & (length[one] >= WINDOW))
@@ -295,10 +317,10 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_string(rows: pd.DataFrame) -> pd.DataFrame:
-    data = [np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["data"]]
+    data = [np.frombuffer(x, np.int64).reshape(4, -1) for x in rows["data"]]
     batch = np.repeat(rows["batch"].to_numpy(np.int64), [x.shape[1] for x in data])
-    string, doc, first = np.concatenate(data, axis=1)
-    covered = doc > _first_of(string, doc)
+    string, half, doc, first = np.concatenate(data, axis=1)
+    covered = doc > _first_of(_numbered(string, half), doc)
     return _emit(batch[covered], first[covered], first[covered] + WINDOW)
 
 
@@ -334,30 +356,35 @@ def _results(text_too: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES, crowded: int = CROWD, home_bytes: int = HOME_BYTES) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with text_too kept_text.
 
     Null texts are empty. Strings are compared between documents of different doc_id only; rows of one doc_id don't count
     against each other, and rows without doc_id are left whole and count against none. kept_text leaves out the bytes of
-    a character that was cut in two.
+    a character that was cut in two. Texts of any length are taken whole; an empty table gives no rows; other columns of docs
+    are left aside. The result is written to the shared folder, the table of batches is dropped.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    homes = 2 * buckets  # buckets of anchors
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(least, total // TABLE_BYTES + 1))
+    homes = max(2 * least, total // home_bytes + 1)  # buckets of anchors
     name = f"text_batches_{uuid.uuid4().hex}"
     held = docs.where("doc_id IS NOT NULL").mapInArrow(_batched(batch_bytes), "batch long, ids binary, ends binary, text binary")
     held.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "batch").format("parquet").saveAsTable(name)
     kept = spark.table(name)
 
-    posted = kept.mapInArrow(_post_hashes(homes), "bucket long, batch long, grams binary, many binary")
+    posted = kept.mapInArrow(_post_hashes(homes, crowded), "bucket long, batch long, grams binary, many binary, crowd binary")
     shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
-    answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
-    around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
-    decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
-    by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_too
-    out = kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema)
+    with arrow_rows(spark, 16):  # a row holds a batch
+        answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
+        around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
+        decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
+        by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
+        out = materialise(kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema), "kept")
+    spark.sql(f"DROP TABLE {name}")
     whole = docs.where("doc_id IS NULL").select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("string").alias("kept_text")] * text_too))
     return out.union(whole)
 
