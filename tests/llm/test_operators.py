@@ -111,6 +111,36 @@ def test_bpe(spark):
             if len(bpe.Codec(default_tokenizer())._pieces(p)) == 1:
                 assert auto.encode(p.encode()) == ids_of(p)
                 assert auto.decode(auto.encode(p.encode())) == p
+    assert bpe.encode_decode(frame(spark, [])).count() == 0
+
+
+def test_automaton_has_the_arcs_of_correct_tokenizations():
+    """A state has an arc just if the two tokens are how their bytes are tokenized."""
+    auto, rng = bpe.automaton(default_tokenizer()), np.random.default_rng(4)
+    tokens = [t for t in auto.ids if t.isalpha() and t.isascii() and auto.ids[t] not in auto.useless]
+    often = [t for t in tokens if len(t) < 4]
+    seen = collections.Counter()
+    for k in range(6000):
+        u, v = (tokens if k % 3 else often)[int(rng.integers(len(tokens if k % 3 else often)))], often[int(rng.integers(len(often)))]
+        correct = ids_of((u + v).decode()) == [auto.ids[u], auto.ids[v]]
+        assert auto.has(auto.ids[u], auto.ids[v]) == correct, (u, v)
+        seen[correct] += 1
+    assert min(seen.values()) > 100
+
+
+def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(default_tokenizer(), encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}
+    path = str(tmp_path / "digits.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    texts = ["in 2024 we had 1234567 of them", "a b  c", "x1y22 <|endoftext|> 333"]
+    want = [library(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] != ids_of(texts[0])
+    assert [x.tolist() for x in token_ids(texts, path)] == want
+    codec = bpe.Codec(path)
+    assert [",".join(p[0] for p in codec.parts(t)) for t in texts] == [",".join(map(str, x)) for x in want]
 
 
 def test_language(spark):

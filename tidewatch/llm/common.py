@@ -69,6 +69,21 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return ordinary, special
 
 
+@functools.lru_cache(maxsize=2)
+def known_split(path: str) -> bool:
+    """Whether the file changes nothing in a text and splits it by the pattern that plain_words follows."""
+    import public_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers", [pre])
+    byte_level = bool(steps) and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space")
+    whole = len(steps) == 1 and steps[0].get("use_regex", True)
+    split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["pattern"].get("Regex") == public_tokenizers.PATTERN and not steps[1].get("use_regex", True)
+    return spec["normalizer"] is None and byte_level and (whole or split)
+
+
 #: Characters on whose classes all Unicode versions agree; a text with others is split by the tokenizers library itself.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
 
@@ -99,7 +114,7 @@ class Encoder:
     """The tokenizers library's ids of whole texts; a word that was encoded before is looked up."""
 
     def __init__(self, path: str):
-        self.library, self.special, self.known = library(path), tuple(vocabulary(path)[1]), {}
+        self.library, self.special, self.known, self.plain = library(path), tuple(vocabulary(path)[1]), {}, known_split(path)
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), AT_ONCE):
@@ -112,9 +127,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, equal to the library's encode(text, add_special_tokens=False).
 
-        Texts with odd characters or with strings of special tokens go to the library as they are.
+        Texts with odd characters or with strings of special tokens go to the library as they are, and all texts do where the
+        file splits in another way.
         """
-        split = [None if any(s in t for s in self.special) else plain_words(t) for t in texts]
+        split = [None if not self.plain or any(s in t for s in self.special) else plain_words(t) for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
         new = set().union(*(x for x in split if x is not None))
