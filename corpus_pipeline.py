@@ -5,7 +5,8 @@ as the next one's docs. All but the last return the columns of documents.
 
 Rows are told apart by a key, not by doc_id: rows without doc_id and rows that share one are documents like any other. Among
 equal or similar rows the smallest doc_id stays; rows without doc_id come after all others, and rows of one doc_id in the
-order of a hash of their columns. Of fully repeated rows one stays.
+order of a hash of their columns. Of fully repeated rows one stays. An empty table gives no rows in any stage; a column of
+docs may have any name but row_key, which is taken as the key.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return materialise(ordered.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _by_row(docs: DataFrame) -> DataFrame:
     """docs for the operators, which take the key as doc_id."""
     return docs.select(F.col(ROW).alias("doc_id"), "text")
@@ -45,36 +53,41 @@ def _only(docs: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or without a letter) go; lang is filled in where it is null."""
+    """Documents without a language (null or without a letter) go; lang is filled in where it is null. Rows with any doc_id, or none, are judged by their own text."""
     columns, docs = docs.columns, keyed(docs)
     model = langid.fit(docs.where(~langid.held_out()))
     found = materialise(langid.identify(_by_row(docs), model), "languages").where("lang_pred <> 'und'")
-    named = docs.join(found.select(F.col("doc_id").alias(ROW), "lang_pred"), ROW)
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    name = _free(docs, "found")
+    found = found.select(F.col("doc_id").alias(ROW), F.col("lang_pred").alias(name))
+    return docs.join(found, ROW).withColumn("lang", F.coalesce("lang", name)).select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of equal texts stays, that with the smallest doc_id."""
+    """One row of equal texts (null as empty) stays, that with the smallest doc_id; rows without one only where no other is equal."""
     columns, docs = docs.columns, keyed(docs)
-    return _only(docs, exact_dedup.DigestIndex(spark).ingest(_by_row(docs)).where("kept"), columns)
+    index = exact_dedup.DigestIndex(spark)
+    found = index.ingest(_by_row(docs)).where("kept")
+    index.drop()
+    return _only(docs, found, columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays, that with the smallest doc_id."""
+    """One row of each group of near duplicates stays, that with the smallest doc_id. Texts without a word all stay."""
     columns, docs = docs.columns, keyed(docs)
     return _only(docs, near_dedup.near_duplicates(_by_row(docs)).where("kept"), columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a row before (with a smaller doc_id) holds are cut out; n_chars follows the text that is left."""
+    """Passages that a row before (with a smaller doc_id) holds are cut out; n_chars follows the text that is left. No row goes; a null text becomes empty."""
     columns, docs = docs.columns, keyed(docs)
-    left = repeats.remove_repeats(_by_row(docs), text_too=True).select(F.col("doc_id").alias(ROW), "kept_text")
+    name = _free(docs, "left")
+    left = repeats.remove_repeats(_by_row(docs), text_too=True).select(F.col("doc_id").alias(ROW), F.col("kept_text").alias(name))
     cut = docs.drop("text", "n_chars").join(left, ROW)
-    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*columns)
+    return cut.withColumn("text", F.col(name)).withColumn("n_chars", F.length(name).cast("long")).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 2048 tokens."""
+    """The pieces of all documents, in sequences of at most 2048 tokens; a null or empty text is one end id, a repeated row is packed as often as it comes."""
     return packing.pack(docs)
 
 
