@@ -70,3 +70,21 @@ def test_rows_without_or_with_a_shared_doc_id(spark):
         assert [t for i, t in seen["repeated_passages"] if i is None and t != fourth] == [third.removeprefix(shared[1:-1] + " ") if third.startswith(shared[1:]) else third]
     pieces = pipeline.packed(spark, at, SMALL).where("doc_id is null or doc_id > 9000").collect()
     assert sorted(str(r.doc_id) for r in pieces) == ["9001", "9005", "9007", "9009", "None", "None"]
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SMALL, "documents").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (9001, "", None, "x", 0), (9002, None, "en", None, None), (9003, "word " * 40_000, None, "x", None)], docs.schema)
+    clash = {c: F.lit("k") for c in ("lang_pred", "kept_text", "keep_id", "component_id", "rep", "batch", "key", "digest", "score", "found", "left")}
+    docs = docs.unionByName(odd).withColumns(clash)
+    for start in (docs, docs.limit(0)):
+        at, full = materialise(start, "odd"), start is docs
+        for name, stage in pipeline.STAGES[:-1]:
+            at = materialise(stage(spark, at, SMALL), name)
+            assert at.columns == docs.columns and bool(at.count()) == full
+        assert full == any(r.doc_id == 9003 for r in at.collect())
+        assert bool(pipeline.packed(spark, at, SMALL).count()) == full
+    for name, stage in pipeline.STAGES[1:]:  # each on odd rows themselves
+        assert stage(spark, odd.withColumns(clash), SMALL).count() >= 1, name
