@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate, model, regimes, transform
+from tidewatch.streaming import live
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -58,6 +59,39 @@ def test_sweep_can_be_repeated(spark, split, tmp_path):
     assert {(r.scope, r["mode"], r.fold, r.seed) for r in found.select("scope", "mode", "fold", "seed").distinct().collect()} == {("pooled", "binary", 1, 1), ("pooled", "binary", 1, 2)}
 
 
+def test_cross_eval_reports_on_both_labels(split):
+    x = model.binarize(split)
+    got = {(r.labels, r["class"]): r for r in model.cross_eval(x, x.withColumn("y", 1 - F.col("y")), ["x", "z"], model.train_lr).collect()}
+    good = got["a", "accuracy"].f1
+    assert good > 0.9 and abs(got["b", "accuracy"].f1 - (1 - good)) < 1e-9
+    assert got["a", "1"].support == got["b", "0"].support > 0 and got["a", "weighted avg"].support == 200
+
+
+def test_ablation_tells_a_lost_column(split):
+    trainers = {"lr": model.train_lr, "rf": lambda t, f, y: model.train_rf(t, f, y, trees=10, depth=4)}
+    noise = split.select("asset", "time", F.col("z").alias("x"))
+    lost = {r.model: r for r in model.ablation_run(split, noise, ["x"], ["x", "z"], trainers, fold=1).collect()}
+    assert {m: r.winner for m, r in lost.items()} == {"lr": "control", "rf": "control"}
+    assert all(r.control > 0.9 and r.delta < -0.1 for r in lost.values())
+    same = model.ablation_run(split, split.select("asset", "time", "x"), ["x"], ["x", "z"], {"lr": model.train_lr}, fold=1).collect()
+    assert [(r.winner, r.delta) for r in same] == [("tie", 0.0)]
+
+
+def test_scores_of_the_stream_are_those_of_the_table(spark, split, tmp_path):
+    x = model.binarize(split)
+    fitted = model.train_lr(x.where("role = 'train'"), ["x", "z"])
+    test = x.where("role = 'test'")
+    want = {(r.asset, r.time): r.probs[1] for r in model.predict(fitted, test).collect()}
+    test.select("asset", "time", "x", "z").repartition(3).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("asset string, time timestamp, x double, z double").parquet(f"{tmp_path}/in")
+    scored = live.stream_score(rows, fitted).select("asset", "time", "prob", "regime")
+    live.sink(scored, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.asset, r.time): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k].prob - p) < 1e-12 for k, p in want.items())
+    assert all(r.regime == ("stress" if r.prob >= 0.85 else "elevated" if r.prob >= 0.5 else "calm") for r in got.values())
+    assert {r.regime for r in got.values()} == {"stress", "elevated", "calm"}
+
+
 def test_weighted_resample_follows_the_weights(spark):
     x = spark.range(20000).select(F.col("id").alias("key"), (F.col("id") % 4).alias("c")).withColumn("w", F.when(F.col("c") == 0, 0.0).otherwise(F.col("c").cast("double")))
     n = {r.c: r["count"] for r in transform.weighted_resample(x, "w", 12000, "key").groupBy("c").count().collect()}

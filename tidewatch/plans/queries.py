@@ -284,7 +284,11 @@ def d_fracdiff_strict(spark, d):
     return transform.fracdiff_short(_dense(spark, d).select("asset", "time", "price"), "price", 0.4, 1e-2, strict=True)
 
 
-@query()
+_LONG = transform.fracdiff_weights(0.3, 1e-3)
+_LONG_SUM = " + ".join(f"{w!r} * coalesce(lag(price, {k}) OVER w, 0.0)" if k else "price" for k, w in enumerate(_LONG))
+
+
+@query(f"WITH {DENSE} SELECT asset, strftime(time, '%Y-%m') AS month, time, round(CASE WHEN row_number() OVER w > {len(_LONG)} THEN {_LONG_SUM} ELSE 0.0 END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset, dense.month ORDER BY time)")
 def d_fracdiff_long(spark, d):
     x = _dense(spark, d).select("asset", F.date_format("time", "yyyy-MM").alias("month"), "time", "price")
     return transform.fracdiff(x, {"price": 0.3}, least=1e-3)

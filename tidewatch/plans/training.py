@@ -84,11 +84,11 @@ def l_global_vs_local(spark, d):
     return regimes.global_vs_local_summary(agreement, folds)  # nothing is known of the second fold
 
 
-def _folded(spark, d) -> DataFrame:
-    """Features and labels of the last fold, purged, with y."""
+def _folded(spark, d, folds=(2,)) -> DataFrame:
+    """Features and labels of the folds, with roles; of the last one alone unless others are named."""
     x = transform.nan_to_num(_features(spark, d).select("asset", "time", *INPUTS), INPUTS)
     j = model.feature_label_join(x, _labels(spark, d).drop("price"))
-    return model.walk_forward(j, _windows(spark), [2])
+    return model.walk_forward(j, _windows(spark), list(folds))
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -122,11 +122,13 @@ def m_train_boosted(spark, d):
 
 @query()
 def m_multi_seed_sweep(spark, d):
-    path = shared(spark, "sweep")
+    path, whole = shared(spark, "sweep"), shared(spark, "sweep-rows")
+    _folded(spark, d, (1, 2)).write.parquet(whole)  # each fit reads it
+    folded = spark.read.parquet(whole)
     for scope in ("pooled", "view"):
-        model.multi_seed_sweep(_folded(spark, d), INPUTS, path, train=_forest, seeds=(42, 100), folds=(2,), modes=("binary",), scope=scope)
+        model.multi_seed_sweep(folded, INPUTS, path, train=_forest, folds=(1, 2), scope=scope)
     found = spark.read.parquet(path)
-    return evaluate.classification_report(found, "scope", "fold", "seed")
+    return evaluate.classification_report(found, "scope", "mode", "fold", "seed")
 
 
 def _forest(train, inputs, label="y", seed=42):
