@@ -91,10 +91,15 @@ def _folded(spark, d, folds=(2,)) -> DataFrame:
     return model.walk_forward(j, _windows(spark), list(folds))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once, since each round of a fit reads it."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    path = shared(spark, "split")  # each round of a fit reads it
-    model.binarize(model.purge(_folded(spark, d), rows=30)).write.parquet(path)
-    x = spark.read.parquet(path)
+    x = _kept(model.binarize(model.purge(_folded(spark, d), rows=30)), "split")
     return x.where("role = 'train'"), x.where("role = 'test'")
 
 
@@ -122,9 +127,7 @@ def m_train_boosted(spark, d):
 
 @query()
 def m_multi_seed_sweep(spark, d):
-    path, whole = shared(spark, "sweep"), shared(spark, "sweep-rows")
-    _folded(spark, d, (1, 2)).write.parquet(whole)  # each fit reads it
-    folded = spark.read.parquet(whole)
+    path, folded = shared(spark, "sweep"), _kept(_folded(spark, d, (1, 2)), "folded")
     for scope in ("pooled", "view"):
         model.multi_seed_sweep(folded, INPUTS, path, train=_forest, folds=(1, 2), scope=scope)
     found = spark.read.parquet(path)
@@ -137,15 +140,15 @@ def _forest(train, inputs, label="y", seed=42):
 
 @query()
 def m_cross_eval(spark, d):
-    x = model.binarize(_folded(spark, d))
+    x = _kept(model.binarize(_folded(spark, d)), "folded")
     other = x.withColumn("y", (F.col(INPUTS[-1]) > 1.0).cast("int"))
     return model.cross_eval(x, other, INPUTS, model.train_lr)
 
 
 @query()
 def m_ablation_run(spark, d):
-    x = _folded(spark, d)
-    differenced = transform.fracdiff_short(x.select("asset", "time", INPUTS[-1]), INPUTS[-1], 0.4, 1e-2)
+    x = _kept(_folded(spark, d), "folded")
+    differenced = _kept(transform.fracdiff_short(x.select("asset", "time", INPUTS[-1]), INPUTS[-1], 0.4, 1e-2), "differenced")
     return model.ablation_run(x, differenced, [INPUTS[-1]], INPUTS, {"lr": model.train_lr, "rf": _forest}, fold=2)
 
 
