@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, langid, licenses, media, near_dedup, packing, repeats, sstable
+from . import bpe, exact_dedup, html_text, langid, licenses, media, near_dedup, packing, quality, repeats, sstable, variants, whitening
 
 OPERATORS = (
     packing.op1_best_fit_packing,
@@ -17,6 +17,9 @@ OPERATORS = (
     html_text.op8_main_text,
     repeats.op9_repeats,
     bpe.op10_bpe,
+    whitening.op11_whitening,
+    quality.op12_quality_rules,
+    variants.op13_spelling_variants,
 )
 
 
@@ -25,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op12_quality_rules": quality.SQL}
