@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import band
+from ..functions.scan import in_reach, own_rows, reach_window
 
 
 def _ratio(a, b):
@@ -65,10 +66,10 @@ def auc(scores: DataFrame, *keys: str, y: str = "y", score: str = "score") -> Da
     return c.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auc"))
 
 
-def persistence_baseline(labels: DataFrame) -> DataFrame:
-    """A4: the label before, first rows dropped."""
-    x = labels.select("asset", "time", F.col("label").alias("y_true"), F.lag("label").over(Window.partitionBy("asset").orderBy("time")).alias("y_pred"))
-    return x.where("y_pred is not null")
+def persistence_baseline(labels: DataFrame, width: float = 10) -> DataFrame:
+    """A4: the label of the bar before (width: seconds of a bar); rows after a gap, which have none, are dropped."""
+    x = in_reach(labels.select("asset", "time", F.col("label").alias("y_true")), 1, width)
+    return own_rows(x.withColumn("y_pred", F.lag("y_true").over(reach_window()))).where("y_pred is not null")
 
 
 def majority_baseline(labels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import band, normal_cdf, with_month
+from ..functions.scan import carried, in_reach, own_rows, reach_window, segment_starts
 
 
 def period_rates(labels: DataFrame, events: DataFrame, before: str = "30 days", gap: str = "7 days", after: str = "21 days") -> DataFrame:
@@ -45,13 +46,16 @@ def kappa_band(kappa):
     return F.when(kappa < 0, "poor").otherwise(F.when(kappa <= 0.20, "slight").when(kappa <= 0.40, "fair").when(kappa <= 0.60, "moderate").when(kappa <= 0.80, "substantial").otherwise("almost perfect"))
 
 
-def drawdown(prices: DataFrame, n: int = 12) -> DataFrame:
-    """Percent below the highest of this price and the n before; prices that aren't positive and finite are carried over."""
-    w = Window.partitionBy("asset").orderBy("time")
-    ok = F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.col("price"))
-    x = prices.withColumn("price", F.last(ok, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    peak = F.max("price").over(w.rowsBetween(-n, 0))
-    return x.withColumn("drawdown", (peak - F.col("price")) / peak * 100)
+def drawdown(prices: DataFrame, n: int = 12, width: float = 10) -> DataFrame:
+    """Percent below the highest of this price and the n before; prices that aren't positive and finite are carried over.
+    A gap longer than a bar (width: its seconds) ends what is looked back on and carried."""
+    begins = segment_starts(prices, width)
+    ok = F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.struct("time", "price"))
+    x = carried(begins, {"_start": F.when(F.col("_begins"), F.col("time")), "_held": ok})
+    x = x.withColumn("price", F.when(F.col("_held.time") >= F.col("_start"), F.col("_held.price")))
+    x = in_reach(x.drop("_begins", "_start", "_held"), n, width)
+    peak = F.max("price").over(reach_window().rowsBetween(-n, 0))
+    return own_rows(x.withColumn("drawdown", (peak - F.col("price")) / peak * 100))
 
 
 def drawdown_flag(table: DataFrame, baseline: DataFrame, p: float = 0.95) -> DataFrame:
@@ -91,18 +95,18 @@ def exclude_windows(df: DataFrame, events: DataFrame, margin: str = "14 days") -
 
 
 def label_runs(labels: DataFrame, width_s: float) -> DataFrame:
-    """Runs of equal labels, broken by gaps longer than a bar: asset, run, label, start, end, length, mean_price (if there are prices)."""
-    w = Window.partitionBy("asset").orderBy("time")
-    s = F.unix_micros(F.col("time").cast("timestamp"))
-    new = F.when(F.lag("label").over(w).isNull() | (F.lag("label").over(w) != F.col("label")) | (s - F.lag(s).over(w) > width_s * 1_000_000), 1).otherwise(0)
-    x = labels.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return x.groupBy("asset", "run", "label").agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count(F.lit(1)).alias("length"), *([F.avg("price").alias("mean_price")] if "price" in labels.columns else []))
+    """Runs of equal labels, broken by gaps longer than a bar: asset, label, start, end, length, mean_price (if there are prices)."""
+    x = in_reach(labels, 1, width_s)
+    before = F.lag("label").over(reach_window())
+    x = own_rows(x.withColumn("_new", before.isNull() | (before != F.col("label"))))
+    x = carried(x, {"start": F.when(F.col("_new"), F.col("time"))})
+    return x.groupBy("asset", "start", "label").agg(F.max("time").alias("end"), F.count(F.lit(1)).alias("length"), *([F.avg("price").alias("mean_price")] if "price" in labels.columns else []))
 
 
 def stress_runs(labels: DataFrame, width_s: float, least: int = 12, top: int = 5) -> DataFrame:
     """The longest runs of stress of each asset."""
     r = label_runs(labels, width_s).where((F.col("label") == 2) & (F.col("length") >= least))
-    return r.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("length"), "start"))).where(F.col("rank") <= top).drop("run", "label")
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("length"), "start"))).where(F.col("rank") <= top).drop("label")
 
 
 def period_pivot(rates: DataFrame, value: str = "rate") -> DataFrame:

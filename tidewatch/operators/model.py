@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import in_reach, own_rows, reach_window
 from .evaluate import ablation_compare, classification_report
 from .transform import class_weights, swap_columns
 
@@ -77,10 +78,10 @@ def predict(model, test: DataFrame, label: str = "y", *keep: str) -> DataFrame:
     return out.select("asset", "time", *keep, F.col(label).cast("int").alias("y_true"), probs.alias("probs"), F.col("prediction").cast("int").alias("y_pred"))
 
 
-def sequences(df: DataFrame, columns: list[str], length: int = 60, label: str = "label") -> DataFrame:
-    """M9: the last `length` rows as an array of arrays, with the label of the last one."""
-    w = Window.partitionBy("asset").orderBy("time").rowsBetween(-(length - 1), 0)
-    x = df.withColumn("seq", F.collect_list(F.array(*columns)).over(w))
+def sequences(df: DataFrame, columns: list[str], length: int = 60, label: str = "label", width: float = 10) -> DataFrame:
+    """M9: the last `length` bars as an array of arrays, with the label of the last one; none across a gap (width: seconds of a bar)."""
+    x = in_reach(df.select("asset", "time", F.col(label), F.array(*columns).alias("seq")), length - 1, width)
+    x = own_rows(x.withColumn("seq", F.collect_list("seq").over(reach_window().rowsBetween(-(length - 1), 0))))
     return x.where(F.size("seq") == length).select("asset", "time", "seq", label)
 
 

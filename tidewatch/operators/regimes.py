@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import with_month
+from ..functions.scan import in_reach, own_rows, reach_window
 from .transform import nan_to_num
 
 FEATURES = ("RV_300s", "OFI_300s", "Kyle_lambda_300s", "intensity_300s")
@@ -167,10 +168,10 @@ def event_label_rates(labels: DataFrame, events: DataFrame, classes: tuple[int,
     return label_distribution(j, "name", "asset", classes=classes)
 
 
-def transition_matrix(labels: DataFrame) -> DataFrame:
-    """from_label, to_label, n, p."""
-    nxt = F.lead("label").over(Window.partitionBy("asset").orderBy("time"))
-    pairs = labels.select("asset", F.col("label").alias("from_label"), nxt.alias("to_label")).where("to_label is not null")
+def transition_matrix(labels: DataFrame, width: float = 10) -> DataFrame:
+    """from_label, to_label, n, p of steps from a bar to the next one (width: seconds of a bar); a gap is no step."""
+    x = in_reach(labels.select("asset", "time", F.col("label").alias("to_label")), 1, width)
+    pairs = own_rows(x.withColumn("from_label", F.lag("to_label").over(reach_window()))).where("from_label is not null")
     counts = pairs.groupBy("asset", "from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("asset", "from_label")))
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite
+from ..functions.expr import SEGMENT, finite, with_month
+from ..functions.scan import CHUNK, in_reach
 
 
 def fracdiff_weights(d: float, least: float = 1e-5) -> list[float]:
@@ -21,34 +22,49 @@ def fracdiff_weights(d: float, least: float = 1e-5) -> list[float]:
     return w
 
 
-def fracdiff_short(df: DataFrame, column: str, d: float, least: float = 1e-3, strict: bool = False, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """D2 and D3 for short kernels, in columns only. strict: null unless all values are there; else the first len(w) outputs are 0."""
+def fracdiff_short(df: DataFrame, column: str, d: float, least: float = 1e-3, strict: bool = False, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
+    """D2 and D3 for short kernels, in columns only; each month of an asset by itself. strict: null unless all values are there; else the first len(w) outputs are 0."""
+    columns, df = df.columns, with_month(df)
     w = fracdiff_weights(d, least)
     over = Window.partitionBy(*keys).orderBy("time")
     values = F.collect_list(finite(column) if strict else F.coalesce(finite(column), F.lit(0.0))).over(over.rowsBetween(-(len(w) - 1), 0))
     total = F.aggregate(F.zip_with(F.reverse(values), F.array(*map(F.lit, w)), lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
     if strict:
-        return df.withColumn(column, F.when(F.size(values) == len(w), total))
-    return df.withColumn(column, F.when(F.row_number().over(over) > len(w), total).otherwise(0.0))
+        return df.withColumn(column, F.when(F.size(values) == len(w), total)).select(*columns)
+    return df.withColumn(column, F.when(F.row_number().over(over) > len(w), total).otherwise(0.0)).select(*columns)
 
 
-def fracdiff(df: DataFrame, d_map: dict[str, float], keys: tuple[str, ...] = ("asset", "month"), least: float = 1e-5) -> DataFrame:
-    """Causal filter by key in time order, warm-up zeroed. A group is one key's month of bars; the filter runs by FFT."""
+def fracdiff(df: DataFrame, d_map: dict[str, float], keys: tuple[str, ...] = SEGMENT, least: float = 1e-5, width: float = 10, chunk: int = CHUNK) -> DataFrame:
+    """Causal filter of bars on a regular grid (width: seconds of a bar) by key in time order, warm-up zeroed.
+
+    Overlap-save: a group is a chunk of a key's bars and, before it, as many as the longest kernel needs, of the filtered
+    columns alone; each is filtered by FFT. Other columns stay where they are and are joined by key and time. A month without
+    its own column in df is that of time.
+    """
     if not d_map:
         return df
     kernels = {c: np.array(fracdiff_weights(d, least)) for c, d in d_map.items()}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("time").reset_index(drop=True)
+    most = max(map(len, kernels.values()))
+    rows = with_month(df).select(*keys, "time", *d_map)
+    starts = rows.groupBy(*keys).agg(F.min("time").alias("_start"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    parts = in_reach(rows, most - 1, width, keys, chunk).join(starts, list(keys))
+    parts = parts.withColumn("_at", F.round((us("time") - us("_start")) / (width * 1_000_000)).cast("long")).select(*keys, "time", *d_map, "_chunk", "_own", "_at")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("time").reset_index(drop=True)
         for c, w in kernels.items():
-            x = np.nan_to_num(rows[c].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
+            x = np.nan_to_num(part[c].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
             n = 1 << int(np.ceil(np.log2(len(x) + len(w))))
             y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(w, n), n)[: len(x)]
-            y[: len(w)] = 0.0
-            rows[c] = y
-        return rows
+            part[c] = np.where(part["_at"] < len(w), 0.0, y)
+        return part[part["_own"].to_numpy(bool)][[*keys, "time", *d_map]]
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    kinds = dict(rows.dtypes)
+    made = parts.groupBy(*keys, "_chunk").applyInPandas(run, ", ".join(f"{c} {'double' if c in d_map else kinds[c]}" for c in (*keys, "time", *d_map)))
+    if set(df.columns) <= {*keys, "time", *d_map}:
+        return made.select(*df.columns)
+    return with_month(df).drop(*d_map).join(made, [*keys, "time"]).select(*df.columns)
 
 
 # MacKinnon's approximation of the unit-root distribution with a constant, one variable: bounds, and coefficients below and above the middle one.
@@ -64,16 +80,17 @@ def adf_p(t: float) -> float:
     return 0.5 * (1 + math.erf(z / math.sqrt(2)))
 
 
-def adf_test(df: DataFrame, columns: list[str], lags: int | None = None, max_lags: int = 12, keys: tuple[str, ...] = ("asset",), level: float = 0.05) -> DataFrame:
+def adf_test(df: DataFrame, columns: list[str], lags: int | None = None, max_lags: int = 12, keys: tuple[str, ...] = ("asset",), level: float = 0.05, segment: tuple[str, ...] = ()) -> DataFrame:
     """T-statistic and p-value of the unit-root regression with a constant and lagged differences, by key and column.
 
     lags fixes their number; else the one of 0 to max_lags with the least AIC is taken, all on the rows that have max_lags
     of them. The design's products are summed in one aggregation, so only (max_lags + 3)^2 numbers of a key and column remain.
     Constant columns and those with fewer than 20 finite values have null statistics. stationary: p below `level`.
+    segment: further columns within whose values differences are taken; their rows are fitted together.
     """
     most = max_lags if lags is None else lags
-    over = Window.partitionBy(*keys, "column").orderBy("time")
-    long = df.select(*keys, "time", *(finite(c).alias(c) for c in columns)).unpivot([*keys, "time"], columns, "column", "x").where("x is not null")
+    over = Window.partitionBy(*keys, *segment, "column").orderBy("time")
+    long = df.select(*keys, *segment, "time", *(finite(c).alias(c) for c in columns)).unpivot([*keys, *segment, "time"], columns, "column", "x").where("x is not null")
     long = long.withColumns({"dx": F.col("x") - F.lag("x").over(over), "level": F.lag("x").over(over)})
     long = long.withColumns({f"d{k}": F.lag("dx", k).over(over) for k in range(1, most + 1)}).dropna()
     names = ["one", "level", *(f"d{k}" for k in range(1, most + 1)), "dx"]
@@ -106,16 +123,24 @@ def adf_test(df: DataFrame, columns: list[str], lags: int | None = None, max_lag
     return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", column string, n long, lags long, t_stat double, p_value double, stationary boolean")
 
 
-def find_min_d(df: DataFrame, column: str, grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), least: float = 1e-3, lags: int | None = None) -> DataFrame:
-    """The smallest d of the grid whose difference is stationary, else 1.0; all d in one job, from one window of lagged values."""
+def find_min_d(df: DataFrame, column: str, grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), least: float = 1e-3, lags: int | None = None, rows: int = 100) -> DataFrame:
+    """The smallest d of the grid whose difference is stationary, else 1.0; all d in one job, from one window of lagged values.
+
+    Each month is differenced by itself and its warm-up left out; an asset's months are tested together. A d that leaves
+    `rows` values or fewer isn't considered.
+    """
     kernels = [fracdiff_weights(d, least) for d in grid]
-    over = Window.partitionBy("asset").orderBy("time").rowsBetween(-(max(map(len, kernels)) - 1), 0)
-    x = df.select("asset", "time", F.reverse(F.collect_list(F.coalesce(finite(column), F.lit(0.0))).over(over)).alias("_v"))
+    over = Window.partitionBy(*SEGMENT).orderBy("time")
+    lagged = F.reverse(F.collect_list(F.coalesce(finite(column), F.lit(0.0))).over(over.rowsBetween(-(max(map(len, kernels)) - 1), 0)))
+    x = with_month(df).select(*SEGMENT, "time", lagged.alias("_v"), F.row_number().over(over).alias("_n"))
     dim = F.array(*(F.struct(F.lit(d).alias("d"), F.array(*map(F.lit, w)).alias("w")) for d, w in zip(grid, kernels, strict=True)))
-    x = x.select("asset", "time", "_v", F.explode(dim).alias("_k")).where(F.size("_v") >= F.size("_k.w"))
+    x = x.select(*SEGMENT, "time", "_v", "_n", F.explode(dim).alias("_k")).where(F.col("_n") > F.size("_k.w"))
     total = F.aggregate(F.zip_with(F.slice("_v", F.lit(1), F.size("_k.w")), "_k.w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    found = adf_test(x.select("asset", "time", F.col("_k.d").alias("d"), total.alias(column)), [column], lags, keys=("asset", "d"))
-    return found.groupBy("asset").agg(F.coalesce(F.min(F.when(F.col("stationary"), F.col("d"))), F.lit(1.0)).alias("d"))
+    x = x.select(*SEGMENT, "time", F.col("_k.d").alias("d"), total.alias(column))
+    enough = x.groupBy("asset", "d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    found = adf_test(x, [column], lags, keys=("asset", "d"), segment=("month",)).join(enough, ["asset", "d"])
+    least_d = found.groupBy("asset").agg(F.min(F.when(F.col("stationary"), F.col("d"))).alias("d"))
+    return df.select("asset").distinct().join(least_d, "asset", "left").select("asset", F.coalesce("d", F.lit(1.0)).alias("d"))
 
 
 def swap_columns(base: DataFrame, alt: DataFrame, columns: list[str]) -> DataFrame:

@@ -274,12 +274,12 @@ _W = transform.fracdiff_weights(0.4, 1e-2)
 _SUM = " + ".join(f"{w!r} * coalesce(lag(price, {k}) OVER w, 0.0)" if k else "price" for k, w in enumerate(_W))
 
 
-@query(f"WITH {DENSE} SELECT asset, time, round(CASE WHEN row_number() OVER w > {len(_W)} THEN {_SUM} ELSE 0.0 END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
+@query(f"WITH {DENSE} SELECT asset, time, round(CASE WHEN row_number() OVER w > {len(_W)} THEN {_SUM} ELSE 0.0 END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)")
 def d_fracdiff_short(spark, d):
     return transform.fracdiff_short(_dense(spark, d).select("asset", "time", "price"), "price", 0.4, 1e-2)
 
 
-@query(f"WITH {DENSE} SELECT asset, time, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
+@query(f"WITH {DENSE} SELECT asset, time, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)")
 def d_fracdiff_strict(spark, d):
     return transform.fracdiff_short(_dense(spark, d).select("asset", "time", "price"), "price", 0.4, 1e-2, strict=True)
 
@@ -291,7 +291,7 @@ _LONG_SUM = " + ".join(f"{w!r} * coalesce(lag(price, {k}) OVER w, 0.0)" if k els
 @query(f"WITH {DENSE} SELECT asset, strftime(time, '%Y-%m') AS month, time, round(CASE WHEN row_number() OVER w > {len(_LONG)} THEN {_LONG_SUM} ELSE 0.0 END, 6) AS price FROM dense WINDOW w AS (PARTITION BY asset, dense.month ORDER BY time)")
 def d_fracdiff_long(spark, d):
     x = _dense(spark, d).select("asset", F.date_format("time", "yyyy-MM").alias("month"), "time", "price")
-    return transform.fracdiff(x, {"price": 0.3}, least=1e-3)
+    return transform.fracdiff(x, {"price": 0.3}, least=1e-3, width=SECONDS)
 
 
 @query()
@@ -315,10 +315,10 @@ def l_event_label_rates(spark, d):
     return regimes.event_label_rates(_labels(spark, d), _events(spark).select("name", F.col("onset").alias("start"), F.col("crisis_end").alias("stop")))
 
 
-@query(f"""WITH {DENSE}, p AS (SELECT asset, label AS from_label, lead(label) OVER (PARTITION BY asset ORDER BY time) AS to_label FROM lab), c AS (SELECT asset, from_label, to_label, count(*) AS n FROM p WHERE to_label IS NOT NULL GROUP BY ALL)
+@query(f"""WITH {DENSE}, p AS (SELECT asset, label AS from_label, lead(label) OVER (PARTITION BY asset, seg ORDER BY time) AS to_label FROM lab), c AS (SELECT asset, from_label, to_label, count(*) AS n FROM p WHERE to_label IS NOT NULL GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY asset, from_label), 6) AS p FROM c""")
 def l_transition_matrix(spark, d):
-    return regimes.transition_matrix(_labels(spark, d))
+    return regimes.transition_matrix(_labels(spark, d), SECONDS)
 
 
 @query(f"""WITH {DENSE}, o AS (SELECT asset, time, (CASE WHEN abs_r > 2.0 THEN 2 WHEN abs_r > 1.0 THEN 1 ELSE 0 END) AS y FROM dense), j AS (SELECT asset, label AS x, y FROM lab JOIN o USING (asset, time))
@@ -344,20 +344,20 @@ def m_feature_label_join(spark, d):
     return model.feature_label_join(x, _labels(spark, d).drop("price"))
 
 
-@query(f"WITH {DENSE} SELECT asset, time, label, round(list_sum(seq), 6) AS total FROM (SELECT asset, time, label, list(price) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS seq FROM lab) WHERE len(seq) = 60")
+@query(f"WITH {DENSE} SELECT asset, time, label, round(list_sum(seq), 6) AS total FROM (SELECT asset, time, label, list(price) OVER (PARTITION BY asset, seg ORDER BY time ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS seq FROM lab) WHERE len(seq) = 60")
 def m_sequences(spark, d):
-    s = model.sequences(_labels(spark, d), ["price"])
+    s = model.sequences(_labels(spark, d), ["price"], width=SECONDS)
     return s.select("asset", "time", "label", F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
 _AT = [(i, j) for i in range(4) for j in range(4)]
 
 
-@query(f"""WITH {DENSE}, s AS (SELECT asset, time, list(price) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS q FROM lab), m AS (SELECT asset, time, q, list_min(q) AS lo, CASE WHEN list_max(q) = list_min(q) THEN 1.0 ELSE list_max(q) - list_min(q) END AS span FROM s WHERE len(q) = 4),
+@query(f"""WITH {DENSE}, s AS (SELECT asset, time, list(price) OVER (PARTITION BY asset, seg ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS q FROM lab), m AS (SELECT asset, time, q, list_min(q) AS lo, CASE WHEN list_max(q) = list_min(q) THEN 1.0 ELSE list_max(q) - list_min(q) END AS span FROM s WHERE len(q) = 4),
 e AS (SELECT asset, time, list_transform(q, lambda v: 2 * (v - lo) / span - 1) AS x FROM m)
 SELECT asset, time, {", ".join(f"round(x[{i + 1}] * x[{j + 1}] - sqrt(greatest(0, 1 - x[{i + 1}] * x[{i + 1}])) * sqrt(greatest(0, 1 - x[{j + 1}] * x[{j + 1}])), 5) AS g{i}{j}" for i, j in _AT)} FROM e""")
 def m_gasf(spark, d):
-    s = model.sequences(_labels(spark, d), ["price"], 4).withColumn("g", model.gasf(F.flatten("seq")))
+    s = model.sequences(_labels(spark, d), ["price"], 4, width=SECONDS).withColumn("g", model.gasf(F.flatten("seq")))
     return s.select("asset", "time", *(F.round(F.col("g")[i][j], 5).alias(f"g{i}{j}") for i, j in _AT))
 
 
@@ -393,9 +393,9 @@ def a_auc(spark, d):
     return evaluate.auc(s, "k")
 
 
-@query(f"WITH {DENSE}, p AS (SELECT asset, time, label AS y_true, lag(label) OVER (PARTITION BY asset ORDER BY time) AS y_pred FROM lab) SELECT asset, time, y_true, y_pred FROM p WHERE y_pred IS NOT NULL")
+@query(f"WITH {DENSE}, p AS (SELECT asset, time, label AS y_true, lag(label) OVER (PARTITION BY asset, seg ORDER BY time) AS y_pred FROM lab) SELECT asset, time, y_true, y_pred FROM p WHERE y_pred IS NOT NULL")
 def a_persistence_baseline(spark, d):
-    return evaluate.persistence_baseline(_labels(spark, d))
+    return evaluate.persistence_baseline(_labels(spark, d), SECONDS)
 
 
 @query(f"WITH {DENSE}, c AS (SELECT asset, label, count(*) AS n FROM lab GROUP BY 1, 2), t AS (SELECT asset, arg_max(label, n * 10 - label) AS y_pred FROM c GROUP BY asset) SELECT lab.asset, time, label AS y_true, y_pred FROM lab JOIN t ON lab.asset = t.asset")
@@ -503,15 +503,15 @@ def e_kappa_band(spark, d):
     return x.withColumn("band", events.kappa_band(F.col("kappa")))
 
 
-@query(f"WITH {DENSE} SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {DENSE} SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset, seg ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)")
 def e_drawdown(spark, d):
-    return events.drawdown(_dense(spark, d).select("asset", "time", "price")).select("asset", "time", "drawdown")
+    return events.drawdown(_dense(spark, d).select("asset", "time", "price"), width=SECONDS).select("asset", "time", "drawdown")
 
 
-@query(f"""WITH {DENSE}, x AS (SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+@query(f"""WITH {DENSE}, x AS (SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset, seg ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
 b AS (SELECT asset, quantile_cont(drawdown, 0.95) AS bound FROM x WHERE time < TIMESTAMP '2024-01-11' GROUP BY asset) SELECT x.asset, time, (drawdown > bound)::BIGINT AS flag FROM x JOIN b ON x.asset = b.asset""")
 def e_drawdown_flag(spark, d):
-    x = rounded(events.drawdown(_dense(spark, d).select("asset", "time", "price")).select("asset", "time", "drawdown"))
+    x = rounded(events.drawdown(_dense(spark, d).select("asset", "time", "price"), width=SECONDS).select("asset", "time", "drawdown"))
     return events.drawdown_flag(x, x.where("time < timestamp_ntz'2024-01-11'")).select("asset", "time", "flag")
 
 
@@ -546,7 +546,7 @@ def _probs(spark, d):
     return x.join(F.broadcast(cuts(x)), "asset").select("asset", "time", "price", prob.alias("prob"))  # a row an asset
 
 
-_PROB = "pr AS (SELECT dense.asset, time, price, CASE WHEN tense > 0 THEN least(1.0, rv / tense * 0.9) ELSE 0.0 END AS prob FROM dense JOIN cut ON dense.asset = cut.asset)"
+_PROB = "pr AS (SELECT dense.asset, time, seg, price, CASE WHEN tense > 0 THEN least(1.0, rv / tense * 0.9) ELSE 0.0 END AS prob FROM dense JOIN cut ON dense.asset = cut.asset)"
 
 
 @query(f"WITH {DENSE}, {_PROB}, x AS (SELECT *, min(prob) OVER w AS lo, count(prob) OVER w AS n FROM pr WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) SELECT asset, min(time) AS signal FROM x WHERE lo > 0.85 AND n = 2 GROUP BY asset")
@@ -580,14 +580,14 @@ def e_block_bootstrap(spark, d):
     return tested.withColumn("null_mean", F.col("null_mean") + 1e-9)  # halves of the last decimal round alike in all engines
 
 
-@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr)
-SELECT asset, time, round(prob, 6) AS prob, CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END AS regime, sum(hit) OVER (PARTITION BY asset, g ORDER BY time)::BIGINT AS consecutive_bars, sum(hit) OVER (PARTITION BY asset, g ORDER BY time) >= 2 AS warning_active FROM h""")
+@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr)
+SELECT asset, time, round(prob, 6) AS prob, CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END AS regime, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time)::BIGINT AS consecutive_bars, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time) >= 2 AS warning_active FROM h""")
 def s_warning_state(spark, d):
-    x = live.warning_state(_probs(spark, d))
+    x = live.warning_state(_probs(spark, d), gap=SECONDS)
     return x.select("asset", "time", "prob", live.regime(F.col("prob")).alias("regime"), "consecutive_bars", "warning_active")
 
 
-_WARNED = "w AS (SELECT asset, time, price FROM (SELECT *, sum(hit) OVER (PARTITION BY asset, g ORDER BY time) AS c FROM (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr)) WHERE c >= 2)"
+_WARNED = "w AS (SELECT asset, time, price FROM (SELECT *, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time) AS c FROM (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr)) WHERE c >= 2)"
 
 
 def _outcomes(minutes: int) -> str:
@@ -597,7 +597,7 @@ def _outcomes(minutes: int) -> str:
 
 
 def _warned(spark, d):
-    return live.warning_state(_probs(spark, d)).where("warning_active").select("asset", "time", "price")
+    return live.warning_state(_probs(spark, d), gap=SECONDS).where("warning_active").select("asset", "time", "price")
 
 
 @query(f"WITH {DENSE}, {_PROB}, {_WARNED}, {_outcomes(30)}")
@@ -730,11 +730,11 @@ def a_verdict_bands(spark, d):
     return s.select("k", evaluate.verdict_bands(F.col("a")).alias("agreement_band"), evaluate.verdict_bands(None, F.col("a") - 0.8).alias("delta_band"), live.thin_guard(F.col("n")).alias("status"))
 
 
-@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr),
-c AS (SELECT asset, time, prob, sum(hit) OVER (PARTITION BY asset, g ORDER BY time)::BIGINT AS n FROM h), fl AS (SELECT asset, time, CASE WHEN v_buy + v_sell > 0 THEN (v_buy - v_sell) / (v_buy + v_sell) END AS flow FROM dense)
+@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr),
+c AS (SELECT asset, time, prob, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time)::BIGINT AS n FROM h), fl AS (SELECT asset, time, CASE WHEN v_buy + v_sell > 0 THEN (v_buy - v_sell) / (v_buy + v_sell) END AS flow FROM dense)
 SELECT asset, time, concat_ws(' | ', (CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END) || ' bar', CASE WHEN n >= 2 THEN 'warning for ' || n || ' bars' END, CASE WHEN abs(flow) > 0.3 THEN 'extreme flow' END) AS text FROM c JOIN fl USING (asset, time)""")
 def s_interpretation(spark, d):
-    x = live.warning_state(_probs(spark, d)).withColumn("regime", live.regime(F.col("prob")))
+    x = live.warning_state(_probs(spark, d), gap=SECONDS).withColumn("regime", live.regime(F.col("prob")))
     sides = F.col("v_buy") + F.col("v_sell")
     flow = _dense(spark, d).select("asset", "time", F.when(sides > 0, (F.col("v_buy") - F.col("v_sell")) / sides).alias("OFI"))
     said = live.interpretation(x.join(flow, ["asset", "time"])).select("asset", "time", "interpretation")

@@ -161,13 +161,31 @@ def a_permutation_importance(spark, d):
     return spark.createDataFrame(rows, "feature string, loss double")  # a row a feature
 
 
+#: A stream is played in so many parts, and is stopped after each and started again from its checkpoint.
+PARTS = 5
+
+
+def _parts(spark: SparkSession, rows: DataFrame, name: str, play) -> None:
+    """Plays rows in PARTS equal spans of time: each is added to a folder, and play is called with a stream over that."""
+    kept, source = _kept(rows, f"{name}-rows"), shared(spark, f"{name}-in")
+    us = F.unix_micros(F.col("time").cast("timestamp"))
+    first, last = kept.agg(F.min(us), F.max(us)).first()
+    part = F.floor((us - F.lit(first)) * PARTS / F.lit((last or 0) - (first or 0) + 1))
+    for k in range(PARTS if first is not None else 1):
+        kept.where(part == k).write.mode("append").parquet(source)
+        play(spark.readStream.schema(rows.schema).parquet(source)).trigger(availableNow=True).start().awaitTermination()
+
+
 def _played(spark: SparkSession, rows: DataFrame, run, name: str) -> DataFrame:
-    """What a stream over rows leaves in its Parquet sink when all that was there is read."""
-    source, path = shared(spark, f"{name}-in"), shared(spark, name)
-    rows.write.parquet(source)
-    stream = run(spark.readStream.schema(rows.schema).parquet(source))
-    live.sink(stream, path, shared(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    """What a stream over rows leaves in its Parquet sink."""
+    path, state, made = shared(spark, name), shared(spark, f"{name}-state"), []
+
+    def play(source):
+        made.append(run(source))
+        return live.sink(made[-1], path, state)
+
+    _parts(spark, rows, name, play)
+    return spark.read.schema(made[-1].schema).parquet(path).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 def _ticks(spark, d) -> DataFrame:
@@ -185,16 +203,15 @@ def s_stream_bars(spark, d):
 @query(f"""WITH {DENSE}, f AS ({FEATURES}), c AS (SELECT asset, max(time) AS last FROM bars WHERE time + INTERVAL 1 HOUR {_CLOSED} GROUP BY asset), n AS (SELECT asset, time, sum(n_buy + n_sell) OVER (PARTITION BY asset, month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS n_trades FROM dense)
 SELECT f.* EXCLUDE (month), n_trades, CASE WHEN n_trades < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM f JOIN c ON f.asset = c.asset AND f.time <= c.last JOIN n ON n.asset = f.asset AND n.time = f.time""")
 def s_stream_features(spark, d):
-    ticks = _played(spark, _ticks(spark, d), lambda t: live.stream_tick_bars(t, f"{SECONDS} seconds"), "stream-tick-bars")
-    return _played(spark, ticks.withColumn("time", F.col("time").cast("timestamp")), lambda b: live.stream_features(b, SECONDS), "stream-features")
+    return _played(spark, _ticks(spark, d), lambda t: live.stream_features(live.stream_tick_bars(t, f"{SECONDS} seconds"), SECONDS), "stream-features")
 
 
-@query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
+@query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)")
 def s_fracdiff_price(spark, d):
     return live.fracdiff_price(_dense(spark, d).select("asset", "time", "price"), _W)
 
 
-@query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset ORDER BY time)")
+@query(f"WITH {DENSE} SELECT asset, time, round(price, 6) AS price, round(CASE WHEN row_number() OVER w >= {len(_W)} THEN {_SUM} ELSE price END, 6) AS price_fd FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)")
 def s_stream_fracdiff_price(spark, d):
     rows = _dense(spark, d).select("asset", F.col("time").cast("timestamp").alias("time"), "price")
     return _played(spark, rows, lambda x: live.stream_fracdiff_price(x, _W), "stream-fracdiff")
@@ -216,8 +233,24 @@ def s_stream_score(spark, d):
     return _played(spark, rows, lambda x: live.stream_score(x, fitted).select("asset", "time", "prob", "regime"), "stream-score")
 
 
-@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset ORDER BY time) AS g FROM pr)
-SELECT asset, time, round(prob, 6) AS prob, sum(hit) OVER (PARTITION BY asset, g ORDER BY time)::BIGINT AS consecutive_bars, sum(hit) OVER (PARTITION BY asset, g ORDER BY time) >= 2 AS warning_active FROM h""")
+@query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr)
+SELECT asset, time, round(prob, 6) AS prob, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time)::BIGINT AS consecutive_bars, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time) >= 2 AS warning_active FROM h""")
 def s_stream_warnings(spark, d):
     rows = _probs(spark, d).select("asset", F.col("time").cast("timestamp").alias("time"), "prob")
-    return _played(spark, rows, live.stream_warnings, "stream-warnings")
+    return _played(spark, rows, lambda x: live.stream_warnings(x, gap=SECONDS), "stream-warnings")
+
+
+_ENDED = "epoch_us(time) + 1800000000 < (SELECT max(epoch_us(t)) - 30000000 FROM (SELECT max(bar) AS t FROM o UNION ALL SELECT max(time) FROM pr)) // 1000 * 1000"
+
+
+@query(f"""WITH {DENSE}, {_PROB}, {_WARNED}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr), done AS (WITH {_outcomes(30)} WHERE {_ENDED})
+SELECT 'score' AS kind, asset, time, round(price, 6) AS price, round(prob, 6) AS prob, CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END AS regime, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time)::BIGINT AS consecutive_bars, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time) >= 2 AS warning_active,
+NULL AS min_change_pct, NULL AS end_change_pct, NULL AS outcome FROM h UNION ALL SELECT 'outcome', asset, time, price, NULL, NULL, NULL, NULL, min_change_pct, end_change_pct, outcome FROM done""")
+def s_live_tables(spark, d):
+    at = F.col("time").cast("timestamp").alias("time")
+    minutes = bars.ohlc(_ticks(spark, d)).select("asset", F.col("bar").alias("time"), "low", "close")
+    rows = _probs(spark, d).select("asset", at, "price", "prob").unionByName(minutes, allowMissingColumns=True)
+    paths, state = {k: shared(spark, f"live-{k}") for k in live.TABLES}, shared(spark, "live-state")
+    _parts(spark, rows, "live", lambda x: live.live_tables(live.stream_live(x.withWatermark("time", live.LATE), gap=SECONDS), paths["score"], paths["outcome"], state))
+    scores, outcomes = (spark.read.parquet(paths[k]).withColumn("kind", F.lit(k)).drop("batch_id") for k in live.TABLES)
+    return scores.unionByName(outcomes, allowMissingColumns=True).withColumn("time", F.col("time").cast("timestamp_ntz"))

@@ -67,12 +67,13 @@ bars AS (SELECT asset, month, bar AS time, sum(CASE WHEN is_buyer_maker THEN 0.0
 DENSE = (
     BARS
     + """, grid AS (SELECT asset, month, unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM bars GROUP BY asset, month),
-dense AS (SELECT g.asset, g.month, g.time, coalesce(v_buy, 0) AS v_buy, coalesce(v_sell, 0) AS v_sell, coalesce(n_buy, 0) AS n_buy, coalesce(n_sell, 0) AS n_sell, coalesce(volume, 0) AS volume,
+whole AS (SELECT g.asset, g.month, g.time, coalesce(v_buy, 0) AS v_buy, coalesce(v_sell, 0) AS v_sell, coalesce(n_buy, 0) AS n_buy, coalesce(n_sell, 0) AS n_sell, coalesce(volume, 0) AS volume,
   coalesce(quote, 0) AS quote, last_value(price IGNORE NULLS) OVER (PARTITION BY g.asset, g.month ORDER BY g.time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, coalesce(rv, 0) AS rv,
   coalesce(abs_r, 0) AS abs_r, mean_dt, std_dt FROM grid g LEFT JOIN bars b ON g.asset = b.asset AND g.month = b.month AND g.time = b.time),
+dense AS (SELECT * EXCLUDE (far), sum(far) OVER (PARTITION BY asset ORDER BY time) AS seg FROM (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY asset ORDER BY time) > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS far FROM whole)),
 deltas AS (SELECT *, coalesce(price - lag(price) OVER w, 0.0) AS dp, v_buy - v_sell AS sv FROM dense WINDOW w AS (PARTITION BY asset, month ORDER BY time)),
 cut AS (SELECT asset, quantile_cont(rv, 0.60) AS calm, quantile_cont(rv, 0.85) AS tense FROM dense GROUP BY asset),
-lab AS (SELECT dense.asset, time, price, (CASE WHEN rv >= tense THEN 2 WHEN rv > calm THEN 1 ELSE 0 END)::BIGINT AS label FROM dense JOIN cut ON dense.asset = cut.asset)"""
+lab AS (SELECT dense.asset, time, seg, price, (CASE WHEN rv >= tense THEN 2 WHEN rv > calm THEN 1 ELSE 0 END)::BIGINT AS label FROM dense JOIN cut ON dense.asset = cut.asset)"""
 )
 
 

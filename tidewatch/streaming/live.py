@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.expr import EPS, band
+from ..functions.expr import SEGMENT, band, with_month
+from ..functions.scan import run_length
 from ..operators.bars import ohlc, signed_flow
 from ..operators.features import live_names
+from .processors import Differenced, Features, Outcomes, Warnings
 
 LATE = "30 seconds"
 
@@ -25,7 +24,7 @@ def stream_bars(trades: DataFrame, width: str = "10 seconds", late: str = LATE)
 
 def stream_tick_bars(trades: DataFrame, width: str = "10 seconds", late: str = LATE) -> DataFrame:
     """S1 with what the features need besides: the path of a bar's returns and gaps, and the first and last log price and time,
-    which tie it to its neighbours. To a sink, from which stream_features reads (Spark has no own state after an aggregation)."""
+    which tie it to its neighbours, for stream_features."""
     t = signed_flow(trades).withWatermark("time", late)
     tick = F.struct(F.unix_micros("time").alias("us"), "id", F.log("price").alias("lp"))
     b = t.groupBy("asset", F.window("time", width)).agg(
@@ -43,90 +42,26 @@ def stream_tick_bars(trades: DataFrame, width: str = "10 seconds", late: str = L
     )
 
 
-#: What the state keeps of a bar: flows, path of returns, price and its step.
-RING = ("v_buy", "v_sell", "n_buy", "n_sell", "volume", "quote", "abs_r", "rr", "price", "dp")
-
-
-def _rolled(rows: np.ndarray, new: int, seen: int, scales: tuple[int, ...], seconds: int) -> dict[str, np.ndarray]:
-    """Features of the last `new` of the rows (columns RING); seen: bars of the segment up to the last row."""
-    at = {c: k for k, c in enumerate(RING)}
-    price, out = rows[-new:, at["price"]], {}
-    have = np.arange(seen - new + 1, seen + 1)
-    for w in scales:
-        name = f"{w * seconds}s"
-        wide = np.concatenate([np.zeros((max(0, w - 1 + new - len(rows)), rows.shape[1])), rows])[-(w - 1 + new) :]
-        frames = np.lib.stride_tricks.sliding_window_view(wide, w, axis=0)
-        s = {c: frames[:, k].sum(axis=1) for c, k in at.items()}
-        full = lambda v, w=w: np.where(have >= w, v, np.nan)
-        vwap = s["quote"] / (s["volume"] + EPS)
-        out |= {
-            f"OFI_{name}": full((s["v_buy"] - s["v_sell"]) / (s["v_buy"] + s["v_sell"] + EPS)), f"TCI_{name}": full((s["n_buy"] - s["n_sell"]) / (s["n_buy"] + s["n_sell"] + EPS)), f"intensity_{name}": full((s["n_buy"] + s["n_sell"]) / (w * seconds)),
-            f"VWAP_{name}": full(vwap), f"VWAP_dev_{name}": full((price - vwap) / (vwap + EPS)), f"ILLIQ_{name}": full(s["abs_r"] / (s["volume"] + EPS)), f"RV_{name}": full(np.sqrt(s["rr"])),
-        }
-        if w > 1:
-            x, y = frames[:, at["dp"]], frames[:, at["v_buy"]] - frames[:, at["v_sell"]]
-            x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-            sx, sy = np.sqrt((x * x).sum(axis=1) / (w - 1)), np.sqrt((y * y).sum(axis=1) / (w - 1))
-            ok = (have >= w) & (sx > 1e-12) & (sy > 1e-12)
-            out[f"Kyle_lambda_{name}"] = np.where(ok, (x * y).sum(axis=1) / (w - 1) / np.where(ok, sy, 1) / (sy + EPS), 0.0)
-    out["n_trades"] = s["n_buy"] + s["n_sell"]
-    return out | {"price": price, "volume": rows[-new:, at["volume"]], "rv": np.sqrt(rows[-new:, at["rr"]])}
+def keep_state(spark: SparkSession) -> None:
+    """Streams that start in this session keep their state in RocksDB, which the processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _with_state(rows: DataFrame, processor, schema: str, timed: bool = False) -> DataFrame:
+    keep_state(rows.sparkSession)
+    return rows.groupBy("asset").transformWithStateInPandas(processor, schema, "append", "eventTime" if timed else "none")
 
 
 def stream_features(bars: DataFrame, seconds: int = 10, scales: tuple[int, ...] = (1, 6, 30), least: int = 10) -> DataFrame:
-    """All features of each bar of a stream that stream_tick_bars left, as the table of bars has them; status
-    too_thin under `least` trades in the longest scale.
+    """All features of each bar of stream_tick_bars, as the table of bars has them; status too_thin under `least`
+    trades in the longest scale.
 
     A trade is read once; the state of an asset is the ring of its last bars (the longest scale less one) and what is
     carried into the next bar. Bars without trades are filled in when the next one closes; a new month starts anew.
     """
-    step, keep = seconds * 1_000_000, max(scales) - 1
     names = [*live_names(tuple(s * seconds for s in scales)), f"CV_dt_{seconds}s"]
-
-    def run(key, batches, state):
-        ring, seen, last, lp, us, month = state.get if state.exists else ([], 0, 0, 0.0, 0, "")
-        ring = np.array(ring, float).reshape(-1, len(RING))
-        bars = pd.concat(list(batches)).sort_values("time")
-        runs: list[tuple[np.ndarray, int, list, list]] = []  # rows and those before them, bars seen, times, deviations of gaps
-        made, times, cv = [], [], []
-
-        def close():
-            nonlocal ring, made, times, cv
-            if made:
-                runs.append((np.concatenate([ring, made]), seen, times, cv))
-                ring = runs[-1][0][len(runs[-1][0]) - keep :] if keep else runs[-1][0][:0]
-                made, times, cv = [], [], []
-
-        for b in bars.itertuples():
-            at = b.time.value // 1000
-            if (m := b.time.strftime("%Y-%m")) != month:
-                close()
-                ring, seen, month, last = ring[:0], 0, m, None
-            price = made[-1][8] if made else ring[-1][8] if len(ring) else None
-            while last is not None and last + step < at:
-                last, seen = last + step, seen + 1
-                made.append([0.0] * 8 + [price, 0.0])
-                times.append(last)
-                cv.append(0.0)
-            first = last is None
-            r = 0.0 if first else min(0.5, max(-0.5, b.lp0 - lp))
-            n, s, ss = (b.n_dt, b.s_dt, b.ss_dt) if first else (b.n_dt + 1, b.s_dt + (b.us0 - us), b.ss_dt + (b.us0 - us) ** 2)
-            made.append([b.v_buy, b.v_sell, b.n_buy, b.n_sell, b.volume, b.quote, b.abs_r + abs(r), b.rr + r * r, b.price, 0.0 if first else b.price - price])
-            times.append(at)
-            cv.append(max(0.0, (ss - s * s / n) / (n - 1)) ** 0.5 / (s / n + EPS) if n > 1 else 0.0)
-            last, lp, us, seen = at, b.lp1, int(b.us1), seen + 1
-        close()
-        state.update((ring.ravel().tolist(), seen, last, lp, us, month))
-        for rows, count, when, gaps in runs:
-            found = pd.DataFrame(_rolled(rows, len(when), count, scales, seconds) | {f"CV_dt_{seconds}s": gaps})
-            found.insert(0, "time", pd.to_datetime(np.array(when), unit="us"))
-            found.insert(0, "asset", key[0])
-            found["n_trades"] = found["n_trades"].astype("int64")
-            yield found[["asset", "time", "n_trades", *names]]
-
     schema = "asset string, time timestamp, n_trades long, " + ", ".join(f"{c} double" for c in names)
-    kept = "ring array<double>, seen long, last long, lp double, us long, month string"
-    out = bars.groupBy("asset").applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    out = _with_state(bars, Features(seconds, scales, names), schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names} | {"status": thin_guard(F.col("n_trades"), least)})
 
 
@@ -136,32 +71,17 @@ def thin_guard(n, least: int = 10):
 
 
 def fracdiff_price(bars: DataFrame, weights: list[float]) -> DataFrame:
-    """S3, batch twin: the differenced price of closes, the raw one while history is short."""
-    w = Window.partitionBy("asset").orderBy("time").rowsBetween(-(len(weights) - 1), 0)
+    """S3, batch twin: the differenced price of closes, the raw one while the month's history is short."""
+    columns, bars = bars.columns, with_month(bars)
+    w = Window.partitionBy(*SEGMENT).orderBy("time").rowsBetween(-(len(weights) - 1), 0)
     values = F.collect_list("price").over(w)
     total = F.aggregate(F.zip_with(F.reverse(values), F.array(*map(F.lit, weights)), lambda x, y: x * y), F.lit(0.0), lambda a, c: a + c)
-    return bars.withColumn("price_fd", F.when(F.size(values) == len(weights), total).otherwise(F.col("price")))
+    return bars.withColumn("price_fd", F.when(F.size(values) == len(weights), total).otherwise(F.col("price"))).select(*columns, "price_fd")
 
 
 def stream_fracdiff_price(closes: DataFrame, weights: list[float]) -> DataFrame:
     """S3 on a stream of closes (asset, time, price), each asset's in order: the state is as many prices as there are weights, less one."""
-    kernel = np.array(weights[::-1])
-
-    def run(key, batches, state):
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("time")
-        x = np.array(held + rows["price"].tolist(), float)
-        out = rows["price"].to_numpy(float).copy()
-        if len(x) >= len(kernel):
-            done = np.lib.stride_tricks.sliding_window_view(x, len(kernel)) @ kernel
-            done = done[-len(out) :]
-            part = out[len(out) - len(done) :]
-            out[len(out) - len(done) :] = np.where(np.isfinite(done), done, part)
-        state.update((x[len(x) - min(len(x), len(kernel) - 1) :].tolist(),))
-        yield pd.DataFrame({"asset": key[0], "time": rows["time"], "price": rows["price"], "price_fd": out})
-
-    schema = "asset string, time timestamp, price double, price_fd double"
-    return closes.select("asset", "time", "price").groupBy("asset").applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(closes.select("asset", "time", "price"), Differenced(weights), "asset string, time timestamp, price double, price_fd double")
 
 
 def stream_score(features: DataFrame, model, stress_class: int = 1) -> DataFrame:
@@ -176,30 +96,17 @@ def regime(prob):
     return band(prob, [(0.85, "stress"), (0.5, "elevated")], "calm")
 
 
-def warning_state(scored: DataFrame, above: float = 0.85, k: int = 2) -> DataFrame:
-    """S5, batch twin: consecutive probabilities above the bound so far, and the warning from the k-th."""
-    w = Window.partitionBy("asset").orderBy("time")
-    hit = (F.col("prob") > above).cast("int")
-    x = scored.withColumn("_g", F.sum(1 - hit).over(w))
-    count = F.sum(hit).over(Window.partitionBy("asset", "_g").orderBy("time"))
-    return x.withColumn("consecutive_bars", count).withColumn("warning_active", F.col("consecutive_bars") >= k).drop("_g")
-
-
-def stream_warnings(scored: DataFrame, above: float = 0.85, k: int = 2) -> DataFrame:
-    """S5 on a stream of (asset, time, prob): the counter is kept state of the asset, a few bytes each."""
+def warning_state(scored: DataFrame, above: float = 0.85, k: int = 2, gap: int | None = None) -> DataFrame:
+    """S5, batch twin: consecutive probabilities above the bound so far, and the warning from the k-th. With gap, a bar that
+    comes more than so many seconds after the one before starts anew."""
+    x = run_length(scored, F.col("prob") > above, "consecutive_bars", gap)
+    return x.withColumn("warning_active", F.col("consecutive_bars") >= k)
 
-    def run(key, batches, state):
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("time")
-        out = []
-        for t, p in zip(rows["time"], rows["prob"], strict=True):
-            n = n + 1 if p > above else 0
-            out.append((key[0], t, p, n, n >= k))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["asset", "time", "prob", "consecutive_bars", "warning_active"])
 
+def stream_warnings(scored: DataFrame, above: float = 0.85, k: int = 2, gap: int | None = None) -> DataFrame:
+    """S5 on a stream of (asset, time, prob): the counter is kept state of the asset, a few bytes each. gap: as warning_state has it."""
     schema = "asset string, time timestamp, prob double, consecutive_bars long, warning_active boolean"
-    return scored.select("asset", "time", "prob").groupBy("asset").applyInPandasWithState(run, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(scored.select("asset", "time", "prob"), Warnings(above, k, gap and gap * 1_000_000), schema)
 
 
 def outcome_of(low, end, move: float = 0.003):
@@ -225,58 +132,57 @@ def resolve_outcomes(warnings: DataFrame, trades: DataFrame, minutes: int = 30,
     return s.select("asset", "time", "price", (low * 100).alias("min_change_pct"), (end * 100).alias("end_change_pct"), outcome_of(low, end, move).alias("outcome"))
 
 
-def stream_outcomes(records: DataFrame, minutes: int = 30, move: float = 0.003) -> DataFrame:
-    """S6 on a stream with a watermark on `time`: warnings (asset, time, price) and one-minute bars (asset, time, low, close; price null).
+def stream_live(records: DataFrame, minutes: int = 30, move: float = 0.003, above: float = 0.85, k: int = 2, gap: int | None = None) -> DataFrame:
+    """S5 and S6 on one stream with a watermark on `time`, of scored bars (asset, time, price, prob) and one-minute bars
+    (asset, time, low, close); what a record lacks is null.
 
-    A warning is resolved when the watermark is `minutes` past it, by a timer in event time. The state of an asset is its
-    open warnings and the bars that a warning which isn't late may still need.
+    Rows of kind "score" count a bar's run and tell if it warns; rows of kind "outcome" tell what a warning came to, once the
+    watermark is `minutes` past it, by a timer in event time. The state of an asset is its run, its open warnings, and the
+    bars that a warning which isn't late may still need.
     """
-    span = minutes * 60_000_000
-
-    def run(key, batches, state):
-        w_time, w_price, b_time, b_low, b_close = map(list, state.get) if state.exists else ([], [], [], [], [])
-        rows = [] if state.hasTimedOut else [pd.concat(list(batches))]
-        for part in rows:
-            us = part["time"].astype("datetime64[us]").astype("int64")
-            warn = part["price"].notna()
-            w_time += us[warn].tolist()
-            w_price += part["price"][warn].tolist()
-            b_time += us[~warn].tolist()
-            b_low += part["low"][~warn].tolist()
-            b_close += part["close"][~warn].tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        t, low, close = np.array(b_time, np.int64), np.array(b_low, float), np.array(b_close, float)
-        order = np.argsort(t, kind="stable")
-        t, low, close = t[order], low[order], close[order]
-        out, kept = [], []
-        for at, price in zip(w_time, w_price, strict=True):
-            if at + span >= mark:
-                kept.append((at, price))
-                continue
-            a, z = np.searchsorted(t, [at, at + span], side="right")
-            out.append((key[0], at, price, (low[a:z].min() / price - 1) * 100 if z > a else None, (close[z - 1] / price - 1) * 100 if z > a else None))
-        need = t > min([mark, *(at for at, _ in kept)])
-        if kept or need.any():
-            state.update(([x[0] for x in kept], [x[1] for x in kept], t[need].tolist(), low[need].tolist(), close[need].tolist()))
-            if kept:
-                state.setTimeoutTimestamp(max(min(x[0] for x in kept) + span, mark) // 1000 + 1)
-        else:
-            state.remove()
-        made = pd.DataFrame(out, columns=["asset", "time", "price", "min_change_pct", "end_change_pct"])
-        yield made.assign(time=pd.to_datetime(made["time"].astype("int64"), unit="us"), **{c: made[c].astype(float) for c in ("price", "min_change_pct", "end_change_pct")})
-
-    schema = "asset string, time timestamp, price double, min_change_pct double, end_change_pct double"
-    kept = "w_time array<long>, w_price array<double>, b_time array<long>, b_low array<double>, b_close array<double>"
-    x = records.select("asset", "time", "price", "low", "close").groupBy("asset").applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    x = x.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("min_change_pct", "end_change_pct")})
-    return x.withColumn("outcome", outcome_of(F.col("min_change_pct") / 100, F.col("end_change_pct") / 100, move))
+    schema = "kind string, asset string, time timestamp, price double, prob double, min_change_pct double, end_change_pct double, consecutive_bars long, warning_active boolean"
+    wanted = ("asset", "time", "price", "prob", "low", "close")
+    x = records.select(*(c if c in records.columns else F.lit(None).cast("double").alias(c) for c in wanted))
+    x = _with_state(x, Outcomes(minutes * 60_000_000, above, k, gap and gap * 1_000_000), schema, timed=True)
+    x = x.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("price", "prob", "min_change_pct", "end_change_pct")})
+    return x.withColumn("outcome", F.when(F.col("kind") == "outcome", outcome_of(F.col("min_change_pct") / 100, F.col("end_change_pct") / 100, move)))
+
+
+def stream_outcomes(records: DataFrame, minutes: int = 30, move: float = 0.003) -> DataFrame:
+    """S6 alone, of records with a watermark on `time`: warnings (asset, time, price) and one-minute bars (asset, time, low, close; price null)."""
+    out = stream_live(records.drop("prob"), minutes, move)
+    return out.where("kind = 'outcome'").select("asset", "time", "price", "min_change_pct", "end_change_pct", "outcome")
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """A Parquet sink with a checkpoint, one each for scores and for outcomes; start() gives the running query."""
+    """A Parquet sink with a checkpoint; start() gives the running query."""
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
+#: Columns of the two tables that live_tables writes, by the kind of a row.
+TABLES = {"score": ("asset", "time", "price", "prob", "regime", "consecutive_bars", "warning_active"), "outcome": ("asset", "time", "price", "min_change_pct", "end_change_pct", "outcome")}
+
+
+def write_batch(batch: DataFrame, batch_id: int, paths: dict[str, str]) -> None:
+    """The rows of a batch into the table of their kind, in a folder of the batch. A batch that comes again replaces what it left."""
+    batch = batch.withColumn("regime", regime(F.col("prob"))).persist()
+    try:
+        for kind, path in paths.items():
+            rows = batch.where(F.col("kind") == kind).select(*TABLES[kind])
+            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def live_tables(stream: DataFrame, scores: str, outcomes: str, checkpoint: str):
+    """The rows of stream_live into two tables, scores and outcomes; start() gives the running query.
+
+    Neither table gets a second row when a batch is played again after a failure between the two, or before its commit.
+    """
+    paths = {"score": scores, "outcome": outcomes}
+    return stream.writeStream.outputMode("append").foreachBatch(lambda batch, n: write_batch(batch, n, paths)).option("checkpointLocation", checkpoint)
+
+
 def interpretation(df: DataFrame) -> DataFrame:
     """Text of the level, the warning and an extreme flow."""
     level = F.format_string("%s (p=%.2f)", F.col("regime"), F.col("prob"))
