@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import duckdb
@@ -370,7 +371,7 @@ def test_merged_transforms_equal_one_sort():
 def test_main_text(spark):
     pages = [(1, "u", "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title</h1><p>Some long text, with\n a break &amp; more of it to read here.<p>Second one<script>var x='<p>no</p>'</script> goes on and on.</article><footer>&copy; me</footer></body></html>"), (2, "u", None), (3, None, ""), (4, "u", "<p"), (1, "u", "<!-- open")]
     made = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    field = html_text.learn(table(spark, SMALL, "pages"))
+    field = html_text.learn()
     got = html_text.extract(made, field).collect()
     assert len(got) == 5
     first = next(r for r in got if r.page_id == 1 and r.text)
@@ -378,8 +379,8 @@ def test_main_text(spark):
     assert first.n_chars == len(first.text)
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3))
     for page in html_text.PAGES:
-        found = html_text.blocks("<html><body>" + "".join(f for f, _ in page))
-        assert field.decode([b.features for b in found]) == [y for _, y in page]
+        found, labels = html_text.labelled(page)
+        assert field.decode(found) == labels
 
 
 def test_unclosed_elements_hide_no_more_than_their_own():
@@ -398,26 +399,87 @@ def test_unclosed_elements_hide_no_more_than_their_own():
     assert cut("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
 
 
-def test_main_text_of_pages_that_were_not_learned(spark):
-    pages = table(spark, SMALL, "pages")
-    field = html_text.learn(pages.where("page_id % 2 = 0"))
-    rows = {r.page_id: r.html for r in pages.where("page_id % 2 = 1").collect()}
-    got = {r.page_id: r.text for r in html_text.extract(pages.where("page_id % 2 = 1"), field).collect()}
+def main_text(page, field=None):
+    found = html_text.blocks(page)
+    return [b.text for b, y in zip(found, (field or html_text.learn()).decode([b.features for b in found]), strict=True) if y]
+
+
+def test_main_text_of_the_table(spark):
+    rows = {r.page_id: r.html for r in table(spark, SMALL, "pages").collect()}
+    got = {r.page_id: r.text for r in html_text.op8_main_text(spark, SMALL).collect()}
     right = 0
     for k, page in rows.items():  # these pages keep all of an article in one element
         body = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
         parts = re.split(r"</?(?:p|h[1-6]|li|ul|div)\b[^>]*>", body[1] if body else "")
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in parts]
         right += got[k] == "\n\n".join(x for x in parts if x)
-    assert right >= 0.98 * len(rows)
-    assert html_text.extract(pages.limit(0), field).count() == 0
-    assert html_text.learn(pages.limit(0)).unary.shape == field.unary.shape
+    assert right >= 0.99 * len(rows)
+    assert html_text.extract(table(spark, SMALL, "pages").limit(0)).count() == 0
+
+
+TALE = "On the third day the boats came back with less fish than anyone could remember, and the harbour fell quiet."
+#: Pages of layouts that no composed page has, with their main text, by hand.
+HELD_OUT = [
+    (f"<article><p>{TALE}</p><p>{TALE}</p><form><p>Sign up now</p></form></article>", [TALE, TALE]),
+    (f"<body class='has-sidebar'><article><p>{TALE}</p></article></body>", [TALE]),
+    (f"<body class='logged-in login'><article><p>{TALE}</p></article></body>", [TALE]),
+    (f"<main class='read-more'><p>{TALE}</p></main>", [TALE]),
+    (f"<body id=top class='page-with-comments widget-area'><div class=site><nav class=site-nav><a href=/>Home</a> <a href=/b>Boats</a></nav><main id=primary><h1>Less fish</h1><p>{TALE}</p><p>Nobody spoke.</p></main></div></body>", ["Less fish", TALE, "Nobody spoke."]),
+    (f"<div id=container><div id=topmenu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div id=mainContent><h1>Less fish</h1><div class=byline-box><form action=/x><p>Get our letter</p></form></div><p>{TALE}<p>{TALE}</div><div id=rightsidebar><p>Read next: ten more tales</p></div></div>", ["Less fish", TALE, TALE]),
+    (f"<form id=Form1><div class=header><a href=/>Portal</a></div><div><h1>Less fish</h1><p>{TALE}</p><ul><li>Cod: few.</li><li>Eel: none.</li></ul></div><div class=footer><p>Terms of use</p></div></form>", ["Less fish", TALE, "Cod: few.", "Eel: none."]),
+    (f"<header class=masthead><h1>The Harbour Post</h1></header><div class=post><h2>Less fish</h2><p>{TALE}</p><p>{TALE}</p></div><aside class=widget><p>Tides today</p></aside><footer><p>© Harbour Post</p></footer>", ["Less fish", TALE, TALE]),
+    (f"<table><tr><td class=menu><p><a href=/>Start</a></p><p><a href=/l>List</a></p></td><td><h1>Less fish</h1><p>{TALE}</p><table><tr><td>Cod</td><td>12</td></tr></table></td></tr></table>", ["Less fish", TALE, "Cod", "12"]),
+    (f"<article class=post><header><h1>Less fish</h1></header><p>{TALE}</p><div class='social share'><p><a href=#>Tell a friend</a></p></div><p>{TALE}</p><section id=comments class=comments><h3>Two replies</h3><div class=comment><p>{TALE} I was there and saw it all myself.</p></div><div class=comment><p>So was I, and it was worse than that by far.</p></div></section></article>", ["Less fish", TALE, TALE]),
+    (f"<article><h1>Less fish</h1><p>{TALE}</p></article><div id=disqus_thread class=disqus>{f'<div class=comment><p>{TALE} {TALE} {TALE}</p></div>' * 8}</div>", ["Less fish", TALE]),
+    (f"<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Less fish</h1><figure><img src=f.png><figcaption>Boats at rest</figcaption></figure><p>{TALE}</p><blockquote><p>We waited.</p></blockquote><pre>cod = 12</pre></article><section class=related><article><h3>More tales</h3><p>Another day at sea, told by those who stayed.</p></article></section>", ["Less fish", "Boats at rest", TALE, "We waited.", "cod = 12"]),
+    (f"<div class=cookie-consent><p>This site keeps cookies for the reasons that our long text on cookies tells.</p></div><div class=advertisement><p>Buy nets at Nelly's, the best nets on the coast.</p></div><main><h1>Less fish</h1><p>{TALE}</p><div class=ad-slot>Buy ropes at Nelly's, too.</div><p>{TALE}</p></main>", ["Less fish", TALE, TALE]),
+    (f"<p>{TALE}</p><p>{TALE}</p>", [TALE, TALE]),
+    ("<nav><ul><li><a href=/>Home</a></li><li><a href=/a>All</a></li></ul></nav><footer><p>© Nobody</p></footer>", []),
+]
+
+
+def test_main_text_of_layouts_that_were_not_learned():
+    for page, want in HELD_OUT:
+        assert main_text(page) == want, page
+
+
+def test_the_field_and_the_markup_differ():
+    """A rule of the markup alone (in an article or main, in nothing that goes beside) fails on these pages; the field doesn't."""
+
+    def rule(page):
+        inside = re.search(r"<(article|main)\b[^>]*>(.*)</\1>", page, re.S)
+        return [b.text for b in html_text.blocks(page) if inside and b.text in re.sub(r"<[^>]*>", " ", inside[2]) and not b.names]
+
+    differ = [page for page, want in HELD_OUT if rule(page) != want]
+    assert len(differ) >= 5 and all(main_text(p) == w for p, w in HELD_OUT if p in differ)
+
+
+def test_composed_pages_of_another_seed():
+    composer, wrong, n = html_text._Composer(7), 0, 0
+    for _ in range(150):
+        found, labels = html_text.labelled(composer.page())
+        wrong += sum(a != b for a, b in zip(html_text.learn().decode(found), labels, strict=True))
+        n += len(labels)
+    assert n > 2000 and wrong < 0.01 * n
+
+
+def test_time_grows_with_the_page():
+    for unit in ("<p><svg>", "<div>x", "<div class=ad>y", "<button>z", "<b>x", "<li>q", "<select><p>", "</div>", "<script>", "<!--x", '<a "x'):
+        took = []
+        for size in (60_000, 480_000):
+            began = time.process_time()
+            html_text.blocks(unit * (size // len(unit)) + "</svg>")
+            took.append(time.process_time() - began)
+        assert took[1] < 16 * took[0] + 0.5 and took[1] < 4, unit
+    long = f"<article><h1>Less fish</h1>{f'<p>{TALE}</p>' * 20_000}</article>"
+    assert len(main_text(long)) == 20_001
 
 
 def test_names_are_of_class_id_and_role_alone():
     of = lambda page: [(b.text, b.names) for b in html_text.blocks(page)]
     assert of("<article data-id='comment-3' aria-role=menu><p>Story</p></article>") == [("Story", frozenset())]
-    assert of("<div ID=comment-3><p>Reply</p></div>") == [("Reply", frozenset({"comment"}))]
+    assert of("<article><p>Story</p><div ID=comment-3><p>Reply</p></div></article>") == [("Story", frozenset()), ("Reply", frozenset({"comment"}))]
+    assert of("<div ID=comment-3><p>Reply</p></div>") == [("Reply", frozenset())]  # holds all of the page
     assert [b.text for b in html_text.blocks("<article><object data=x><p>Instead</p></object><p>Story</p></article>")] == ["Instead", "Story"]
 
 
