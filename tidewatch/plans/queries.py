@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import read
 from ..operators import audit, bars, evaluate, events, features, model, parity, regimes, transform
 from ..sources import trades as io
 from ..streaming import live
-from .views import BARS, DENSE, EVERY, FEATURES, SECONDS, TRADES, all_trades, cuts, labels, read, rounded, trades
+from .views import BARS, DENSE, EVERY, FEATURES, SECONDS, TRADES, all_trades, cuts, labels, rounded, trades
 
 WIDTH = f"{SECONDS} seconds"
 #: Fixed dimension: periods as half-open ranges, two inside the events' month and one before any event.

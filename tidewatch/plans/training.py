@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialise, read, scratch
 from ..operators import audit, bars, evaluate, model, regimes, transform
 from ..streaming import live
 from .queries import _PROB, _SUM, _W, _WARNED, SCALES, _dense, _features, _labels, _outcomes, _probs, _warned, query
-from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, read, shared, trades
-
+from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, trades
 
 INPUTS = [f"{c}_{6 * SECONDS}s" for c in ("OFI", "TCI", "intensity", "RV")]
 _KINDS = {"event_type": "long", "user_id": "long", "value": "double", "props": "double"}
@@ -93,9 +93,7 @@ def _folded(spark, d, folds=(2,)) -> DataFrame:
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df written once, since each round of a fit reads it."""
-    path = shared(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return materialise(df, name)
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +125,7 @@ def m_train_boosted(spark, d):
 
 @query()
 def m_multi_seed_sweep(spark, d):
-    path, folded = shared(spark, "sweep"), _kept(_folded(spark, d, (1, 2)), "folded")
+    path, folded = scratch(spark, "sweep"), _kept(_folded(spark, d, (1, 2)), "folded")
     for scope in ("pooled", "view"):
         model.multi_seed_sweep(folded, INPUTS, path, train=_forest, folds=(1, 2), scope=scope)
     found = spark.read.parquet(path)
@@ -167,7 +165,7 @@ PARTS = 5
 
 def _parts(spark: SparkSession, rows: DataFrame, name: str, play) -> None:
     """Plays rows in PARTS equal spans of time: each is added to a folder, and play is called with a stream over that."""
-    kept, source = _kept(rows, f"{name}-rows"), shared(spark, f"{name}-in")
+    kept, source = _kept(rows, f"{name}-rows"), scratch(spark, f"{name}-in")
     us = F.unix_micros(F.col("time").cast("timestamp"))
     first, last = kept.agg(F.min(us), F.max(us)).first()
     part = F.floor((us - F.lit(first)) * PARTS / F.lit((last or 0) - (first or 0) + 1))
@@ -178,7 +176,7 @@ def _parts(spark: SparkSession, rows: DataFrame, name: str, play) -> None:
 
 def _played(spark: SparkSession, rows: DataFrame, run, name: str) -> DataFrame:
     """What a stream over rows leaves in its Parquet sink."""
-    path, state, made = shared(spark, name), shared(spark, f"{name}-state"), []
+    path, state, made = scratch(spark, name), scratch(spark, f"{name}-state"), []
 
     def play(source):
         made.append(run(source))
@@ -250,7 +248,7 @@ def s_live_tables(spark, d):
     at = F.col("time").cast("timestamp").alias("time")
     minutes = bars.ohlc(_ticks(spark, d)).select("asset", F.col("bar").alias("time"), "low", "close")
     rows = _probs(spark, d).select("asset", at, "price", "prob").unionByName(minutes, allowMissingColumns=True)
-    paths, state = {k: shared(spark, f"live-{k}") for k in live.TABLES}, shared(spark, "live-state")
+    paths, state = {k: scratch(spark, f"live-{k}") for k in live.TABLES}, scratch(spark, "live-state")
     _parts(spark, rows, "live", lambda x: live.live_tables(live.stream_live(x.withWatermark("time", live.LATE), gap=SECONDS), paths["score"], paths["outcome"], state))
     scores, outcomes = (spark.read.parquet(paths[k]).withColumn("kind", F.lit(k)).drop("batch_id") for k in live.TABLES)
     return scores.unionByName(outcomes, allowMissingColumns=True).withColumn("time", F.col("time").cast("timestamp_ntz"))
