@@ -88,3 +88,34 @@ def test_clashing_columns_nulls_and_empty_tables(spark):
         assert bool(pipeline.packed(spark, at, SMALL).count()) == full
     for name, stage in pipeline.STAGES[1:]:  # each on odd rows themselves
         assert stage(spark, odd.withColumns(clash), SMALL).count() >= 1, name
+
+
+def test_columns_named_like_the_key_do_no_harm(spark):
+    from pyspark.sql import functions as F
+
+    docs = materialise(table(spark, SMALL, "documents").where("doc_id < 60"), "docs")
+    named = docs.withColumns({"row_key": F.lit(1), "row_key_": F.col("doc_id") % 3, "row_key__": F.lit(None).cast("string")})
+    shared = named.unionByName(named.where("doc_id < 10").withColumn("text", F.concat(F.lit("another tale "), "doc_id")))
+    for start in (named, shared):
+        sizes = {}
+        for key in (False, True):
+            at = pipeline.keyed(materialise(start, "odd")) if key else materialise(start, "odd")
+            for name, stage in pipeline.STAGES[:-1]:
+                before, at = at, materialise(stage(spark, at, SMALL), name)
+                assert at.columns == before.columns and at.count() <= before.count(), name
+            sizes[key] = sorted(map(repr, at.select("doc_id", "text", "row_key", "row_key_").collect()))
+        assert sizes[False] == sizes[True]
+
+
+def test_no_folder_is_left_behind(spark):
+    import os
+
+    from tidewatch.functions import tables
+
+    base = f"{tables.shared_folder(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    held = lambda: set(os.listdir(base)) if os.path.isdir(base) else set()
+    before, stored = held(), set(spark.catalog.listTables())
+    assert pipeline.run(spark, SMALL).count() >= 100
+    left = held() - before
+    assert len(left) == 1 and "packing" in left.pop()
+    assert set(spark.catalog.listTables()) == stored

@@ -1,4 +1,4 @@
-"""Paths, scratch tables and the tokenizer that several operators share."""
+"""The tokenizer, and what else several operators share; tables are the library's."""
 
 from __future__ import annotations
 
@@ -6,22 +6,13 @@ import contextlib
 import functools
 import json
 import re
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; only where it is unset, in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..functions.tables import materialise, release, scratch, workspace  # noqa: F401
+from ..functions.tables import read as table  # noqa: F401
 
 
 @contextlib.contextmanager
@@ -36,22 +27,6 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts the lineage and survives the loss of an executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes tables that materialise wrote and that nothing reads any more."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: each larger neighbour is tied to the smallest node around
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "large")
+        large, old = materialise(large, "large"), now
         # small star: each smaller neighbour, and the node itself, is tied to the smallest of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(tied.union(small.select("a", F.col("m").alias("b"))).distinct(), "small")
+        release(large, old)
         state = tuple(now.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first())
         if state == before:
             break

@@ -6,12 +6,13 @@ index by sort-merge, and what is new is appended. Only digests travel, never tex
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import materialise, release, table, text_or_empty
 
 
 def digest(column: str = "text"):
@@ -49,23 +50,32 @@ class DigestIndex:
         One row for each input row: doc_id, keep_id, group_size (equal rows of this batch), kept, text_sha256.
         keep_id is the indexed document if there is one, else the smallest doc_id of the batch's equal texts. Rows
         without doc_id never win over one that has it; repeated rows with the same doc_id and text are all marked
-        kept. An empty batch returns no rows.
+        kept. Texts of any length are hashed whole; an empty batch returns no rows; other columns of docs are left out.
         """
         rows = materialise(docs.select("doc_id", F.unhex(digest()).alias("digest")), "digests")
         groups = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "groups")
         known = self.table().hint("merge")
         self._append(groups.join(known, "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id")))
-        held = groups.hint("merge").join(self.table(), "digest").select("digest", "keep_id", "group_size")
-        # groups has at most one row a digest, so a hot digest is split by AQE on the side of the rows alone
-        out = rows.join(materialise(held, "held").hint("merge"), "digest")
+        held = materialise(groups.hint("merge").join(self.table(), "digest").select("digest", "keep_id", "group_size"), "held")
+        release(groups)
+        # held has at most one row a digest, so a hot digest is split by AQE on the side of the rows alone
+        out = rows.join(held.hint("merge"), "digest")
         return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+@contextlib.contextmanager
+def digest_index(spark: SparkSession):
+    """An index for one run, dropped at its end and after a failure."""
     index = DigestIndex(spark)
-    found = index.ingest(table(spark, sf_dir, "documents"))
-    index.drop()
-    return found
+    try:
+        yield index
+    finally:
+        index.drop()
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with digest_index(spark) as index:
+        return index.ingest(table(spark, sf_dir, "documents"))
 
 
 SQL = """

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filled, materialise, table
+from .common import arrow_rows, filled, materialise, scratch, table, workspace
 from .components import components
 
 WORDS, COORDINATES, MATCH = 5, 64, 31
@@ -227,10 +227,20 @@ def near_duplicates(docs: DataFrame, short_list: int = SHORT_LIST, block_bytes:
 
     Texts without words (null, empty, white space) have no shingles and stand alone. Repeated rows with one doc_id are all
     kept if their doc_id is the component's. A doc_id should name one text; rows without one are components of their
-    own set's smallest doc_id (null if no row of the set has one). An empty table gives no rows.
+    own set's smallest doc_id (null if no row of the set has one). Texts of any length are taken whole; an empty table gives
+    no rows; other columns of docs are left out. Of what is written on the way, the signatures and the components stay.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = materialise(signatures(docs), "signatures")
+    docs, spark = docs.select(F.col("doc_id").cast("long"), "text"), docs.sparkSession
+    found, path = materialise(signatures(docs), "signatures"), scratch(spark, "components")
+    with workspace(spark, "near-duplicates"):
+        named = materialise(_components(docs, found, short_list, block_bytes), "components", path)
+    out = found.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")
+    own = F.when(F.col("n") > 0, F.coalesce("named", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, found: DataFrame, short_list: int, block_bytes: int) -> DataFrame:
+    """s1, s2, named: the component of each set of shingles."""
     reps = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "keys", "sketch"), "doc_id").alias("v"))
     reps = materialise(reps.select("s1", "s2", "rep", "v.*"), "reps")
 
@@ -267,10 +277,7 @@ def near_duplicates(docs: DataFrame, short_list: int = SHORT_LIST, block_bytes:
         tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = reps.select("s1", "s2", "rep").join(tied.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialise(named.select("s1", "s2", F.coalesce("component", "rep").alias("named")), "components")
-    out = found.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("named", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return named.select("s1", "s2", F.coalesce("component", "rep").alias("named"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

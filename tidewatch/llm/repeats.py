@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import arrow_rows, materialise, table, text_or_empty
+from .common import arrow_rows, materialise, scratch, table, text_or_empty, workspace
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM  # bytes on either side of an anchor that its strings may take in
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
     Null texts are empty. Strings are compared between documents of different doc_id only; rows of one doc_id don't count
     against each other, and rows without doc_id are left whole and count against none. kept_text leaves out the bytes of
     a character that was cut in two. Texts of any length are taken whole; an empty table gives no rows; other columns of docs
-    are left aside. The result is written to the shared folder, the table of batches is dropped.
+    are left aside. The result is written to the shared folder; all else that is written is removed, after a failure too.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
@@ -372,19 +372,21 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
     homes = max(2 * least, total // home_bytes + 1)  # buckets of anchors
     name = f"text_batches_{uuid.uuid4().hex}"
     held = docs.where("doc_id IS NOT NULL").mapInArrow(_batched(batch_bytes), "batch long, ids binary, ends binary, text binary")
-    held.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "batch").format("parquet").saveAsTable(name)
-    kept = spark.table(name)
-
-    posted = kept.mapInArrow(_post_hashes(homes, crowded), "bucket long, batch long, grams binary, many binary, crowd binary")
-    shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_too
-    with arrow_rows(spark, 16):  # a row holds a batch
-        answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
-        around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
-        decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
-        by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
-        out = materialise(kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema), "kept")
-    spark.sql(f"DROP TABLE {name}")
+    path = scratch(spark, "kept")
+    try:
+        held.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "batch").format("parquet").saveAsTable(name)
+        kept = spark.table(name)
+        posted = kept.mapInArrow(_post_hashes(homes, crowded), "bucket long, batch long, grams binary, many binary, crowd binary")
+        shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
+        with workspace(spark, "repeats"), arrow_rows(spark, 16):  # a row holds a batch
+            answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
+            around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
+            decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
+            by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
+            out = materialise(kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema), "kept", path)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     whole = docs.where("doc_id IS NULL").select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("string").alias("kept_text")] * text_too))
     return out.union(whole)
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 UNIT, SHIFT, MOST = 64, 1_000_000, 32
 #: Directions with less of the variance than this are rounding, not data.
@@ -179,6 +179,7 @@ def whiten(rows: DataFrame, key: str = "vec_id", column: str = "embedding", most
 
     x_key = F.unhex(F.sha2("x", 256)).alias("x_key")
     done = materialise(groups.select("x", x_key, "weight").mapInArrow(run, "x_key binary, weight long, deviation long, z binary"), "whitened")
+    release(groups)
     error = None
     if size:
         # whitened values are centred again by their own mean
