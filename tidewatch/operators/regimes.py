@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import with_month
-from ..functions.scan import in_reach, own_rows, reach_window
+from ..functions.scan import CHUNK, in_reach, own_rows, reach_window
 from .transform import nan_to_num
 
 FEATURES = ("RV_300s", "OFI_300s", "Kyle_lambda_300s", "intensity_300s")
@@ -25,41 +25,211 @@ class Hmm:
         return -0.5 * (d * d / self.variances + np.log(2 * np.pi * self.variances)).sum(axis=2)
 
 
-def _expect(models: list[Hmm], x: np.ndarray) -> np.ndarray:
-    """Sufficient statistics of one segment for each model: log-likelihood, start, transitions, weights, sums, sums of squares."""
+def _in_blocks(steps: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Matrices (n, ...) as (blocks, rows, ...) of about as many blocks as rows, filled up with `one`."""
+    n = len(steps)
+    rows = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = -(-n // rows)
+    fill = np.broadcast_to(one, (blocks * rows - n, *steps.shape[1:]))
+    return np.concatenate([steps, fill]).reshape(blocks, rows, *steps.shape[1:])
+
+
+def _products(blocks: np.ndarray) -> np.ndarray:
+    """The product of each block's matrices, scaled."""
+    now = blocks[:, 0]
+    for l in range(1, blocks.shape[1]):
+        now = now @ blocks[:, l]
+        now = now / np.maximum(now.max(axis=(-1, -2), keepdims=True), 1e-300)
+    return now
+
+
+def _product(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The product of matrices (n, s, k, k) in order, scaled, and the logarithm of its scale: pairs of neighbours, then pairs of those."""
+    logs = np.zeros(steps.shape[:2])
+    while len(steps) > 1:
+        if len(steps) % 2:
+            steps = np.concatenate([steps, np.broadcast_to(np.eye(steps.shape[-1]), (1, *steps.shape[1:]))])
+            logs = np.concatenate([logs, np.zeros((1, logs.shape[1]))])
+        steps, logs = steps[0::2] @ steps[1::2], logs[0::2] + logs[1::2]
+        scale = np.maximum(steps.max(axis=(-1, -2)), 1e-300)
+        steps, logs = steps / scale[..., None, None], logs + np.log(scale)
+    return steps[0], logs[0]
+
+
+def _carried(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Row vectors (n, s, k): each the one before times its matrix, scaled to 1. A loop over blocks and one within all blocks at once."""
+    blocks = _in_blocks(steps, np.eye(steps.shape[-1]))
+    starts, now = [], first
+    for m in _products(blocks):
+        starts.append(now)
+        now = (now[:, None, :] @ m)[:, 0]
+        now = now / np.maximum(now.sum(axis=-1, keepdims=True), 1e-300)
+    out, now = np.empty(blocks.shape[:-1]), np.stack(starts)
+    for l in range(blocks.shape[1]):
+        now = (now[:, :, None, :] @ blocks[:, l])[:, :, 0]
+        now = now / np.maximum(now.sum(axis=-1, keepdims=True), 1e-300)
+        out[:, l] = now
+    return out.reshape(-1, *out.shape[2:])[: len(steps)]
+
+
+def _steps(models: list[Hmm], x: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of each row for each model, from the states of the row before (any, for the first of a segment) to its own, and the logarithm of their scale."""
     e = np.stack([m.emission(x) for m in models], axis=1)
     top = e.max(axis=2, keepdims=True)
     p = np.exp(e - top)
-    step = np.stack([m.transition for m in models])
-    n, s, k = p.shape
-    a, b, scale = np.empty((n, s, k)), np.ones((n, s, k)), np.empty((n, s, 1))
-    now = np.stack([m.start for m in models]) * p[0]
-    for t in range(n):
-        if t:
-            now = (a[t - 1, :, None] @ step)[:, 0] * p[t]
-        scale[t] = np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
-        a[t] = now / scale[t]
-    for t in range(n - 2, -1, -1):
-        b[t] = (step @ (p[t + 1] * b[t + 1])[:, :, None])[:, :, 0] / scale[t + 1]
+    out = np.stack([m.transition for m in models]) * p[:, :, None, :]
+    if first:
+        out[0] = (np.stack([m.start for m in models]) * p[0])[:, None, :]
+    return out, top.sum(axis=(0, 2))
+
+
+def _summary(models: list[Hmm], x: np.ndarray, first: bool) -> np.ndarray:
+    """What a chunk does to the states before it: its product (k * k numbers a model) and scale."""
+    steps, top = _steps(models, x, first)
+    product, logs = _product(steps)
+    return np.concatenate([product.reshape(len(models), -1), (logs + top)[:, None]], axis=1)
+
+
+def _carry(summaries: np.ndarray, k: int) -> np.ndarray:
+    """For each chunk of a segment (c, s, k * k + 1): forward states before it, backward states after it, and its share of the log-likelihood."""
+    c, s = summaries.shape[:2]
+    m, logs = summaries[:, :, :-1].reshape(c, s, k, k), summaries[:, :, -1]
+    out = np.empty((c, s, 2 * k + 1))
+    now = np.full((s, k), 1 / k)
+    for i in range(c):
+        out[i, :, :k] = now
+        now = (now[:, None, :] @ m[i])[:, 0]
+        total = np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
+        out[i, :, -1], now = np.log(total[:, 0]) + logs[i], now / total
+    now = np.ones((s, k))
+    for i in range(c - 1, -1, -1):
+        out[i, :, k : 2 * k] = now
+        now = (m[i] @ now[:, :, None])[:, :, 0]
+        now = now / np.maximum(now.max(axis=1, keepdims=True), 1e-300)
+    return out
+
+
+def _expect(models: list[Hmm], x: np.ndarray, first: bool = True, carry: np.ndarray | None = None) -> np.ndarray:
+    """Sufficient statistics of a chunk for each model: log-likelihood, start, transitions, weights, sums, sums of squares."""
+    s, k = len(models), len(models[0].start)
+    carry = _carry(_summary(models, x, first)[None], k)[0] if carry is None else carry
+    steps, _ = _steps(models, x, first)
+    a = _carried(steps, carry[:, :k])
+    back = _carried(steps[::-1].swapaxes(-1, -2), carry[:, k : 2 * k])  # states before the last row, before the one before it, ...
+    b = np.concatenate([back[:-1][::-1], carry[None, :, k : 2 * k]])
     g = a * b
-    g /= g.sum(axis=2, keepdims=True)
-    pairs = step * np.einsum("tsi,tsj->sij", a[:-1], p[1:] * b[1:] / scale[1:])
-    score = np.log(scale).sum(axis=0) + top.sum(axis=0)
+    g /= np.maximum(g.sum(axis=2, keepdims=True), 1e-300)
+    pairs = np.concatenate([carry[None, :, :k], a[:-1]])[:, :, :, None] * steps * b[:, :, None, :]
+    pairs /= np.maximum(pairs.sum(axis=(2, 3), keepdims=True), 1e-300)
+    pairs = pairs[int(first) :].sum(axis=0)
+    start = g[0] if first else np.zeros((s, k))
     sums, squares = np.einsum("tsk,tf->skf", g, x), np.einsum("tsk,tf->skf", g, x * x)
-    return np.concatenate([score, g[0], pairs.reshape(s, -1), g.sum(axis=0), sums.reshape(s, -1), squares.reshape(s, -1)], axis=1)
+    return np.concatenate([carry[:, -1:], start, pairs.reshape(s, -1), g.sum(axis=0), sums.reshape(s, -1), squares.reshape(s, -1)], axis=1)
 
 
-def _expecting(now: dict, names: list, at: list[int], columns: tuple[str, ...]):
-    """Statistics of a segment for the models of its key, as rows of (model, seed, i, v)."""
+def _best(scores: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Max-plus products (..., i, m) and (..., m, j)."""
+    return (scores[..., :, :, None] + steps[..., None, :, :]).max(axis=-2)
+
+
+def _log_steps(model: Hmm, x: np.ndarray, first: bool) -> np.ndarray:
+    e = model.emission(x)
+    out = np.log(model.transition + 1e-300) + e[:, None, :]
+    if first:
+        out[0] = np.log(model.start + 1e-300) + e[0]
+    return out
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mine = tuple(key[i] for i in at)
-        if not now.get(mine):
+
+def _nothing(k: int) -> np.ndarray:
+    return np.where(np.eye(k) > 0, 0.0, -np.inf)
+
+
+def _best_product(steps: np.ndarray) -> np.ndarray:
+    """The max-plus product of (n, k, k) in order, by pairs."""
+    while len(steps) > 1:
+        if len(steps) % 2:
+            steps = np.concatenate([steps, _nothing(steps.shape[-1])[None]])
+        steps = _best(steps[0::2], steps[1::2])
+    return steps[0]
+
+
+def _ends(products: np.ndarray) -> list[tuple[int, int]]:
+    """The best path's state before and at the end of each of the parts (c, k, k) of a sequence."""
+    best, back = np.zeros(products.shape[-1]), []
+    for m in products:
+        step = best[:, None] + m
+        back.append(step.argmax(axis=0))
+        best = step.max(axis=0)
+    state, out = int(best.argmax()), []
+    for choice in reversed(back):
+        before = int(choice[state])
+        out.append((before, state))
+        state = before
+    return out[::-1]
+
+
+def _path(steps: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The best states of the rows (n, k, k) between two given ones: ends of blocks, then all blocks at once."""
+    n, k = steps.shape[:2]
+    blocks = _in_blocks(steps, _nothing(k))
+    products = blocks[:, 0]
+    for l in range(1, blocks.shape[1]):
+        products = _best(products, blocks[:, l])
+    only = lambda state: np.where(np.arange(k) == state, 0.0, -np.inf)
+    products[0] = products[0] + only(before)[:, None]
+    products[-1] = products[-1] + only(after)
+    ends = np.array(_ends(products))
+    count, rows = blocks.shape[:2]
+    at, now, back = np.arange(count), blocks[np.arange(count), 0, ends[:, 0]], np.zeros((rows, count, k), int)
+    for l in range(1, rows):
+        step = now[:, :, None] + blocks[:, l]
+        back[l], now = step.argmax(axis=1), step.max(axis=1)
+    out, state = np.empty((count, rows), int), ends[:, 1]
+    for l in range(rows - 1, -1, -1):
+        out[:, l] = state
+        state = back[l][at, state]
+    return out.reshape(-1)[:n]
+
+
+def _chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """rows with _chunk and _first: whether it is the first chunk of its segment (keys)."""
+    x = rows.withColumn("_chunk", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (chunk * 1_000_000)))
+    starts = x.groupBy(*keys).agg(F.min("_chunk").alias("_at"))
+    return x.join(starts, keys).withColumn("_first", F.col("_chunk") == F.col("_at")).drop("_at")
+
+
+def _numbers(of: pd.Series, shape: tuple) -> np.ndarray:
+    return np.stack([np.asarray(v, float).reshape(shape) for v in of])
+
+
+def _round(x: DataFrame, keys: list[str], now: dict, names: list, at: list[int], columns: tuple[str, ...], k: int) -> DataFrame:
+    """Statistics (model, seed, i, v) of all segments: products of chunks, a carry over the chunks of a segment, then each chunk by itself."""
+    kinds = ", ".join(f"{c} {t}" for c, t in x.select(*keys).dtypes)
+    of = lambda key: now.get(tuple(key[i] for i in at)) or []
+    values = lambda rows: rows.sort_values("time")[list(columns)].to_numpy(float)
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        models = [m for _, m in of(key)]
+        found = [_summary(models, values(rows), bool(rows["_first"].iat[0])).ravel()] if models else []
+        return pd.DataFrame([(*key, v) for v in found], columns=[*keys, "_chunk", "v"])
+
+    def carry(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_chunk")
+        found = _carry(_numbers(rows["v"], (len(of(key)), k * k + 1)), k)
+        return rows.assign(v=[v.ravel() for v in found])
+
+    def expect(key: tuple, rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        models = of(key)
+        if not models or not len(carried):
             return pd.DataFrame([], columns=["model", "seed", "i", "v"])
-        found = _expect([m for _, m in now[mine]], rows.sort_values("time")[list(columns)].to_numpy(float))
-        return pd.DataFrame([(names.index(mine), s, i, v) for (s, _), row in zip(now[mine], found, strict=True) for i, v in enumerate(row)], columns=["model", "seed", "i", "v"])
+        found = _expect([m for _, m in models], values(rows), bool(rows["_first"].iat[0]), _numbers(carried["v"], (len(models), 2 * k + 1))[0])
+        number = names.index(tuple(key[i] for i in at))
+        return pd.DataFrame([(number, s, i, v) for (s, _), row in zip(models, found, strict=True) for i, v in enumerate(row)], columns=["model", "seed", "i", "v"])
 
-    return run
+    table = f"{kinds}, _chunk long, v array<double>"
+    carried = x.groupBy(*keys, "_chunk").applyInPandas(product, table).groupBy(*keys).applyInPandas(carry, table)
+    both = x.groupBy(*keys, "_chunk").cogroup(carried.groupBy(*keys, "_chunk"))
+    return both.applyInPandas(expect, "model int, seed int, i int, v double").groupBy("model", "seed", "i").agg(F.sum("v").alias("v"))
 
 
 def _started(mean: np.ndarray, var: np.ndarray, levels: np.ndarray, seed: int) -> Hmm:
@@ -76,15 +246,18 @@ def _improved(v: np.ndarray, k: int, f: int, least: np.ndarray) -> Hmm:
     return Hmm(means, np.maximum(rest[1] / weight - means**2, least), pairs / pairs.sum(axis=1, keepdims=True), start / start.sum(), v[0])
 
 
-def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month")) -> dict[tuple, Hmm]:
+def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int = CHUNK) -> dict[tuple, Hmm]:
     """L1: a model for each of model_keys (an asset; an asset and fold), the best of the seeds by likelihood.
 
-    EM over segments, each a sequence of its own in the order of `time`; nulls, NaN and infinite values count as 0. A round is
-    one job for all models and seeds that still improve; what comes to the driver are statistics of size k * k a model and
-    seed. It stops when no log-likelihood rises by more than `tolerance` of itself.
+    EM over segments, each a sequence of its own in the order of `time`; nulls, NaN and infinite values count as 0. Segments
+    are cut into chunks of `chunk` seconds, whose products of matrices tell what they hand on, so that a segment's chunks are
+    several tasks, and no loop is longer than the root of a chunk's rows. A round is one job for all models and seeds that still
+    improve; what comes to the driver are statistics of size k * k a model and seed. It stops when no log-likelihood rises by
+    more than `tolerance` of itself.
     """
     f, keys = len(columns), list(dict.fromkeys([*model_keys, *segment]))
-    x = nan_to_num(with_month(features).select(*keys, "time", *columns), list(columns)).persist()
+    x = _chunked(nan_to_num(with_month(features).select(*keys, "time", *columns), list(columns)), keys, chunk)
+    x = x.repartition(*keys, "_chunk").persist()  # as each round groups it
     levels = [0.1, 0.5, 0.9] if k == 3 else [(i + 0.5) / k for i in range(k)]
     stats = x.groupBy(*model_keys).agg(*(F.avg(c) for c in columns), *(F.var_pop(c) for c in columns), F.percentile_approx(columns[0], levels, 10_000)).collect()  # a row a model
     names, models, least = [], {}, {}
@@ -101,8 +274,7 @@ def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3
         if not going:
             break
         now = {key: [(s, models[key, s]) for s in range(seeds) if (key, s) in going] for key in names}
-        sums = x.groupBy(*keys).applyInPandas(_expecting(now, names, at, columns), "model int, seed int, i int, v double").groupBy("model", "seed", "i").agg(F.sum("v").alias("v"))
-        for (number, s), rows in sums.toPandas().groupby(["model", "seed"]):  # k * k numbers a model and seed
+        for (number, s), rows in _round(x, keys, now, names, at, columns, k).toPandas().groupby(["model", "seed"]):  # k * k numbers a model and seed
             key = names[number]
             new = _improved(rows.sort_values("i").v.to_numpy(), k, f, least[key])
             if new.score - going[key, s] < tolerance * max(1.0, abs(new.score)):
@@ -123,33 +295,41 @@ def hmm_parameters(models: dict[tuple, Hmm], columns: tuple[str, ...] = FEATURES
     return out
 
 
-def hmm_decode(models: dict[tuple, Hmm], features: DataFrame, columns: tuple[str, ...] = FEATURES, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month")) -> DataFrame:
-    """L2 and L3: Viterbi path by segment; label is the rank of the state by its mean of the first column. A key without a model has no labels."""
+def hmm_decode(models: dict[tuple, Hmm], features: DataFrame, columns: tuple[str, ...] = FEATURES, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int = CHUNK) -> DataFrame:
+    """L2 and L3: Viterbi path by segment; label is the rank of the state by its mean of the first column. A key without a model has no labels.
+
+    As in hmm_fit, by chunks: max-plus products, the best states at the ends of a segment's chunks, and each chunk between them.
+    """
     keys = list(dict.fromkeys([*model_keys, *segment]))
     kept = list(dict.fromkeys([*model_keys, "asset", "time"]))
     at = [keys.index(c) for c in model_keys]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        model = models.get(tuple(key[i] for i in at))
-        if model is None:
+    of = lambda key: models.get(tuple(key[i] for i in at))
+    steps = lambda model, rows: _log_steps(model, rows[list(columns)].to_numpy(float), bool(rows["_first"].iat[0]))
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        model = of(key)
+        found = [] if model is None else [_best_product(steps(model, rows.sort_values("time"))).ravel()]
+        return pd.DataFrame([(*key, v) for v in found], columns=[*keys, "_chunk", "v"])
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, k = rows.sort_values("_chunk"), len(of(key).start)
+        found = _ends(_numbers(rows["v"], (k, k)))
+        return rows.drop(columns="v").assign(before=[b for b, _ in found], after=[a for _, a in found])
+
+    def path(key: tuple, rows: pd.DataFrame, between: pd.DataFrame) -> pd.DataFrame:
+        model = of(key)
+        if model is None or not len(between):
             return rows.head(0)[kept].assign(label=pd.Series([], dtype=int))
         rows = rows.sort_values("time")
         rank = np.argsort(np.argsort(model.means[:, 0]))
-        e, t = model.emission(rows[list(columns)].to_numpy(float)), np.log(model.transition + 1e-300)
-        best, back = np.log(model.start + 1e-300) + e[0], np.zeros(e.shape, int)
-        for i in range(1, len(e)):
-            step = best[:, None] + t
-            back[i] = step.argmax(axis=0)
-            best = step.max(axis=0) + e[i]
-        path = np.empty(len(e), int)
-        path[-1] = best.argmax()
-        for i in range(len(e) - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return rows[kept].assign(label=rank[path])
-
-    x = nan_to_num(with_month(features).select(*dict.fromkeys([*keys, *kept, *columns])), list(columns))
+        return rows[kept].assign(label=rank[_path(steps(model, rows), int(between["before"].iat[0]), int(between["after"].iat[0]))])
+
+    x = _chunked(nan_to_num(with_month(features).select(*dict.fromkeys([*keys, *kept, *columns])), list(columns)), keys, chunk)
     kinds = dict(x.dtypes)
-    return x.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", label int")
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", _chunk long"
+    parts = x.groupBy(*keys, "_chunk")
+    found = parts.applyInPandas(product, f"{named}, v array<double>").groupBy(*keys).applyInPandas(ends, f"{named}, before int, after int")
+    return parts.cogroup(found.groupBy(*keys, "_chunk")).applyInPandas(path, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", label int")
 
 
 def rank_states(means: DataFrame) -> DataFrame:
