@@ -70,11 +70,11 @@ def test_cross_eval_reports_on_both_labels(split):
 def test_ablation_tells_a_lost_column(split):
     trainers = {"lr": model.train_lr, "rf": lambda t, f, y: model.train_rf(t, f, y, trees=10, depth=4)}
     noise = split.select("asset", "time", F.col("z").alias("x"))
-    lost = {r.model: r for r in model.ablation_run(split, noise, ["x"], ["x", "z"], trainers, fold=1).collect()}
+    lost = {r.model: r for r in model.ablation_run(split, noise, ["x"], ["x", "z"], trainers, fold=1, modes=("binary",)).collect()}
     assert {m: r.winner for m, r in lost.items()} == {"lr": "control", "rf": "control"}
     assert all(r.control > 0.9 and r.delta < -0.1 for r in lost.values())
     same = model.ablation_run(split, split.select("asset", "time", "x"), ["x"], ["x", "z"], {"lr": model.train_lr}, fold=1).collect()
-    assert [(r.winner, r.delta) for r in same] == [("tie", 0.0)]
+    assert [(r["mode"], r.winner, r.delta) for r in sorted(same)] == [("binary", "tie", 0.0), ("multiclass", "tie", 0.0)]
 
 
 def test_scores_of_the_stream_are_those_of_the_table(spark, split, tmp_path):
