@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import band
 from ..functions.scan import in_reach, own_rows, reach_window
+from ..functions.tables import materialise
 
 
 def _ratio(a, b):
@@ -145,29 +146,40 @@ def top_features(attributions: DataFrame, n: int) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def permuted(test: DataFrame, column: str, key: str, seed: int = 0, rows: int = 4096) -> DataFrame:
-    """test with the column's values dealt anew, each to another row (a lone row keeps its own).
+def numbered(test: DataFrame, key: str, seed: int = 0) -> tuple[DataFrame, int]:
+    """test with _i, each row's place (from 0) in the order of its key's hash, and the number of rows.
 
-    Rows are dealt by the key's hash to buckets of about `rows` rows; in a bucket, in the order of the hash, each row gets the
-    value of the next one and the last that of the first. A bucket of one row is put to the largest bucket.
+    Rows are written in ranges of the hash; a range's first place comes from a table of one row a range.
     """
     h = F.xxhash64(key, F.lit(seed))
-    dealt = test.withColumn("_b", F.pmod(h, F.lit(max(1, test.count() // rows))))
-    sizes = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}  # one row a bucket
-    lone = [b for b, n in sizes.items() if n == 1]
-    if lone:
-        dealt = dealt.withColumn("_b", F.when(F.col("_b").isin(lone), F.lit(max(sizes, key=sizes.get))).otherwise(F.col("_b")))
-    w = Window.partitionBy("_b").orderBy(h, key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.row_number().over(w) == F.count(F.lit(1)).over(whole)
-    moved = dealt.withColumn("_v", F.when(last, F.first(column).over(whole)).otherwise(F.lead(column).over(w)))
-    return moved.withColumn(column, F.col("_v")).select(*test.columns)
+    x = test.withColumn("_h", h).repartitionByRange("_h", key).sortWithinPartitions("_h", key).drop("_h")
+    x = materialise(x.withColumn("_m", F.monotonically_increasing_id()), "numbered")  # the range, and the place in it
+    ranges = x.groupBy(F.shiftright("_m", 33).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))  # a row a range
+    x = x.withColumn("_r", F.shiftright("_m", 33)).join(F.broadcast(starts), "_r")
+    place = (F.col("_at") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return x.withColumn("_i", place).drop("_r", "_m", "_at"), x.count()
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], key: str, score, seed: int = 0) -> list[tuple[str, float]]:
-    """Loss of score(model.transform(.)) when a feature's values are dealt anew.
+def dealt(rows: DataFrame, n: int, column: str, by: int = 1) -> DataFrame:
+    """rows (with _i, n of them) with the column's value of the row `by` places on, past the end from the start."""
+    by = 1 + (by - 1) % max(1, n - 1)  # never a row's own, unless it is the only one
+    from_there = rows.select(F.pmod(F.col("_i") - by, F.lit(max(1, n))).alias("_i"), F.col(column).alias("_v"))
+    return rows.join(from_there, "_i").withColumn(column, F.col("_v")).drop("_v")
+
+
+def permuted(test: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
+    """test with the column's values dealt anew, each to another row (a lone row keeps its own).
 
-    Values are exchanged among rows whose hashes fall in the same bucket of some thousand rows, so no global order is needed.
+    In the order of the keys' hash, which is as good as random, each row gets the value of the next one and the last that of
+    the first, by a join on places.
     """
-    base = score(model.transform(test))
-    return [(f, base - score(model.transform(permuted(test, f, key, seed)))) for f in features]
+    return dealt(*numbered(test, key, seed), column).select(*test.columns)
+
+
+def permutation_importance(model, test: DataFrame, features: list[str], key: str, score, seed: int = 0) -> list[tuple[str, float]]:
+    """Loss of score(model.transform(.)) when a feature's values are dealt anew. Rows are put in random order and written once for all features."""
+    rows, n = numbered(test, key, seed)
+    base = score(model.transform(rows))
+    return [(f, base - score(model.transform(dealt(rows, n, f, 1 + k)))) for k, f in enumerate(features)]

@@ -76,16 +76,34 @@ def validator_kappa(stacked: DataFrame) -> DataFrame:
     return cohens_kappa(stacked, "fold", "asset", "hmm_type", "validator")
 
 
-def any_other_stress(labels: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """Whether any (other) asset is in stress at the time."""
+def any_other_stress(labels: DataFrame, exclude_self: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Whether any (other) asset is in stress at the time, within the keys."""
     s = (F.col("label") == 2).cast("int")
-    n = F.sum(s).over(Window.partitionBy("time"))
+    n = F.sum(s).over(Window.partitionBy(*keys, "time"))
     return labels.withColumn("others", ((n - s if exclude_self else n) > 0).cast("int"))
 
 
-def kappa_matrix(kappas: DataFrame, validators: list[str]) -> DataFrame:
-    """E10."""
-    return kappas.groupBy("fold", "hmm_type").pivot("validator", validators).agg(F.avg("kappa"))
+VALIDATORS = ("drawdown", "timestamp", "cross_asset")
+
+
+def validators(labels: DataFrame, drawdowns: DataFrame, events: DataFrame, folds: DataFrame, p: float = 0.95) -> DataFrame:
+    """Rows (fold, asset, hmm_type, validator, a, b) of the labels (fold, hmm_type, asset, time, label) of test windows.
+
+    a: stress by the label. b: a drawdown (asset, time, drawdown) above the percentile of those before the fold's window; a time
+    in an event; or stress in another asset by labels of the same kind. folds (fold, start) and events have few rows.
+    """
+    before = drawdowns.join(F.broadcast(folds), F.col("time") < F.col("start"))
+    bounds = before.groupBy("fold", "asset").agg(F.percentile("drawdown", p).alias("bound"))
+    x = any_other_stress(labels, keys=("fold", "hmm_type")).withColumnRenamed("others", "cross_asset").withColumn("a", (F.col("label") == 2).cast("int"))
+    x = event_window_flag(x, events).withColumnRenamed("in_event", "timestamp")
+    x = x.join(drawdowns.select("asset", "time", "drawdown"), ["asset", "time"]).join(F.broadcast(bounds), ["fold", "asset"])  # a row a fold and asset
+    x = x.withColumn("drawdown", (F.col("drawdown") > F.col("bound")).cast("int"))
+    return x.select("fold", "asset", "hmm_type", "a", *VALIDATORS).unpivot(["fold", "asset", "hmm_type", "a"], list(VALIDATORS), "validator", "b")
+
+
+def kappa_matrix(kappas: DataFrame, validators: tuple[str, ...] = VALIDATORS) -> DataFrame:
+    """The mean kappa over assets, by fold and kind of label, a column a validator."""
+    return kappas.groupBy("fold", "hmm_type").pivot("validator", list(validators)).agg(F.avg("kappa"))
 
 
 def exclude_windows(df: DataFrame, events: DataFrame, margin: str = "14 days") -> DataFrame:

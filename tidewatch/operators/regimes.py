@@ -383,6 +383,23 @@ def param_stability(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("asset").agg(F.max(F.abs(F.col("a.mean") - F.col("b.mean"))).alias("max_mean_diff"), F.max(F.abs(F.col("a.var") - F.col("b.var"))).alias("max_var_diff"))
 
 
+def hmm_blocks(models: dict[tuple, Hmm]) -> list[tuple]:
+    """Rows (*key, block, state, to, value) of the start and transition probabilities, states ranked by their mean of the first column; for L9."""
+    out = []
+    for key, m in models.items():
+        order = np.argsort(m.means[:, 0])
+        for rank, state in enumerate(order):
+            out.append((*key, "start", rank, -1, float(m.start[state])))
+            out += [(*key, "transition", rank, to, float(m.transition[state, s])) for to, s in enumerate(order)]
+    return out
+
+
+def block_stability(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Largest difference in each block of (asset, block, state, to, value), states ranked alike."""
+    j = a.alias("a").join(b.alias("b"), ["asset", "block", "state", "to"])
+    return j.groupBy("asset", "block").agg(F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("max_diff"))
+
+
 def global_vs_local_summary(agreement: DataFrame, folds: DataFrame) -> DataFrame:
     """Every (fold, asset) with its agreement and difference of stress shares; null where a fold failed."""
     j = folds.join(agreement, ["fold", "asset"], "left")

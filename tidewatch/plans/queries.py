@@ -9,7 +9,7 @@ from ..functions.tables import read
 from ..operators import audit, bars, evaluate, events, features, model, parity, regimes, transform
 from ..sources import trades as io
 from ..streaming import live
-from .views import BARS, DENSE, EVERY, FEATURES, SECONDS, TRADES, all_trades, cuts, labels, rounded, trades
+from .views import BARS, CALM, DENSE, EVERY, FEATURES, SECONDS, SPANS, TENSE, TRADES, all_trades, cuts, labels, rounded, trades, windows
 
 WIDTH = f"{SECONDS} seconds"
 #: Fixed dimension: periods as half-open ranges, two inside the events' month and one before any event.
@@ -88,16 +88,29 @@ def b_resample_mode(spark, d):
 _F = f"f AS ({FEATURES})"
 
 
-@query(f"""WITH {DENSE}, {_F}, j AS (SELECT x.asset, x.month, x.time, x.OFI_21600s AS a, y.OFI_21600s AS b, x.OFI_108000s AS c, y.OFI_108000s AS e FROM f x LEFT JOIN f y ON y.asset = 'click' AND x.time = y.time WHERE x.asset = 'view'),
-k AS (SELECT *, lag(b) OVER (PARTITION BY month ORDER BY time) AS b1 FROM j)
-SELECT asset, time, round(coalesce(CASE WHEN count(a + b) OVER w6 = 6 AND stddev_samp(a) OVER w6 > 1e-12 AND stddev_samp(b) OVER w6 > 1e-12 THEN covar_samp(a, b) OVER w6 / (stddev_samp(a) OVER w6 * stddev_samp(b) OVER w6) END, 0.0), 4) AS same_bar,
-round(coalesce(CASE WHEN count(c + e) OVER w30 = 30 AND stddev_samp(c) OVER w30 > 1e-12 AND stddev_samp(e) OVER w30 > 1e-12 THEN covar_samp(c, e) OVER w30 / (stddev_samp(c) OVER w30 * stddev_samp(e) OVER w30) END, 0.0), 4) AS long_bar,
-round(coalesce(CASE WHEN count(a + b1) OVER w6 = 6 AND stddev_samp(a) OVER w6 > 1e-12 AND stddev_samp(b1) OVER w6 > 1e-12 THEN covar_samp(a, b1) OVER w6 / (stddev_samp(a) OVER w6 * stddev_samp(b1) OVER w6) END, 0.0), 4) AS lead_lag
-FROM k WINDOW w6 AS (PARTITION BY month ORDER BY time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+#: Which asset may lead which, as the operator's plan has it: one leads two, and those each other.
+_PAIRS = (("click", "view"), ("click", "purchase"), ("view", "purchase"))
+
+
+def _corr(x: str, y: str, w: int) -> str:
+    sx, sy = f"stddev_samp({x}) OVER w{w}", f"stddev_samp({y}) OVER w{w}"
+    return f"round(coalesce(CASE WHEN count({x} + {y}) OVER w{w} = {w} AND {sx} > 1e-12 AND {sy} > 1e-12 THEN covar_samp({x}, {y}) OVER w{w} / ({sx} * {sy}) END, 0.0), 4)"
+
+
+@query(f"""WITH {DENSE}, {_F}, pairs AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)}) v(lead, target)),
+j AS (SELECT pairs.lead, x.asset, x.month, x.time, x.OFI_21600s AS a, y.OFI_21600s AS b, x.OFI_108000s AS c, y.OFI_108000s AS e FROM pairs JOIN f x ON x.asset = target LEFT JOIN f y ON y.asset = pairs.lead AND x.time = y.time),
+k AS (SELECT *, lag(b) OVER (PARTITION BY lead, asset, month ORDER BY time) AS b1 FROM j)
+SELECT lead, asset, time, {_corr("a", "b", 6)} AS same_bar, {_corr("c", "e", 30)} AS long_bar, {_corr("a", "b1", 6)} AS lead_lag
+FROM k WINDOW w6 AS (PARTITION BY lead, asset, month ORDER BY time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY lead, asset, month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def f_contagion(spark, d):
     f = rounded(_features(spark, d))
-    x = features.contagion_plan(f, (("click", "view"),), short=f"OFI_{6 * SECONDS}s", long=f"OFI_{30 * SECONDS}s")["view"]
-    return x.select("asset", "time", *(F.round(f"{a}_click", 4).alias(b) for a, b in (("OFI_corr_60s", "same_bar"), ("OFI_corr_300s", "long_bar"), ("Lead_Lag_60s", "lead_lag"))))
+    found = features.contagion_plan(f, _PAIRS, short=f"OFI_{6 * SECONDS}s", long=f"OFI_{30 * SECONDS}s")
+    out = None
+    for lead, target in _PAIRS:
+        columns = (("OFI_corr_60s", "same_bar"), ("OFI_corr_300s", "long_bar"), ("Lead_Lag_60s", "lead_lag"))
+        one = found[target].select(F.lit(lead).alias("lead"), "asset", "time", *(F.round(f"{a}_{lead}", 4).alias(b) for a, b in columns))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 SCALES = tuple(k * SECONDS for k in features.SCALES)
@@ -172,12 +185,12 @@ def q_missing_days(spark, d):
 
 
 _MONTHS = """l AS (SELECT o_orderpriority AS asset, strftime(max(o_orderdate) - INTERVAL 60 MONTH, '%Y-%m') AS listed FROM orders GROUP BY 1),
-e AS (SELECT asset, m AS month FROM l, (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1994-06-01', INTERVAL 1 MONTH))::DATE AS m UNION ALL SELECT unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH))::DATE) WHERE strftime(m, '%Y-%m') >= listed)"""
+e AS (SELECT asset, m AS month FROM l, (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1997-06-01', INTERVAL 1 MONTH))::DATE AS m UNION ALL SELECT unnest(generate_series(DATE '2001-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE) WHERE strftime(m, '%Y-%m') >= listed)"""
 
 
 def _expected(spark, d):
     listed = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset")).agg(F.date_format(F.max("o_orderdate") - F.expr("interval 60 months"), "yyyy-MM").alias("listed"))
-    return audit.expected_months(listed, [("1992-01", "1994-06"), ("1998-01", "1998-12")])
+    return audit.expected_months(listed, [("1995-01", "1997-06"), ("2001-01", "2001-12")])
 
 
 @query(f"WITH {_MONTHS} SELECT asset, month FROM e")
@@ -196,14 +209,14 @@ def q_quality_score(spark, d):
     return audit.quality_score(audit.low_count_days(all_trades(spark, d), 60))
 
 
-#: Sources as a monthly file and two later ones that overlap what was there before.
-_SOURCES = [(0, "2024-01-01", "2024-01-12"), (1, "2024-01-10", "2024-01-21"), (2, "2024-01-19", "2024-02-01")]
-_STITCH = f"""WITH {TRADES}, src AS (SELECT * FROM (VALUES {", ".join(f"({k}, TIMESTAMP '{a}', TIMESTAMP '{z}')" for k, a, z in _SOURCES)}) v(source, a, z)), s AS (SELECT t.*, source FROM trades t JOIN src ON time >= a AND time < z),
+#: Sources as a monthly file and two later ones that overlap what was there before by so many days.
+_OVER = 2
+_STITCH = f"""WITH {TRADES}, {SPANS}, s AS (SELECT t.*, "window" AS source FROM trades t JOIN spans ON time >= start - ("window" > 0)::INT * INTERVAL {_OVER} DAY AND time < stop),
 e AS (SELECT asset, source, max(time) AS last FROM s GROUP BY 1, 2), b AS (SELECT *, max(last) OVER (PARTITION BY asset ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM e)"""
 
 
 def _sources(spark, d):
-    rows = spark.createDataFrame(_SOURCES, "source int, a string, z string").select("source", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("a", "z")))
+    rows = windows(spark, d).select(F.col("window").alias("source"), F.when(F.col("window") > 0, F.col("start") - F.expr(f"interval {_OVER} days")).otherwise(F.col("start")).alias("a"), F.col("stop").alias("z"))
     return trades(spark, d).join(F.broadcast(rows), (F.col("time") >= F.col("a")) & (F.col("time") < F.col("z"))).drop("a", "z")  # three sources
 
 
@@ -242,11 +255,14 @@ def i_pool_assets(spark, d):
     return io.pool_assets(trades(spark, d), ["view", "click", "purchase"]).select("asset", "id", "asset_id")
 
 
-@query("""WITH s AS (SELECT l_returnflag AS asset, l_orderkey AS k, l_linenumber AS n, l_extendedprice AS x FROM lineitem), m AS (SELECT asset, quantile_cont(abs(x), 0.999) AS b FROM s GROUP BY asset)
-SELECT s.asset, k, n::BIGINT AS n, round(greatest(-b, least(b, x)), 6) AS x FROM s JOIN m ON s.asset = m.asset""")
+@query("""WITH s AS (SELECT l_returnflag AS asset, l_orderkey AS k, l_linenumber AS n, CASE WHEN l_discount = 0 OR l_tax = 0 OR l_quantity < 3 THEN NULL ELSE (l_tax - 0.04) * l_extendedprice / l_discount * 1.4142135623730951 END AS x FROM lineitem),
+f AS (SELECT asset, quantile_cont(x, 0.5) AS mid FROM s GROUP BY asset), t AS (SELECT s.asset, k, n, coalesce(x, mid) AS x FROM s JOIN f ON s.asset = f.asset), m AS (SELECT asset, quantile_cont(abs(x), 0.999) AS b FROM t GROUP BY asset)
+SELECT t.asset, k, n::BIGINT AS n, round(greatest(-b, least(b, x)), 4) AS x FROM t JOIN m ON t.asset = m.asset""")
 def n_clean_features(spark, d):
-    x = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("asset"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("x"))
-    return transform.clean_features(x, ["x"])
+    """A ratio that is infinite where its divisor is 0, NaN at other rows and null at others yet."""
+    x = F.when(F.col("l_discount") == 0, float("-inf")).when(F.col("l_tax") == 0, float("nan")).when(F.col("l_quantity") < 3, None).otherwise((F.col("l_tax") - 0.04) * F.col("l_extendedprice") / F.when(F.col("l_discount") != 0, F.col("l_discount")) * 1.4142135623730951)  # no value is half of a last decimal
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("asset"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), x.alias("x"))
+    return transform.clean_features(rows, ["x"]).withColumn("x", F.round("x", 4))
 
 
 @query("WITH f AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem WHERE l_orderkey % 2 = 0) SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, round((l_quantity - m) / s, 6) AS q FROM lineitem, f WHERE l_orderkey % 2 = 1")
@@ -331,12 +347,10 @@ def l_label_agreement(spark, d):
     return regimes.label_agreement(labels(x), other)
 
 
-@query(f"""WITH {DENSE}, w AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-11'), (1, TIMESTAMP '2024-01-11', TIMESTAMP '2024-01-21'), (2, TIMESTAMP '2024-01-21', TIMESTAMP '2024-02-01')) v("window", start, stop)),
-j AS (SELECT lab.*, "window" AS win FROM lab JOIN w ON time >= start AND time < stop) SELECT asset, time, win::BIGINT AS "window", f.fold, CASE WHEN win = f.fold THEN 'test' ELSE 'train' END AS role FROM j, (SELECT unnest([1, 2])::BIGINT AS fold) f WHERE win <= f.fold""")
+@query(f"""WITH {DENSE}, {SPANS}, j AS (SELECT lab.asset, lab.time, "window" AS win FROM lab JOIN spans ON time >= start AND time < stop)
+SELECT asset, time, win::BIGINT AS "window", f.fold, CASE WHEN win = f.fold THEN 'test' ELSE 'train' END AS role FROM j, (SELECT unnest([1, 2])::BIGINT AS fold) f WHERE win <= f.fold""")
 def m_walk_forward(spark, d):
-    rows = [(0, "2024-01-01", "2024-01-11"), (1, "2024-01-11", "2024-01-21"), (2, "2024-01-21", "2024-02-01")]
-    w = spark.createDataFrame(rows, "window int, a string, z string").select("window", F.col("a").cast("timestamp_ntz").alias("start"), F.col("z").cast("timestamp_ntz").alias("stop"))
-    return model.walk_forward(_labels(spark, d), w, [1, 2]).select("asset", "time", "window", "fold", "role")
+    return model.walk_forward(_labels(spark, d), windows(spark, d), [1, 2]).select("asset", "time", "window", "fold", "role")
 
 
 @query(f"WITH {DENSE}, {_F} SELECT f.asset, f.time, OFI_{6 * SECONDS}s AS OFI, RV_{6 * SECONDS}s AS RV, label FROM f JOIN lab ON f.asset = lab.asset AND f.time = lab.time")
@@ -651,17 +665,40 @@ def e_period_pivot(spark, d):
     return events.period_pivot(events.period_rates(_labels(spark, d), _events(spark), "3 days", "1 days", "4 days"))
 
 
-_VAL = f"""{DENSE}, {_EV}, x AS (SELECT asset, label, (label = 2)::INT AS a, EXISTS (SELECT 1 FROM ev WHERE time BETWEEN onset AND crisis_end)::INT AS ts, (sum((label = 2)::INT) OVER (PARTITION BY time) - (label = 2)::INT > 0)::INT AS cross_asset FROM lab),
-st AS (SELECT asset, 'timestamp' AS validator, a, ts AS b FROM x UNION ALL SELECT asset, 'cross_asset', a, cross_asset FROM x),
-kp AS (SELECT asset, validator, avg((a = b)::INT) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM st GROUP BY ALL), kk AS (SELECT *, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 0.0 END AS kappa FROM kp)"""
+_KAPPAS = f"""{DENSE}, {_EV}, {SPANS}, fo AS (SELECT "window"::BIGINT AS fold, start, stop FROM spans WHERE "window" > 0),
+own AS (SELECT fold, asset, quantile_cont(rv, 0.60) AS calm, quantile_cont(rv, 0.85) AS tense FROM dense JOIN fo ON time < start GROUP BY 1, 2),
+lb AS (SELECT fold, 'global' AS hmm_type, asset, time, label FROM lab JOIN fo ON time >= start AND time < stop
+  UNION ALL SELECT fo.fold, 'local', dense.asset, time, (CASE WHEN rv >= own.tense THEN 2 WHEN rv > own.calm THEN 1 ELSE 0 END)::BIGINT FROM dense JOIN fo ON time >= start AND time < stop JOIN own ON own.fold = fo.fold AND own.asset = dense.asset),
+dd AS (SELECT asset, time, round((max(price) OVER w - price) / max(price) OVER w * 100, 6) AS drawdown FROM dense WINDOW w AS (PARTITION BY asset, seg ORDER BY time ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+bo AS (SELECT fold, asset, quantile_cont(drawdown, 0.95) AS bound FROM dd JOIN fo ON time < start GROUP BY 1, 2),
+x AS (SELECT lb.fold, hmm_type, lb.asset, (label = 2)::INT AS a, (drawdown > bound)::INT AS drawdown, EXISTS (SELECT 1 FROM ev WHERE lb.time BETWEEN onset AND crisis_end)::INT AS timestamp,
+  (sum((label = 2)::INT) OVER (PARTITION BY lb.fold, hmm_type, lb.time) - (label = 2)::INT > 0)::INT AS cross_asset FROM lb JOIN dd ON dd.asset = lb.asset AND dd.time = lb.time JOIN bo ON bo.fold = lb.fold AND bo.asset = lb.asset),
+st AS (SELECT fold, hmm_type, asset, 'drawdown' AS validator, a, drawdown AS b FROM x UNION ALL SELECT fold, hmm_type, asset, 'timestamp', a, timestamp FROM x UNION ALL SELECT fold, hmm_type, asset, 'cross_asset', a, cross_asset FROM x),
+kp AS (SELECT fold, hmm_type, asset, validator, count(*) AS n, avg((a = b)::INT) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM st GROUP BY ALL),
+kk AS (SELECT *, po * 100 AS agreement, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 0.0 END AS kappa FROM kp)"""
+
 
+def _kappas(spark, d):
+    """Kappas of the labels of all bars and of labels cut by the windows before a fold, with three validators."""
+    x = _dense(spark, d).persist()
+    spans = windows(spark, d).where("window > 0").withColumnRenamed("window", "fold")
+    inside = (F.col("time") >= F.col("start")) & (F.col("time") < F.col("stop"))
+    whole = labels(x).join(F.broadcast(spans), inside).select("fold", F.lit("global").alias("hmm_type"), "asset", "time", "label")
+    own = x.join(F.broadcast(spans), F.col("time") < F.col("start")).groupBy("fold", "asset").agg(F.percentile("rv", CALM).alias("calm"), F.percentile("rv", TENSE).alias("tense"))
+    local = x.join(F.broadcast(spans), inside).join(F.broadcast(own), ["fold", "asset"])  # a row a fold and asset
+    local = local.select("fold", F.lit("local").alias("hmm_type"), "asset", "time", F.when(F.col("rv") >= F.col("tense"), 2).when(F.col("rv") > F.col("calm"), 1).otherwise(0).alias("label"))
+    falls = rounded(events.drawdown(x.select("asset", "time", "price"), width=SECONDS).select("asset", "time", "drawdown"))
+    return events.validator_kappa(events.validators(whole.unionByName(local), falls, _events(spark), spans.select("fold", "start")))
 
-@query(f"WITH {_VAL} SELECT 0::BIGINT AS fold, 'global' AS hmm_type, round(avg(kappa) FILTER (validator = 'timestamp'), 6) AS ts, round(avg(kappa) FILTER (validator = 'cross_asset'), 6) AS cross_asset FROM kk")
+
+@query(f"WITH {_KAPPAS} SELECT fold, hmm_type, asset, validator, n, round(agreement, 6) AS agreement, round(kappa, 6) AS kappa FROM kk")
+def e_fold_kappas(spark, d):
+    return _kappas(spark, d)
+
+
+@query(f"WITH {_KAPPAS} SELECT fold, hmm_type, round(avg(kappa) FILTER (validator = 'drawdown'), 6) AS drawdown, round(avg(kappa) FILTER (validator = 'timestamp'), 6) AS timestamp, round(avg(kappa) FILTER (validator = 'cross_asset'), 6) AS cross_asset FROM kk GROUP BY fold, hmm_type")
 def e_kappa_matrix(spark, d):
-    x = events.any_other_stress(events.event_window_flag(_labels(spark, d), _events(spark)))
-    both = F.explode(F.array(*(F.struct(F.lit(n).alias("validator"), F.col(c).cast("int").alias("b")) for n, c in (("timestamp", "in_event"), ("cross_asset", "others")))))
-    stacked = x.select(F.lit(0).alias("fold"), "asset", F.lit("global").alias("hmm_type"), (F.col("label") == 2).cast("int").alias("a"), both.alias("v")).select("fold", "asset", "hmm_type", "a", "v.*")
-    return events.kappa_matrix(events.validator_kappa(stacked), ["timestamp", "cross_asset"]).withColumnRenamed("timestamp", "ts")
+    return events.kappa_matrix(_kappas(spark, d))
 
 
 _ONSET = f"""{DENSE}, {_PROB}, {_EV}, refs AS (SELECT name, asset, crisis_end AS reference FROM ev, (SELECT DISTINCT asset FROM pr)),
@@ -718,6 +755,25 @@ def l_param_stability(spark, d):
     return regimes.param_stability(p.where("early").drop("early"), p.where("not early").drop("early"))
 
 
+@query(f"""WITH {DENSE}, h AS (SELECT asset, label, date_part('day', time) <= 15 AS early, lead(label) OVER (PARTITION BY asset, seg, date_part('day', time) <= 15 ORDER BY time) AS nxt, row_number() OVER (PARTITION BY asset, date_part('day', time) <= 15 ORDER BY time) AS i FROM lab),
+a AS (SELECT DISTINCT asset FROM h), g AS (SELECT asset, early, x, y FROM a, (SELECT unnest([true, false]) AS early), (SELECT unnest([0, 1, 2]) AS x), (SELECT unnest([0, 1, 2]) AS y)),
+t AS (SELECT asset, early, label AS x, nxt AS y, count(*) AS n FROM h WHERE nxt IS NOT NULL GROUP BY ALL), p AS (SELECT g.asset, g.early, g.x, g.y, coalesce(n / sum(n) OVER (PARTITION BY g.asset, g.early, g.x), 0.0) AS v FROM g LEFT JOIN t ON t.asset = g.asset AND t.early = g.early AND t.x = g.x AND t.y = g.y),
+s AS (SELECT g.asset, g.early, g.x, max((label = g.x)::INT) AS v FROM (SELECT DISTINCT asset, early, x FROM g) g JOIN h ON h.asset = g.asset AND h.early = g.early AND i = 1 GROUP BY 1, 2, 3)
+SELECT p.asset, 'transition' AS block, round(max(abs(p.v - q.v)), 6) AS max_diff FROM p JOIN p q ON p.asset = q.asset AND p.x = q.x AND p.y = q.y AND p.early AND NOT q.early GROUP BY 1
+UNION ALL SELECT s.asset, 'start', round(max(abs(s.v - r.v))::DOUBLE, 6) FROM s JOIN s r ON s.asset = r.asset AND s.x = r.x AND s.early AND NOT r.early GROUP BY 1""")
+def l_block_stability(spark, d):
+    x, blocks = labels(_dense(spark, d)).select("asset", "time", "label"), []
+    for early in (True, False):
+        part = x.where((F.dayofmonth("time") <= 15) == early)
+        states = part.select("asset").distinct().withColumn("state", F.explode(F.array(*map(F.lit, range(3)))))
+        steps = regimes.transition_matrix(part, SECONDS).select("asset", F.col("from_label").alias("state"), F.col("to_label").alias("to"), "p")
+        moves = states.withColumn("to", F.explode(F.array(*map(F.lit, range(3))))).join(steps, ["asset", "state", "to"], "left").select("asset", F.lit("transition").alias("block"), "state", "to", F.coalesce("p", F.lit(0.0)).alias("value"))
+        first = part.groupBy("asset").agg(F.min_by("label", "time").alias("first"))
+        starts = states.join(first, "asset").select("asset", F.lit("start").alias("block"), "state", F.lit(-1).alias("to"), (F.col("first") == F.col("state")).cast("double").alias("value"))
+        blocks.append(moves.unionByName(starts))
+    return regimes.block_stability(*blocks)
+
+
 @query(f"""WITH {DENSE}, m AS (SELECT asset, time, (CASE WHEN time >= TIMESTAMP '2024-01-16' THEN 'test' ELSE 'train' END) AS role, (label = 2)::BIGINT AS y, row_number() OVER (PARTITION BY asset, time >= TIMESTAMP '2024-01-16' ORDER BY time DESC) AS nth FROM lab)
 SELECT asset, time, role, y FROM m WHERE role = 'test' OR nth > 30""")
 def m_purge_binarize(spark, d):
@@ -733,10 +789,13 @@ def a_verdict_bands(spark, d):
 
 @query(f"""WITH {DENSE}, {_PROB}, h AS (SELECT *, (prob > 0.85)::INT AS hit, sum(1 - (prob > 0.85)::INT) OVER (PARTITION BY asset, seg ORDER BY time) AS g FROM pr),
 c AS (SELECT asset, time, prob, sum(hit) OVER (PARTITION BY asset, seg, g ORDER BY time)::BIGINT AS n FROM h), fl AS (SELECT asset, time, CASE WHEN v_buy + v_sell > 0 THEN (v_buy - v_sell) / (v_buy + v_sell) END AS flow FROM dense)
-SELECT asset, time, concat_ws(' | ', (CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END) || ' bar', CASE WHEN n >= 2 THEN 'warning for ' || n || ' bars' END, CASE WHEN abs(flow) > 0.3 THEN 'extreme flow' END) AS text FROM c JOIN fl USING (asset, time)""")
+SELECT asset, time, concat_ws(' | ', (CASE WHEN prob >= 0.85 THEN 'stress' WHEN prob >= 0.5 THEN 'elevated' ELSE 'calm' END) || ' bar', CASE WHEN n >= 2 THEN 'warning for ' || n || ' bars' END, CASE WHEN abs(flow) > 0.3 THEN 'extreme flow' END) AS text,
+round(prob, 2) AS p, CASE WHEN abs(flow) > 0.3 THEN round(flow, 2) END AS flow FROM c JOIN fl USING (asset, time)""")
 def s_interpretation(spark, d):
     x = live.warning_state(_probs(spark, d), gap=SECONDS).withColumn("regime", live.regime(F.col("prob")))
     sides = F.col("v_buy") + F.col("v_sell")
     flow = _dense(spark, d).select("asset", "time", F.when(sides > 0, (F.col("v_buy") - F.col("v_sell")) / sides).alias("OFI"))
     said = live.interpretation(x.join(flow, ["asset", "time"])).select("asset", "time", "interpretation")
-    return said.select("asset", "time", F.regexp_replace(F.regexp_replace("interpretation", r" \(p=[^)]*\)", " bar"), r"extreme flow -?[0-9.]+", "extreme flow").alias("text"))  # decimals round differently in SQL engines
+    number = lambda pattern: F.regexp_extract("interpretation", pattern, 1).try_cast("double")
+    text = F.regexp_replace(F.regexp_replace("interpretation", r" \(p=[^)]*\)", " bar"), r"extreme flow -?[0-9.]+", "extreme flow")  # the numbers stand beside it
+    return said.select("asset", "time", text.alias("text"), number(r"p=([0-9.]+)").alias("p"), number(r"extreme flow (-?[0-9.]+)").alias("flow"))

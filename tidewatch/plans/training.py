@@ -9,11 +9,13 @@ from ..functions.tables import materialise, read, scratch
 from ..operators import audit, bars, evaluate, model, regimes, transform
 from ..streaming import live
 from .queries import _PROB, _SUM, _W, _WARNED, SCALES, _dense, _features, _labels, _outcomes, _probs, _warned, query
-from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, trades
+from .views import BARS, DENSE, FEATURES, SECONDS, TRADES, labels, trades, windows
 
 INPUTS = [f"{c}_{6 * SECONDS}s" for c in ("OFI", "TCI", "intensity", "RV")]
-_KINDS = {"event_type": "long", "user_id": "long", "value": "double", "props": "double"}
-_BAD = " UNION ALL ".join(f"SELECT 'events.parquet' AS file, '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS {'BIGINT' if t == 'long' else 'DOUBLE'}) IS NULL) AS bad_values FROM events" for c, t in _KINDS.items())
+#: Kinds that all, some or none of a column's values have.
+_KINDS = {"event_type": "long", "user_id": "tinyint", "event_id": "smallint", "value": "double"}
+_SQL_KINDS = {"long": "BIGINT", "double": "DOUBLE"}
+_BAD = " UNION ALL ".join(f"SELECT 'events.parquet' AS file, '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS {_SQL_KINDS.get(t, t)}) IS NULL) AS bad_values FROM events" for c, t in _KINDS.items())
 
 
 @query(_BAD)
@@ -22,9 +24,11 @@ def q_schema_check(spark, d):
     return audit.schema_check(raw.withColumns({c: F.col(c).cast("string") for c in _KINDS}), _KINDS)
 
 
-@query("SELECT event_type AS asset, 'events.parquet' AS file, count(*) AS rows, 7::BIGINT AS n_columns, 'qty' AS lacking FROM events GROUP BY 1")
+@query("""WITH c AS (SELECT column_name AS name FROM duckdb_columns() WHERE table_name = 'events'), e AS (SELECT unnest(['event_id', 'value', 'qty', 'props', 'side']) AS name),
+l AS (SELECT (SELECT count(*) + 1 FROM c) AS n_columns, (SELECT string_agg(name, ',' ORDER BY name) FROM e WHERE name NOT IN (SELECT name FROM c)) AS lacking)
+SELECT event_type AS asset, 'events.parquet' AS file, count(*) AS rows, any_value(n_columns) AS n_columns, any_value(lacking) AS lacking FROM events, l GROUP BY 1""")
 def q_feature_inventory(spark, d):
-    return audit.feature_inventory(read(spark, d, "events").withColumn("asset", F.col("event_type")), ["event_id", "value", "qty"])
+    return audit.feature_inventory(read(spark, d, "events").withColumn("asset", F.col("event_type")), ["event_id", "value", "qty", "props", "side"])
 
 
 @query()
@@ -51,14 +55,6 @@ def n_sample_n(spark, d):
     return transform.sample_n(trades(spark, d).select("id", "asset", "price"), 100, "id")
 
 
-_SPANS = [(0, "2024-01-01", "2024-01-11"), (1, "2024-01-11", "2024-01-21"), (2, "2024-01-21", "2024-02-01")]
-
-
-def _windows(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_SPANS, "window int, a string, z string")
-    return rows.select("window", F.col("a").cast("timestamp_ntz").alias("start"), F.col("z").cast("timestamp_ntz").alias("stop"))
-
-
 HMM = ("rv", "abs_r")
 
 
@@ -70,7 +66,7 @@ def l_hmm_labels(spark, d):
 
 @query()
 def l_local_labels(spark, d):
-    return regimes.local_labels(_dense(spark, d).select("asset", "month", "time", *HMM), _windows(spark), [1, 2], HMM)
+    return regimes.local_labels(_dense(spark, d).select("asset", "month", "time", *HMM), windows(spark, d), [1, 2], HMM)
 
 
 @query(f"""WITH {DENSE}, o AS (SELECT asset, time, (CASE WHEN abs_r > 2.0 THEN 2 WHEN abs_r > 1.0 THEN 1 ELSE 0 END) AS y FROM dense),
@@ -88,7 +84,7 @@ def _folded(spark, d, folds=(2,)) -> DataFrame:
     """Features and labels of the folds, with roles; of the last one alone unless others are named."""
     x = transform.nan_to_num(_features(spark, d).select("asset", "time", *INPUTS), INPUTS)
     j = model.feature_label_join(x, _labels(spark, d).drop("price"))
-    return model.walk_forward(j, _windows(spark), list(folds))
+    return model.walk_forward(j, windows(spark, d), list(folds))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def labels(dense: DataFrame) -> DataFrame:
     return cut.select("asset", "time", "price", F.when(F.col("rv") >= F.col("tense"), 2).when(F.col("rv") > F.col("calm"), 1).otherwise(0).alias("label"))
 
 
+#: The span of the events is cut into so many windows of whole days; those after the first are folds.
+WINDOWS_OF = 3
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """window, start, stop: equal parts of the days from the first event to the last."""
+    first, last = read(spark, sf_dir, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    days = (last - first).days + 1 if first else 0
+    at = [str((first or datetime.date(1970, 1, 1)) + datetime.timedelta(days=k * days // WINDOWS_OF)) for k in range(WINDOWS_OF + 1)]
+    rows = spark.createDataFrame([(k, at[k], at[k + 1]) for k in range(WINDOWS_OF)], "window int, a string, z string")
+    return rows.select("window", F.col("a").cast("timestamp_ntz").alias("start"), F.col("z").cast("timestamp_ntz").alias("stop"))
+
+
+SPANS = f"""spans AS (SELECT k AS "window", d + (k * n // {WINDOWS_OF})::INT * INTERVAL 1 DAY AS start, d + ((k + 1) * n // {WINDOWS_OF})::INT * INTERVAL 1 DAY AS stop
+  FROM (SELECT min(ts)::DATE AS d, max(ts)::DATE - min(ts)::DATE + 1 AS n FROM events), (SELECT unnest(generate_series(0, {WINDOWS_OF - 1})) AS k))"""
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
 
