@@ -5,8 +5,8 @@ an anchor at the same offset. One pass finds the anchors that stand in more than
 those (all 50-byte strings that may contain the anchor) goes to the anchor's bucket, once for each batch if its
 surroundings are the same. In a bucket, suffix order comes from Burrows-Wheeler transforms of shards, merged by interleave
 refinement, which also gives the common prefixes; an interval of rows with 50 bytes in common is one string, and its smallest
-doc_id decides. Anchors that very many batches hold, or that crowd one batch, are dealt by the hash of the 50-byte string
-instead, so that no bucket grows with them. The number of buckets follows from the bytes of text.
+doc_id decides. Strings around anchors that very many batches hold, or that crowd one batch, are rows of a table instead, and the
+smallest doc_id of each is a sum that Spark makes before and after its shuffle, so that no bucket grows with them. The number of buckets follows from the bytes of text.
 
 What is taken as equal by hash across batches agrees in two 64-bit hashes: of the anchor and of its surroundings, or of a string
 and of its first half.
@@ -236,7 +236,8 @@ def _surroundings(buckets: int):
             spans.append(np.stack([first[d > least], first[d > least] + WINDOW], axis=1))
             open_ = np.flatnonzero(d == least)
             half = hashes.of(first[open_], first[open_] + WINDOW // 2)
-            deal(2, string[open_], (string[open_], half, d[open_], first[open_]))
+            if len(open_):
+                put(2, row["batch"], np.stack([string[open_].view(np.int64), half.view(np.int64), d[open_], first[open_]]).astype("<i8").tobytes(), None)
             spans = np.concatenate(spans)
             if len(spans):
                 put(0, row["batch"], _joined(spans).tobytes(), None)
@@ -316,18 +317,27 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
     return _emit(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def _by_string(rows: pd.DataFrame) -> pd.DataFrame:
-    data = [np.frombuffer(x, np.int64).reshape(4, -1) for x in rows["data"]]
-    batch = np.repeat(rows["batch"].to_numpy(np.int64), [x.shape[1] for x in data])
-    string, half, doc, first = np.concatenate(data, axis=1)
-    covered = doc > _first_of(_numbered(string, half), doc)
-    return _emit(batch[covered], first[covered], first[covered] + WINDOW)
-
-
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans of each batch, from a bucket of one kind: decided by the batch itself, by anchor, or by string."""
+    """Spans of each batch, from a bucket of one kind: decided by the batch itself, or by anchor. What is decided by string (kind 2) is handed on."""
     kind = int(rows["kind"].iloc[0])
-    return rows[["batch", "data"]].rename(columns={"data": "spans"}) if kind == 0 else (_by_anchor, _by_string)[kind - 1](rows)
+    found = _by_anchor(rows) if kind == 1 else rows[["batch", "data"]].rename(columns={"data": "spans"})
+    return found.assign(kind=kind)
+
+
+def _places(batches):
+    """A row for each string of a batch that is decided by string."""
+    for b in batches:
+        for batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(data, "<i8").reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], batch)), *map(pa.array, x)], names=["batch", "string", "half", "doc", "first"])
+
+
+def _by_string(handed: DataFrame) -> DataFrame:
+    """batch, spans of the strings that a smaller doc_id holds too: the smallest doc_id of each is found before the shuffle and after it."""
+    places = handed.select("batch", "spans").mapInArrow(_places, "batch long, string long, half long, doc long, first long")
+    least = places.groupBy("string", "half").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    covered = places.join(least, ["string", "half"]).where("doc > least").select("batch", "first")
+    return covered.groupBy("batch").applyInPandas(lambda x: _emit(x["batch"].to_numpy(), x["first"].to_numpy(), x["first"].to_numpy() + WINDOW), "batch long, spans binary")
 
 
 def _results(text_too: bool):
@@ -382,8 +392,9 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
         with workspace(spark, "repeats"), arrow_rows(spark, 16):  # a row holds a batch
             answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
             around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
-            decided = around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary")
-            by_batch = materialise(decided, "spans").groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
+            decided = materialise(around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary, kind int"), "spans")
+            spans = decided.where("kind < 2").select("batch", "spans").union(_by_string(decided.where("kind = 2")))
+            by_batch = spans.groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
             out = materialise(kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema), "kept", path)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
