@@ -160,3 +160,26 @@ def test_no_window_by_asset_alone_on_bars(made):
             if "Window [" in line and "windowspecdefinition(asset" in line:
                 spec = line.split("windowspecdefinition(", 1)[1].split(" ASC", 1)[0]
                 assert "_chunk" in spec, line
+
+
+def test_sketches_of_months_bound_the_rank_error(spark):
+    rng, rows = np.random.default_rng(12), []
+    for asset, scale in (("A", 1.0), ("B", 30.0)):
+        for k in range(12_000):
+            v = float(rng.standard_t(3) * scale)
+            rows.append((asset, datetime.datetime(2020, 1, 1) + datetime.timedelta(minutes=20 * k), [v, v, v, v, v, None, math.inf, math.nan][int(rng.integers(0, 8))]))
+    df = spark.createDataFrame(rows, "asset string, time timestamp_ntz, v double")
+    kept = transform.feature_sketches(df, ["v"])
+    assert kept.count() == 12  # six months of two assets
+    exact = {(r.asset, r.time): r.v for r in transform.clean_features(df, ["v"], top=0.99).collect()}
+    for got in (transform.clean_by_sketches(df, kept, ["v"], top=0.99), transform.clean_features(df, ["v"], top=0.99, approximate=True)):
+        found = {(r.asset, r.time): r.v for r in got.collect()}
+        for asset in "AB":
+            values = np.array([v for a, _, v in rows if a == asset and v is not None and math.isfinite(v)])
+            filled = {found[a, t] for a, t, v in rows if a == asset and (v is None or not math.isfinite(v))}
+            assert len(filled) == 1 and abs((values <= filled.pop()).mean() - 0.5) < 0.003
+            bound, right = (max(abs(v) for (a, _), v in x.items() if a == asset) for x in (found, exact))
+            whole = np.abs([exact[a, t] if v is None or not math.isfinite(v) else v for a, t, v in rows if a == asset])
+            assert abs((whole <= bound).mean() - (whole <= right).mean()) < 0.003
+    none = transform.clean_features(df.withColumn("v", F.lit(None).cast("double")), ["v"], approximate=True)
+    assert none.where("v is not null").count() == 0 and none.count() == 24_000

@@ -155,17 +155,47 @@ def nan_to_num(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean_features(df: DataFrame, columns: list[str], key: str = "asset", top: float = 0.999, approximate: bool = False) -> DataFrame:
-    """Infinite to null, median for null, clipped to the top percentile of the absolute value, by key."""
+    """Infinite to null, median for null, clipped to the top percentile of the absolute value, by key. approximate: percentiles from sketches by month."""
+    if approximate:
+        return clean_by_sketches(df, feature_sketches(df, columns, key), columns, key, top)
     x = df.withColumns({c: finite(c) for c in columns})
-    at = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approximate else F.percentile
-    first = x.groupBy(key).agg(*(at(F.col(c), 0.5).alias(f"m_{c}") for c in columns))
+    first = x.groupBy(key).agg(*(F.percentile(c, 0.5).alias(f"m_{c}") for c in columns))
     x = x.join(F.broadcast(first), key)  # a row an asset
     x = x.withColumns({c: F.coalesce(c, f"m_{c}") for c in columns})
-    bound = x.groupBy(key).agg(*(at(F.abs(F.col(c)), top).alias(f"b_{c}") for c in columns))
+    bound = x.groupBy(key).agg(*(F.percentile(F.abs(c), top).alias(f"b_{c}") for c in columns))
     x = x.join(F.broadcast(bound), key)
     return x.withColumns({c: F.greatest(-F.col(f"b_{c}"), F.least(F.col(f"b_{c}"), F.col(c))) for c in columns}).select(*df.columns)
 
 
+#: Size of a sketch, and the ranks that are asked for; the rank of a percentile is off by about a thousandth at most.
+SKETCH, RANKS = 4096, 4000
+
+
+def feature_sketches(df: DataFrame, columns: list[str], key: str = "asset", size: int = SKETCH) -> DataFrame:
+    """By key and month, for each column quantile sketches (KLL) of its finite values and of their absolute values, and how
+    many rows have none. Months are sketched once and kept; clean_by_sketches merges them."""
+    x = with_month(df).select(key, "month", *(finite(c).alias(c) for c in columns))
+    parts = [(f(c), n) for c in columns for f, n in ((lambda c: F.kll_sketch_agg_double(c, size), f"x_{c}"), (lambda c: F.kll_sketch_agg_double(F.abs(c), size), f"a_{c}"), (lambda c: F.count_if(F.col(c).isNull()), f"n_{c}"))]
+    return x.groupBy(key, "month").agg(*(f.alias(n) for f, n in parts))
+
+
+def clean_by_sketches(df: DataFrame, sketches: DataFrame, columns: list[str], key: str = "asset", top: float = 0.999) -> DataFrame:
+    """N2 with percentiles of the merged sketches. A value that is filled in counts in the top percentile as the median that it becomes."""
+    merged = sketches.groupBy(key).agg(*(f(f"{n}_{c}").alias(f"{n}_{c}") for c in columns for n, f in (("x", F.kll_merge_agg_double), ("a", F.kll_merge_agg_double), ("n", F.sum))))
+    bounds = {}
+    for c in columns:
+        a, filled = F.col(f"a_{c}"), F.col(f"n_{c}").cast("double")
+        n = F.kll_sketch_get_n_double(a).cast("double")
+        all_ranks = F.when(n > 0, F.kll_sketch_get_quantile_double(a, F.array(*(F.lit(k / RANKS) for k in range(RANKS + 1)))))  # ranks must be constants
+        at = lambda rank, q=all_ranks: F.element_at(q, F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank)) * RANKS).cast("int") + 1)
+        middle = F.when(n > 0, F.kll_sketch_get_quantile_double(F.col(f"x_{c}"), F.lit(0.5)))
+        below, above = at(top * (n + filled) / n), at((top * (n + filled) - filled) / n)
+        bounds |= {f"m_{c}": middle, f"b_{c}": F.when(below < F.abs(middle), below).when(above > F.abs(middle), above).otherwise(F.abs(middle))}
+    x = df.join(F.broadcast(merged.select(key, *(v.alias(n) for n, v in bounds.items()))), key)  # a row an asset
+    clean = {c: F.greatest(-F.col(f"b_{c}"), F.least(F.col(f"b_{c}"), F.coalesce(finite(c), f"m_{c}"))) for c in columns}
+    return x.withColumns(clean).select(*df.columns)
+
+
 def standardize(fit: DataFrame, apply: DataFrame, columns: list[str]) -> DataFrame:
     """Z-scores with the mean and population deviation of fit; a constant column becomes 0."""
     stats = fit.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
