@@ -183,6 +183,15 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_a_long_text_with_many_licence_words(spark):
+    part = "all rights reserved under cc by and the general public license "
+    text = part * 1500 + "plain words follow " * 40_000 + part
+    r = licenses.scan(frame(spark, [(1, text, None)])).first()
+    words = text.split()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), 3 * 1501, 0, len(words) - 3)
+    assert set(r.base_labels.split(",")) == {"cc-by", "gpl", "reserved"} <= set(r.labels.split(","))
+
+
 def test_whole_licences_with_departures(spark):
     rng = np.random.default_rng(2)
     rows, want = [], {}
@@ -213,6 +222,8 @@ def test_media(spark):
         step, quarters = np.abs(np.diff(x.astype(int))).mean(), [((x >= a) & (x < a + 64)).mean() for a in range(0, 256, 64)]
         assert r.payload_bytes == len(payload) and r.media_bytes == len(m) and r.tail_crc32 == zlib.crc32(payload[-16:])
         assert r.feature == f"mean={x.mean():.3f};std={x.std():.3f};step={step:.3f};quarters=" + "/".join(f"{q:.4f}" for q in quarters)
+    small = spark.read.format("media_archives").option("path", path).option("range_bytes", 150).load()
+    assert {(r.doc_id, r.offset): r.media for r in small.collect()} == stored and max(map(len, stored.values())) > 150  # members longer than a range
     import glob
 
     places = sorted(i.header_offset for f in glob.glob(f"{path.removeprefix('file://')}/media-*.zip") for i in media.zipfile.ZipFile(f).infolist())

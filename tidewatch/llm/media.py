@@ -196,7 +196,11 @@ def decode(media: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, path: str) -> DataFrame:
-    """Stores docs below path and reads them back; one row a document. Null texts are one row of spaces, n_bytes 0."""
+    """Stores docs below path and reads them back; one row a document. Null texts are one row of spaces, n_bytes 0.
+
+    Repeated rows are members of their own; a text of any length is one member, also where it is longer than a range of bytes; an
+    empty table stores nothing and gives no rows; other columns of docs are left out.
+    """
     spark = docs.sparkSession
     write_archives(docs, path)
     spark.dataSource.register(MediaArchives)

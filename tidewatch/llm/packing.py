@@ -129,7 +129,9 @@ def place(found: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> D
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one end id; repeated rows are packed as often as they come; an empty table gives no rows.
+    Null and empty texts are one end id; repeated rows are packed as often as they come; an empty table gives no rows. Texts of
+    any length are encoded whole and cut into pieces of `capacity`, of which the first may be shorter; other columns of docs are
+    left out.
     """
     found = materialise(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
     return place(found, capacity)

@@ -213,7 +213,8 @@ def read_shards(spark: SparkSession, path: str, manifest: list[tuple[str, int, i
 
 def token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, **how) -> DataFrame:
     """Writes docs to path and reads them back. Null texts are the end id alone; equal doc_ids follow each other in any order,
-    rows without one come first. Texts of any length are one entry; an empty table makes no file and gives no rows."""
+    rows without one come first. Texts of any length are one entry; an empty table makes no file and gives no rows; other
+    columns of docs are left out."""
     return read_shards(docs.sparkSession, path, write_shards(docs, path, tokenizer or default_tokenizer(), end_id, **how))
 
 
