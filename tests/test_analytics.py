@@ -57,6 +57,55 @@ def test_live_features_agree_with_the_table(spark):
     assert s["price"].ok == 3 and s["VWAP_300s"].fail == 0
 
 
+def live_by_hand(rows, asset, z, scales, returns):
+    """Features of an anchor at second z by looking at every trade."""
+    bar, span = scales[0], scales[-1] + scales[0]
+    found = sorted((t, i, p, q, sell) for a, i, t, p, q, sell in rows if a == asset and z - span < t <= z)
+    if not found:
+        return None
+    gaps = [None, *np.diff([f[0] for f in found])]
+    near = [1e6 * g for g, f in zip(gaps, found, strict=True) if g is not None and f[0] >= z - bar]
+    out = {"n_trades": len(found), "price": found[-1][2], f"CV_dt_{bar}s": np.std(near, ddof=1) / (np.mean(near) + 1e-8) if len(near) > 1 else 0.0}
+    for s in scales:
+        x = [f for f in found if f[0] >= z - s]
+        x = x if len(x) > 1 else found
+        buy, sell = sum(f[3] for f in x if not f[4]), sum(f[3] for f in x if f[4])
+        out[f"OFI_{s}s"] = (buy - sell) / (buy + sell + 1e-8)
+        out[f"intensity_{s}s"] = len(x) / s
+        out[f"RV_{s}s"] = np.sqrt(sum(returns[f[1]] ** 2 for f in x))
+    price, flow, before = [], [], found[0][2]
+    for k in range(span // bar):
+        inside = [f for f in found if z - span + k * bar < f[0] <= z - span + (k + 1) * bar]
+        before = inside[-1][2] if inside else before
+        price.append(before)
+        flow.append(sum(-f[3] if f[4] else f[3] for f in inside))
+    for s in scales[1:]:
+        dp, sv = np.diff(price)[-s // bar :], np.array(flow[-s // bar :])
+        ok = dp.std() > 1e-12 and sv.std() > 1e-12
+        out[f"Kyle_lambda_{s}s"] = np.cov(dp, sv)[0, 1] / sv.std(ddof=1) / (sv.std(ddof=1) + 1e-8) if ok else 0.0
+    return out
+
+
+def test_features_at_anchors_by_hand(spark):
+    rng, scales = np.random.default_rng(3), (10, 20, 60)
+    # whole seconds: trades at the same time, on the ends of windows and of bars; B is quiet for long
+    rows = [("A", k, int(t), float(100 + k % 7), float(1 + k % 3), bool(k % 2)) for k, t in enumerate(np.sort(rng.integers(0, 200, 150)))]
+    rows += [("B", 1000 + k, t, 50.0 + k, 2.0, k == 1) for k, t in enumerate((5, 15, 15, 25, 140))] + [("C", 2000 + k, 10 * k, 10.0, 3.0, False) for k in range(20)]
+    t = ticks(spark, [(a, i, at(s), p, q, sell) for a, i, s, p, q, sell in rows])
+    returns = {r.id: r.r for r in bars.log_return(t).collect()}
+    anchors = [(a, z) for a in "ABC" for z in (0, 5, 10, 15, 24, 25, 26, 35, 74, 75, 85, 86, 140, 150, 199, 230, 259, 260, 400)]
+    got = {(r.asset, r.time): r for r in features.features_at(t, spark.createDataFrame([(a, at(z)) for a, z in anchors], "asset string, time timestamp_ntz"), scales).collect()}
+    want = {(a, at(z)): w for a, z in anchors if (w := live_by_hand(rows, a, z, scales, returns))}
+    assert got.keys() == want.keys() and 30 < len(want) < len(anchors)
+    for k, w in want.items():
+        assert {c: got[k][c] for c in w} == pytest.approx(w, rel=1e-9, abs=1e-12), k
+    assert any(w["Kyle_lambda_60s"] for w in want.values()) and any(w["CV_dt_10s"] for w in want.values())
+    assert got["C", at(150)].Kyle_lambda_60s == 0 and got["C", at(150)].CV_dt_10s == 0
+    assert features.features_at(t.where("false"), spark.createDataFrame([("A", at(1))], "asset string, time timestamp_ntz")).count() == 0
+    with pytest.raises(ValueError):
+        features.features_at(t, t, (10, 25))
+
+
 def test_ledger_statuses(spark):
     names = features.live_names()
     off = [0.0 if n not in ("OFI_10s", "OFI_60s", "RV_300s", "VWAP_300s", "volume") else 0.5 for n in names]
