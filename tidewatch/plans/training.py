@@ -166,10 +166,10 @@ def a_permutation_importance(spark, d):
 PARTS = 5
 
 
-def _parts(spark: SparkSession, rows: DataFrame, name: str, play) -> None:
-    """Plays rows in PARTS equal spans of time: each is added to a folder, and play is called with a stream over that."""
+def _parts(spark: SparkSession, rows: DataFrame, name: str, play, arrived=None) -> None:
+    """Plays rows in PARTS equal spans of time (or of what arrived says, in microseconds): each is added to a folder, and play is called with a stream over that."""
     kept, source = _kept(rows, f"{name}-rows"), scratch(spark, f"{name}-in")
-    us = F.unix_micros(F.col("time").cast("timestamp"))
+    us = F.unix_micros(F.col("time").cast("timestamp")) if arrived is None else arrived
     first, last = kept.agg(F.min(us), F.max(us)).first()
     part = F.floor((us - F.lit(first)) * PARTS / F.lit((last or 0) - (first or 0) + 1))
     for k in range(PARTS if first is not None else 1):
@@ -201,6 +201,22 @@ def s_stream_bars(spark, d):
     return _played(spark, _ticks(spark, d), lambda t: live.stream_bars(t, f"{SECONDS} seconds"), "stream-bars")
 
 
+#: A trade arrives so many microseconds late (two days) for each unit of its id modulo five.
+_DELAY = 172_800_000_000
+
+
+@query(f"""WITH {TRADES}, arr AS (SELECT *, epoch_us(time) + id % 5 * {_DELAY} AS a FROM trades), p AS (SELECT *, (a - min(a) OVER ()) * {PARTS} // (max(a) OVER () - min(a) OVER () + 1) AS part FROM arr),
+m AS (SELECT part, max(max(epoch_us(time))) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM p GROUP BY part)
+SELECT part::BIGINT AS batch_id, asset, count(*) AS n_read, count(*) FILTER (epoch_us(date_trunc('hour', time)) + 3600000000 <= (latest - 30000000) // 1000 * 1000) AS n_late FROM p JOIN m USING (part) GROUP BY ALL""")
+def s_late_rows(spark, d):
+    """Trades that arrive up to eight days late, landed in parts: what each part has too late for its bar."""
+    path, state = scratch(spark, "landed"), scratch(spark, "landed-state")
+    arrived = F.unix_micros("time") + F.col("id") % 5 * _DELAY
+    _parts(spark, _ticks(spark, d), "landing", lambda x: live.land(x, path, state, f"{SECONDS} seconds"), arrived)
+    found = [spark.read.parquet(f"{path}/{k}").select("batch_id", "asset", F.lit(k == "late").alias("late")) for k in ("on_time", "late")]
+    return found[0].unionByName(found[1]).groupBy(F.col("batch_id").cast("long").alias("batch_id"), "asset").agg(F.count(F.lit(1)).alias("n_read"), F.count_if("late").alias("n_late"))
+
+
 @query(f"""WITH {DENSE}, f AS ({FEATURES}), c AS (SELECT asset, max(time) AS last FROM bars WHERE time + INTERVAL 1 HOUR {_CLOSED} GROUP BY asset), n AS (SELECT asset, time, sum(n_buy + n_sell) OVER (PARTITION BY asset, month ORDER BY time ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS n_trades FROM dense)
 SELECT f.* EXCLUDE (month), n_trades, CASE WHEN n_trades < 10 THEN 'too_thin' ELSE 'ok' END AS status FROM f JOIN c ON f.asset = c.asset AND f.time <= c.last JOIN n ON n.asset = f.asset AND n.time = f.time""")
 def s_stream_features(spark, d):

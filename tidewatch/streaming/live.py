@@ -15,7 +15,7 @@ LATE = "30 seconds"
 
 
 def stream_bars(trades: DataFrame, width: str = "10 seconds", late: str = LATE) -> DataFrame:
-    """Bars in event time; later rows than the watermark are dropped (and counted in the query's progress)."""
+    """Bars in event time. What comes later than the watermark is dropped; land tells such rows apart and counts them before."""
     t = signed_flow(trades).withWatermark("time", late)
     return t.groupBy("asset", F.window("time", width)).agg(
         *(F.sum(c).alias(c) for c in ("v_buy", "v_sell", "n_buy", "n_sell")), F.sum("qty").alias("volume"), F.sum("quote_qty").alias("quote"), F.max_by("price", F.struct("time", "id")).alias("price")
@@ -183,6 +183,45 @@ def live_tables(stream: DataFrame, scores: str, outcomes: str, checkpoint: str):
     return stream.writeStream.outputMode("append").foreachBatch(lambda batch, n: write_batch(batch, n, paths)).option("checkpointLocation", checkpoint)
 
 
+def land_batch(batch: DataFrame, batch_id: int, path: str, width: str, late: str) -> None:
+    """The rows of a batch into the folders on_time, late and seen of path, each with a folder of the batch.
+
+    seen holds a row a batch: its latest time and its rows, read and late. The watermark of a batch is the latest time of all batches
+    before it less `late`, in whole milliseconds, as Spark has it; a row is late if its bar ended by then. A batch that
+    comes again replaces what it left, and comes to the same, since it looks at earlier batches only.
+    """
+    spark = batch.sparkSession
+    # batches counted so far: a row each, of which the latest time is asked
+    seen = f"{path}/seen"
+    before = spark.read.schema("batch_id long, latest timestamp, n_read long, n_late long").parquet(seen).where(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0] if batch_id else None
+    mark = F.lit(before).cast("timestamp") - F.expr(f"interval {late}")
+    mark = F.timestamp_millis(F.unix_millis(mark))
+    is_late = F.coalesce(F.window("time", width)["end"] <= mark, F.lit(False))
+    rows = batch.withColumn("_late", is_late).persist()
+    try:
+        rows.where("not _late").drop("_late").write.mode("overwrite").parquet(f"{path}/on_time/batch_id={batch_id}")
+        rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        told = rows.agg(F.max("time").cast("timestamp").alias("latest"), F.count(F.lit(1)).alias("n_read"), F.count_if("_late").alias("n_late"))
+        told.write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
+    finally:
+        rows.unpersist()
+
+
+def land(trades: DataFrame, path: str, checkpoint: str, width: str = "10 seconds", late: str = LATE):
+    """Lands a stream of trades under path; start() gives the running query.
+
+    on_time holds what bars of that width still take, late what came after its bar was closed, whole and by batch, and
+    late_rows counts it. A stream of bars over on_time drops nothing, as its watermark is never ahead of the one here. A
+    null time is never late; an empty batch leaves empty folders.
+    """
+    return trades.writeStream.foreachBatch(lambda batch, n: land_batch(batch, n, path, width, late)).option("checkpointLocation", checkpoint)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, n_read and n_late of each batch that land has written."""
+    return spark.read.schema("batch_id long, latest timestamp, n_read long, n_late long").parquet(f"{path}/seen").select("batch_id", "n_read", "n_late")
+
+
 def interpretation(df: DataFrame) -> DataFrame:
     """Text of the level, the warning and an extreme flow."""
     level = F.format_string("%s (p=%.2f)", F.col("regime"), F.col("prob"))
