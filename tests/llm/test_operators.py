@@ -183,6 +183,20 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_short_references_to_licences(spark):
+    says = {
+        "# SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "code is under the Apache License 2.0.": "apache-2.0",
+        "see the Apache License, Version 2.0": "apache-2.0", "licensed under GNU GPL v3": "gpl-3.0", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "(GPLv2 only)": "gpl-2.0",
+        "http://creativecommons.org/publicdomain/zero/1.0/": "cc0", "the words creativecommons org licenses alone": "", "SPDX-License-Identifier: none": "", "v3 of the GNU tools, MIT people, license 2.0": "", "https://creativecommons.org/licenses/by/3.0/": "cc-by-url",
+    }
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(k, t, None) for k, t in enumerate(says)])).collect()}
+    assert {t: got[k].labels for k, t in enumerate(says)} == says
+    assert all(r.n_base == 0 and r.base_labels == "" and (r.score == 1) == bool(r.labels) for r in got.values())
+    for text, label in licenses.references():
+        found = licenses.Index(licenses.templates(), {}, 1).scan(licenses.words_of(f"some {text} more"))
+        assert label in found[2] and found[3] == 1, text
+
+
 def test_a_long_text_with_many_licence_words(spark):
     part = "all rights reserved under cc by and the general public license "
     text = part * 1500 + "plain words follow " * 40_000 + part

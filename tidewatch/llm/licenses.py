@@ -1,6 +1,6 @@
 """License scan with a positional index of licence words.
 
-Every template (a phrase, a notice, or a whole licence text) has its words posted with their positions. Of each file, the
+Every template (a phrase, a notice, a short reference, or a whole licence text) has its words posted with their positions. Of each file, the
 licence words with the highest IDF (over the whole corpus) are looked up, for every template whose mandatory phrases' words
 the file has at all. Their postings are intersected by relative position: the shifts between file and template on which
 several of these words agree place the template. There its mandatory phrases must stand word for word, and enough of
@@ -38,6 +38,28 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", "permission is hereby granted free of charge"),
     ("this is free and unencumbered software released into the public domain", "unlicense", "free and unencumbered software"),
 )
+#: How short references name a licence, as words, and its label. Each stands behind an SPDX tag, too.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2.0", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause",
+    "mpl 2 0": "mpl", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib", "bsl 1 0": "bsl-1.0", "cc0 1 0": "cc0",
+}
+#: Names that say a licence by themselves.
+NAMES = {
+    "apache license 2 0": "apache-2.0", "apache license version 2 0": "apache-2.0", "gnu gpl v2": "gpl-2.0", "gnu gpl v3": "gpl-3.0", "gnu gpl version 2": "gpl-2.0", "gnu gpl version 3": "gpl-3.0", "gplv2": "gpl-2.0", "gplv3": "gpl-3.0",
+    "gnu general public license v2": "gpl-2.0", "gnu general public license v3": "gpl-3.0", "gnu lgpl": "lgpl", "gnu agpl": "agpl", "mozilla public license 2 0": "mpl", "bsd 2 clause license": "bsd-2-clause", "bsd 3 clause license": "bsd-3-clause", "boost software license": "bsl-1.0",
+    "creativecommons org publicdomain zero 1 0": "cc0",
+}
+#: Terms of Creative Commons addresses (creativecommons.org/licenses/<terms>/<version>) and their labels.
+CC_TERMS = {"by": "cc-by-url", "by sa": "cc-by-sa", "by nc": "cc-by-nc", "by nd": "cc-by-nd", "by nc sa": "cc-by-nc-sa", "by nc nd": "cc-by-nc-nd"}
+CC_VERSIONS = ("2 0", "2 5", "3 0", "4 0")
+
+
+def references() -> list[tuple[str, str]]:
+    """Short references to a licence, which must stand word for word, and their labels."""
+    tags = [(f"spdx license identifier {k}", x) for k, x in SPDX.items()]
+    return tags + list(NAMES.items()) + [(f"creativecommons org licenses {k} {v}", x) for k, x in CC_TERMS.items() for v in CC_VERSIONS]
+
+
 _GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0} as published by the free software foundation either version {1} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0} for more details"
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
@@ -85,7 +107,7 @@ class Template:
 
 def templates() -> list[Template]:
     out = []
-    for text, label, phrases, base in [(p, x, (p,), True) for p, x in BASE.items()] + [(t, x, (p,), False) for t, x, p in NOTICES] + [(*x, False) for x in TEXTS]:
+    for text, label, phrases, base in [(p, x, (p,), True) for p, x in BASE.items()] + [(t, x, (p,), False) for t, x, p in NOTICES] + [(t, x, (t,), False) for t, x in references()] + [(*x, False) for x in TEXTS]:
         words = text.encode().split()
         spans = []
         for phrase in phrases:
@@ -179,7 +201,7 @@ def _agreement(t: Template, shift: int, words: list[bytes]) -> float:
 
 def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     """In how many documents each licence word stands, over all documents; the words are those of the templates."""
-    wanted = frozenset(w for text in [*BASE, *(x[0] for x in NOTICES + TEXTS)] for w in text.encode().split())
+    wanted = frozenset(w for t in templates() for w in t.words)
 
     def run(batches):
         tally, n = dict.fromkeys(wanted, 0), 0
