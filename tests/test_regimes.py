@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import regimes
 
@@ -78,3 +79,27 @@ def test_fit_and_decode_don_t_depend_on_the_chunks(spark):
         rank = np.argsort(np.argsort(fitted.means[:, 0]))
         with np.errstate(all="ignore"):
             assert [paths[0][r[:2]] for r in part] == [int(rank[s]) for s in by_loop(fitted, np.array([r[2:] for r in part]))[1]]
+
+
+def test_chunks_are_of_rows_and_bars_are_made_once(spark, monkeypatch):
+    from tidewatch.plans import training
+
+    rng = np.random.default_rng(7)
+    rows = [("A", START + datetime.timedelta(hours=k), float(rng.normal(3 * (k // 9 % 2), 1)), float(rng.normal())) for k in range(24 * 45)]
+    df = spark.createDataFrame(rows, "asset string, time timestamp_ntz, x double, y double").withColumn("month", F.trunc("time", "month"))
+    chunks = lambda rows: sorted(len(r._rows) for r in regimes._packed(df, ["asset", "month"], ("x", "y"), rows).collect())
+    assert len(chunks(86_400)) == 46
+    assert chunks(None) == [4, 24 * 45 - 4 - 24 * 29, 24 * 29]  # a month of hours is one chunk, not a chunk a day
+    fits, paths = [], []
+    for most in (8_640, 100):
+        monkeypatch.setattr(regimes, "ROWS", most)
+        fits.append(regimes.hmm_fit(df, ("x", "y"), seeds=2, rounds=5))
+        paths.append({(r.asset, r.time): r.label for r in regimes.hmm_decode(fits[0], df, ("x", "y")).collect()})
+    assert len(chunks(None)) == 12  # 1, 7 and 4
+    a, b = (f[("A",)] for f in fits)
+    assert np.allclose(a.means, b.means) and np.allclose(a.variances, b.variances) and np.allclose(a.transition, b.transition)
+    assert paths[0] == paths[1] and len(paths[0]) == len(rows)
+    monkeypatch.undo()
+
+    found = training.l_local_labels(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "events" in f] and found.count()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import with_month
-from ..functions.scan import CHUNK, in_reach, own_rows, reach_window
+from ..functions.scan import in_reach, own_rows, reach_window
 from .transform import nan_to_num
 
 FEATURES = ("RV_300s", "OFI_300s", "Kyle_lambda_300s", "intensity_300s")
@@ -191,45 +191,81 @@ def _path(steps: np.ndarray, before: int, after: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def _chunked(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """rows with _chunk and _first: whether it is the first chunk of its segment (keys)."""
-    x = rows.withColumn("_chunk", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (chunk * 1_000_000)))
-    starts = x.groupBy(*keys).agg(F.min("_chunk").alias("_at"))
-    return x.join(starts, keys).withColumn("_first", F.col("_chunk") == F.col("_at")).drop("_at")
+#: Rows of a chunk at most: a day of bars of 10 seconds, a year of bars of an hour.
+ROWS = 8_640
+
+#: Rows below which a task is not worth its start.
+LEAST = 2_000
+
+
+def _packed(rows: DataFrame, keys: list[str], columns: tuple[str, ...], chunk: int | None, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row a chunk of a segment (keys): its rows in order (time, columns, more), _first and _alone: whether it is the segment's first one, its only one.
+
+    A chunk has ROWS rows, or spans `chunk` seconds, if given. So what a chunk costs by itself is spread over its rows, however wide bars are.
+    """
+    x = rows.dropna(subset=[*keys, "time"])
+    if chunk is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("time", *columns))
+        x = x.withColumn("_chunk", F.floor((place - 1) / ROWS))
+    else:
+        x = x.withColumn("_chunk", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (chunk * 1_000_000)))
+    x = x.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct("time", *columns, *more))).alias("_rows"))
+    of = Window.partitionBy(*keys)
+    return x.withColumns({"_first": F.col("_chunk") == F.min("_chunk").over(of), "_alone": F.count(F.lit(1)).over(of) == 1})
+
+
+def _arrays(x: DataFrame, columns: tuple[str, ...]) -> list:
+    """The values of a chunk's rows, an array a column."""
+    return [F.col("_rows").getField(c).alias(c) for c in columns]
+
+
+def _table(*arrays) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in arrays], axis=1)
 
 
 def _numbers(of: pd.Series, shape: tuple) -> np.ndarray:
     return np.stack([np.asarray(v, float).reshape(shape) for v in of])
 
 
-def _round(x: DataFrame, keys: list[str], now: dict, names: list, at: list[int], columns: tuple[str, ...], k: int) -> DataFrame:
-    """Statistics (model, seed, i, v) of all segments: products of chunks, a carry over the chunks of a segment, then each chunk by itself."""
+def _round(x: DataFrame, keys: list[str], now: dict, names: list, model_keys: tuple[str, ...], columns: tuple[str, ...], k: int, tasks: int, cut: bool) -> DataFrame:
+    """Statistics (model, seed, i, v) of all segments. A segment of one chunk needs no other, and takes at most `tasks` tasks with
+    its like; of others (if any are cut) products of chunks, a carry over the chunks of a segment, then each chunk by itself."""
     kinds = ", ".join(f"{c} {t}" for c, t in x.select(*keys).dtypes)
-    of = lambda key: now.get(tuple(key[i] for i in at)) or []
-    values = lambda rows: rows.sort_values("time")[list(columns)].to_numpy(float)
+    of = lambda key: now.get(tuple(key)) or []
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        models = [m for _, m in of(key)]
-        found = [_summary(models, values(rows), bool(rows["_first"].iat[0])).ravel()] if models else []
-        return pd.DataFrame([(*key, v) for v in found], columns=[*keys, "_chunk", "v"])
+    def product(parts):
+        for rows in parts:
+            out = []
+            for at, key, first, of_key, *values in zip(rows.index, zip(*(rows[c] for c in keys), strict=True), rows["_first"], zip(*(rows[c] for c in model_keys), strict=True), *(rows[c] for c in columns), strict=True):
+                models = [m for _, m in of(of_key)]
+                if models:
+                    out.append((*key, rows["_chunk"][at], _summary(models, _table(*values), bool(first)).ravel()))
+            yield pd.DataFrame(out, columns=[*keys, "_chunk", "v"])
 
     def carry(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_chunk")
-        found = _carry(_numbers(rows["v"], (len(of(key)), k * k + 1)), k)
+        models = of(rows[c].iat[0] for c in model_keys)
+        found = _carry(_numbers(rows["v"], (len(models), k * k + 1)), k)
         return rows.assign(v=[v.ravel() for v in found])
 
-    def expect(key: tuple, rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        models = of(key)
-        if not models or not len(carried):
-            return pd.DataFrame([], columns=["model", "seed", "i", "v"])
-        found = _expect([m for _, m in models], values(rows), bool(rows["_first"].iat[0]), _numbers(carried["v"], (len(models), 2 * k + 1))[0])
-        number = names.index(tuple(key[i] for i in at))
-        return pd.DataFrame([(number, s, i, v) for (s, _), row in zip(models, found, strict=True) for i, v in enumerate(row)], columns=["model", "seed", "i", "v"])
-
-    table = f"{kinds}, _chunk long, v array<double>"
-    carried = x.groupBy(*keys, "_chunk").applyInPandas(product, table).groupBy(*keys).applyInPandas(carry, table)
-    both = x.groupBy(*keys, "_chunk").cogroup(carried.groupBy(*keys, "_chunk"))
-    return both.applyInPandas(expect, "model int, seed int, i int, v double").groupBy("model", "seed", "i").agg(F.sum("v").alias("v"))
+    def expect(parts):
+        total: dict = {}
+        for rows in parts:
+            for key, first, v, *values in zip(zip(*(rows[c] for c in model_keys), strict=True), rows["_first"], rows["v"], *(rows[c] for c in columns), strict=True):
+                models = of(key)
+                if models:
+                    found = _expect([m for _, m in models], _table(*values), bool(first), None if v is None else _numbers([v], (len(models), 2 * k + 1))[0])
+                    total[key] = total.get(key, 0) + found
+        out = [(names.index(key), s, i, v) for key, found in total.items() for (s, _), row in zip(of(key), found, strict=True) for i, v in enumerate(row)]
+        yield pd.DataFrame(out, columns=["model", "seed", "i", "v"])
+
+    table, given = f"{kinds}, _chunk long, v array<double>", [*model_keys, "_first", *_arrays(x, columns)]
+    wanted = x.where("_alone").coalesce(tasks).select(*given, F.lit(None).cast("array<double>").alias("v"))
+    if cut:
+        apart = x.where("not _alone")
+        carried = apart.select(*keys, "_chunk", "_first", *_arrays(x, columns)).mapInPandas(product, table).groupBy(*keys).applyInPandas(carry, table)
+        wanted = wanted.unionByName(apart.join(carried, [*keys, "_chunk"]).select(*given, "v"))
+    return wanted.mapInPandas(expect, "model int, seed int, i int, v double").groupBy("model", "seed", "i").agg(F.sum("v").alias("v"))
 
 
 def _started(mean: np.ndarray, var: np.ndarray, levels: np.ndarray, seed: int) -> Hmm:
@@ -246,20 +282,22 @@ def _improved(v: np.ndarray, k: int, f: int, least: np.ndarray) -> Hmm:
     return Hmm(means, np.maximum(rest[1] / weight - means**2, least), pairs / pairs.sum(axis=1, keepdims=True), start / start.sum(), v[0])
 
 
-def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int = CHUNK) -> dict[tuple, Hmm]:
+def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3, seeds: int = 5, rounds: int = 100, tolerance: float = 1e-4, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int | None = None) -> dict[tuple, Hmm]:
     """L1: a model for each of model_keys (an asset; an asset and fold), the best of the seeds by likelihood.
 
     EM over segments, each a sequence of its own in the order of `time`; nulls, NaN and infinite values count as 0. Segments
-    are cut into chunks of `chunk` seconds, whose products of matrices tell what they hand on, so that a segment's chunks are
-    several tasks, and no loop is longer than the root of a chunk's rows. A round is one job for all models and seeds that still
-    improve; what comes to the driver are statistics of size k * k a model and seed. It stops when no log-likelihood rises by
-    more than `tolerance` of itself.
+    are packed once into chunks of ROWS rows (or `chunk` seconds), whose products of matrices tell what they hand on, so that a
+    segment's chunks are several tasks, and no loop is longer than the root of a chunk's rows. A round is one job for all models
+    and seeds that still improve; what comes to the driver are statistics of size k * k a model and seed. It stops when no
+    log-likelihood rises by more than `tolerance` of itself.
     """
     f, keys = len(columns), list(dict.fromkeys([*model_keys, *segment]))
-    x = _chunked(nan_to_num(with_month(features).select(*keys, "time", *columns), list(columns)), keys, chunk)
-    x = x.repartition(*keys, "_chunk").persist()  # as each round groups it
+    x = _packed(nan_to_num(with_month(features).select(*keys, "time", *columns), list(columns)), keys, columns, chunk)
+    x = x.repartition(*keys, "_chunk").persist()
     levels = [0.1, 0.5, 0.9] if k == 3 else [(i + 0.5) / k for i in range(k)]
-    stats = x.groupBy(*model_keys).agg(*(F.avg(c) for c in columns), *(F.var_pop(c) for c in columns), F.percentile_approx(columns[0], levels, 10_000)).collect()  # a row a model
+    flat = x.select(*model_keys, F.explode("_rows").alias("_row")).select(*model_keys, "_row.*")
+    stats = flat.groupBy(*model_keys).agg(*(F.avg(c) for c in columns), *(F.var_pop(c) for c in columns), F.percentile_approx(columns[0], levels, 10_000), F.count(F.lit(1))).collect()  # a row a model
+    cut, tasks = not x.where("not _alone").isEmpty(), max(1, sum(r[-1] for r in stats) // LEAST)
     names, models, least = [], {}, {}
     for r in stats:
         key, values = tuple(r[: len(model_keys)]), list(r[len(model_keys) :])
@@ -269,12 +307,11 @@ def hmm_fit(features: DataFrame, columns: tuple[str, ...] = FEATURES, k: int = 3
         for s in range(seeds):
             models[key, s] = _started(mean, var, np.array(values[2 * f], float), s)
     going = {k: -np.inf for k in models}
-    at = [keys.index(c) for c in model_keys]
     for _ in range(rounds):
         if not going:
             break
         now = {key: [(s, models[key, s]) for s in range(seeds) if (key, s) in going] for key in names}
-        for (number, s), rows in _round(x, keys, now, names, at, columns, k).toPandas().groupby(["model", "seed"]):  # k * k numbers a model and seed
+        for (number, s), rows in _round(x, keys, now, names, model_keys, columns, k, tasks, cut).toPandas().groupby(["model", "seed"]):  # k * k numbers a model and seed
             key = names[number]
             new = _improved(rows.sort_values("i").v.to_numpy(), k, f, least[key])
             if new.score - going[key, s] < tolerance * max(1.0, abs(new.score)):
@@ -295,41 +332,52 @@ def hmm_parameters(models: dict[tuple, Hmm], columns: tuple[str, ...] = FEATURES
     return out
 
 
-def hmm_decode(models: dict[tuple, Hmm], features: DataFrame, columns: tuple[str, ...] = FEATURES, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int = CHUNK) -> DataFrame:
+def hmm_decode(models: dict[tuple, Hmm], features: DataFrame, columns: tuple[str, ...] = FEATURES, model_keys: tuple[str, ...] = ("asset",), segment: tuple[str, ...] = ("asset", "month"), chunk: int | None = None) -> DataFrame:
     """L2 and L3: Viterbi path by segment; label is the rank of the state by its mean of the first column. A key without a model has no labels.
 
     As in hmm_fit, by chunks: max-plus products, the best states at the ends of a segment's chunks, and each chunk between them.
     """
     keys = list(dict.fromkeys([*model_keys, *segment]))
     kept = list(dict.fromkeys([*model_keys, "asset", "time"]))
-    at = [keys.index(c) for c in model_keys]
-    of = lambda key: models.get(tuple(key[i] for i in at))
-    steps = lambda model, rows: _log_steps(model, rows[list(columns)].to_numpy(float), bool(rows["_first"].iat[0]))
+    more = tuple(c for c in kept if c not in keys and c not in ("time", *columns))
+    of = lambda key: models.get(tuple(key))
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        model = of(key)
-        found = [] if model is None else [_best_product(steps(model, rows.sort_values("time"))).ravel()]
-        return pd.DataFrame([(*key, v) for v in found], columns=[*keys, "_chunk", "v"])
+    def product(parts):
+        for rows in parts:
+            out = []
+            for at, key, first, of_key, *values in zip(rows.index, zip(*(rows[c] for c in keys), strict=True), rows["_first"], zip(*(rows[c] for c in model_keys), strict=True), *(rows[c] for c in columns), strict=True):
+                if of(of_key) is not None:
+                    out.append((*key, rows["_chunk"][at], _best_product(_log_steps(of(of_key), _table(*values), bool(first))).ravel()))
+            yield pd.DataFrame(out, columns=[*keys, "_chunk", "v"])
 
     def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, k = rows.sort_values("_chunk"), len(of(key).start)
+        rows, k = rows.sort_values("_chunk"), len(of(rows[c].iat[0] for c in model_keys).start)
         found = _ends(_numbers(rows["v"], (k, k)))
         return rows.drop(columns="v").assign(before=[b for b, _ in found], after=[a for _, a in found])
 
-    def path(key: tuple, rows: pd.DataFrame, between: pd.DataFrame) -> pd.DataFrame:
+    def path(key, first, before, after, *values):
         model = of(key)
-        if model is None or not len(between):
-            return rows.head(0)[kept].assign(label=pd.Series([], dtype=int))
-        rows = rows.sort_values("time")
-        rank = np.argsort(np.argsort(model.means[:, 0]))
-        return rows[kept].assign(label=rank[_path(steps(model, rows), int(between["before"].iat[0]), int(between["after"].iat[0]))])
-
-    x = _chunked(nan_to_num(with_month(features).select(*dict.fromkeys([*keys, *kept, *columns])), list(columns)), keys, chunk)
+        if model is None:
+            return None
+        steps = _log_steps(model, _table(*values), bool(first))
+        between = _ends(_best_product(steps)[None])[0] if pd.isna(before) else (int(before), int(after))
+        return np.argsort(np.argsort(model.means[:, 0]))[_path(steps, *between)].astype("int32")
+
+    @F.pandas_udf("array<int>")
+    def paths(first: pd.Series, before: pd.Series, after: pd.Series, *others: pd.Series) -> pd.Series:
+        n = len(model_keys)
+        return pd.Series([path(row[3 : 3 + n], *row[:3], *row[3 + n :]) for row in zip(first, before, after, *others, strict=True)], dtype=object)
+
+    wanted = nan_to_num(with_month(features).select(*dict.fromkeys([*keys, *kept, *columns])), list(columns))
+    x = _packed(wanted, keys, columns, chunk, more)
     kinds = dict(x.dtypes)
     named = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", _chunk long"
-    parts = x.groupBy(*keys, "_chunk")
-    found = parts.applyInPandas(product, f"{named}, v array<double>").groupBy(*keys).applyInPandas(ends, f"{named}, before int, after int")
-    return parts.cogroup(found.groupBy(*keys, "_chunk")).applyInPandas(path, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", label int")
+    apart = x.where("not _alone").select(*keys, "_chunk", "_first", *_arrays(x, columns))
+    found = apart.mapInPandas(product, f"{named}, v array<double>").groupBy(*keys).applyInPandas(ends, f"{named}, before int, after int")
+    x = x.join(found, [*keys, "_chunk"], "left")
+    x = x.withColumn("_label", paths("_first", "before", "after", *model_keys, *_arrays(x, columns)))
+    x = x.select(*(c for c in kept if c in keys), F.explode(F.arrays_zip("_rows", "_label")).alias("_row"))
+    return x.select(*(F.col(c) if c in keys else F.col(f"_row._rows.{c}").alias(c) for c in kept), F.col("_row._label").alias("label")).where("label is not null")
 
 
 def rank_states(means: DataFrame) -> DataFrame:
