@@ -103,3 +103,10 @@ def test_chunks_are_of_rows_and_bars_are_made_once(spark, monkeypatch):
 
     found = training.l_local_labels(spark, "/root/testdata/sf0.001")
     assert not [f for f in found.inputFiles() if "events" in f] and found.count()
+
+
+def test_labels_of_all_bars_read_trades_once(spark):
+    from tidewatch.plans import training
+
+    found = training.l_hmm_labels(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "events" in f] and found.count()
