@@ -374,6 +374,45 @@ def test_repeats_odd_rows(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_common_passages_and_periods(spark, monkeypatch):
+    """A passage in 600 batches makes no rows of strings, and a text with a period as many as it has different strings, those at its ends included."""
+    rng = np.random.default_rng(3)
+    words = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, line, seen = words(300), words(59) + " ", []
+    by_string = repeats._by_string
+
+    def counted(handed):
+        seen.append(handed.select(F.sum(F.length("spans")) / 32).first()[0] or 0)
+        return by_string(handed)
+
+    monkeypatch.setattr(repeats, "_by_string", counted)
+    common = [(i, words(40 + i % 50) + passage[i % 7 :] + words(30)) for i in range(600)]
+    periods = [(1000 + i, words(20 + i) + line * 200 + words(20)) for i in range(3)]
+    for rows, size, most in ((common, 300, 0), (periods, 1000, 3 * (60 + 2 * 26))):
+        made = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), batch_bytes=size)
+        assert {r.doc_id: tuple(r)[1:] for r in made.collect()} == brute_repeats([(i, t.encode()) for i, t in rows])
+        assert seen[-1] <= most
+
+
+@pytest.mark.parametrize("zeros", [0, 32])
+def test_anchors_reach_every_string(monkeypatch, zeros):
+    """Each string lies within the extent of an anchor in it, also where the halves of hashes that decide are 0 or equal."""
+    whole = repeats.Hashes.all
+    monkeypatch.setattr(repeats.Hashes, "all", lambda self, n: whole(self, n) >> np.uint64(zeros))
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(97, 123, 3000), np.resize(rng.integers(97, 123, 31), 500), np.full(200, 97), rng.integers(97, 99, 400)]).astype(np.uint8)
+    ends = np.array([30, 80, 1000, 1049, 2000, 3900, 4100])
+    at, gram, doc, least = repeats.anchors(text, ends, repeats.Hashes(text))
+    start, stop = repeats._extent(at, gram, least)
+    begins = np.concatenate([[0], ends[:-1]])
+    assert (begins[doc] <= start).all() and (stop <= ends[doc]).all() and (start <= at).all() and (at + 24 <= stop).all() and (stop - start >= 50).all()
+    reached = np.zeros(len(text) + 1, int)
+    np.add.at(reached, start, 1)
+    np.add.at(reached, stop - 49, -1)
+    strings = np.concatenate([np.arange(a, z - 49) for a, z in zip(begins, ends, strict=True)])
+    assert (np.flatnonzero(np.cumsum(reached[:-1])) == strings).all()
+
+
 def test_merged_transforms_equal_one_sort():
     rng = np.random.default_rng(5)
     text = rng.integers(97, 100, 4000).astype(np.uint8)

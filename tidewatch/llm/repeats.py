@@ -1,12 +1,13 @@
 """Removal of passages that repeat across documents.
 
 Every 50-byte string contains the smallest of its 24-byte grams (by hash), wherever it stands, so equal strings share such
-an anchor at the same offset. One pass finds the anchors that stand in more than one document. The text around each of
-those (all 50-byte strings that may contain the anchor) goes to the anchor's bucket, once for each batch if its
+an anchor at the same offset. One pass finds the anchors that stand in more than one document, by halves of their hashes. The
+text around each of those (all 50-byte strings whose smallest gram it is) goes to the anchor's bucket, once for each batch if its
 surroundings are the same. In a bucket, suffix order comes from Burrows-Wheeler transforms of shards, merged by interleave
 refinement, which also gives the common prefixes; an interval of rows with 50 bytes in common is one string, and its smallest
-doc_id decides. Strings around anchors that very many batches hold, or that crowd one batch, are rows of a table instead, and the
-smallest doc_id of each is a sum that Spark makes before and after its shuffle, so that no bucket grows with them. The number of buckets follows from the bytes of text.
+doc_id decides. Strings around anchors that so many batches hold that a bucket would fill up with them, or that crowd one batch,
+are rows of a table instead, one for each string of a batch with all its places, and the smallest doc_id of each is a sum that
+Spark makes before and after its shuffle, so that no bucket grows with them. The number of buckets follows from the bytes of text.
 
 What is taken as equal by hash across batches agrees in two 64-bit hashes: of the anchor and of its surroundings, or of a string
 and of its first half.
@@ -31,7 +32,8 @@ from .common import arrow_rows, materialise, scratch, table, text_or_empty, work
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM  # bytes on either side of an anchor that its strings may take in
-BATCH_BYTES, HOT_BATCHES, CROWD = 2 << 20, 512, 64
+#: A string by itself takes several times the room of its share of an anchor's surroundings; an anchor's in HOT_BATCHES batches take some 3 MB.
+BATCH_BYTES, HOT_BATCHES, CROWD = 2 << 20, 32_768, 64
 #: Text of a bucket of anchors, and of a bucket of the table of batches (Spark allows MOST_BUCKETS of these).
 HOME_BYTES, TABLE_BYTES, MOST_BUCKETS = 8 << 20, 64 << 20, 100_000
 _draw = np.random.Generator(np.random.PCG64(11))
@@ -39,6 +41,10 @@ _BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = 0x9E3779B97F4A7C17  # odd, and 1 less is no multiple of 4
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: What a batch's post says of an anchor, and what the answer says of it.
+_MANY, _CROWD = _SHARED, _HOT = 1, 2
+#: A place of an anchor, as it goes to the anchor's bucket beside its text.
+_PLACE = np.dtype([("gram", "<i8"), ("around", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("length", "u1"), ("left", "u1")])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,19 +82,30 @@ class Hashes:
         return _mixed((self.sums[n:] - self.sums[:-n]) * self.back[:-n])
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, hash and document (by number) of each anchor."""
+def anchors(text: np.ndarray, ends: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and document (by number) of each anchor; the least hash within each string, from REACH places before the text on."""
     none = np.zeros(0, np.int64)
     if len(text) < WINDOW:
-        return none, none.astype(np.uint64), none
+        return none, none.astype(np.uint64), none, none.astype(np.uint32)
     gram = hashes.all(GRAM)
-    short = (gram >> np.uint64(32)).astype(np.uint32)
+    short = _short(gram)
     least = _slide(short, REACH + 1, np.minimum)  # of the window from each place
     for a, z in zip(np.maximum(0, ends - WINDOW + 1), ends, strict=True):
         least[a:z] = 0  # windows that leave their document
-    small = _slide(np.concatenate([np.zeros(REACH, np.uint32), least, np.zeros(REACH, np.uint32)]), REACH + 1, np.maximum)
-    at = np.flatnonzero((small == short) & (short > 0))
-    return at, gram[at], np.searchsorted(ends, at, side="right")
+    least = np.concatenate([np.zeros(REACH, np.uint32), least, np.zeros(REACH, np.uint32)])
+    at = np.flatnonzero(_slide(least, REACH + 1, np.maximum) == short)
+    return at, gram[at], np.searchsorted(ends, at, side="right"), least
+
+
+def _short(gram: np.ndarray) -> np.ndarray:
+    """What decides which gram is the smallest; 0 is left for strings that leave their document."""
+    return np.maximum((gram >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+
+
+def _extent(at: np.ndarray, gram: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings whose smallest gram is the anchor begin and end; they follow one another without a gap."""
+    mine = least[at[:, None] + np.arange(REACH + 1)] == _short(gram)[:, None]
+    return at - REACH + mine.argmax(axis=1), at - mine[:, ::-1].argmax(axis=1) + WINDOW
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,37 +166,52 @@ def _post_hashes(buckets: int, crowded: int):
     def run(batches):
         for row in _rows(batches):
             text, ends, _ = _unpack(row)
-            _, gram, doc = anchors(text, ends, Hashes(text))
+            _, gram, doc, _ = anchors(text, ends, Hashes(text))
             order = np.lexsort((doc, gram))
             g, d = gram[order], doc[order]
             new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
             many = np.zeros(new.sum(), bool)  # in several documents of this batch
             many[(np.cumsum(new) - 1)[1:][~new[1:] & (d[1:] != d[:-1])]] = True
             crowd = np.diff(np.append(np.flatnonzero(new), len(g))) >= crowded
-            g = g[new]
-            home = (g % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            found, first = np.unique(home[order], return_index=True)
-            parts = np.split(order, first[1:]) if len(found) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([row["batch"]] * len(found), pa.int64()), pa.array([g[p].tobytes() for p in parts], pa.binary()), *(pa.array([np.packbits(x[p]).tobytes() for p in parts], pa.binary()) for x in (many, crowd))], names=["bucket", "batch", "grams", "many", "crowd"])
+            home, order = _dealt(g[new], buckets)
+            half, flags = (g[new] >> np.uint64(32)).astype("<u4")[order], (many * _MANY + crowd * _CROWD).astype(np.uint8)[order]
+            cuts = _cuts(home)
+            yield pa.RecordBatch.from_arrays([pa.array(home[cuts[:-1]], pa.int64()), pa.array([row["batch"]] * (len(cuts) - 1), pa.int64()), pa.array(_pieces(half, cuts), pa.binary()), pa.array(_pieces(flags, cuts), pa.binary())], names=["bucket", "batch", "grams", "flags"])
 
     return run
 
 
+def _dealt(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors' buckets in order, and the anchors' places in that order."""
+    home = (gram % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return home[order], order
+
+
+def _cuts(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1)), len(sorted_))
+
+
+def _pieces(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    whole, at = values.tobytes(), (cuts * values.itemsize).tolist()
+    return [whole[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 def _shared(rows: pd.DataFrame, hot_batches: int) -> pd.DataFrame:
-    """For each batch of a bucket, which of its grams stand in several documents, and which of these in very many batches or crowded in one."""
-    grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-    bits = lambda x, n: np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
-    values, count = np.unique(np.concatenate(grams), return_counts=True)
-    crowded = np.zeros(len(values), bool)
-    for g, x in zip(grams, rows["crowd"], strict=True):
-        crowded[np.searchsorted(values, g[bits(x, len(g))])] = True
-    out, hot = [], []
-    for g, many in zip(grams, rows["many"], strict=True):
-        at = np.searchsorted(values, g)
-        out.append(np.packbits((count[at] > 1) | bits(many, len(g))).tobytes())
-        hot.append(np.packbits((count[at] > hot_batches) | crowded[at]).tobytes())
-    return pd.DataFrame({"bucket": rows["bucket"], "batch": rows["batch"], "shared": out, "hot": hot})
+    """For each batch of a bucket, which of its grams stand in several documents, and which of these in very many batches or crowded in one.
+
+    Grams are told apart by half of their hash, as the bucket says the rest; of two that agree in it more is handed on than need be.
+    """
+    gram, said = np.frombuffer(b"".join(rows["grams"]), "<u4"), np.frombuffer(b"".join(rows["flags"]), np.uint8)
+    order = np.argsort(gram)
+    cuts = _cuts(gram[order].astype(np.int64))
+    count = np.diff(cuts)
+    crowded = np.bitwise_or.reduceat(said[order], cuts[:-1]) & _CROWD > 0
+    found = np.empty(len(gram), np.uint8)
+    found[order] = np.repeat((count > 1) * _SHARED + ((count > hot_batches) | crowded) * _HOT, count)
+    found |= said & _MANY
+    return pd.DataFrame({"bucket": rows["bucket"], "batch": rows["batch"], "flags": _pieces(found, np.cumsum([0, *map(len, rows["flags"])]))})
 
 
 def _surroundings(buckets: int):
@@ -191,19 +223,15 @@ def _surroundings(buckets: int):
         for row in _rows(batches):
             text, ends, ids = _unpack(row)
             hashes = Hashes(text)
-            at, gram, doc = anchors(text, ends, hashes)
-            values = np.unique(gram)
-            home = (values % np.uint64(buckets)).astype(np.int64)
-            shared, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
-            for part in row["parts"]:
-                mine = np.flatnonzero(home == part["bucket"])
-                shared[mine] = np.unpackbits(np.frombuffer(part["shared"], np.uint8), count=len(mine)).astype(bool)
-                hot[mine] = np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(mine)).astype(bool)
-            k = np.searchsorted(values, gram)
-            is_hot = hot[k[shared[k]]]
-            at, gram, doc = (x[shared[k]] for x in (at, gram, doc))
-            begins = np.concatenate([[0], ends[:-1]])
-            start, stop = np.maximum(begins[doc], at - REACH), np.minimum(ends[doc], at + GRAM + REACH)
+            at, gram, doc, least_gram = anchors(text, ends, hashes)
+            order = np.argsort(gram)
+            cuts = _cuts(gram[order].view(np.int64))
+            said = np.empty(len(cuts) - 1, np.uint8)
+            said[_dealt(gram[order[cuts[:-1]]], buckets)[1]] = np.frombuffer(b"".join(p["flags"] for p in sorted(row["parts"], key=lambda p: p["bucket"])), np.uint8)
+            flags = np.empty(len(gram), np.uint8)
+            flags[order] = np.repeat(said, np.diff(cuts))
+            at, gram, doc, is_hot = (x[flags & _SHARED > 0] for x in (at, gram, doc, flags & _HOT > 0))
+            start, stop = _extent(at, gram, least_gram)
             around = hashes.of(start, stop) ^ _mixed((at - start).astype(np.uint64) << np.uint64(8) | (stop - start).astype(np.uint64))
             docs = ids[doc]
             least = _first_of(around, docs)
@@ -215,29 +243,31 @@ def _surroundings(buckets: int):
                 for column, x in zip(out, (row["batch"], kind, bucket, data, body), strict=True):
                     column.append(x)
 
-            def deal(kind, key, columns, texts=None):
-                to = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                found, first = np.unique(to[order], return_index=True)
-                for b, p in zip(found, np.split(order, first[1:]) if len(found) else [], strict=True):
-                    put(kind, int(b), b"".join(c[p].tobytes() for c in columns), pack(texts[p].tobytes()) if texts is not None else None)
-
             rest = np.flatnonzero(~sure & ~is_hot)
-            wide = GRAM + 2 * REACH
-            padded = np.concatenate([text, np.zeros(wide, np.uint8)])
-            deal(1, gram[rest], (gram[rest], around[rest], docs[rest], start[rest], (stop - start)[rest].astype(np.uint8), (at - start)[rest].astype(np.uint8)), padded[start[rest][:, None] + np.arange(wide)])
+            home, order = _dealt(gram[rest], buckets)
+            rest, cuts = rest[order], _cuts(home)
+            place, size = np.empty(len(rest), _PLACE), (stop - start)[rest]
+            for name, x in zip(_PLACE.names, (gram.view(np.int64), around.view(np.int64), docs, start, stop - start, at - start), strict=True):
+                place[name] = x[rest]
+            begin = np.cumsum(size) - size
+            texts = text[np.repeat(start[rest] - begin, size) + np.arange(size.sum())]
+            for b, data, body in zip(home[cuts[:-1]].tolist(), _pieces(place, cuts), _pieces(texts, np.append(begin, len(texts))[cuts]), strict=True):
+                put(1, b, data, pack(body))
             hot_at = np.flatnonzero(~sure & is_hot)
-            n = np.maximum(0, stop[hot_at] - start[hot_at] - WINDOW + 1)
+            n = stop[hot_at] - start[hot_at] - WINDOW + 1
             first = np.repeat(start[hot_at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             first, one = np.unique(first, return_index=True)
             d = np.repeat(docs[hot_at], n)[one]
             string = hashes.of(first, first + WINDOW)
             least = _first_of(string, d)
             spans.append(np.stack([first[d > least], first[d > least] + WINDOW], axis=1))
-            open_ = np.flatnonzero(d == least)
-            half = hashes.of(first[open_], first[open_] + WINDOW // 2)
+            open_ = np.flatnonzero(d == least)  # all of a string in one document
             if len(open_):
-                put(2, row["batch"], np.stack([string[open_].view(np.int64), half.view(np.int64), d[open_], first[open_]]).astype("<i8").tobytes(), None)
+                open_ = open_[np.argsort(string[open_], kind="stable")]
+                cuts = _cuts(string[open_].view(np.int64))
+                one = open_[cuts[:-1]]
+                half = hashes.of(first[one], first[one] + WINDOW // 2)
+                put(2, row["batch"], np.stack([string[one].view(np.int64), half.view(np.int64), d[one], np.diff(cuts)]).astype("<i8").tobytes(), first[open_].astype("<i4").tobytes())
             spans = np.concatenate(spans)
             if len(spans):
                 put(0, row["batch"], _joined(spans).tobytes(), None)
@@ -275,13 +305,12 @@ def _common(texts: np.ndarray, gram: np.ndarray, at: np.ndarray, stop: np.ndarra
 
 
 def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
-    size = [len(x) // 34 for x in rows["data"]]  # four numbers of eight bytes, two of one
-    batch = np.repeat(rows["batch"].to_numpy(np.int64), size)
-    gram, around, doc, start = np.concatenate([np.frombuffer(x, np.int64, 4 * n).reshape(4, -1) for x, n in zip(rows["data"], size, strict=True)], axis=1)
-    length, left = np.concatenate([np.frombuffer(x, np.uint8, 2 * n, 32 * n).reshape(2, -1) for x, n in zip(rows["data"], size, strict=True)], axis=1).astype(np.int64)
-    wide = GRAM + 2 * REACH
+    batch = np.repeat(rows["batch"].to_numpy(np.int64), [len(x) // _PLACE.itemsize for x in rows["data"]])
+    place = np.frombuffer(b"".join(rows["data"]), _PLACE)
+    gram, around, doc, start, length, left = (place[name].astype(np.int64) for name in _PLACE.names)
     unpack = zstandard.ZstdDecompressor().decompress
-    texts = np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in rows["text"]])
+    texts = np.frombuffer(b"".join(map(unpack, rows["text"])), np.uint8)
+    text_at = np.cumsum(length) - length
     group = _numbered(gram, around)
     least = _first_of(group, doc)
     full = doc > least
@@ -290,9 +319,9 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
     _, one, back = np.unique(group, return_index=True, return_inverse=True)
     g, first_doc = gram[one], least[one]
     _, kind, n = np.unique(g, return_inverse=True, return_counts=True)
-    pick = np.flatnonzero((n[kind] > 1) & (_first_of(g, first_doc) != -_first_of(g, -first_doc)) & (length[one] >= WINDOW))
+    pick = np.flatnonzero((n[kind] > 1) & (_first_of(g, first_doc) != -_first_of(g, -first_doc)))
     # what no other string of the anchor shares is cut off its ends
-    begin = one[pick] * wide
+    begin = text_at[one[pick]]
     middle = begin + left[one[pick]]
     before = _common(texts, g[pick], middle - 1, begin - 1, -1)
     after = _common(texts, g[pick], middle + GRAM, begin + length[one[pick]], 1)
@@ -320,24 +349,29 @@ def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """Spans of each batch, from a bucket of one kind: decided by the batch itself, or by anchor. What is decided by string (kind 2) is handed on."""
     kind = int(rows["kind"].iloc[0])
-    found = _by_anchor(rows) if kind == 1 else rows[["batch", "data"]].rename(columns={"data": "spans"})
-    return found.assign(kind=kind)
+    found = _by_anchor(rows).assign(text=None) if kind == 1 else rows[["batch", "data", "text"]].rename(columns={"data": "spans"})
+    return found.assign(kind=kind)[["batch", "spans", "kind", "text"]]
 
 
 def _places(batches):
-    """A row for each string of a batch that is decided by string."""
+    """A row for each string of a batch that is decided by string, with the places where it begins."""
     for b in batches:
-        for batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(data, "<i8").reshape(4, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], batch)), *map(pa.array, x)], names=["batch", "string", "half", "doc", "first"])
+        for batch, data, first in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            *x, n = np.frombuffer(data, "<i8").reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch)), *map(pa.array, x), pa.array(_pieces(np.frombuffer(first, "<i4"), np.cumsum([0, *n])), pa.binary())], names=["batch", "string", "half", "doc", "first"])
 
 
 def _by_string(handed: DataFrame) -> DataFrame:
     """batch, spans of the strings that a smaller doc_id holds too: the smallest doc_id of each is found before the shuffle and after it."""
-    places = handed.select("batch", "spans").mapInArrow(_places, "batch long, string long, half long, doc long, first long")
+    places = handed.select("batch", "spans", "text").mapInArrow(_places, "batch long, string long, half long, doc long, first binary")
     least = places.groupBy("string", "half").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     covered = places.join(least, ["string", "half"]).where("doc > least").select("batch", "first")
-    return covered.groupBy("batch").applyInPandas(lambda x: _emit(x["batch"].to_numpy(), x["first"].to_numpy(), x["first"].to_numpy() + WINDOW), "batch long, spans binary")
+
+    def spans(rows):
+        first = np.frombuffer(b"".join(rows["first"]), "<i4").astype(np.int64)
+        return _emit(np.repeat(rows["batch"].to_numpy(np.int64), [len(x) // 4 for x in rows["first"]]), first, first + WINDOW)
+
+    return covered.groupBy("batch").applyInPandas(spans, "batch long, spans binary")
 
 
 def _results(text_too: bool):
@@ -387,12 +421,12 @@ def remove_repeats(docs: DataFrame, text_too: bool = False, batch_bytes: int = B
     try:
         held.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(buckets, "batch").format("parquet").saveAsTable(name)
         kept = spark.table(name)
-        posted = kept.mapInArrow(_post_hashes(homes, crowded), "bucket long, batch long, grams binary, many binary, crowd binary")
-        shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, shared binary, hot binary")
+        posted = kept.mapInArrow(_post_hashes(homes, crowded), "bucket long, batch long, grams binary, flags binary")
+        shared = posted.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, hot_batches), "bucket long, batch long, flags binary")
         with workspace(spark, "repeats"), arrow_rows(spark, 16):  # a row holds a batch
-            answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("parts"))  # bits of one batch's anchors
+            answers = materialise(shared, "answers").groupBy("batch").agg(F.collect_list(F.struct("bucket", "flags")).alias("parts"))  # what is said of one batch's anchors
             around = kept.join(answers, "batch").select("batch", "ids", "ends", "text", "parts").mapInArrow(_surroundings(homes), "batch long, kind int, bucket long, data binary, text binary")
-            decided = materialise(around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary, kind int"), "spans")
+            decided = materialise(around.groupBy("kind", "bucket").applyInPandas(_decide, "batch long, spans binary, kind int, text binary"), "spans")
             spans = decided.where("kind < 2").select("batch", "spans").union(_by_string(decided.where("kind = 2")))
             by_batch = spans.groupBy("batch").agg(F.collect_list("spans").alias("parts"))  # spans of one batch's text
             out = materialise(kept.join(by_batch, "batch", "left").select("batch", "ids", "ends", "text", "parts").mapInArrow(_results(text_too), schema), "kept", path)
