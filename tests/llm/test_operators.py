@@ -413,6 +413,19 @@ def test_anchors_reach_every_string(monkeypatch, zeros):
     assert (np.flatnonzero(np.cumsum(reached[:-1])) == strings).all()
 
 
+@pytest.mark.parametrize("at_once", [1, 60, 75, 1000, 1 << 20])
+def test_hashes_made_again_in_buckets(monkeypatch, at_once):
+    """A place's text gives the hashes that its batch had, wherever the texts are cut."""
+    monkeypatch.setattr(repeats, "HASHED_BYTES", at_once)
+    rng = np.random.default_rng(8)
+    text = rng.integers(0, 256, 5000).astype(np.uint8)
+    start, left, length = rng.integers(0, 4900, 40), rng.integers(0, 27, 40), rng.integers(50, 77, 40)
+    hashes = repeats.Hashes(text)
+    gram, around = repeats._hashed(np.concatenate([text[a : a + n] for a, n in zip(start, length, strict=True)]), np.cumsum(length) - length, length, left)
+    assert (gram.view(np.uint64) == hashes.of(start + left, start + left + 24)).all()
+    assert (around.view(np.uint64) == repeats._around(hashes, start, start + length, start + left)).all()
+
+
 def test_batch_takes_no_longer_for_more_buckets():
     """What the buckets say of a batch's anchors is dealt back in one go: 20,000 buckets take about the time of 20."""
     import pandas as pd

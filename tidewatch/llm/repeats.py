@@ -43,8 +43,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: What a batch's post says of an anchor, and what the answer says of it.
 _MANY, _CROWD = _SHARED, _HOT = 1, 2
-#: A place of an anchor, as it goes to the anchor's bucket beside its text.
-_PLACE = np.dtype([("gram", "<i8"), ("around", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("length", "u1"), ("left", "u1")])
+#: A place of an anchor, as it goes to the anchor's bucket beside its text; the hashes are made from the text again, a MB or so at once.
+_PLACE, HASHED_BYTES = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "u1"), ("left", "u1")]), 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -214,6 +214,11 @@ def _shared(rows: pd.DataFrame, hot_batches: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": rows["bucket"], "batch": rows["batch"], "flags": _pieces(found, np.cumsum([0, *map(len, rows["flags"])]))})
 
 
+def _around(hashes: Hashes, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of an anchor's surroundings and of where in them it stands."""
+    return hashes.of(start, stop) ^ _mixed((at - start).astype(np.uint64) << np.uint64(8) | (stop - start).astype(np.uint64))
+
+
 def _surroundings(buckets: int):
     """Of each batch: spans that the batch itself decides, and what goes to buckets (by anchor, or by string if hot)."""
     names = ["batch", "kind", "bucket", "data", "text"]
@@ -232,7 +237,7 @@ def _surroundings(buckets: int):
             flags[order] = np.repeat(said, np.diff(cuts))
             at, gram, doc, is_hot = (x[flags & _SHARED > 0] for x in (at, gram, doc, flags & _HOT > 0))
             start, stop = _extent(at, gram, least_gram)
-            around = hashes.of(start, stop) ^ _mixed((at - start).astype(np.uint64) << np.uint64(8) | (stop - start).astype(np.uint64))
+            around = _around(hashes, start, stop, at)
             docs = ids[doc]
             least = _first_of(around, docs)
             sure = docs > least
@@ -247,7 +252,7 @@ def _surroundings(buckets: int):
             home, order = _dealt(gram[rest], buckets)
             rest, cuts = rest[order], _cuts(home)
             place, size = np.empty(len(rest), _PLACE), (stop - start)[rest]
-            for name, x in zip(_PLACE.names, (gram.view(np.int64), around.view(np.int64), docs, start, stop - start, at - start), strict=True):
+            for name, x in zip(_PLACE.names, (docs, start, stop - start, at - start), strict=True):
                 place[name] = x[rest]
             begin = np.cumsum(size) - size
             texts = text[np.repeat(start[rest] - begin, size) + np.arange(size.sum())]
@@ -304,13 +309,26 @@ def _common(texts: np.ndarray, gram: np.ndarray, at: np.ndarray, stop: np.ndarra
     return out
 
 
+def _hashed(texts: np.ndarray, start: np.ndarray, length: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors in texts and of their surroundings, as their batches have them."""
+    out = np.empty((2, len(start)), np.int64)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(texts), HASHED_BYTES)), len(start))).tolist()
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        begin, end = start[a], start[z - 1] + length[z - 1]
+        hashes, at = Hashes(texts[begin:end]), start[a:z] - begin
+        out[0, a:z] = hashes.of(at + left[a:z], at + left[a:z] + GRAM).view(np.int64)
+        out[1, a:z] = _around(hashes, at, at + length[a:z], at + left[a:z]).view(np.int64)
+    return out[0], out[1]
+
+
 def _by_anchor(rows: pd.DataFrame) -> pd.DataFrame:
     batch = np.repeat(rows["batch"].to_numpy(np.int64), [len(x) // _PLACE.itemsize for x in rows["data"]])
     place = np.frombuffer(b"".join(rows["data"]), _PLACE)
-    gram, around, doc, start, length, left = (place[name].astype(np.int64) for name in _PLACE.names)
+    doc, start, length, left = (place[name].astype(np.int64) for name in _PLACE.names)
     unpack = zstandard.ZstdDecompressor().decompress
     texts = np.frombuffer(b"".join(map(unpack, rows["text"])), np.uint8)
     text_at = np.cumsum(length) - length
+    gram, around = _hashed(texts, text_at, length, left)
     group = _numbered(gram, around)
     least = _first_of(group, doc)
     full = doc > least
